@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from .line_dedup import OP5_SQL, op5_line_dedup
+from .pii_pseudonyms import op4_pii_pseudonyms
 from .quality_rules import OP7_SQL, op7_quality_rules
+from .toxicity import op3_toxicity
 from .url_filters import OP8_SQL, op8_url_filters
 from .warc_derive import OP1_SQL, op1_warc_derivatives
 
 QUERIES = {
     "op1_warc_derivatives": op1_warc_derivatives,
+    "op3_toxicity": op3_toxicity,
+    "op4_pii_pseudonyms": op4_pii_pseudonyms,
     "op5_line_dedup": op5_line_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_url_filters": op8_url_filters,
