@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bpe_codec import op6_bpe_codec
 from .line_dedup import OP5_SQL, op5_line_dedup
 from .pii_pseudonyms import op4_pii_pseudonyms
 from .quality_rules import OP7_SQL, op7_quality_rules
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_pii_pseudonyms": op4_pii_pseudonyms,
     "op5_line_dedup": op5_line_dedup,
+    "op6_bpe_codec": op6_bpe_codec,
     "op7_quality_rules": op7_quality_rules,
     "op8_url_filters": op8_url_filters,
 }
