@@ -36,8 +36,9 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, table
 
-MAX_ROWS = 3000
-MAX_TRAIN_CHARS = 50_000
+MAX_ROWS = 2000
+MAX_TRAIN_CHARS = 20_000
+CHUNK = 100
 WINDOW_BYTES = 40
 GRAM = 6
 CONTEXT = 8
@@ -71,19 +72,18 @@ def windows(raw: bytes) -> list[bytes]:
 def _codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of every gram with its context in the texts: the gram's bytes and the context's as numbers, the gram's place."""
     raw = np.frombuffer(b"".join(texts), np.uint8)
-    ends = np.cumsum([len(t) for t in texts])
+    ends = np.cumsum([len(t) for t in texts], dtype=np.int32)
     n = len(raw) - GRAM - CONTEXT + 1
     if n <= 0:
-        return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),)
+        return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int32),)
     context, gram = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    for k in range(CONTEXT):
-        context = context << np.uint64(8) | raw[k : k + n]
-    for k in range(CONTEXT, CONTEXT + GRAM):
-        gram = gram << np.uint64(8) | raw[k : k + n]
-    at = np.arange(n)
-    of = np.searchsorted(ends, at, side="right")
-    inside = at + CONTEXT + GRAM <= ends[of]
-    return gram[inside], context[inside], at[inside] + CONTEXT
+    for width, code, start in ((CONTEXT, context, 0), (GRAM, gram, CONTEXT)):
+        for k in range(start, start + width):
+            code <<= np.uint64(8)
+            code |= raw[k : k + n]
+    at = np.arange(n, dtype=np.int32)
+    inside = at + (CONTEXT + GRAM) <= ends[np.searchsorted(ends, at, side="right")]
+    return gram[inside], context[inside], at[inside] + np.int32(CONTEXT)
 
 
 def _contexts(gram: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,9 +98,12 @@ def toxic_snippets(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     gram, context, place = _codes(toxic)
     kinds, counts = _contexts(gram, context)
     kinds, counts = kinds[counts >= MIN_CONTEXTS], counts[counts >= MIN_CONTEXTS]
-    gram0, context0, _ = _codes(ordinary)
-    likely = np.isin(gram0, kinds)
-    kinds0, counts0 = _contexts(gram0[likely], context0[likely])
+    seen = []
+    for i in range(0, len(ordinary), CHUNK):
+        gram0, context0, _ = _codes(ordinary[i : i + CHUNK])
+        likely = np.isin(gram0, kinds)
+        seen.append((gram0[likely], context0[likely]))
+    kinds0, counts0 = _contexts(np.concatenate([g for g, _ in seen]), np.concatenate([c for _, c in seen]))
     other = np.zeros(len(kinds))
     other[np.searchsorted(kinds, kinds0)] = counts0
     share = sum(map(len, toxic)) / max(1, sum(map(len, ordinary)))
@@ -147,24 +150,24 @@ def advantages(ordinary: bytes, toxic: bytes) -> Callable[[bytes], list[float]]:
     return of
 
 
-def _logistic(features: np.ndarray, labels: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
+def _logistic(features: np.ndarray, labels: np.ndarray, weights: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
     a = np.c_[np.ones(len(features)), features]
-    w, keep = np.zeros(a.shape[1]), ridge * len(labels) * np.eye(a.shape[1])
+    w, keep = np.zeros(a.shape[1]), ridge * weights.sum() * np.eye(a.shape[1])
     keep[0, 0] = 1e-6
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + keep, a.T @ (p - labels) + keep @ w)
+        step = np.linalg.solve((a * (weights * p * (1 - p))[:, None]).T @ a + keep, a.T @ (weights * (p - labels)) + keep @ w)
         w -= step
         if abs(step).max() < 1e-6:
             break
     return w
 
 
-def _best_threshold(logits: np.ndarray, labels: np.ndarray) -> float:
+def _best_threshold(logits: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> float:
     """Midway between the two values where F1 is best."""
     order = np.argsort(-logits, kind="stable")
-    found = np.cumsum(labels[order])
-    f1 = 2 * found / (np.arange(1, len(order) + 1) + labels.sum())
+    weight, hit = weights[order], (weights * labels)[order]
+    f1 = 2 * np.cumsum(hit) / (np.cumsum(weight) + hit.sum())
     k = int(f1.argmax())
     after = logits[order[k + 1]] if k + 1 < len(order) else logits[order[k]] - 1
     return float(logits[order[k]] + after) / 2
@@ -189,8 +192,11 @@ class Model:
         return score
 
 
-def fit(rows: list[tuple[str | None, int]]) -> Model:
-    """A model from (text, label) rows; equal texts count once."""
+def fit(rows: list[tuple[str | None, int]], toxic_share: float | None = None) -> Model:
+    """A model from (text, label) rows; equal texts count once.
+
+    toxic_share is that of all labelled rows, if the sample has another.
+    """
     toxic = list(dict.fromkeys(p for t, y in rows if y and (p := prepared(t))))
     ordinary = list(dict.fromkeys(p for t, y in rows if not y and (p := prepared(t))))
     total = len(toxic) + len(ordinary)
@@ -203,9 +209,11 @@ def fit(rows: list[tuple[str | None, int]]) -> Model:
             features += map(of, texts)
             labels += [label] * len(texts)
     x, y = np.array(features), np.array(labels, float)
-    w = _logistic(x, y)
-    w[0] -= _best_threshold(np.c_[np.ones(len(x)), x] @ w, y)
-    return Model(*dictionaries(toxic, ordinary), w, len(toxic) / total)
+    share = len(toxic) / total if toxic_share is None else toxic_share
+    weights = np.where(y == 1, share / len(toxic), (1 - share) / len(ordinary)) * total
+    w = _logistic(x, y, weights)
+    w[0] -= _best_threshold(np.c_[np.ones(len(x)), x] @ w, y, weights)
+    return Model(*dictionaries(toxic, ordinary), w, share)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -213,8 +221,8 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> list[tuple[str, int]]:
-    """The bounded sample: (text, toxic) of rows that aren't held out."""
+def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[list[tuple[str, int]], float | None]:
+    """The bounded sample, (text, toxic) of rows that aren't held out, and the toxic share of all such labels."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     picked = None
     for label in (1, 0):
@@ -222,7 +230,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
         picked = some if picked is None else picked.unionByName(some)
     texts = docs.select("doc_id", "text").where(F.length("text") <= MAX_TRAIN_CHARS)
     rows = texts.join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * max_rows)
-    return [(r["text"], int(r["toxic"] != 0)) for r in rows.select("text", "toxic").collect()]
+    share = known.agg(F.avg((F.col("toxic") != 0).cast("double"))).first()[0]
+    return [(r["text"], int(r["toxic"] != 0)) for r in rows.select("text", "toxic").collect()], share
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -241,6 +250,6 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    model = fit(training_rows(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")))
+    model = fit(*training_rows(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")))
     out = score(docs, model)
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
