@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe_codec import op6_bpe_codec
 from .line_dedup import OP5_SQL, op5_line_dedup
+from .minhash_near_dedup import op10_minhash_near_dedup
 from .pii_pseudonyms import op4_pii_pseudonyms
 from .quality_rules import OP7_SQL, op7_quality_rules
 from .toxicity import op3_toxicity
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_bpe_codec": op6_bpe_codec,
     "op7_quality_rules": op7_quality_rules,
     "op8_url_filters": op8_url_filters,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
 ORACLES = {
