@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe_codec import op6_bpe_codec
+from .decontaminate import op2_decontaminate
 from .line_dedup import OP5_SQL, op5_line_dedup
 from .minhash_near_dedup import op10_minhash_near_dedup
 from .pii_pseudonyms import op4_pii_pseudonyms
@@ -13,6 +14,7 @@ from .warc_derive import OP1_SQL, op1_warc_derivatives
 
 QUERIES = {
     "op1_warc_derivatives": op1_warc_derivatives,
+    "op2_decontaminate": op2_decontaminate,
     "op3_toxicity": op3_toxicity,
     "op4_pii_pseudonyms": op4_pii_pseudonyms,
     "op5_line_dedup": op5_line_dedup,
