@@ -8,6 +8,7 @@ from .line_dedup import OP5_SQL, op5_line_dedup
 from .minhash_near_dedup import op10_minhash_near_dedup
 from .pii_pseudonyms import op4_pii_pseudonyms
 from .quality_rules import OP7_SQL, op7_quality_rules
+from .suffix_dedup import op9_suffix_dedup
 from .toxicity import op3_toxicity
 from .url_filters import OP8_SQL, op8_url_filters
 from .warc_derive import OP1_SQL, op1_warc_derivatives
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_bpe_codec": op6_bpe_codec,
     "op7_quality_rules": op7_quality_rules,
     "op8_url_filters": op8_url_filters,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
