@@ -1,0 +1,38 @@
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+from plinth.plans.queries import ORACLES, QUERIES
+
+SF = "/root/testdata/sf0.001"
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
+    return con
+
+
+def plain(v):
+    return repr(round(v, 6)) if isinstance(v, float) else str(v)
+
+
+def test_entry(spark):
+    assert entry.entry(spark).count() > 0
+    assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query_against_sql(spark, duck, name):
+    df = QUERIES[name](spark, SF)
+    columns = sorted(df.columns)
+    got = sorted(tuple(plain(r[c]) for c in columns) for r in df.collect())
+    if name not in ORACLES:
+        assert got
+        return
+    rel = duck.sql(ORACLES[name])
+    at = [list(rel.columns).index(c) for c in columns]
+    assert got == sorted(tuple(plain(r[i]) for i in at) for r in rel.fetchall())
