@@ -78,3 +78,8 @@ def score_shown(score: Column) -> Column:
     """The score as `n/100`, ties to even."""
     s = F.coalesce(score.try_cast("double"), F.lit(0.0))
     return F.concat(F.bround(s, 0).cast("int").cast("string"), F.lit("/100"))
+
+
+def stripped(x: Column) -> Column:
+    """Dates and salaries stay as they are written, without white space at the ends."""
+    return F.regexp_replace(or_empty(x), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.documents import advice_prompt, resume_prompt
 from ..functions.text import present
+from ..operators.dedup import deduplicate_jobs
 from ..operators.joins import memo_hits, memo_misses
 from ..operators.models import Generate, generated, parsed_advice, parsed_resume
 from ..schemas import DEGREES, INTERESTS, PROFILE
@@ -61,3 +62,15 @@ def advised(jobs: DataFrame, memo: DataFrame, profile_text: str, generate: Gener
     new = memo_misses(jobs, memo, "job_id")
     job = F.struct("title", "description", "requirements")
     return known.unionByName(new.select("job_id", parsed_advice(generated(advice_prompt(job, F.lit(profile_text)), generate)).alias("advice")))
+
+
+def candidate_name(profile: DataFrame) -> DataFrame:
+    """The name that the parsed resume tells, or an empty one."""
+    return profile.select(F.coalesce(F.col("resume_parsed")["name"], F.lit("")).alias("candidate_name"))
+
+
+def store(jobs: DataFrame, view: str = "matched_jobs") -> DataFrame:
+    """The session's jobs as a view, the best of each identity."""
+    unique = deduplicate_jobs(jobs)
+    unique.createOrReplaceTempView(view)
+    return unique
