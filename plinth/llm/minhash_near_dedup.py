@@ -14,8 +14,8 @@ Documents are linked if 100 * intersection >= PERCENT * union of their sets.
 
 Not all pairs of a bucket are formed. First each class is held against one hub, the member of its
 buckets with the most candidates; then the classes that the hub's component doesn't have yet against
-the hubs of all their buckets; at last, in buckets that still hold several components, the pairs
-across components. Pairs within a component can't change the result.
+the hubs of all their buckets; at last, where buckets still hold several components, blocks of classes are
+compared in memory and give only links that unite components. Pairs within a component can't change the result.
 
 Defined results: a null doc_id has no component (null) and is kept; rows that repeat a doc_id are
 one document with the links of all. An empty table gives an empty one. Further columns pass through
@@ -42,6 +42,7 @@ ROWS, BANDS = 6, 40
 HASHES = ROWS * BANDS
 BATCH = 40
 MISS = 1e-6
+BLOCK = 128
 CACHED_WORDS = 300_000
 BROADCAST_IDS = 2_000_000
 EMPTY_SET = b"\0" * 16
@@ -134,14 +135,19 @@ _STEPS = [(n, least_matches(n)) for n in range(BATCH, HASHES + 1, BATCH)]
 def _likely(a: pd.Series, b: pd.Series) -> pd.Series:
     """Whether a pair of signatures outlives every batch."""
     left = np.frombuffer(b"".join(a), np.uint16).reshape(-1, HASHES)
-    right = np.frombuffer(b"".join(b), np.uint16).reshape(-1, HASHES)
-    alive, matches = np.arange(len(left)), np.zeros(len(left), int)
+    return pd.Series(_outlive(left, np.frombuffer(b"".join(b), np.uint16).reshape(-1, HASHES)))
+
+
+def _outlive(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The test itself; left is a signature for each of right's, or one for all."""
+    left = np.broadcast_to(left, right.shape)
+    alive, matches = np.arange(len(right)), np.zeros(len(right), int)
     for n, least in _STEPS:
         matches[alive] += (left[alive, n - BATCH : n] == right[alive, n - BATCH : n]).sum(axis=1)
         alive = alive[matches[alive] >= least]
-    out = np.zeros(len(left), bool)
+    out = np.zeros(len(right), bool)
     out[alive] = True
-    return pd.Series(out)
+    return out
 
 
 def likely(a: str, b: str) -> Column:
@@ -173,7 +179,7 @@ class _Classes:
         keys = written(keys.join(counts, "key"), "buckets")
         degree = keys.groupBy("rep").agg(F.sum("c").alias("deg"))
         self.rows = written(classes.join(degree, "rep").select("rep", "n", "sig", "deg"), "candidates")
-        self.keys = written(keys.join(self.rows.select("rep", "n", "deg"), "rep").select("key", "rep", "n", "deg"), "buckets")
+        self.keys = written(keys.select("key", "rep").join(self.rows.select("rep", "n", "deg"), "rep"), "buckets")
         ids = self.rows.select(F.col("rep").alias("doc_id"))
         few = self.rows.count() <= BROADCAST_IDS
         texts = docs.where(F.col("doc_id").isNotNull()).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
@@ -192,6 +198,70 @@ class _Classes:
         with_text = passed.join(text.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a").join(text.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b")
         return written(with_text.mapInPandas(_confirmed, "a long, b long"), "links")
 
+    def rest(self, found: DataFrame, hubs: DataFrame) -> DataFrame:
+        """Links across components within buckets that hold several; written.
+
+        Classes that such buckets connect are a cluster. A cluster is dealt into blocks of BLOCK classes at most (on
+        average), and each pair of blocks is a group that one task compares in memory; no pair is a row.
+        """
+        labelled = _with_component(self.keys, "rep", "comp", found)
+        mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+        near = labelled.join(mixed, "key").join(hubs.select("key", "hub"), "key").where("rep <> hub")
+        cluster = written(components(near.select(F.col("rep").alias("a"), F.col("hub").alias("b"))), "clusters")
+        blocks = cluster.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+        dealt = cluster.join(blocks, "component").select(F.col("component").alias("cluster"), F.col("node").alias("rep"), "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
+        full = _with_component(dealt.join(self.rows.select("rep", "n", "sig"), "rep").join(self.texts.select("rep", "text"), "rep"), "rep", "comp", found)
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        pairs = full.withColumn("other", other).select("cluster", F.least("block", "other").alias("g1"), F.greatest("block", "other").alias("g2"), "block", "rep", "n", "comp", "sig", "text")
+        groups = pairs.repartition("cluster", "g1", "g2").sortWithinPartitions("cluster", "g1", "g2", "rep")
+        return written(groups.mapInPandas(_across, "a long, b long"), "links")
+
+
+def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links between components, for rows sorted by group: enough of them to unite what the group's links unite."""
+    group, rows = None, []
+    for batch in batches:
+        out = []
+        for row in batch.itertuples(index=False):
+            if row[:3] != group:
+                out += _links_across(rows)
+                group, rows = row[:3], []
+            rows.append(row)
+        yield pd.DataFrame(out, columns=["a", "b"])
+    yield pd.DataFrame(_links_across(rows), columns=["a", "b"])
+
+
+def _links_across(rows: list) -> list[tuple[int, int]]:
+    if len(rows) < 2:
+        return []
+    parent: dict[int, int] = {r.comp: r.comp for r in rows}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    sigs = np.frombuffer(b"".join(r.sig for r in rows), np.uint16).reshape(-1, HASHES)
+    n, block = np.array([r.n for r in rows]), np.array([r.block for r in rows])
+    within = rows[0].g1 == rows[0].g2
+    sets: dict[int, set] = {}
+    out = []
+    for i, row in enumerate(rows[:-1]):
+        roots = np.array([root(r.comp) for r in rows[i + 1 :]])
+        alive = roots != root(row.comp)
+        alive &= 100 * np.minimum(n[i + 1 :], n[i]) >= PERCENT * np.maximum(n[i + 1 :], n[i])
+        alive = i + 1 + np.flatnonzero(alive if within else alive & (block[i + 1 :] != block[i]))
+        for j in alive[_outlive(sigs[i], sigs[alive])].tolist():
+            x, y = root(row.comp), root(rows[j].comp)
+            if x != y:
+                for k in (i, j):
+                    if k not in sets:
+                        sets[k] = shingles(rows[k].text)
+                if linked(sets[i], sets[j]):
+                    parent[max(x, y)] = min(x, y)
+                    out.append((row.rep, rows[j].rep))
+    return out
+
 
 def _with_component(rows: DataFrame, column: str, name: str, found: DataFrame) -> DataFrame:
     c = found.select(F.col("node").alias(column), F.col("component").alias("_c"))
@@ -209,8 +279,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = named.select("doc_id", "h").join(classes.select("h", "rep"), "h")
     several = reps.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1")
     edges = several.where("a <> b").select("a", "b")
-    per_rep = classes.groupBy("rep").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
-    c = _Classes(per_rep, docs)
+    c = _Classes(classes.select("rep", "n", "sig"), docs)
 
     hubs = c.hubs()
     near = c.keys.join(hubs, "key").where((F.col("rep") != F.col("hub")) & _similar_size(F.col("n"), F.col("hub_n")))
@@ -224,14 +293,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     edges = written(edges.union(c.links(apart)), "links")
     found = written(components(edges), "components")
 
-    labelled = _with_component(c.keys, "rep", "comp", found)
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    labelled = written(labelled.join(mixed, "key").select("key", "rep", "n", "comp"), "mixed")
-    x = labelled.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    y = labelled.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    rest = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _similar_size(F.col("na"), F.col("nb"))).select("a", "b").distinct()
-    tried = stars.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
-    edges = edges.union(c.links(rest.join(tried, ["a", "b"], "left_anti")))
+    edges = edges.union(c.rest(found, hubs))
     found = written(components(edges), "components")
 
     out = signed.join(classes.select("h", "rep"), "h", "left")

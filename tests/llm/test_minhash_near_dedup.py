@@ -76,6 +76,12 @@ def test_null_and_repeated_ids(spark, docs):
     assert m.near_duplicates(docs()).count() == 0
 
 
+def test_every_text_of_a_repeated_id_links(spark, docs):
+    a, b = [f"a{i}" for i in range(80)], [f"b{i}" for i in range(80)]
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*a[:-1], "x"])), (3, " ".join([*b[:-1], "y"])), (4, "alone here")]
+    assert {r["doc_id"]: r["component_id"] for r in m.near_duplicates(docs(*rows)).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
 def test_signatures_estimate_similarity():
     a, b = (m.hashed_set(" ".join(f"w{i}" for i in range(k, k + 400))) for k in (0, 40))
     s = m.signatures([a, b])
