@@ -14,7 +14,8 @@ A suffix array of the whole corpus isn't needed, as only strings of MIN_BYTES by
    differ. They are a small part of the text, and only their bytes are read again.
 3. Rims of one anchor form a bucket. The bytes of buckets get a suffix array (ranks doubled up to MIN_BYTES),
    the previous and next smaller position of each suffix in suffix order, and from the two common prefixes
-   the longest previous factor; windows with a factor of MIN_BYTES or more are copies.
+   the longest previous factor; windows with a factor of MIN_BYTES or more are copies. Windows whose hash
+   the bucket holds once stay out of the arrays, and of equal runs of windows only the first is in them.
 4. An anchor that a batch holds in HOT_SHARE of its documents, each time with other bytes around (the ends of a
    line that very many pages share), would be one task's work. A pass before finds such anchors; their
    windows go as rows of their own, by the window's hash. A bucket of more than BUCKET_RIMS rims, too, has
@@ -41,9 +42,8 @@ from .common import small_batches, table, written
 
 MIN_BYTES = 100
 GRAM = 32
-BUCKET_RIMS = 500
+BUCKET_RIMS = 50_000
 HOT_ROWS, HOT_SHARE = 8, 0.02
-BROADCAST_RIMS = 500_000
 FLUSH_BYTES = 1 << 18
 CHUNK = 1 << 20
 
@@ -208,6 +208,39 @@ def copied_windows(parts: list[bytes]) -> list[np.ndarray]:
     return [np.flatnonzero(lpf[s : s + len(p)] >= MIN_BYTES) for s, p in zip(starts, parts)]
 
 
+def copied_ranges_of(parts: list[bytes]) -> list[tuple[int, int, int]]:
+    """(part, first window, last window) of the copied runs of parts, which are in their order of appearance.
+
+    A window whose hash occurs once has no earlier match. Of the runs of other windows equal ones after the first are
+    copies, and the different ones get the arrays.
+    """
+    ends = np.cumsum([len(p) for p in parts])
+    whole = rolling(np.frombuffer(b"".join(parts), np.uint8), MIN_BYTES)
+    at = np.arange(len(whole))
+    part = np.searchsorted(ends, at, side="right")
+    inside = at + MIN_BYTES <= ends[part]
+    at, part = at[inside], part[inside]
+    _, kind, count = np.unique(whole[at], return_inverse=True, return_counts=True)
+    again = count[kind] > 1
+    at, part = at[again], part[again]
+    if not len(at):
+        return []
+    cut = np.flatnonzero((np.diff(at) > 1) | (np.diff(part) > 0))
+    first, last = np.r_[0, cut + 1], np.r_[cut, len(at) - 1]
+    begins = ends - np.array([len(p) for p in parts])
+    out, different = [], {}
+    for k, a, b in zip(part[first].tolist(), (at[first] - begins[part[first]]).tolist(), (at[last] - begins[part[last]]).tolist()):
+        raw = parts[k][a : b + MIN_BYTES]
+        if raw in different:
+            out.append((k, a, b))
+        else:
+            different[raw] = (k, a)
+    for (k, a), found in zip(different.values(), copied_windows(list(different))):
+        if len(found):
+            out += [(k, a + int(x), a + int(y)) for x, y in zip(*_runs(found))]
+    return out
+
+
 def _runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last of each run of numbers in a row."""
     cut = np.flatnonzero(np.diff(starts) > 1)
@@ -221,11 +254,8 @@ def _bucket_copies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """
 
     def flush(rows: list[tuple]) -> list[tuple]:
-        out = []
-        for (_, doc, th, p, _), found in zip(rows, copied_windows([r[-1] for r in rows]) if rows else ()):
-            if len(found):
-                out += [(doc, th, p + int(a), p + int(b) + MIN_BYTES) for a, b in zip(*_runs(found))]
-        return out
+        found = copied_ranges_of([r[-1] for r in rows]) if rows else ()
+        return [(rows[k][1], rows[k][2], rows[k][3] + a, rows[k][3] + b + MIN_BYTES) for k, a, b in found]
 
     rows, size = [], 0
     for batch in batches:
@@ -255,7 +285,7 @@ def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _with_bytes(rims: DataFrame, docs: DataFrame) -> DataFrame:
     """rims with raw, the bytes that their windows cover."""
     text = docs.select("doc", "th", F.col("text").cast("binary").alias("bytes"))
-    joined = text.join(F.broadcast(rims) if rims.count() <= BROADCAST_RIMS else rims, ["doc", "th"])
+    joined = text.join(rims, ["doc", "th"])
     rows = joined.select(*rims.columns, F.substring("bytes", F.col("p") + 1, F.col("n") + (MIN_BYTES - 1)).alias("raw"))
     return rows.dropDuplicates(["anchor", "doc", "th", "p"])  # rows that are equal are one document
 
