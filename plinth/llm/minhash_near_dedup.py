@@ -13,13 +13,12 @@ Documents are linked if 100 * intersection >= PERCENT * union of their sets.
 4. The rest is confirmed on the full sets, from the texts.
 
 Not all pairs of a bucket are formed. First each class is held against one hub, the member of its
-buckets with the most candidates; then the classes that the hub's component doesn't have yet against
-the hubs of all their buckets; at last, where buckets still hold several components, blocks of classes are
+buckets with the most candidates. Then, where buckets still hold several components, blocks of classes are
 compared in memory and give only links that unite components. Pairs within a component can't change the result.
 
 Defined results: a null doc_id has no component (null) and is kept; rows that repeat a doc_id are
 one document with the links of all. An empty table gives an empty one. Further columns pass through
-`keep_first`, which drops all but one row of each component.
+`keep_first`, which keeps one document of each component.
 """
 
 from __future__ import annotations
@@ -183,7 +182,7 @@ class _Classes:
         ids = self.rows.select(F.col("rep").alias("doc_id"))
         few = self.rows.count() <= BROADCAST_IDS
         texts = docs.where(F.col("doc_id").isNotNull()).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-        self.texts = written(texts.select(F.col("doc_id").alias("rep"), "text", F.xxhash64("text").alias("th")), "texts")
+        self.texts = written(texts.select(F.col("doc_id").alias("rep"), "text"), "texts")
 
     def hubs(self) -> DataFrame:
         top = self.keys.groupBy("key").agg(F.max(F.struct("deg", -F.col("rep"), "n")).alias("m"))
@@ -277,20 +276,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = written(named.groupBy("h").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
     # rows that repeat a doc_id with another text: their classes belong together
     reps = named.select("doc_id", "h").join(classes.select("h", "rep"), "h")
-    several = reps.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    edges = several.where("a <> b").select("a", "b")
+    several = reps.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("c")).where("b <> c")
+    edges = reps.join(several, "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b")
     c = _Classes(classes.select("rep", "n", "sig"), docs)
 
     hubs = c.hubs()
     near = c.keys.join(hubs, "key").where((F.col("rep") != F.col("hub")) & _similar_size(F.col("n"), F.col("hub_n")))
-    stars = written(near.groupBy("rep", "hub").agg(F.max("hub_deg").alias("hub_deg")), "stars")
-    first = stars.groupBy("rep").agg(F.max(F.struct("hub_deg", "hub")).alias("m")).select(F.col("rep").alias("a"), F.col("m.hub").alias("b"))
-    edges = written(edges.union(c.links(first)), "links")
-    found = written(components(edges), "components")
-
-    apart = _with_component(_with_component(stars, "rep", "ca", found), "hub", "cb", found).where("ca <> cb")
-    apart = apart.select(F.col("rep").alias("a"), F.col("hub").alias("b")).join(first, ["a", "b"], "left_anti")
-    edges = written(edges.union(c.links(apart)), "links")
+    stars = near.groupBy("rep").agg(F.max(F.struct("hub_deg", "hub")).alias("m")).select(F.col("rep").alias("a"), F.col("m.hub").alias("b"))
+    edges = written(edges.union(c.links(stars)), "links")
     found = written(components(edges), "components")
 
     edges = edges.union(c.rest(found, hubs))
@@ -304,7 +297,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component; of rows that repeat a doc_id, one."""
+    """The rows of docs whose doc_id is the smallest of its component; rows that repeat it are one document and stay."""
     gone = written(near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     few = gone.count() <= BROADCAST_IDS
     return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")

@@ -78,8 +78,8 @@ def test_null_and_repeated_ids(spark, docs):
 
 def test_every_text_of_a_repeated_id_links(spark, docs):
     a, b = [f"a{i}" for i in range(80)], [f"b{i}" for i in range(80)]
-    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*a[:-1], "x"])), (3, " ".join([*b[:-1], "y"])), (4, "alone here")]
-    assert {r["doc_id"]: r["component_id"] for r in m.near_duplicates(docs(*rows)).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+    rows = [(8, "in the middle of three"), (9, "in the middle of three"), (9, " ".join(a)), (9, "one more text of nine"), (1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*a[:-1], "x"])), (3, " ".join([*b[:-1], "y"])), (4, "alone here")]
+    assert {r["doc_id"]: r["component_id"] for r in m.near_duplicates(docs(*rows)).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 8: 1, 9: 1}
 
 
 def test_signatures_estimate_similarity():
