@@ -16,7 +16,7 @@ from plinth.llm.bpe_codec import digests
 from plinth.llm.common import table, written
 from plinth.llm.decontaminate import remove_contaminated
 from plinth.llm.line_dedup import drop_boilerplate
-from plinth.llm.minhash_near_dedup import keep_first
+from plinth.llm.minhash_near_dedup import STAGE_PERCENT, keep_first
 from plinth.llm.quality_rules import clean
 
 
@@ -37,8 +37,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest doc_id."""
-    return keep_first(docs)
+    """One document of each group of near duplicates (STAGE_PERCENT or more), that of the smallest doc_id."""
+    return keep_first(docs, STAGE_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

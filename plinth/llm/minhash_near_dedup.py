@@ -2,12 +2,13 @@
 
 A document's set is its distinct WORDS-word shingles, over words of anything but space and
 \\x09-\\x0D with A-Z in lower case (fewer words: the whole sequence; no word: nothing, linked with nothing).
-Documents are linked if 100 * intersection >= PERCENT * union of their sets.
+Documents are linked if 100 * intersection >= percent * union of their sets; percent is STAGE_PERCENT, as in the
+pipeline, unless the caller names another; the op10_ query links at PERCENT.
 
 1. One pass makes a 128-bit hash of each set and a signature of HASHES minima. Documents with
    equal sets are one class from here on, named by its smallest doc_id.
 2. Classes are candidates if one of BANDS bands of ROWS minima is equal. A pair at the threshold is
-   missed with a probability of (1 - 0.85 ** ROWS) ** BANDS, 6e-9.
+   missed with a probability of (1 - 0.85 ** ROWS) ** BANDS, 6e-9 (5e-6 at 80 percent).
 3. Candidate pairs of a similar size are compared batch by batch of BATCH minima and pruned
    once the posterior probability of a similarity at the threshold is below MISS.
 4. The rest is confirmed on the full sets, from the texts.
@@ -26,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -37,6 +39,7 @@ from .components import components
 
 WORDS = 5
 PERCENT = 85
+STAGE_PERCENT = 80
 ROWS, BANDS = 6, 40
 HASHES = ROWS * BANDS
 BATCH = 40
@@ -63,7 +66,7 @@ def shingles(text: str | None) -> set[tuple[bytes, ...]]:
     return set(zip(*(w[k:] for k in range(WORDS)))) if len(w) >= WORDS else {tuple(w)} if w else set()
 
 
-def linked(a: set, b: set, percent: int = PERCENT) -> bool:
+def linked(a: set, b: set, percent: int = STAGE_PERCENT) -> bool:
     small, large = sorted((a, b), key=len)
     if not small or 100 * len(small) < percent * len(large):
         return False
@@ -118,7 +121,7 @@ def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         })
 
 
-def least_matches(n: int, percent: int = PERCENT, miss: float = MISS) -> int:
+def least_matches(n: int, percent: int = STAGE_PERCENT, miss: float = MISS) -> int:
     """The fewest matches of n for which the posterior P(similarity >= threshold), from a flat prior, is miss or more."""
     p, below = percent / 100, 0.0
     for m in range(n + 1):  # P(Beta(m + 1, n - m + 1) >= p) = P(Binomial(n + 1, p) <= m)
@@ -128,20 +131,19 @@ def least_matches(n: int, percent: int = PERCENT, miss: float = MISS) -> int:
     return n
 
 
-_STEPS = [(n, least_matches(n)) for n in range(BATCH, HASHES + 1, BATCH)]
+Steps = list[tuple[int, int]]
 
 
-def _likely(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Whether a pair of signatures outlives every batch."""
-    left = np.frombuffer(b"".join(a), np.uint16).reshape(-1, HASHES)
-    return pd.Series(_outlive(left, np.frombuffer(b"".join(b), np.uint16).reshape(-1, HASHES)))
+def pruning_steps(percent: int) -> Steps:
+    """How many minima are compared by the end of each batch, and how many of them have to match."""
+    return [(n, least_matches(n, percent)) for n in range(BATCH, HASHES + 1, BATCH)]
 
 
-def _outlive(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The test itself; left is a signature for each of right's, or one for all."""
+def _outlive(left: np.ndarray, right: np.ndarray, steps: Steps) -> np.ndarray:
+    """Whether pairs of signatures outlive every batch; left is a signature for each of right's, or one for all."""
     left = np.broadcast_to(left, right.shape)
     alive, matches = np.arange(len(right)), np.zeros(len(right), int)
-    for n, least in _STEPS:
+    for n, least in steps:
         matches[alive] += (left[alive, n - BATCH : n] == right[alive, n - BATCH : n]).sum(axis=1)
         alive = alive[matches[alive] >= least]
     out = np.zeros(len(right), bool)
@@ -149,29 +151,36 @@ def _outlive(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return out
 
 
-def likely(a: str, b: str) -> Column:
-    return F.pandas_udf(_likely, "boolean")(a, b)
+def likely(a: str, b: str, percent: int) -> Column:
+    steps = pruning_steps(percent)
 
+    def outlive(a: pd.Series, b: pd.Series) -> pd.Series:
+        left = np.frombuffer(b"".join(a), np.uint16).reshape(-1, HASHES)
+        return pd.Series(_outlive(left, np.frombuffer(b"".join(b), np.uint16).reshape(-1, HASHES), steps))
 
-def _confirmed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    return F.pandas_udf(outlive, "boolean")(a, b)
+
+
+def _confirmed(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
     hub, of_hub = None, set()
     for batch in batches:
         good = []
         for a, b, x, y in zip(batch["a"], batch["b"], batch["ta"], batch["tb"]):
             if b != hub:
                 hub, of_hub = b, shingles(y)
-            good.append(linked(shingles(x), of_hub))
+            good.append(linked(shingles(x), of_hub, percent))
         yield batch.loc[good, ["a", "b"]]
 
 
-def _similar_size(a: Column, b: Column) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
+def _similar_size(a: Column, b: Column, percent: int) -> Column:
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
 class _Classes:
     """The classes that have candidates, and what pairs of them are held against."""
 
-    def __init__(self, classes: DataFrame, docs: DataFrame):
+    def __init__(self, classes: DataFrame, docs: DataFrame, percent: int):
+        self.percent = percent
         bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
         keys = classes.where("n > 0").select("rep", F.explode(bands).alias("key"))
         counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -192,10 +201,10 @@ class _Classes:
         """Those of the pairs a, b (b the commoner side) that are linked; written."""
         sig = self.rows.select("rep", "sig")
         with_sig = pairs.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
-        passed = written(with_sig.where(likely("sa", "sb")).select("a", "b"), "likely")
+        passed = written(with_sig.where(likely("sa", "sb", self.percent)).select("a", "b"), "likely")
         text = self.texts.select("rep", "text")
         with_text = passed.join(text.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a").join(text.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b")
-        return written(with_text.mapInPandas(_confirmed, "a long, b long"), "links")
+        return written(with_text.mapInPandas(partial(_confirmed, percent=self.percent), "a long, b long"), "links")
 
     def rest(self, found: DataFrame, hubs: DataFrame) -> DataFrame:
         """Links across components within buckets that hold several; written.
@@ -213,24 +222,24 @@ class _Classes:
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
         pairs = full.withColumn("other", other).select("cluster", F.least("block", "other").alias("g1"), F.greatest("block", "other").alias("g2"), "block", "rep", "n", "comp", "sig", "text")
         groups = pairs.repartition("cluster", "g1", "g2").sortWithinPartitions("cluster", "g1", "g2", "rep")
-        return written(groups.mapInPandas(_across, "a long, b long"), "links")
+        return written(groups.mapInPandas(partial(_across, percent=self.percent), "a long, b long"), "links")
 
 
-def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _across(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
     """Links between components, for rows sorted by group: enough of them to unite what the group's links unite."""
-    group, rows = None, []
+    group, rows, steps = None, [], pruning_steps(percent)
     for batch in batches:
         out = []
         for row in batch.itertuples(index=False):
             if row[:3] != group:
-                out += _links_across(rows)
+                out += _links_across(rows, percent, steps)
                 group, rows = row[:3], []
             rows.append(row)
         yield pd.DataFrame(out, columns=["a", "b"])
-    yield pd.DataFrame(_links_across(rows), columns=["a", "b"])
+    yield pd.DataFrame(_links_across(rows, percent, steps), columns=["a", "b"])
 
 
-def _links_across(rows: list) -> list[tuple[int, int]]:
+def _links_across(rows: list, percent: int, steps: Steps) -> list[tuple[int, int]]:
     if len(rows) < 2:
         return []
     parent: dict[int, int] = {r.comp: r.comp for r in rows}
@@ -248,15 +257,15 @@ def _links_across(rows: list) -> list[tuple[int, int]]:
     for i, row in enumerate(rows[:-1]):
         roots = np.array([root(r.comp) for r in rows[i + 1 :]])
         alive = roots != root(row.comp)
-        alive &= 100 * np.minimum(n[i + 1 :], n[i]) >= PERCENT * np.maximum(n[i + 1 :], n[i])
+        alive &= 100 * np.minimum(n[i + 1 :], n[i]) >= percent * np.maximum(n[i + 1 :], n[i])
         alive = i + 1 + np.flatnonzero(alive if within else alive & (block[i + 1 :] != block[i]))
-        for j in alive[_outlive(sigs[i], sigs[alive])].tolist():
+        for j in alive[_outlive(sigs[i], sigs[alive], steps)].tolist():
             x, y = root(row.comp), root(rows[j].comp)
             if x != y:
                 for k in (i, j):
                     if k not in sets:
                         sets[k] = shingles(rows[k].text)
-                if linked(sets[i], sets[j]):
+                if linked(sets[i], sets[j], percent):
                     parent[max(x, y)] = min(x, y)
                     out.append((row.rep, rows[j].rep))
     return out
@@ -267,8 +276,8 @@ def _with_component(rows: DataFrame, column: str, name: str, found: DataFrame) -
     return rows.join(c, column, "left").withColumn(name, F.coalesce("_c", column)).drop("_c")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id (long), n_shingles, component_id and kept of every row of docs (doc_id, text)."""
+def near_duplicates(docs: DataFrame, percent: int = STAGE_PERCENT) -> DataFrame:
+    """doc_id (long), n_shingles, component_id and kept of every row of docs (doc_id, text); percent links."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = written(docs.mapInPandas(_signed, "doc_id long, n long, h binary, sig binary"), "signatures")
@@ -278,10 +287,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = named.select("doc_id", "h").join(classes.select("h", "rep"), "h")
     several = reps.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("c")).where("b <> c")
     edges = reps.join(several, "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b")
-    c = _Classes(classes.select("rep", "n", "sig"), docs)
+    c = _Classes(classes.select("rep", "n", "sig"), docs, percent)
 
     hubs = c.hubs()
-    near = c.keys.join(hubs, "key").where((F.col("rep") != F.col("hub")) & _similar_size(F.col("n"), F.col("hub_n")))
+    near = c.keys.join(hubs, "key").where((F.col("rep") != F.col("hub")) & _similar_size(F.col("n"), F.col("hub_n"), percent))
     stars = near.groupBy("rep").agg(F.max(F.struct("hub_deg", "hub")).alias("m")).select(F.col("rep").alias("a"), F.col("m.hub").alias("b"))
     edges = written(edges.union(c.links(stars)), "links")
     found = written(components(edges), "components")
@@ -296,12 +305,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, percent: int = STAGE_PERCENT) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component; rows that repeat it are one document and stay."""
-    gone = written(near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    gone = written(near_duplicates(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     few = gone.count() <= BROADCAST_IDS
     return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), PERCENT)

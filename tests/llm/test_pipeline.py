@@ -52,3 +52,24 @@ def test_stages_keep_the_columns(spark, docs, folder):
         out = stage(spark, table, path)
         assert out.dtypes == table.dtypes
         assert stage(spark, docs(), path).count() == 0
+
+
+def test_near_copies_between_80_and_85_percent_go(spark, docs):
+    words = [f"w{i}" for i in range(104)]
+    near, far = (" ".join(w if i not in at else "changed" for i, w in enumerate(words)) for at in ((10, 50), (10, 50, 90)))
+    sets = [minhash_near_dedup.shingles(t) for t in (" ".join(words), near, far)]
+    likeness = [len(sets[0] & s) / len(sets[0] | s) for s in sets[1:]]
+    assert 0.81 < likeness[0] < 0.83 and likeness[1] < 0.8
+    table = docs((1, " ".join(words)), (2, near), (3, "another text " + far[::-1]))
+    assert sorted(r["doc_id"] for r in c.near_dedup(spark, table, "").collect()) == [1, 3]
+    apart = docs((1, " ".join(words)), (2, far))
+    assert c.near_dedup(spark, apart, "").count() == 2
+
+
+def test_the_query_keeps_its_own_threshold(spark, docs, folder):
+    words = [f"w{i}" for i in range(104)]
+    rows = [(k, " ".join(w if i not in at else "changed" for i, w in enumerate(words))) for k, at in ((1, ()), (2, (10, 50)), (3, (10,)))]
+    path = folder(documents=docs(*rows[:2], (4, rows[1][1])))
+    assert {r["doc_id"]: r["component_id"] for r in minhash_near_dedup.op10_minhash_near_dedup(spark, path).collect()} == {1: 1, 2: 2, 4: 2}
+    path = folder(documents=docs(*rows))
+    assert {r["component_id"] for r in minhash_near_dedup.op10_minhash_near_dedup(spark, path).collect()} == {1}
