@@ -1,16 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
 Words are runs of word characters of the lower-cased text. One pass over the documents finds every
 SEED_WORDS-gram of a test item and keeps the passage around it, as long as the item and some slack
-(passages that overlap are one). The passages tell how common each gram is in the corpus. The seeds of
-an item are, of every SEED_WINDOW grams in a row, the rarest (ties: the first), so any unchanged
-run of SEED_WORDS + SEED_WINDOW - 1 words of an item holds a seed, however common all its grams are, and a
-common phrase counts only where no rarer gram stands beside it. Each passage is aligned with the items
-whose seeds it holds: MATCH, MISMATCH and GAP by word. The score is that of the best local alignment divided by
-the item's score with itself; a document with a score of MIN_SCORE or more is contaminated.
+(passages that overlap are one). Every gram of an item is a seed of it, however common, so any unchanged run of
+SEED_WORDS words leads to the item; a choice among the grams would lose copies whose only run it leaves out. A passage
+that can't reach MIN_SCORE by the number of words it shares with an item isn't aligned with it, which loses nothing. The
+others are aligned: MATCH, MISMATCH and GAP by word. The score is that of the best local alignment divided by the item's
+score with itself; a document with a score of MIN_SCORE or more is contaminated. A copy that keeps no SEED_WORDS
+words in a row isn't found, whatever its score.
 
 Test items go to the tasks in blocks of BLOCK_ITEMS (a bounded size); each block reads the documents
-once. Nothing is shuffled but the counts of grams and one row for each passage that reaches MIN_SCORE.
+once. Nothing is shuffled but one row for each passage and item that reach MIN_SCORE.
 
 Defined results: null and empty texts are not contaminated; null items and items of fewer than SEED_WORDS words have
 no seed and match nothing. A null doc_id is reported as null. Rows are told apart by doc_id and text, so repeated
@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 from .common import small_batches, table, written
 
 SEED_WORDS = 3
-SEED_WINDOW = 2
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE = 0.5
 SLACK = 8
@@ -69,6 +68,8 @@ class Block:
         for item, own in enumerate(self.words):
             for at, gram in enumerate(self.grams(own).tolist()):
                 self.places[gram].append((item, at))
+        self.items = {gram: sorted({item for item, _ in p}) for gram, p in self.places.items()}
+        self.bags = [list(Counter(own.tolist()).items()) for own in self.words]
         self.sorted = np.array(sorted(self.places), np.int64)
         reach = [(max(at + self.slack(i) for i, at in p), max(len(self.words[i]) - at + self.slack(i) for i, at in p)) for p in map(self.places.__getitem__, self.sorted.tolist())]
         self.before, self.after = np.array(reach, np.int64).reshape(-1, 2).T
@@ -108,15 +109,9 @@ class Block:
         cuts = np.r_[0, np.flatnonzero(start[1:] > end[:-1]) + 1, len(at)]
         return [(int(start[a]), int(end[b - 1]), np.unique(grams[at[a:b]]).tolist()) for a, b in zip(cuts[:-1], cuts[1:])]
 
-    def seeds(self, count: dict[int, int]) -> dict[int, list[int]]:
-        """The items of each seed, from how often each gram is met."""
-        out: dict[int, set[int]] = defaultdict(set)
-        for item, own in enumerate(self.words):
-            grams = self.grams(own).tolist()
-            for i in range(max(1, len(grams) - SEED_WINDOW + 1) if grams else 0):
-                rarest = min(grams[i : i + SEED_WINDOW], key=lambda g: count.get(g, 0))
-                out[rarest].add(item)
-        return {g: sorted(items) for g, items in out.items()}
+    def candidates(self, grams: list[int]) -> list[int]:
+        """The items that hold any of some grams."""
+        return sorted({item for g in grams for item in self.items[g]})
 
     def scores(self, passage: np.ndarray, items: list[int], min_score: float) -> list[tuple[int, float]]:
         """(item id, score) of the items that the passage reaches min_score with."""
@@ -125,7 +120,7 @@ class Block:
         for item in items:
             own = self.words[item]
             need = min_score * len(own)
-            if sum(min(n, have[w]) for w, n in Counter(own.tolist()).items()) >= need:
+            if sum(min(n, have[w]) for w, n in self.bags[item]) >= need:
                 score = local_score(own, passage) / (MATCH * len(own))
                 if score >= min_score:
                     out.append((self.ids[item], score))
@@ -143,24 +138,11 @@ def _one_block(docs: DataFrame, items: list[tuple[int, str | None]], id_type: st
             rows = []
             for doc_id, th, text in zip(batch["doc_id"].array, batch["th"].array, batch["text"]):
                 numbers = b.numbers(text)
-                rows += [(doc_id, th, start, numbers[start:end].tolist(), grams) for start, end, grams in b.passages(numbers)]
-            yield pd.DataFrame(rows, columns=["doc_id", "th", "start", "numbers", "grams"])
-
-    passages = written(docs.mapInPandas(found, f"doc_id {kind}, th long, start int, numbers array<long>, grams array<long>"), "passages")
-    counts = passages.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    seeds = docs.sparkSession.sparkContext.broadcast(block.seeds({r["gram"]: r["n"] for r in counts.toLocalIterator()}))
-
-    def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        b, of = shared.value, seeds.value
-        for batch in batches:
-            rows = []
-            for doc_id, th, numbers, grams in zip(batch["doc_id"].array, batch["th"].array, batch["numbers"], batch["grams"]):
-                items = sorted({i for g in grams for i in of.get(g, ())})
-                if items:
-                    rows += [(doc_id, th, i, s) for i, s in b.scores(np.asarray(numbers), items, min_score)]
+                for start, end, grams in b.passages(numbers):
+                    rows += [(doc_id, th, i, s) for i, s in b.scores(numbers[start:end], b.candidates(grams), min_score)]
             yield pd.DataFrame(rows, columns=["doc_id", "th", "item_id", "score"])
 
-    return passages.select("doc_id", "th", "numbers", "grams").mapInPandas(aligned, f"doc_id {kind}, th long, item_id {id_type}, score double")
+    return docs.mapInPandas(found, f"doc_id {kind}, th long, item_id {id_type}, score double")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, block_items: int = BLOCK_ITEMS) -> DataFrame:

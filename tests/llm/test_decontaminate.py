@@ -74,3 +74,20 @@ def test_removal(spark, docs):
     ids = [r["doc_id"] for r in left.collect()]
     assert ids.count(None) == 1 and ids.count(1) == 2 and not [i for i in ids if i and 100 <= i < 300]
     assert d.remove_contaminated(docs(), spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
+def test_copies_without_a_run_of_four_words(spark, docs):
+    rnd = random.Random(7)
+    say = lambda n: " ".join(f"v{rnd.randrange(900)}" for _ in range(n))
+    items = [(i, say(40)) for i in range(6)]
+    rows = [(i, say(150)) for i in range(10)]
+    for i, (_, text) in enumerate(items):
+        for k in range(4 if i else 1):  # of item 0 there is one copy; of the others copies that keep different grams
+            edited = [w if (j + k) % 4 != 3 else "zz" for j, w in enumerate(text.split())]
+            rows.append((100 + 10 * i + k, f"{say(60)} {' '.join(edited)} {say(60)}"))
+    # a common gram whose neighbours are there too, and rarer
+    w = items[1][1].split()
+    rows += [(200 + k, f"{say(20)} {' '.join(w[4:7])} {say(20)}") for k in range(5)]
+    got = d.contaminated(docs(*rows), spark.createDataFrame(items, "item_id long, text string"))
+    found = {(r["doc_id"], r["item_id"]): round(r["score"], 6) for r in got.collect()}
+    assert found == brute(rows, items) and {(100 + 10 * i, i) for i in range(6)} <= set(found) and not any(k[0] >= 200 for k in found)
