@@ -18,7 +18,8 @@ A suffix array of the whole corpus isn't needed, as only strings of MIN_BYTES by
    the bucket holds once stay out of the arrays, and of equal runs of windows only the first is in them.
 4. An anchor that a batch holds in HOT_SHARE of its documents, each time with other bytes around (the ends of a
    line that very many pages share), would be one task's work. A pass before finds such anchors; their
-   windows go as rows of their own, by the window's hash. A bucket of more than BUCKET_RIMS rims, too, has
+   windows go as rows of their own, by the window's hash. Up to HOT_BROADCAST of them are broadcast; if there are more, a join
+   gives each document those that it holds. A bucket of more than BUCKET_RIMS rims, too, has
    its windows hashed one by one and the first of equal ones found by an aggregation. Both hold for any number.
 
 Each document's copied runs are then put together and cut out.
@@ -44,6 +45,7 @@ MIN_BYTES = 100
 GRAM = 32
 BUCKET_RIMS = 50_000
 HOT_ROWS, HOT_SHARE = 8, 0.02
+HOT_BROADCAST = 1_000_000
 FLUSH_BYTES = 1 << 18
 CHUNK = 1 << 20
 
@@ -122,10 +124,15 @@ def _second_hash(part: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _batch_rows(batch: pd.DataFrame, hot: np.ndarray | None) -> tuple[np.ndarray, ...] | None:
-    """doc, th, anchor, own, p, n of a batch's snippets, and whether each is a copy within it."""
+    """doc, th, anchor, own, p, n of a batch's snippets, and whether each is a copy within it.
+
+    A column hot of the batch, if there is one, has each document's own hot anchors.
+    """
     out = []
-    for doc, th, text in zip(batch["doc"].to_numpy(), batch["th"].to_numpy(), batch["text"]):
-        a, s, p, n = snippets(text.encode(), hot)
+    lists = batch["hot"] if "hot" in batch else [hot] * len(batch)
+    for doc, th, text, known in zip(batch["doc"].to_numpy(), batch["th"].to_numpy(), batch["text"], lists):
+        known = None if known is None else np.asarray(known).view(np.uint64)
+        a, s, p, n = snippets(text.encode(), known)
         out.append((np.full(len(a), doc, np.int64), np.full(len(a), th, np.int64), a.view(np.int64), s.view(np.int64), p.astype(np.int32), n.astype(np.int16)))
     if not out:
         return None
@@ -140,8 +147,27 @@ def _batch_rows(batch: pd.DataFrame, hot: np.ndarray | None) -> tuple[np.ndarray
 def _hot_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         if (rows := _batch_rows(batch, None)) is not None:
-            kinds, counts = np.unique(rows[2][~rows[-1]], return_counts=True)
-            yield pd.DataFrame({"anchor": kinds[counts >= max(HOT_ROWS, HOT_SHARE * len(batch))]})
+            doc, th, a, *_, again = rows
+            least = max(HOT_ROWS, HOT_SHARE * len(batch))
+            kinds, counts = np.unique(a[~again], return_counts=True)
+            often = ~again & np.isin(a, kinds[counts >= least])
+            documents = pd.DataFrame({"anchor": a[often], "doc": doc[often], "th": th[often]}).drop_duplicates()["anchor"]
+            kinds, counts = np.unique(documents.to_numpy(), return_counts=True)
+            yield pd.DataFrame({"anchor": kinds[counts >= least]})
+
+
+def _anchors_held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """doc, th and the anchors of its windows."""
+    for batch in batches:
+        if (rows := _batch_rows(batch, None)) is not None:
+            yield pd.DataFrame({"doc": rows[0], "th": rows[1], "anchor": rows[2]}).drop_duplicates()
+
+
+def _with_hot(docs: DataFrame, hot: DataFrame) -> DataFrame:
+    """docs with hot, those of the hot anchors that each document holds (null: none)."""
+    held = docs.mapInPandas(_anchors_held, "doc long, th long, anchor long").join(hot, "anchor")
+    lists = held.groupBy("doc", "th").agg(F.collect_set("anchor").alias("hot"))
+    return docs.join(lists, ["doc", "th"], "left")
 
 
 def suffix_order(raw: np.ndarray, limit: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -294,8 +320,9 @@ def copied_ranges(docs: DataFrame) -> DataFrame:
     """doc, th, a, b of every copied byte range (ranges may overlap). docs: doc long, th long, text string."""
     spark = docs.sparkSession
     small_batches(spark)
-    found = docs.mapInPandas(_hot_anchors, "anchor long").distinct().collect()
-    hot = spark.sparkContext.broadcast(np.array(sorted(r["anchor"] for r in found), np.int64).view(np.uint64))
+    found = written(docs.mapInPandas(_hot_anchors, "anchor long").distinct(), "hot")
+    few = found.count() <= HOT_BROADCAST
+    hot = spark.sparkContext.broadcast(np.array(sorted(r["anchor"] for r in found.collect()) if few else [], np.int64))
 
     def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """n is negative for copies within the batch; these go anywhere."""
@@ -305,7 +332,7 @@ def copied_ranges(docs: DataFrame) -> DataFrame:
                 spread = _mixed(doc.view(np.uint64) * _P1 + p.astype(np.uint64)).view(np.int64)
                 yield pd.DataFrame({"doc": doc, "th": th, "anchor": np.where(again, spread, a), "own": np.where(again, 0, s), "p": p, "n": np.where(again, -n, n)})
 
-    rows = docs.mapInPandas(rows_of, "doc long, th long, anchor long, own long, p int, n short")
+    rows = (docs if few else _with_hot(docs, found)).mapInPandas(rows_of, "doc long, th long, anchor long, own long, p int, n short")
     rows = rows.repartition("anchor").sortWithinPartitions("anchor", "own", "doc", "th", "p")
     mates = Window.partitionBy("anchor")
     equals = Window.partitionBy("anchor", "own").orderBy("doc", "th", "p")

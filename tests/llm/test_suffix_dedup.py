@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -86,6 +87,34 @@ def test_a_line_of_every_document(spark, docs, folder):
     assert results(s.op9_suffix_dedup(spark, folder(documents=docs(*rows)))) == brute(rows)
 
 
+def test_hot_anchors_are_counted_by_document():
+    line = " ".join(f"line{i}" for i in range(25))
+    rnd = random.Random(8)
+    texts = [f"{rnd.random()} {rnd.random()}\n{line}\n{rnd.random()} {rnd.random()}\n" for _ in range(40)]
+    batch = lambda texts: pd.DataFrame({"doc": range(len(texts)), "th": 0, "text": texts})
+    found = lambda texts: sum(map(len, s._hot_anchors(iter([batch(texts)]))))
+    assert found(texts) > 0 and found(["".join(texts)]) == 0 and found([*["".join(texts)] * 2, *texts[:5]]) == 0
+
+
+def test_more_hot_anchors_than_are_broadcast(spark, docs, folder, monkeypatch):
+    line = " ".join(f"line{i}" for i in range(25))
+    rnd = random.Random(9)
+    rows = [(i, f"{rnd.random()} {rnd.random()}\n{line}\n{rnd.random()} {rnd.random()} {rnd.random()}") for i in range(150)]
+    rows += [(200, rows[3][1]), (201, "no line that others have " * 9), (202, None)]
+    monkeypatch.setattr(s, "HOT_BROADCAST", 0)
+    held, joined = s._with_hot, []
+
+    def spied(docs, hot):
+        out = held(docs, hot)
+        joined.append(out.where("size(hot) > 0").count())
+        return out
+
+    monkeypatch.setattr(s, "_with_hot", spied)
+    df = docs(*rows, rows[5])
+    got = s.op9_suffix_dedup(spark, folder(documents=df))
+    assert results(got) == brute(rows) and joined and joined[0] >= 150
+
+
 def test_chunks(monkeypatch):
     monkeypatch.setattr(s, "CHUNK", 256)
     raw = random.Random(3).randbytes(2000)
