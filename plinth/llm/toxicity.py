@@ -3,7 +3,8 @@
 Training (driver, on a bounded sample of labelled rows: at most MAX_ROWS of each class, in the
 order of a hash of doc_id, texts of at most MAX_TRAIN_CHARS characters):
 
-1. An ordinary dictionary is trained on the windows of ordinary texts.
+1. An ordinary dictionary is trained on the windows of ordinary texts (at most MAX_WINDOWS of the sample's, drawn at
+   random with a fixed seed).
 2. Byte grams that toxic texts hold RATIO times as often as ordinary ones, in MIN_CONTEXTS
    different contexts or more (so that copies of one text count once), mark the toxic snippets;
    the toxic dictionary is trained on those. It is used together with the ordinary one, so both
