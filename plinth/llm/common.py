@@ -1,7 +1,8 @@
-"""What the operators of this subpackage share: tables, the shared folder, query columns."""
+"""What the operators of this subpackage share: tables, the shared folder, batches, joins on hot keys."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -9,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ARROW_ROWS = 1000
+ARROW_BYTES = 8 << 20
+HOT_PARTS, HOT_LEAST = 1000, 200
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -39,14 +42,64 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Python functions over whole texts get batches of at most ARROW_ROWS rows."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > ARROW_ROWS or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(ARROW_ROWS))
+    """Python functions over whole texts get batches of ARROW_ROWS rows or ARROW_BYTES bytes at most (settings of the session)."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= ARROW_ROWS:
+        spark.conf.set(rows, str(ARROW_ROWS))
+    if not 0 < int(spark.conf.get(size).rstrip("b")) <= ARROW_BYTES:
+        spark.conf.set(size, f"{ARROW_BYTES}b")
+
+
+def give_back() -> None:
+    """At the end of a task: a Python worker is used again by later tasks, so what it freed goes back to the system."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as no column of df (in any case) has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
+def hot_keys(counts: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """key and parts (2 or more) of the keys with more than 1 / HOT_PARTS of total rows; they number less than HOT_PARTS.
+
+    counts: one row a key with n, its number of rows; total: the sum of n.
+    """
+    most = max(total // HOT_PARTS, HOT_LEAST)
+    return counts.where(F.col(n) > most).select(key, F.ceil(F.col(n) / most).cast("int").alias("parts"))
+
+
+def join_spread(rows: DataFrame, others: DataFrame, key: str, hot: DataFrame, by: str) -> DataFrame:
+    """The inner join of rows with others (few rows a key); a hot key's rows are dealt by a hash of column by, and its others repeated.
+
+    No task gets more than about 1 / HOT_PARTS of the rows for one key, and only hot (see hot_keys) is broadcast.
+    """
+    part, parts = "_part", F.coalesce("parts", F.lit(1))
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn(part, F.pmod(F.xxhash64(by), parts).cast("int")).drop("parts")
+    repeated = others.join(F.broadcast(hot), key, "left").withColumn(part, F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return dealt.join(repeated, [key, part]).drop(part)
 
 
 def sha256_text(text: Column) -> Column:

@@ -7,14 +7,17 @@ sorted rule keys in one sweep; a stack holds the rule hosts whose intervals cont
 key, each nested in the one below it. Of all rules on the stack whose path begins the page's
 path, the one with the longest host and path together wins; of equally long ones the longer host.
 
-Rules are few against pages. They go to the tasks in blocks of BLOCK_RULES (a bounded size), each
-block swept on its own, and where there are more blocks a page takes the longest of their rules.
-Pages aren't shuffled for one block, so a site with a third of all pages is no harder than others.
+Rules go to the tasks in blocks of BLOCK_RULES rules and BLOCK_BYTES bytes at most, in the order of a hash. One block
+is swept over the pages where they are: nothing is shuffled, so a site with a third of all pages is no harder
+than others. More blocks are swept one after another over the table's different (host, path) pairs, which carry
+the best rule so far from block to block (written in between), and the pages take their pair's rule by a join.
+The result doesn't depend on the number of blocks.
 
 Defined results: a null url, or one without `://`, has an empty host and path and no rule. No
-host is below an empty rule host. A rule with a null host or path fits nothing. Repeated rules
-count once (block wins over allow); repeated pages are judged each. Without a fitting rule the verdict is
-DEFAULT. An empty table gives an empty one; further columns pass through `filter_urls`.
+host is below an empty rule host. A rule with a null host, path or verdict fits nothing. Repeated rules
+count once (block wins over allow); repeated pages are judged each, and ids may be null. Without a fitting rule the
+verdict is DEFAULT. An empty table gives an empty one; further columns pass through `filter_urls` (one named host, path,
+rule or verdict is replaced).
 """
 
 from __future__ import annotations
@@ -26,10 +29,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import discard, fresh, give_back, table, written
 
 DEFAULT = "allow"
-BLOCK_RULES = 100_000
+BLOCK_RULES, BLOCK_BYTES = 100_000, 8 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: verdict, host, path
@@ -65,8 +68,8 @@ class Sweep:
 
     def __init__(self, rules: list[tuple[str, str, str]]):
         by_key: dict[str, dict[str, tuple[str, str]]] = {}
-        for verdict, name, prefix in sorted(rules, key=lambda r: r[0] == "block"):
-            if name and prefix is not None:
+        for verdict, name, prefix in sorted(rules, key=lambda r: (r[0] == "block", r[0] or "")):
+            if name and prefix is not None and verdict:
                 by_key.setdefault(host_key(name), {})[prefix] = (name + prefix, verdict)
         self.keys = sorted(by_key)
         self.paths = [by_key[k] for k in self.keys]
@@ -100,75 +103,101 @@ class Sweep:
             self.stack.pop()
 
 
-def _swept(rules: list[tuple[str, str, str]]):
+Best = tuple[str | None, str]
+
+
+def _better(a: Best, b: Best) -> Best:
+    """Of two fitting rules the longer one; of equally long ones that of the longer host, then in the order of text."""
+    rank = lambda r: (-1, 0, "", "") if r[0] is None else (len(r[0]), r[0].find("/"), *r)
+    return max(a, b, key=rank)
+
+
+def _swept(rules: list[tuple[str, str, str]], key: str, path: str, rule: str, verdict: str):
+    """Sweeps rows sorted by key; rule and verdict are those of the blocks before, if the rows have them."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sweep, last = Sweep(rules), None
         for batch in batches:
             out = []
-            for key, page_path in zip(batch["_key"], batch["_path"]):
+            for k, page_path in zip(batch[key], batch[path]):
                 if last is None:
-                    sweep.start(key)
-                last = key
-                out.append(sweep.rule_of(key, page_path))
-            batch["_rule"], batch["_verdict"] = [r for r, _ in out], [v for _, v in out]
+                    sweep.start(k)
+                last = k
+                out.append(sweep.rule_of(k, page_path))
+            if rule in batch:
+                out = [_better(a, (r if isinstance(r, str) else None, v)) for a, r, v in zip(out, batch[rule], batch[verdict])]
+            batch[rule], batch[verdict] = [r for r, _ in out], [v for _, v in out]
             yield batch
+        give_back()
 
     return run
 
 
-def match_rules(pages: DataFrame, rules: DataFrame, block_rules: int = BLOCK_RULES) -> DataFrame:
-    """pages (with columns _id, _host, _path) with _key, _rule and _verdict.
-
-    rules: verdict, host, path. With more than block_rules of them, pages are swept once a block
-    and _id must tell rows apart.
-    """
-    key = F.when(F.col("_host") == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split("_host", r"\.", -1)), "."), F.lit(".")))
-    keyed = pages.withColumn("_key", key)
-    in_order = keyed.sortWithinPartitions("_key")
-    schema = ", ".join(f"`{n}` {t}" for n, t in keyed.dtypes) + ", _rule string, _verdict string"
-    total = rules.count()
-    blocks = max(1, -(-total // block_rules))
-    dealt = rules.select(F.lower("verdict"), F.translate("host", UPPER, LOWER), "path", F.pmod(F.xxhash64("host"), F.lit(blocks)).alias("b"))
-    swept = None
-    for b in range(blocks):
-        block = [(r[0], r[1], r[2]) for r in dealt.where(F.col("b") == b).collect()]
-        one = in_order.mapInPandas(_swept(block), schema)
-        swept = one if swept is None else swept.unionByName(one)
-    if blocks == 1:
-        return swept
-    rank = F.struct(F.coalesce(F.length("_rule"), F.lit(-1)), F.coalesce(F.instr("_rule", "/"), F.lit(0)), "_rule", "_verdict")
-    best = swept.groupBy("_id", "_host", "_path", "_key").agg(F.max(rank).alias("m"))
-    return best.select("_id", "_host", "_path", "_key", "m._rule", "m._verdict")
-
-
-def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
-    """pages with host, path, rule and verdict; the rules must fit one block."""
-    if rules.count() > BLOCK_RULES:
-        raise ValueError("more rules than one block holds: use match_rules with ids")
-    rest = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    rows = pages.select(*rest).withColumns({"_id": F.lit(0), "_host": host(F.col(url)), "_path": path(F.col(url))})
-    out = match_rules(rows, rules)
-    return out.select(*rest, F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), F.col("_verdict").alias("verdict"))
+def _blocks(rules: DataFrame, block_rules: int) -> Iterator[list[tuple[str, str, str]]]:
+    """The different rules in blocks of bounded size; one block at least. Rules of one host may be in several."""
+    block, size, n = [], 0, 0
+    plain = rules.select(F.lower("verdict").alias("v"), F.translate("host", UPPER, LOWER).alias("h"), F.col("path").alias("p"))
+    plain = plain.where("v is not null and h <> '' and p is not null").groupBy("h", "p").agg(F.max("v").alias("v"))  # block > allow
+    for row in plain.orderBy(F.xxhash64("h", "p")).toLocalIterator():
+        more = len(row["h"]) + len(row["p"]) + 8
+        if block and (len(block) >= block_rules or size + more > BLOCK_BYTES):
+            yield block
+            block, size = [], 0
+        block.append((row["v"], row["h"], row["p"]))
+        size += more
+        n += 1
+    if block or not n:
+        yield block
+
+
+def match_rules(pages: DataFrame, rules: DataFrame, host: str, path: str, rule: str, verdict: str, block_rules: int = BLOCK_RULES) -> DataFrame:
+    """pages (host and path name their columns, without nulls) with the columns rule and verdict. rules: verdict, host, path."""
+    key = fresh(pages, "_key")[0]
+    in_order = F.when(F.col(host) == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.", -1)), "."), F.lit(".")))
+
+    def sweep(rows: DataFrame, block: list[tuple[str, str, str]]) -> DataFrame:
+        rows = rows.withColumn(key, in_order).sortWithinPartitions(key)
+        schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n not in (rule, verdict)) + f", `{rule}` string, `{verdict}` string"
+        return rows.mapInPandas(_swept(block, key, path, rule, verdict), schema).drop(key)
+
+    blocks = _blocks(rules, block_rules)
+    block, more = next(blocks), next(blocks, None)
+    if more is None:
+        return sweep(pages, block)
+    pairs = written(sweep(pages.select(host, path).distinct(), block), "rules")
+    while more is not None:
+        pairs, before = written(sweep(pairs, more), "rules"), pairs
+        discard(before)
+        more = next(blocks, None)
+    return pages.join(pairs, [host, path])
+
+
+def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", block_rules: int = BLOCK_RULES) -> DataFrame:
+    """pages with host, path, rule and verdict."""
+    made = ("host", "path", "rule", "verdict")
+    rest = [c for c in pages.columns if c.lower() not in made]
+    names = fresh(pages, *(f"_{m}" for m in made))
+    rows = pages.select(*rest, host(F.col(url)).alias(names[0]), path(F.col(url)).alias(names[1]))
+    out = match_rules(rows, rules, *names, block_rules)
+    return out.select(*rest, *[F.col(n).alias(m) for n, m in zip(names, made)])
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages", "page_id", "url")
-    rows = pages.select(F.col("page_id").alias("_id"), host(F.col("url")).alias("_host"), path(F.col("url")).alias("_path"))
-    out = match_rules(rows, spark.createDataFrame(RULES, "verdict string, host string, path string"))
-    return out.select(F.col("_id").alias("page_id"), F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), F.col("_verdict").alias("verdict"))
+    rules = spark.createDataFrame(RULES, "verdict string, host string, path string")
+    return filter_urls(table(spark, sf_dir, "pages", "page_id", "url"), rules).drop("url")
 
 
 _VALUES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
 
 OP8_SQL = rf"""
 with rules(v, h, p) as (values {_VALUES}),
-r as (select page_id, case when position('://' in url) > 0 then substr(url, position('://' in url) + 3) else '' end as rest from pages),
+r as (select page_id, row_number() over () as n, case when position('://' in url) > 0 then substr(url, position('://' in url) + 3) else '' end as rest from pages),
 u as (
-  select page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') as host,
+  select page_id, n, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') as host,
     regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) as path from r)
 select page_id, host, path, rule, coalesce(v, '{DEFAULT}') as verdict from (
   select u.page_id, u.host, u.path, h || p as rule, v,
-    row_number() over (partition by u.page_id order by length(h || p) desc nulls last) as k
+    row_number() over (partition by u.n order by length(h || p) desc nulls last) as k
   from u left join rules on (u.host = h or ends_with(u.host, '.' || h)) and starts_with(u.path, p))
 where k = 1
 """

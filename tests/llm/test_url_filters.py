@@ -17,6 +17,20 @@ def test_against_sql(spark, folder, sql):
     assert out.count() == len(URLS) + 1
 
 
+def test_every_block_size_gives_the_same_rows(spark, folder, sql, monkeypatch):
+    """Repeated pages, null ids and repeated urls under other ids; blocks of one rule too."""
+    rows = [(i, x, "<p>") for i, x in enumerate(URLS)] * 3 + [(None, URLS[0], "<p>"), (None, URLS[0], "<p>"), (None, None, "<p>"), (99, URLS[0], "<p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    path = folder(pages=df)
+    want = sql(u.OP8_SQL, ["page_id", "host", "path", "rule", "verdict"], "pages")
+    rules = spark.createDataFrame([*u.RULES, u.RULES[0], (None, "net", "/"), ("block", None, "/"), ("allow", "net", None)], "verdict string, host string, path string")
+    for size in (100, 2, 1):
+        out = u.filter_urls(spark.read.parquet(f"{path}/pages.parquet").select("page_id", "url"), rules, block_rules=size).drop("url")
+        assert rows_of(out) == want and len(want) == len(rows)
+    monkeypatch.setattr(u, "BLOCK_BYTES", 20)
+    assert rows_of(u.filter_urls(df.select("page_id", "url"), rules).drop("url")) == want
+
+
 def test_verdicts(spark):
     rules = spark.createDataFrame(u.RULES, "verdict string, host string, path string")
     got = {r["url"]: (r["rule"], r["verdict"]) for r in u.filter_urls(pages(spark, URLS), rules).collect()}
@@ -35,16 +49,20 @@ def test_random_rules_and_blocks(spark):
     way = lambda: "/" + "".join(rnd.choice("xy/") for _ in range(rnd.randint(0, 4)))
     rules = list({(h, p): (rnd.choice(["block", "allow"]), h, p) for h, p in ((name(), way()) for _ in range(60))}.values())
     urls = [(i, name(), way()) for i in range(400)]
-    df = spark.createDataFrame(urls, "_id long, _host string, _path string").repartition(3)
+    df = spark.createDataFrame(urls, "id long, h string, p string").repartition(3)
     table = spark.createDataFrame([*rules, ("block", None, "/"), ("block", "", "/")], "verdict string, host string, path string")
     want = {i: best(rules, h, p) for i, h, p in urls}
     for block in (1000, 7):
-        got = {r["_id"]: (r["_rule"], r["_verdict"]) for r in u.match_rules(df, table, block).collect()}
+        got = {r["id"]: (r["rule"], r["verdict"]) for r in u.match_rules(df, table, "h", "p", "rule", "verdict", block).collect()}
         assert {i: len(r[0] or "") for i, r in got.items()} == {i: len(r[0] or "") for i, r in want.items()}
+        assert got == (first := got if block == 1000 else first)  # ties too
         assert all(got[i] == want[i] for i in want if sum(len(h + p) == len(want[i][0] or "") for _, h, p in rules) <= 1)
 
 
 def test_empty(spark):
     none = spark.createDataFrame([], "verdict string, host string, path string")
     assert u.filter_urls(pages(spark, []), none).count() == 0
+    clash = pages(spark, ["http://a.b/c"]).withColumnsRenamed({"page_id": "_Host", "html": "_key"})
+    assert u.filter_urls(clash, none).columns == ["_Host", "url", "_key", "host", "path", "rule", "verdict"]
+    assert u.filter_urls(clash, spark.createDataFrame(u.RULES, "verdict string, host string, path string"), block_rules=1).collect()[0]["_key"] == "<p>"
     assert [r["verdict"] for r in u.filter_urls(pages(spark, ["http://a.b/c"]).withColumnRenamed("html", "rule"), none).collect()] == ["allow"]
