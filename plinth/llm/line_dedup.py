@@ -2,16 +2,20 @@
 
 A line with a word (anything but space and \\x09-\\x0D) is boilerplate of a site if it stands on
 MIN_PAGES pages of the site or more and on more than MAX_RATIO of all pages of the site. Every
-occurrence of a boilerplate line is dropped from the site's pages.
+occurrence of a boilerplate line is dropped from the site's pages. The site is the page's host; the documents table
+has no url, so its query takes `source` for it.
 
 The count goes by site and a 64-bit hash of the line first, summed on the map side, so a site or a
 line with a third of all rows costs each task one row. Only lines whose hash passes are counted
 again as text, so colliding hashes never decide. A site has at most (its mean distinct lines) /
-MAX_RATIO boilerplate lines, so a site's list is bounded whatever the table's size.
+MAX_RATIO boilerplate lines, so a site's list is bounded whatever the table's size. Lists of BROADCAST_BYTES together
+are broadcast; larger ones are joined, and there a site with more than 1 / HOT_PARTS of all pages is dealt over as many
+tasks as its size asks for, its list repeated for each.
 
 Defined results: a null text stays null and is a page of its site without lines; an empty one
 stays empty. Null is a site of its own. Repeated rows are pages each. Documents that lose every
-line stay, with an empty text. An empty table gives an empty one. Further columns pass through.
+line stay, with an empty text. An empty table gives an empty one. Further columns pass through (one named n_lines or
+n_dropped is replaced), whatever their names.
 """
 
 from __future__ import annotations
@@ -19,12 +23,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sha256_text, table, written
+from .common import fresh, hot_keys, sha256_text, table, written
 
 MAX_RATIO = 0.10
 MIN_PAGES = 5
 BROADCAST_BYTES = 8 << 20
-SALTS = 32
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -37,40 +40,44 @@ def _lines(text: Column) -> Column:
 
 
 def boilerplate(docs: DataFrame, site: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """The boilerplate lines of every site: _site, line, n_pages."""
-    rows = docs.select(_site(site).alias("_site"), F.col(text).alias("_text"))
-    totals = rows.groupBy("_site").agg(F.count(F.lit(1)).alias("total"))
-    lines = rows.select("_site", F.explode(F.array_distinct(_lines("_text"))).alias("line"))
+    """The boilerplate lines of every site: site, line, n_pages, and total, the site's pages."""
+    rows = docs.select(_site(site).alias("site"), F.col(text).cast("string").alias("text"))
+    totals = rows.groupBy("site").agg(F.count(F.lit(1)).alias("total"))
+    lines = rows.select("site", F.explode(F.array_distinct(_lines("text"))).alias("line"))
     lines = lines.where(F.col("line").rlike(HAS_WORD)).withColumn("h", F.xxhash64("line"))
     passed = F.col("n") > F.col("total") * F.lit(max_ratio)
-    likely = lines.groupBy("_site", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    likely = written(likely.join(totals, "_site").where(passed).select("_site", "h"), "line-hashes")
-    size = likely.agg(F.sum(F.octet_length("_site") + 24)).first()[0] or 0
+    likely = lines.groupBy("site", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    likely = written(likely.join(totals, "site").where(passed).select("site", "h"), "line-hashes")
+    size = likely.agg(F.sum(F.octet_length("site") + 24)).first()[0] or 0
     likely = F.broadcast(likely) if size <= BROADCAST_BYTES else likely
-    exact = lines.join(likely, ["_site", "h"], "left_semi").groupBy("_site", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    return exact.join(totals, "_site").where(passed).select("_site", "line", F.col("n").alias("n_pages"))
+    exact = lines.join(likely, ["site", "h"], "left_semi").groupBy("site", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    return exact.join(totals, "site").where(passed).select("site", "line", F.col("n").alias("n_pages"), "total")
 
 
 def drop_boilerplate(docs: DataFrame, site: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """docs with the boilerplate lines gone from text; n_lines and n_dropped come with it."""
     found = boilerplate(docs, site, text, max_ratio, min_pages)
-    lists = written(found.groupBy("_site").agg(F.collect_list("line").alias("_drop"), F.sum(F.octet_length("line") + 16).alias("_bytes")), "boilerplate")
-    size = lists.agg(F.sum("_bytes")).first()[0] or 0
-    rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    rows = docs.select(*rest).withColumn("_site", _site(site))
+    own, drop, part, parts, every, kept = fresh(docs, "_site", "_drop", "_part", "_parts", "_all", "_kept")
+    lists = found.groupBy("site").agg(F.collect_list("line").alias(drop), F.sum(F.octet_length("line") + 16).alias("bytes"), F.first("total").alias("total"))
+    lists = written(lists.withColumnRenamed("site", own), "boilerplate")
+    size = lists.agg(F.sum("bytes")).first()[0] or 0
+    rest = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    rows = docs.select(*rest).withColumn(own, _site(site))
     if size <= BROADCAST_BYTES:
-        joined = rows.join(F.broadcast(lists.drop("_bytes")), "_site", "left")
+        joined = rows.join(F.broadcast(lists.select(own, drop)), own, "left")
     else:
-        salted = lists.drop("_bytes").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.withColumn("_salt", F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int")).join(salted, ["_site", "_salt"], "left")
-    joined = joined.withColumn("_all", _lines(text)).withColumn("_kept", F.when(F.col("_drop").isNull(), F.col("_all")).otherwise(F.filter("_all", lambda x: ~F.array_contains("_drop", x))))
-    kept = F.when(F.size("_kept") == F.size("_all"), F.col(text)).otherwise(F.array_join("_kept", "\n"))
-    count = F.coalesce(F.size("_all"), F.lit(0)).cast("long")
-    return joined.select(
-        *[kept.alias(c) if c == text else F.col(c) for c in rest],
-        F.when(F.col(text).isNull(), F.lit(0)).otherwise(count).cast("long").alias("n_lines"),
-        F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size("_all") - F.size("_kept")).cast("long").alias("n_dropped"),
-    )
+        hot = hot_keys(lists, own, "total", rows.count()).withColumnRenamed("parts", parts)
+        by = F.xxhash64(*[F.col(f.name) for f in docs.select(*rest).schema if "map<" not in f.dataType.simpleString()])
+        dealt = rows.join(F.broadcast(hot), own, "left").withColumn(part, F.pmod(by, F.coalesce(parts, F.lit(1))).cast("int")).drop(parts)
+        repeated = lists.select(own, drop).join(F.broadcast(hot), own, "left")
+        repeated = repeated.withColumn(part, F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1))).drop(parts)
+        joined = dealt.join(repeated, [own, part], "left")
+    # the page's own boilerplate lines first (a hash set of the list), then a filter by those few
+    joined = joined.withColumn(every, _lines(F.col(text).cast("string"))).withColumn(drop, F.array_intersect(F.coalesce(drop, F.array().cast("array<string>")), every))
+    joined = joined.withColumn(kept, F.when(F.size(drop) > 0, F.filter(every, lambda x: ~F.array_contains(F.col(drop), x))).otherwise(F.col(every)))
+    left = F.when(F.size(drop) > 0, F.array_join(kept, "\n")).otherwise(F.col(text))
+    count = lambda x: F.when(F.col(text).isNull(), F.lit(0)).otherwise(x).cast("long")
+    return joined.select(*[left.alias(c) if c == text else F.col(c) for c in rest], count(F.size(every)).alias("n_lines"), count(F.size(every) - F.size(kept)).alias("n_dropped"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,8 @@ def test_both_joins_agree(spark, docs, monkeypatch):
     one = rows_of(d.drop_boilerplate(table(docs)))
     monkeypatch.setattr(d, "BROADCAST_BYTES", -1)
     assert rows_of(d.drop_boilerplate(table(docs))) == one
+    monkeypatch.setattr("plinth.llm.common.HOT_LEAST", 3)  # the hot site is dealt over tasks
+    assert rows_of(d.drop_boilerplate(table(docs))) == one
 
 
 def test_against_sql(spark, docs, folder, sql):
@@ -27,7 +29,13 @@ def test_against_sql(spark, docs, folder, sql):
     assert rows_of(out) == sql(d.OP5_SQL, out.columns, "documents")
 
 
-def test_empty_and_clashing(spark, docs):
+def test_empty_and_clashing(spark, docs, monkeypatch):
     assert d.drop_boilerplate(docs()).count() == 0
     clash = docs((1, "a")).withColumnRenamed("lang", "n_lines").withColumnRenamed("n_chars", "line")
+    for size in (d.BROADCAST_BYTES, -1):
+        monkeypatch.setattr(d, "BROADCAST_BYTES", size)
+        names = table(docs).withColumnsRenamed({"lang": "_Kept", "n_chars": "_drop", "doc_id": "_site"})
+        out = d.drop_boilerplate(names)
+        assert out.columns == ["_site", "text", "_Kept", "source", "_drop", "n_lines", "n_dropped"]
+        assert {(r["_Kept"], r["_site"]) for r in out.collect()} == {("en", r[0]) for r in table(docs).collect()}
     assert set(d.drop_boilerplate(clash).columns) == {"doc_id", "text", "source", "n_lines", "n_dropped", "line"}
