@@ -13,7 +13,8 @@ Latin-1 characters is split by a pattern equal to the tokenizer's there and its
 up in a bounded cache of words that the library encoded; any other leaf goes to the library whole.
 
 Defined results: a null text is an empty one, without tokens. Repeated rows give repeated results;
-an empty table gives an empty one; further columns named in `keep` pass through. A literal special token in a
+an empty table gives an empty one; further columns named in `keep` pass through (one with the name of a made column
+gives way to it). Pieces of a long text meet by a hash of its row, so a stage that runs again gives the same rows. A literal special token in a
 text becomes its id, as in the library.
 """
 
@@ -27,14 +28,14 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
-import pandas as pd
+import pyarrow as pa
 import tiktoken
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import small_batches, table
+from .common import fresh, give_back, small_batches, table
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
@@ -42,7 +43,7 @@ LEAF_CHARS = 2048
 PARALLEL_CHARS = 1 << 16
 WINDOW_TOKENS = 16
 AGREE = 3
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 #: The classes of Latin-1 characters in Unicode (letters, numbers, white space).
 _L = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
@@ -142,6 +143,11 @@ class Codec:
             leaves *= 2
         return self.joined([self.leaf(text[n * i // leaves : n * (i + 1) // leaves]) for i in range(leaves)])
 
+    def forget(self) -> None:
+        """Drop the known words: workers outlive their tasks."""
+        self.known.clear()
+        give_back()
+
     def decode(self, ids: list[int]) -> str:
         """What the library's decode(ids, skip_special_tokens=False) gives."""
         return b"".join(map(self.pieces.__getitem__, ids)).decode("utf-8", "replace")
@@ -158,43 +164,61 @@ def _shipped(spark: SparkSession, file: str | None) -> Broadcast:
 
 
 Finish = Callable[[Codec, list[int]], tuple]
+_ARROW = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
+
+
+def _made(kept: list, rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    """A batch of the kept columns and of rows' columns."""
+    made = zip(*rows) if rows else [()] * len(types)
+    return pa.RecordBatch.from_arrays([*kept, *map(pa.array, map(list, made), types)], names)
 
 
 def token_rows(docs: DataFrame, finish: Finish, schema: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text", file: str | None = None) -> DataFrame:
-    """The kept columns of every row, with what finish makes of its ids (columns of schema)."""
+    """The kept columns of every row, with what finish makes of its ids (columns of schema, which replace kept ones of their names)."""
     spark = docs.sparkSession
     small_batches(spark)
     source = _shipped(spark, file)
-    names = [c.strip().rsplit(" ", 1)[0] for c in schema.split(",")]
-    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    rows = docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
-
-    def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names, types = zip(*(c.strip().rsplit(" ", 1) for c in schema.split(",")))
+    keep = [c for c in keep if c.lower() not in (n.lower() for n in names)]
+    kept = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    out, arrow, k = [*keep, *names], [_ARROW[t] for t in types], len(keep)
+    body, key, no, at, ids, parts = fresh(docs, "_text", "_key", "_no", "_at", "_ids", "_parts")
+    rows = docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias(body))
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(source.value)
         for batch in batches:
-            made = pd.DataFrame([finish(c, c.encode(t)) for t in batch["_text"]], columns=names)
-            yield pd.concat([batch[list(keep)].reset_index(drop=True), made], axis=1)
+            yield _made(batch.columns[:k], [finish(c, c.encode(t)) for t in batch.column(k).to_pylist()], out, arrow)
+        c.forget()
 
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(source.value)
         for batch in batches:
-            batch["_ids"] = [c.encode(t) for t in batch["_text"]]
-            yield batch.drop(columns="_text")
+            yield _made(batch.columns[:-1], [(c.encode(t),) for t in batch.column(k + 2).to_pylist()], [key, *keep, no, ids], [pa.list_(pa.int32())])
+        c.forget()
 
-    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Equal rows are one group: the number of its first pieces is that of the rows."""
         c = codec(source.value)
         for batch in batches:
-            made = pd.DataFrame([finish(c, c.joined([p["_ids"].tolist() if hasattr(p["_ids"], "tolist") else list(p["_ids"]) for p in parts])) for parts in batch["_parts"]], columns=names)
-            yield pd.concat([batch[list(keep)].reset_index(drop=True), made], axis=1)
-
-    one = rows.where(F.length("_text") <= PARALLEL_CHARS).mapInPandas(short, f"{kept}, {schema}")
-    long = rows.where(F.length("_text") > PARALLEL_CHARS).withColumn("_row", F.monotonically_increasing_id())
-    starts = F.sequence(F.lit(1), F.length("_text"), F.lit(PARALLEL_CHARS))
-    cut = long.select("_row", *keep, "_text", F.posexplode(starts).alias("_no", "_at")).withColumn("_text", F.substr("_text", F.col("_at"), F.lit(PARALLEL_CHARS))).drop("_at")
-    done = cut.repartition("_row", "_no").mapInPandas(pieces, f"_row long, {kept}, _no int, _ids array<int>")
+            which, made = [], []
+            for row, found in enumerate(batch.column(k).to_pylist()):
+                one = finish(c, c.joined(list({p[no]: p[ids] for p in found}.values())))
+                times = sum(p[no] == 0 for p in found)
+                which += [row] * times
+                made += [one] * times
+            yield _made([column.take(pa.array(which, pa.int64())) for column in batch.columns[:k]], made, out, arrow)
+        c.forget()
+
+    one = rows.where(F.length(body) <= PARALLEL_CHARS).mapInArrow(short, f"{kept}{schema}")
+    named = F.sha2(F.concat(F.to_json(F.struct(F.lit(0), *keep)), F.col(body)), 256)
+    starts = F.sequence(F.lit(1), F.length(body), F.lit(PARALLEL_CHARS))
+    cut = rows.where(F.length(body) > PARALLEL_CHARS).select(named.alias(key), *keep, F.posexplode(starts).alias(no, at), body)
+    cut = cut.select(key, *keep, no, F.substr(body, F.col(at), F.lit(PARALLEL_CHARS)).alias(body))
+    done = cut.repartition(key, no).mapInArrow(pieces, f"`{key}` string, {kept}`{no}` int, `{ids}` array<int>")
     first = [F.first(c).alias(c) for c in keep]
-    parts = done.groupBy("_row").agg(*first, F.array_sort(F.collect_list(F.struct("_no", "_ids"))).alias("_parts"))
-    return one.unionByName(parts.select(*keep, "_parts").mapInPandas(meet, f"{kept}, {schema}"))
+    whole = done.groupBy(key).agg(*first, F.array_sort(F.collect_list(F.struct(no, ids))).alias(parts))
+    return one.unionByName(whole.select(*keep, parts).mapInArrow(meet, f"{kept}{schema}"))
 
 
 def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", file: str | None = None) -> DataFrame:
@@ -207,12 +231,13 @@ def decode(rows: DataFrame, keep: tuple[str, ...] = ("doc_id",), ids: str = "ids
     small_batches(rows.sparkSession)
     source = _shipped(rows.sparkSession, file)
 
-    @F.pandas_udf("string")
-    def text(column: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def text(column: pa.Array) -> pa.Array:
         c = codec(source.value)
-        return pd.Series([c.decode([] if x is None else list(x)) for x in column])
+        return pa.array([c.decode(x or []) for x in column.to_pylist()], pa.string())
 
-    return rows.select(*keep, text(F.col(ids)).alias("text"))
+    rest = [c for c in keep if c.lower() != "text"]
+    return rows.select(*rest, text(F.col(ids)).alias("text"))
 
 
 def _digests(c: Codec, ids: list[int]) -> tuple[int, str, str]:
