@@ -13,39 +13,26 @@ as WARC/1.1 text and `write_warc` writes such files (records end in two CRLFs).
 
 Defined results: a null payload is an empty one; null headers leave only the digests in the
 metadata; a null target URI or date leaves its field out (null columns). Repeated responses give
-repeated records. An empty table gives an empty one. Further columns named in `keep` pass through.
+repeated records. An empty table gives an empty one. Further columns named in `keep` pass through (one with the name of a record's column is
+that column, once).
 """
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
 CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
 
-#: Fixed values of HTML: elements that break a line, and the entities that are replaced by name.
+#: Fixed values of HTML: elements that break a line.
 BLOCKS = "address|article|aside|blockquote|br|dd|div|dl|dt|figcaption|figure|footer|form|h1|h2|h3|h4|h5|h6|header|hr|li|main|nav|ol|option|p|pre|section|table|tbody|td|th|thead|tr|ul"
-ENTITIES = (
-    ("nbsp", " "),
-    ("lt", "<"),
-    ("gt", ">"),
-    ("quot", '"'),
-    ("apos", "'"),
-    ("copy", "©"),
-    ("reg", "®"),
-    ("hellip", "…"),
-    ("ndash", "–"),
-    ("mdash", "—"),
-    ("lsquo", "‘"),
-    ("rsquo", "’"),
-    ("ldquo", "“"),
-    ("rdquo", "”"),
-    ("euro", "€"),
-    ("amp", "&"),
-)
+#: The named references of HTML 4 (Python's table of them) and XML's apos.
+ENTITIES = {name: chr(point) for name, point in name2codepoint.items()} | {"apos": "'"}
 #: Pattern and replacement, in order; both engines read them alike.
 STEPS = (
     (r"(?s)<!--.*?-->", ""),
@@ -55,42 +42,42 @@ STEPS = (
     (rf"(?i)</?(?:{BLOCKS})(?:\s[^>]*)?/?>", "\n"),
     (r"</?[A-Za-z!][^>]*>", ""),
 )
-SPACES = ((r"[ \t\r\f\x0B\x{00A0}]+", " "), (r" ?\n[ \n]*", "\n"), (r"^[ \n]+", ""), (r"[ \n]+$", ""))
+SPACES = ((r"[ \t\r\f\x0B\x{00A0}]{2,}|[\t\r\f\x0B\x{00A0}]", " "), (r" ?\n[ \n]*", "\n"), (r"^[ \n]+", ""), (r"[ \n]+$", ""))
+RECORD = ("record_type", "record_id", "refers_to", "target_uri", "refers_to_date", "concurrent_to", "content_type", "source_headers", "source_payload_digest", "block_digest", "content_length", "block")
+MAX_NAME = 16
 TITLE = r"(?is)<title[^>]*>(.*?)</title"
 
 
-def _numeric(text: Column) -> Column:
-    """Decimal character references as characters; those that name none stay."""
+def _references(text: Column) -> Column:
+    """Character references as characters, once each; those that name none stay. The text is in the plan once."""
+    known = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
 
-    def one(piece: Column) -> Column:
-        digits = F.regexp_extract(piece, r"^&#([0-9]{1,7});", 1)
-        point = F.when(digits != "", digits.cast("int"))
+    def one(piece: Column, i: Column) -> Column:
+        """What follows an `&`, with it; the first piece follows none."""
+        end = F.instr(piece, ";")
+        name = F.substr(piece, F.lit(1), F.least(end, F.lit(MAX_NAME)) - 1)
+        digits, hexes = F.regexp_extract(name, "^#([0-9]{1,7})$", 1), F.regexp_extract(name, "^#[xX]([0-9A-Fa-f]{1,6})$", 1)
+        point = F.when(digits != "", digits.cast("int")).when(hexes != "", F.conv(hexes, 16, 10).cast("int"))
         good = point.between(1, 0xD7FF) | point.between(0xE000, 0x10FFFF)
-        char = F.decode(F.unhex(F.lpad(F.hex(point.cast("long")), 8, "0")), "UTF-32")
-        return F.when(good, F.concat(char, F.substr(piece, F.length(digits) + 4))).otherwise(piece)
-
-    return F.when(F.contains(text, F.lit("&#")), F.array_join(F.transform(F.split(text, "(?=&#)", -1), one), "")).otherwise(text)
+        char = F.when(good, F.decode(F.unhex(F.lpad(F.hex(point.cast("long")), 8, "0")), "UTF-32")).when(point.isNull(), F.try_element_at(known, name))
+        told = F.when((i > 0) & (end > 1) & (end < MAX_NAME), char)
+        return F.when(i == 0, piece).otherwise(F.coalesce(F.concat(told, F.substr(piece, end + 1)), F.concat(F.lit("&"), piece)))
 
-
-def _entities(text: Column) -> Column:
-    text = _numeric(text)
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
-    return text
+    return F.array_join(F.transform(F.split(text, "&", -1), one), "")
 
 
 def plain_text(html: Column) -> Column:
     """The visible text of HTML: block elements break lines, spaces and empty lines collapse."""
     for pattern, by in STEPS:
         html = F.regexp_replace(html, pattern, by)
-    html = _entities(html)
+    html = _references(html)
     for pattern, by in SPACES:
         html = F.regexp_replace(html, pattern, by)
     return html
 
 
 def title(html: Column) -> Column:
-    text = _entities(F.regexp_extract(html, TITLE, 1))
+    text = _references(F.regexp_extract(html, TITLE, 1))
     return F.trim(F.regexp_replace(text, r"[ \t\r\n\f\x0B\x{00A0}]+", " "))
 
 
@@ -112,27 +99,30 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
 
 
 def derive(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The two records that each response record gives."""
+    """The two records that each response record gives, with RECORD columns."""
     payload = F.coalesce("payload", F.lit(""))
+    keep = [c for c in keep if c.lower() not in RECORD]
+    text, heading, made = fresh(records, "_text", "_title", "_record")
     base = records.select(
         *keep, F.col("record_id").alias("refers_to"), "target_uri", F.col("date").alias("refers_to_date"),
         F.coalesce("headers", F.lit("")).alias("source_headers"), digest(payload).alias("source_payload_digest"),
-        plain_text(payload).alias("_text"), title(payload).alias("_title"),
+        plain_text(payload).alias(text), title(payload).alias(heading),
     )
     fields = F.concat(
         F.when(F.col("source_headers") != "", F.concat(F.lit("http-header: "), F.replace("source_headers", F.lit(CRLF), F.lit(CRLF + "http-header: ")), F.lit(CRLF))).otherwise(""),
-        F.lit("title: "), F.col("_title"), F.lit(CRLF), F.lit("source-payload-digest: "), F.col("source_payload_digest"), F.lit(CRLF),
+        F.lit("title: "), F.col(heading), F.lit(CRLF), F.lit("source-payload-digest: "), F.col("source_payload_digest"), F.lit(CRLF),
     )
     meta_id = urn(F.concat_ws("|", F.lit("metadata"), "refers_to"))
     text_id = urn(F.concat_ws("|", F.lit("conversion"), "refers_to"))
     both = F.array(
         F.struct(F.lit("metadata").alias("type"), meta_id.alias("id"), F.lit(None).cast("string").alias("concurrent_to"), F.lit("application/warc-fields").alias("content_type"), fields.alias("block")),
-        F.struct(F.lit("conversion").alias("type"), text_id.alias("id"), meta_id.alias("concurrent_to"), F.lit("text/plain; charset=utf-8").alias("content_type"), F.col("_text").alias("block")),
+        F.struct(F.lit("conversion").alias("type"), text_id.alias("id"), meta_id.alias("concurrent_to"), F.lit("text/plain; charset=utf-8").alias("content_type"), F.col(text).alias("block")),
     )
-    return base.withColumn("_r", F.explode(both)).select(
-        *keep, F.col("_r.type").alias("record_type"), F.col("_r.id").alias("record_id"), "refers_to", "target_uri", "refers_to_date",
-        F.col("_r.concurrent_to").alias("concurrent_to"), F.col("_r.content_type").alias("content_type"), "source_headers", "source_payload_digest",
-        digest(F.col("_r.block")).alias("block_digest"), F.octet_length("_r.block").cast("long").alias("content_length"), F.col("_r.block").alias("block"),
+    rows = base.withColumn(made, F.explode(both))
+    return rows.select(
+        *keep, F.col(made)["type"].alias("record_type"), F.col(made)["id"].alias("record_id"), "refers_to", "target_uri", "refers_to_date",
+        F.col(made)["concurrent_to"].alias("concurrent_to"), F.col(made)["content_type"].alias("content_type"), "source_headers", "source_payload_digest",
+        digest(F.col(made)["block"]).alias("block_digest"), F.octet_length(F.col(made)["block"]).cast("long").alias("content_length"), F.col(made)["block"].alias("block"),
     )
 
 
@@ -164,16 +154,19 @@ def _sql_text(expr: str) -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     for pattern, by in STEPS:
         expr = f"regexp_replace({expr}, {quote(pattern)}, {quote(by)}, 'g')"
-    expr = _sql_entities(expr)
+    expr = _sql_references(expr)
     for pattern, by in SPACES:
         expr = f"regexp_replace({expr}, {quote(pattern)}, {quote(by)}, 'g')"
     return expr
 
 
-def _sql_entities(expr: str) -> str:
-    for name, char in ENTITIES:
-        expr = f"replace({expr}, '&{name};', '{char.replace(chr(39), chr(39) * 2)}')"
-    return expr
+def _sql_references(expr: str) -> str:
+    known = "map {" + ", ".join(f"'{n}': '{c.replace(chr(39), chr(39) * 2)}'" for n, c in ENTITIES.items()) + "}"
+    name = "regexp_extract(x, '^([^;]+);', 1)"
+    point = f"coalesce(try_cast(regexp_extract({name}, '^#([0-9]{{1,7}})$', 1) as int), try_cast('0x' || nullif(regexp_extract({name}, '^#[xX]([0-9A-Fa-f]{{1,6}})$', 1), '') as int))"
+    char = f"case when {point} between 1 and 55295 or {point} between 57344 and 1114111 then chr({point}) when {point} is null then {known}[{name}] end"
+    told = f"coalesce({char} || substr(x, length({name}) + 2), '&' || x)"
+    return f"array_to_string(list_transform(string_split({expr}, '&'), lambda x, i: case when i = 1 then x else {told} end), '')"
 
 
 def _sql_urn(seed: str) -> str:
@@ -181,7 +174,6 @@ def _sql_urn(seed: str) -> str:
     return f"'<urn:uuid:' || substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-' || substr({h}, 13, 4) || '-' || substr({h}, 17, 4) || '-' || substr({h}, 21, 12) || '>'"
 
 
-#: Numeric character references, which the tables hardly have, are left to the tests.
 OP1_SQL = f"""
 with r as (
   select page_id, url as target_uri, coalesce(html, '') as payload,
@@ -190,7 +182,7 @@ with r as (
 t as (
   select page_id, target_uri, source_headers, {_sql_urn('seed')} as refers_to, 'sha256:' || sha256(payload) as source_payload_digest,
     {_sql_text('payload')} as text,
-    trim(regexp_replace({_sql_entities(f"regexp_extract(payload, '{TITLE}', 1)")}, '[ \\t\\r\\n\\f\\x0B\\x{{00A0}}]+', ' ', 'g')) as title from r),
+    trim(regexp_replace({_sql_references(f"regexp_extract(payload, '{TITLE}', 1)")}, '[ \\t\\r\\n\\f\\x0B\\x{{00A0}}]+', ' ', 'g')) as title from r),
 b as (
   select *, {_sql_urn("'metadata|' || refers_to")} as meta_id, {_sql_urn("'conversion|' || refers_to")} as text_id,
     'http-header: ' || replace(source_headers, chr(13) || chr(10), chr(13) || chr(10) || 'http-header: ') || chr(13) || chr(10) || 'title: ' || title || chr(13) || chr(10) || 'source-payload-digest: ' || source_payload_digest || chr(13) || chr(10) as fields from t),

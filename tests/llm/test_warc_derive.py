@@ -1,5 +1,8 @@
 import gzip
 import hashlib
+import random
+from html import unescape
+from html.parser import HTMLParser
 
 from plinth.llm import warc_derive as w
 
@@ -22,10 +25,62 @@ def test_records(spark):
     assert "title: A & B\r\n" in meta["block"] and "http-header: Content-Type: text/html; charset=utf-8\r\n" in meta["block"]
 
 
+class Reader(HTMLParser):
+    """The visible text by another way: events of a parser, and its own references."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=False)
+        self.out, self.hidden = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in ("head", "script", "style")
+        self.out += ["\n"] * (tag in w.BLOCKS.split("|"))
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in ("head", "script", "style")
+        self.out += ["\n"] * (tag in w.BLOCKS.split("|"))
+
+    def handle_data(self, data):
+        self.out += [data] * (not self.hidden)
+
+    def handle_entityref(self, name):
+        self.handle_data(unescape(f"&{name};"))
+
+    def handle_charref(self, name):
+        self.handle_data(chr(int(name)))
+
+
+def read(html):
+    reader = Reader()
+    reader.feed(html)
+    reader.close()
+    lines = (" ".join(line.replace("\xa0", " ").split()) for line in "".join(reader.out).split("\n"))
+    return "\n".join(line for line in lines if line)
+
+
+def test_text_against_a_parser(spark):
+    """Pages of the tables and made ones, with numeric references, against Python's parser."""
+    rnd = random.Random(4)
+    bits = ["word", " ", "  ", "\t", "\n", "&amp;", "&lt;", "&eacute;"[:0], "&nbsp;", "&#233;", "&#38;", "&#128512;", "<p>", "</p>", "<b>", "</b>", "<br>", "<div class='a'>", "</div>", "<!-- no <p> -->", "<script>x < 1 && '<p>'</script>", "<style>p{}</style>", "&copy;", "&ndash;"]
+    made = ["<html><head><title>t</title></head><body>" + "".join(rnd.choice(bits) for _ in range(60)) + "</body></html>" for _ in range(150)]
+    real = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()]
+    df = pages(spark, *((i, "u", t) for i, t in enumerate(made + real)))
+    got = {r["page_id"]: r["block"] for r in w.derive(w.responses(df), keep=("page_id",)).where("record_type = 'conversion'").collect()}
+    assert len(real) > 20
+    for i, t in enumerate(made + real):
+        assert got[i] == read(t), t
+
+
+def test_kept_names(spark):
+    df = w.responses(pages(spark, (1, "http://a/b", HTML))).withColumnRenamed("page_id", "_Text")
+    out = w.derive(df, keep=("_Text", "target_uri", "Block"))
+    assert out.columns == ["_Text", *w.RECORD] and {r["_Text"] for r in out.collect()} == {1}
+
+
 def test_defined_results(spark, folder, sql):
-    df = pages(spark, (1, "http://a", None), (2, None, ""), (None, "http://b", "<p>x" * 20000), (3, "http://c", "no tags"), (3, "http://c", "no tags"))
+    df = pages(spark, (1, "http://a", None), (2, None, ""), (None, "http://b", "<p>x" * 20000), (3, "http://c", "no tags"), (3, "http://c", "no tags"), (4, "u", "&#65;&#0;&#55296;&#9999999;&#1114112;&#12345678;&#x41;&#X1F600;&#x0;&bogus;&;&amp;lt;&#38;lt; &# &#;&#66"))
     out = w.op1_warc_derivatives(spark, folder(pages=df))
-    assert rows_of(out) == sql(w.OP1_SQL, out.columns, "pages") and out.count() == 10
+    assert rows_of(out) == sql(w.OP1_SQL, out.columns, "pages") and out.count() == 12
     assert w.derive(w.responses(pages(spark))).count() == 0
     bare = spark.createDataFrame([("<urn:x>", None, None, None, None)], "record_id string, target_uri string, date string, headers string, payload string")
     assert [r["block"].startswith("title: ") for r in w.derive(bare).collect() if r["record_type"] == "metadata"] == [True]
