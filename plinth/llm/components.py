@@ -1,8 +1,8 @@
 """Connected components of an edge table by alternating large and small stars.
 
-Each round joins edges with one row a node, so a hub with a third of all edges is a skewed join,
-which adaptive execution splits; nothing of a node is gathered in one row. Each round's edges are
-written to the shared folder, so lineage stays short and a lost executor costs one round at most.
+Each round joins edges with one row a node. A hub with a large share of the edges is dealt over many tasks
+(join_spread), and nothing of a node is gathered in one row. Each round's edges are written to the shared folder,
+so lineage stays short and a lost executor costs one round at most; the round before is deleted then.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, hot_keys, join_spread, written
 
 
 def _is_done(edges: DataFrame) -> bool:
@@ -21,20 +21,23 @@ def _is_done(edges: DataFrame) -> bool:
     return ends.where("up > 1 or (up > 0 and down > 0)").isEmpty()
 
 
-def _large(edges: DataFrame) -> DataFrame:
+def _with_least(ends: DataFrame, total: int) -> DataFrame:
+    """ends (a, b) with m, the smallest of a and all its b."""
+    least = ends.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+    return join_spread(ends, least.select("a", "m"), "a", hot_keys(least, "a", "n", total), "b")
+
+
+def _large(edges: DataFrame, total: int) -> DataFrame:
     """Each node's larger neighbours move to the smallest of its neighbourhood."""
-    both = edges.union(edges.select("b", "a"))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    moved = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = _with_least(edges.union(edges.select("b", "a")), 2 * total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.where("a <> b").distinct()
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, total: int) -> DataFrame:
     """Each node and its smaller neighbours move to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a")
-    pairs = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+    moved = _with_least(down, total)
+    pairs = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).union(moved.select("a", F.col("m").alias("b")))
     return pairs.where("a <> b").distinct()
 
 
@@ -45,6 +48,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while not _is_done(now):
-        now = written(_small(_large(now)), "edges")
+        before, large = now, written(_large(now, now.count()), "edges")
+        now = written(_small(large, large.count()), "edges")
+        discard(before, large)
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)

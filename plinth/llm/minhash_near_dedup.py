@@ -14,27 +14,35 @@ pipeline, unless the caller names another; the op10_ query links at PERCENT.
 4. The rest is confirmed on the full sets, from the texts.
 
 Not all pairs of a bucket are formed. First each class is held against one hub, the member of its
-buckets with the most candidates. Then, where buckets still hold several components, blocks of classes are
-compared in memory and give only links that unite components. Pairs within a component can't change the result.
+buckets with the most candidates. Then only buckets that still hold several components go on; of buckets with the same
+members one does, and a pair is compared in the first of its buckets. Their members are dealt into blocks (at most BLOCK classes and BLOCK_SHINGLES shingles on average), and two
+blocks of a bucket meet in one task. It compares signatures in memory and names the members that have a pair to confirm;
+no pair is a row. Texts go only to those members, and the same blocks confirm them and give only links that unite
+components. Pairs within a component can't change the result.
+
+Keys with very many rows (buckets, hubs, nodes) are dealt over tasks (join_spread).
 
 Defined results: a null doc_id has no component (null) and is kept; rows that repeat a doc_id are
 one document with the links of all. An empty table gives an empty one. Further columns pass through
 `keep_first`, which keeps one document of each component.
+
+The operator runs its jobs while the plan is built; its large intermediate tables are deleted once nothing reads them.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, written
+from .common import discard, fresh, give_back, hot_keys, join_spread, small_batches, table, written
 from .components import components
 
 WORDS = 5
@@ -44,8 +52,8 @@ ROWS, BANDS = 6, 40
 HASHES = ROWS * BANDS
 BATCH = 40
 MISS = 1e-6
-BLOCK = 128
-CACHED_WORDS = 300_000
+BLOCK, BLOCK_SHINGLES = 512, 200_000
+CACHED_WORDS = 200_000
 BROADCAST_IDS = 2_000_000
 EMPTY_SET = b"\0" * 16
 
@@ -109,16 +117,16 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [hashed_set(t) for t in batch["text"]]
+        sets = [hashed_set(t) for t in batch.column(1).to_pylist()]
         full = [s for s in sets if len(s)]
         made = iter(signatures(full)) if full else iter(())
-        yield pd.DataFrame({
-            "doc_id": batch["doc_id"], "n": [len(s) for s in sets],
-            "h": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else EMPTY_SET for s in sets],
-            "sig": [next(made).tobytes() if len(s) else b"" for s in sets],
-        })
+        h = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else EMPTY_SET for s in sets]
+        sig = [next(made).tobytes() if len(s) else b"" for s in sets]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(h, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n", "h", "sig"])
+    _KNOWN.clear()
+    give_back()
 
 
 def least_matches(n: int, percent: int = STAGE_PERCENT, miss: float = MISS) -> int:
@@ -166,28 +174,38 @@ def _confirmed(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.Dat
     for batch in batches:
         good = []
         for a, b, x, y in zip(batch["a"], batch["b"], batch["ta"], batch["tb"]):
-            if b != hub:
-                hub, of_hub = b, shingles(y)
+            if (b, y) != hub:  # rows that repeat an id may have other texts
+                hub, of_hub = (b, y), shingles(y)
             good.append(linked(shingles(x), of_hub, percent))
         yield batch.loc[good, ["a", "b"]]
+    give_back()
 
 
 def _similar_size(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def _band(key: str) -> Column:
+    """A bucket's band, which its key's lowest bits hold."""
+    return F.col(key).bitwiseAND(F.lit(63))
+
+
 class _Classes:
     """The classes that have candidates, and what pairs of them are held against."""
 
     def __init__(self, classes: DataFrame, docs: DataFrame, percent: int):
         self.percent = percent
-        bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
-        keys = classes.where("n > 0").select("rep", F.explode(bands).alias("key"))
-        counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-        keys = written(keys.join(counts, "key"), "buckets")
+        hashed = lambda i: F.xxhash64(i, F.substring("sig", i * (2 * ROWS) + 1, F.lit(2 * ROWS)))
+        bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: hashed(i).bitwiseAND(F.lit(-64)).bitwiseOR(i.cast("long")))
+        keys = classes.where("n > 0").select("rep", "n", F.explode(bands).alias("key"))
+        self.counts = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "counts")
+        self.size = self.counts.agg(F.sum("c")).first()[0] or 0
+        self.hot = hot_keys(self.counts, "key", "c", self.size)
+        keys = written(join_spread(keys, self.counts, "key", self.hot, "rep"), "buckets")
         degree = keys.groupBy("rep").agg(F.sum("c").alias("deg"))
         self.rows = written(classes.join(degree, "rep").select("rep", "n", "sig", "deg"), "candidates")
         self.keys = written(keys.select("key", "rep").join(self.rows.select("rep", "n", "deg"), "rep"), "buckets")
+        discard(keys)
         ids = self.rows.select(F.col("rep").alias("doc_id"))
         few = self.rows.count() <= BROADCAST_IDS
         texts = docs.where(F.col("doc_id").isNotNull()).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
@@ -198,77 +216,97 @@ class _Classes:
         return top.select("key", (-F.col("m.col2")).alias("hub"), F.col("m.deg").alias("hub_deg"), F.col("m.n").alias("hub_n"))
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs a, b (b the commoner side) that are linked; written."""
+        """Those of the pairs a, b (b the commoner side) that are linked; written. A hub's pairs are dealt over tasks."""
+        pairs = written(pairs, "pairs")
+        hot = hot_keys(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("c")), "b", "c", pairs.count())
         sig = self.rows.select("rep", "sig")
-        with_sig = pairs.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
+        with_sig = join_spread(pairs.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a"), sig.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b", hot, "a")
         passed = written(with_sig.where(likely("sa", "sb", self.percent)).select("a", "b"), "likely")
         text = self.texts.select("rep", "text")
-        with_text = passed.join(text.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a").join(text.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b")
-        return written(with_text.mapInPandas(partial(_confirmed, percent=self.percent), "a long, b long"), "links")
-
-    def rest(self, found: DataFrame, hubs: DataFrame) -> DataFrame:
-        """Links across components within buckets that hold several; written.
-
-        Classes that such buckets connect are a cluster. A cluster is dealt into blocks of BLOCK classes at most (on
-        average), and each pair of blocks is a group that one task compares in memory; no pair is a row.
-        """
-        labelled = _with_component(self.keys, "rep", "comp", found)
-        mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        near = labelled.join(mixed, "key").join(hubs.select("key", "hub"), "key").where("rep <> hub")
-        cluster = written(components(near.select(F.col("rep").alias("a"), F.col("hub").alias("b"))), "clusters")
-        blocks = cluster.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-        dealt = cluster.join(blocks, "component").select(F.col("component").alias("cluster"), F.col("node").alias("rep"), "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
-        full = _with_component(dealt.join(self.rows.select("rep", "n", "sig"), "rep").join(self.texts.select("rep", "text"), "rep"), "rep", "comp", found)
+        hot = hot_keys(passed.groupBy("b").agg(F.count(F.lit(1)).alias("c")), "b", "c", passed.count())
+        with_text = join_spread(passed.join(text.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a"), text.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b", hot, "a")
+        out = written(with_text.mapInPandas(partial(_confirmed, percent=self.percent), "a long, b long"), "links")
+        discard(pairs, passed)
+        return out
+
+    def rest(self, found: DataFrame) -> DataFrame:
+        """Links across components within buckets that hold several; written."""
+        labelled = written(_with_component(self.keys.select("key", "rep", "n"), "rep", "comp", found), "labelled")
+        per = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c"), F.sum("n").alias("shingles"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("members"))
+        blocks = F.ceil(F.greatest(F.col("c") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+        # buckets with the same members: that of the first band is compared
+        mixed = per.where("lo <> hi").groupBy("c", "lo", "hi", "members", "shingles").agg(F.min_by("key", _band("key")).alias("key")).select("key", blocks.alias("blocks"))
+        member = join_spread(labelled, mixed, "key", self.hot, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        pairs = full.withColumn("other", other).select("cluster", F.least("block", "other").alias("g1"), F.greatest("block", "other").alias("g2"), "block", "rep", "n", "comp", "sig", "text")
-        groups = pairs.repartition("cluster", "g1", "g2").sortWithinPartitions("cluster", "g1", "g2", "rep")
-        return written(groups.mapInPandas(partial(_across, percent=self.percent), "a long, b long"), "links")
-
-
-def _across(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
-    """Links between components, for rows sorted by group: enough of them to unite what the group's links unite."""
-    group, rows, steps = None, [], pruning_steps(percent)
+        group = ("key", "g1", "g2")
+        pairs = member.withColumn("other", other).select("key", F.least("block", "other").alias("g1"), F.greatest("block", "other").alias("g2"), "block", "rep", "n", "comp")
+        pairs = pairs.join(self.rows.select("rep", "sig"), "rep").select(*group, "block", "rep", "n", "comp", "sig")
+        schema = "key long, g1 int, g2 int, block int, rep long, n long, comp long, sig binary"
+        near = written(pairs.repartition(*group).sortWithinPartitions(*group, "rep").mapInPandas(partial(_of_groups, work=partial(_near, percent=self.percent)), schema), "near")
+        full = near.join(self.texts.select("rep", "text"), "rep").select(*group, "block", "rep", "n", "comp", "sig", "text")
+        groups = full.repartition(*group).sortWithinPartitions(*group, "rep")
+        out = written(groups.mapInPandas(partial(_of_groups, work=partial(_links_across, percent=self.percent)), "a long, b long"), "links")
+        discard(labelled, near)
+        return out
+
+
+def _of_groups(batches: Iterator[pd.DataFrame], work: Callable[[pd.DataFrame], pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """work of each group, for rows sorted by group (key, g1, g2). A group is two blocks at most."""
+    rest = None
     for batch in batches:
-        out = []
-        for row in batch.itertuples(index=False):
-            if row[:3] != group:
-                out += _links_across(rows, percent, steps)
-                group, rows = row[:3], []
-            rows.append(row)
-        yield pd.DataFrame(out, columns=["a", "b"])
-    yield pd.DataFrame(_links_across(rows, percent, steps), columns=["a", "b"])
-
-
-def _links_across(rows: list, percent: int, steps: Steps) -> list[tuple[int, int]]:
-    if len(rows) < 2:
-        return []
-    parent: dict[int, int] = {r.comp: r.comp for r in rows}
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    sigs = np.frombuffer(b"".join(r.sig for r in rows), np.uint16).reshape(-1, HASHES)
-    n, block = np.array([r.n for r in rows]), np.array([r.block for r in rows])
-    within = rows[0].g1 == rows[0].g2
+        rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        ids = rows[["key", "g1", "g2"]].to_numpy()
+        cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1).tolist()]
+        done = [work(rows.iloc[a:b]) for a, b in zip(cuts, cuts[1:])]
+        rest = rows.iloc[cuts[-1] :]
+        yield from (d for d in done if len(d))
+    if rest is not None and len(rest):
+        yield work(rest)
+    give_back()
+
+
+def _candidates(rows: pd.DataFrame, sigs: np.ndarray, i: int, comp: np.ndarray, percent: int, steps: Steps) -> np.ndarray:
+    """The later rows of a group that row i has to be held against here: other components, similar size, likely signature,
+    another block if the group is of two, and no earlier band in common (there the pair meets in that band's bucket)."""
+    n, block = rows["n"].to_numpy(), rows["block"].to_numpy()
+    alive = (comp[i + 1 :] != comp[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= percent * np.maximum(n[i + 1 :], n[i]))
+    if rows["g1"].iat[0] != rows["g2"].iat[0]:
+        alive &= block[i + 1 :] != block[i]
+    at = i + 1 + np.flatnonzero(alive)
+    at = at[_outlive(sigs[i], sigs[at], steps)]
+    band = int(rows["key"].iat[0]) & 63
+    met = (sigs[at, : band * ROWS] == sigs[i, : band * ROWS]).reshape(len(at), band, ROWS).all(axis=2).any(axis=1)
+    return at[~met]
+
+
+def _near(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """The rows of a group that have a pair to confirm."""
+    sigs, comp, steps = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(-1, HASHES), rows["comp"].to_numpy(), pruning_steps(percent)
+    hit = np.zeros(len(rows), bool)
+    for i in range(len(rows) - 1):
+        at = _candidates(rows, sigs, i, comp, percent, steps)
+        hit[at] = True
+        hit[i] |= len(at) > 0
+    return rows[hit]
+
+
+def _links_across(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links between components, enough of them to unite what the group's links unite."""
+    sigs, comp, steps = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(-1, HASHES), rows["comp"].to_numpy().copy(), pruning_steps(percent)
+    rep, text = rows["rep"].to_numpy(), rows["text"].tolist()
     sets: dict[int, set] = {}
     out = []
-    for i, row in enumerate(rows[:-1]):
-        roots = np.array([root(r.comp) for r in rows[i + 1 :]])
-        alive = roots != root(row.comp)
-        alive &= 100 * np.minimum(n[i + 1 :], n[i]) >= percent * np.maximum(n[i + 1 :], n[i])
-        alive = i + 1 + np.flatnonzero(alive if within else alive & (block[i + 1 :] != block[i]))
-        for j in alive[_outlive(sigs[i], sigs[alive], steps)].tolist():
-            x, y = root(row.comp), root(rows[j].comp)
-            if x != y:
+    for i in range(len(rows) - 1):
+        for j in _candidates(rows, sigs, i, comp, percent, steps).tolist():
+            if comp[i] != comp[j]:
                 for k in (i, j):
                     if k not in sets:
-                        sets[k] = shingles(rows[k].text)
+                        sets[k] = shingles(text[k])
                 if linked(sets[i], sets[j], percent):
-                    parent[max(x, y)] = min(x, y)
-                    out.append((row.rep, rows[j].rep))
-    return out
+                    comp[comp == max(comp[i], comp[j])] = min(comp[i], comp[j])
+                    out.append((rep[i], rep[j]))
+        sets.pop(i, None)
+    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
 def _with_component(rows: DataFrame, column: str, name: str, found: DataFrame) -> DataFrame:
@@ -280,36 +318,38 @@ def near_duplicates(docs: DataFrame, percent: int = STAGE_PERCENT) -> DataFrame:
     """doc_id (long), n_shingles, component_id and kept of every row of docs (doc_id, text); percent links."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = written(docs.mapInPandas(_signed, "doc_id long, n long, h binary, sig binary"), "signatures")
+    signed = written(docs.mapInArrow(_signed, "doc_id long, n long, h binary, sig binary"), "signatures")
     named = signed.where("doc_id is not null and n > 0")
-    classes = written(named.groupBy("h").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
+    classes = written(named.groupBy("h").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("c")), "classes")
+    hot = hot_keys(classes, "h", "c", named.count())
     # rows that repeat a doc_id with another text: their classes belong together
-    reps = named.select("doc_id", "h").join(classes.select("h", "rep"), "h")
+    reps = written(join_spread(named.select("doc_id", "n", "h"), classes.select("h", "rep"), "h", hot, "doc_id").select("doc_id", "n", "rep"), "reps")
     several = reps.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("c")).where("b <> c")
     edges = reps.join(several, "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b")
     c = _Classes(classes.select("rep", "n", "sig"), docs, percent)
 
-    hubs = c.hubs()
-    near = c.keys.join(hubs, "key").where((F.col("rep") != F.col("hub")) & _similar_size(F.col("n"), F.col("hub_n"), percent))
+    near = join_spread(c.keys, c.hubs(), "key", c.hot, "rep").where((F.col("rep") != F.col("hub")) & _similar_size(F.col("n"), F.col("hub_n"), percent))
     stars = near.groupBy("rep").agg(F.max(F.struct("hub_deg", "hub")).alias("m")).select(F.col("rep").alias("a"), F.col("m.hub").alias("b"))
     edges = written(edges.union(c.links(stars)), "links")
     found = written(components(edges), "components")
 
-    edges = edges.union(c.rest(found, hubs))
+    edges = edges.union(c.rest(found))
     found = written(components(edges), "components")
+    discard(c.counts, c.rows, c.keys, c.texts, classes)
 
-    out = signed.join(classes.select("h", "rep"), "h", "left")
-    out = _with_component(out, "rep", "component_id", found)
-    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    own = F.when(F.col("doc_id").isNotNull(), own)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    out = _with_component(reps, "rep", "component_id", found)
+    none = signed.where("doc_id is null or n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    out = out.select("doc_id", "n", "component_id").unionByName(none)
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
 
 
 def keep_first(docs: DataFrame, percent: int = STAGE_PERCENT) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component; rows that repeat it are one document and stay."""
-    gone = written(near_duplicates(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    name = fresh(docs, "_gone")[0]
+    gone = written(near_duplicates(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct(), "gone")
     few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].cast("long") == gone[name], "left_anti")
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
