@@ -6,8 +6,8 @@ A line with a word fails if one of these rules holds:
 
 * navigation: it has NAV_BARS separators (| » › •) or more,
 * symbols: symbols of `#*$%&|<>` number more than SYMBOLS_PER_WORD of its words,
-* punctuation: PLAIN_WORDS words or more and none of `.!?:;` nor an ellipsis in it,
-  or exclamation marks numbering more than BANGS_PER_WORD of its words,
+* punctuation: PLAIN_WORDS words or more and none of ENDS in it (ends of sentences, of wide, Arabic and
+  Indic scripts too), or exclamation marks numbering more than BANGS_PER_WORD of its words,
 * boilerplate: one of BOILERPLATE occurs in it (ASCII letters compared in lower case).
 
 Lines without a word have no text to lose and stay. A document is kept if it passes the base
@@ -17,7 +17,9 @@ most MAX_LOST_PERCENT of its words.
 Defined results: a null text has no words, so it fails the base rule and is not kept; its clean
 text is null. Rows are judged one by one, so repeated rows give repeated results, an empty
 table gives an empty one, and further columns pass through `clean` untouched (a column that
-`clean` adds replaces one of the same name).
+`clean` adds replaces one of the same name, in whatever case).
+
+Both `measure` and `clean` are one pass of an Arrow function over batches of bounded bytes, in the plan once.
 """
 
 from __future__ import annotations
@@ -25,11 +27,12 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from .common import small_batches, table
+from .common import give_back, small_batches, table
 
 NAV_BARS = 3
 SYMBOLS_PER_WORD = 0.3
@@ -55,7 +58,10 @@ BOILERPLATE = (
 SYMBOLS = b"#*$%&|<>"
 _PHRASES = tuple(p.encode() for p in BOILERPLATE)
 _BARS = ("|".encode(), "»".encode(), "›".encode(), "•".encode())
-_ENDS = b".!?:;"
+#: Characters of which one at least stands in a line of plain text.
+ENDS = ".!?:;…。！？：；؟؛۔।"
+_ASCII_ENDS = "".join(c for c in ENDS if c.isascii()).encode()
+_WIDE_ENDS = tuple(c.encode() for c in ENDS if not c.isascii())
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_failed_lines long, n_lost_words long, kept boolean"
 
@@ -80,7 +86,7 @@ def line_fails(line: bytes, n_words: int) -> bool:
         return True
     if len(line) - len(line.translate(None, SYMBOLS)) > SYMBOLS_PER_WORD * n_words:
         return True
-    if n_words >= PLAIN_WORDS and len(line.translate(None, _ENDS)) == len(line) and "…".encode() not in line:
+    if n_words >= PLAIN_WORDS and len(line.translate(None, _ASCII_ENDS)) == len(line) and not any(e in line for e in _WIDE_ENDS):
         return True
     if line.count(b"!") > BANGS_PER_WORD * n_words:
         return True
@@ -113,32 +119,35 @@ def judge(text: str | None) -> tuple:
     return n, word_chars, symbols, dup, repeat, base, failed, lost, keep, clean
 
 
-def _judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [m.split()[0] for m in MEASURES.split(", ")]
-    for batch in batches:
-        rows = pd.DataFrame([judge(t)[:-1] for t in batch["text"]], columns=names)
-        rows.insert(0, "doc_id", batch["doc_id"].to_numpy())
-        yield rows
-
-
 def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and MEASURES of every row."""
     small_batches(docs.sparkSession)
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    kind = plain.schema["doc_id"].dataType.simpleString()
-    return plain.mapInPandas(_judged, f"doc_id {kind}, {MEASURES}")
+    names, types = zip(*(m.split() for m in MEASURES.split(", ")))
+    arrow = [{"long": pa.int64(), "boolean": pa.bool_()}[t] for t in types]
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = list(zip(*(judge(t)[:-1] for t in batch.column(1).to_pylist()))) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns, arrow)], ["doc_id", *names])
+        give_back()
+
+    return plain.mapInArrow(judged, f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, {MEASURES}")
 
 
-def clean(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with two columns more: clean_text (without the failing lines) and kept."""
+def clean(docs: DataFrame, text: str = "text", names: tuple[str, str] = ("clean_text", "kept")) -> DataFrame:
+    """docs with two columns more, names: clean_text (the text without its failing lines) and kept."""
     small_batches(docs.sparkSession)
+    rest = [c for c in docs.columns if c.lower() not in (n.lower() for n in names)]
+    rows = docs.select(*rest, F.col(text).cast("string").alias(names[0]))
 
-    @F.pandas_udf("clean_text string, kept boolean")
-    def cleaned(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([judge(t)[:-3:-1] for t in texts], columns=["clean_text", "kept"])
+    def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [judge(t)[-2:] for t in batch.column(len(rest)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([c for _, c in made], pa.string()), pa.array([k for k, _ in made], pa.bool_())], [*rest, *names])
+        give_back()
 
-    rest = [c for c in docs.columns if c not in ("clean_text", "kept")]
-    return docs.select(*rest, cleaned(F.col(text)).alias("_judged")).select(*rest, "_judged.clean_text", "_judged.kept")
+    return rows.mapInArrow(cleaned, StructType([*rows.schema.fields[:-1], StructField(names[0], StringType()), StructField(names[1], BooleanType())]))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,7 +180,7 @@ bad as (
   select doc_id, line, m,
     length(line) - length(regexp_replace(line, '[|»›•]', '', 'g')) >= {NAV_BARS}
     or length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) > {SYMBOLS_PER_WORD}::double * m
-    or (m >= {PLAIN_WORDS} and not regexp_matches(line, '[.!?:;…]'))
+    or (m >= {PLAIN_WORDS} and not regexp_matches(line, '[{ENDS}]'))
     or length(line) - length(replace(line, '!', '')) > {BANGS_PER_WORD}::double * m
     or {_PHRASE_SQL} as fails
   from ln where m > 0),

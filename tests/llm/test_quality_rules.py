@@ -31,6 +31,7 @@ def test_line_rules():
     fails = lambda line: q.line_fails(line.encode(), len(line.split()))
     assert fails("Home | About | News | Contact") and fails("a%%% b### c&&& d") and fails("WOW!! NO!! YES!!") and fails("Read our Privacy Policy.")
     assert fails("one two three four five six seven eight nine ten eleven twelve")
+    assert not fails("一 二 三 四 五 六 七 八 九 十 百 千。") and not fails("क ख ग घ च छ ज झ ट ठ ड ढ।") and not fails("a b c d e f g h i j k l؟")
     assert not fails("A short heading") and not fails("One sentence, that ends well.")
 
 
@@ -44,10 +45,11 @@ def test_line_first_then_document(spark, docs):
 
 def test_defined_results(spark, docs, folder, sql):
     long = ("word%d goes on. " * 3000) % tuple(range(3000))
-    df = docs((1, GOOD), (2, "a b c d e\na b c d e\n\n a b c d e"), (3, None), (4, ""), (5, "x " * 50), (6, long), (7, " \n\t "), (8, "é|»• ! … <b>"))
+    df = docs((1, GOOD), (2, "a b c d e\na b c d e\n\n a b c d e"), (3, None), (4, ""), (5, "x " * 50), (6, long), (7, " \n\t "), (8, "é|»• ! … <b>"), (9, "क ख ग घ च छ ज झ ट ठ ड ढ।\nक ख ग घ च छ ज झ ट ठ ड ढ"))
     path = folder(documents=df)
     out = q.op7_quality_rules(spark, path)
     assert rows_of(out) == sql(q.OP7_SQL, out.columns, "documents")
     assert q.measure(docs()).count() == 0
     clash = df.withColumnRenamed("lang", "kept").withColumnRenamed("source", "clean_text")
     assert q.clean(clash).columns.count("kept") == 1
+    assert "ArrowEval" not in (plan := q.clean(df).where("kept")._jdf.queryExecution().executedPlan().toString()) and plan.count("MapInArrow") == 1
