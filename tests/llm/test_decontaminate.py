@@ -55,7 +55,7 @@ def test_against_brute_force(spark, docs, folder):
     got = {(r["doc_id"], r["item_id"]): r["score"] for r in d.op2_decontaminate(spark, path).collect()}
     assert got == brute([*rows, extra[2]], items)
     assert all(got.get((100 + i, i)) == 1.0 for i in range(12)) and not any(300 <= k[0] < 400 for k in got)
-    blocks = {(r["doc_id"], r["item_id"]) for r in d.contaminated(docs(*rows, *extra), bench, block_items=4).collect()}
+    blocks = {(r["doc_id"], r["item_id"]) for r in d.contaminated(docs(*rows, *extra), bench, block_bytes=600).collect()}
     assert blocks == set(got)
 
 
@@ -91,3 +91,29 @@ def test_copies_without_a_run_of_four_words(spark, docs):
     got = d.contaminated(docs(*rows), spark.createDataFrame(items, "item_id long, text string"))
     found = {(r["doc_id"], r["item_id"]): round(r["score"], 6) for r in got.collect()}
     assert found == brute(rows, items) and {(100 + 10 * i, i) for i in range(6)} <= set(found) and not any(k[0] >= 200 for k in found)
+
+
+def test_common_grams_need_company(spark, docs, monkeypatch):
+    monkeypatch.setattr(d, "COMMON_DOCS", 5)
+    rnd = random.Random(3)
+    say = lambda n: " ".join(f"v{rnd.randrange(900)}" for _ in range(n))
+    phrase = "as a matter of fact"
+    items = [(i, f"{say(12)} {phrase} {say(12)}") for i in range(20)] + [(20, "matter of fact too"), (7, say(20)), (7, say(25))]
+    rows = [(i, f"{say(30)} {phrase} {say(30)}") for i in range(200)] + [(300 + i, f"{say(20)} {t} {say(20)}") for i, (_, t) in enumerate(items)]
+    edited = [w if j % 4 != 3 else "zz" for j, w in enumerate(items[2][1].split())]
+    rows += [(400, " ".join(edited))]
+    got = d.contaminated(docs(*rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]): round(r["score"], 6) for r in got.collect()} == brute(rows, items)
+    block = d.Block([(t, [i]) for i, t in items])
+    d._counted(docs(*rows), block)
+    assert 0 < block.common.sum() < 12
+
+
+def test_equal_items_and_clashing_names(spark, docs):
+    rows, items = corpus()
+    bench = spark.createDataFrame([(k, items[0][1]) for k in range(500)] + items[1:], "item_id long, text string")
+    got = d.contaminated(docs(rows[60]), bench, block_bytes=2000)
+    assert {r["item_id"] for r in got.collect()} == set(range(500))
+    clash = docs(rows[0], rows[60]).withColumnsRenamed({"lang": "_Doc", "source": "_th", "n_chars": "_id"})
+    left = d.remove_contaminated(clash, bench)
+    assert left.columns == clash.columns and [tuple(r) for r in left.collect()] == [tuple(r) for r in clash.collect() if r["doc_id"] == rows[0][0]]
