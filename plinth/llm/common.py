@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +67,7 @@ def small_batches(spark: SparkSession) -> None:
 def give_back() -> None:
     """At the end of a task: a Python worker is used again by later tasks, so what it freed goes back to the system."""
     try:
+        pa.default_memory_pool().release_unused()
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library
         pass
@@ -82,20 +84,27 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def hot_keys(counts: DataFrame, key: str, n: str, total: int) -> DataFrame:
-    """key and parts (2 or more) of the keys with more than 1 / HOT_PARTS of total rows; they number less than HOT_PARTS.
+def hot_keys(counts: DataFrame, key: str, n: str, total: int) -> DataFrame | None:
+    """key and parts (2 or more) of the keys with more than 1 / HOT_PARTS of total rows; None if there is none.
 
-    counts: one row a key with n, its number of rows; total: the sum of n.
+    counts: one row a key with n, its number of rows; total: the sum of n. So they number less than HOT_PARTS,
+    whatever the tables' size, and are a local table.
     """
     most = max(total // HOT_PARTS, HOT_LEAST)
-    return counts.where(F.col(n) > most).select(key, F.ceil(F.col(n) / most).cast("int").alias("parts"))
+    if total <= most:
+        return None
+    hot = counts.where(F.col(n) > most).select(key, F.ceil(F.col(n) / most).cast("int").alias("parts"))
+    rows = hot.collect()
+    return counts.sparkSession.createDataFrame(rows, hot.schema) if rows else None
 
 
-def join_spread(rows: DataFrame, others: DataFrame, key: str, hot: DataFrame, by: str) -> DataFrame:
+def join_spread(rows: DataFrame, others: DataFrame, key: str, hot: DataFrame | None, by: str) -> DataFrame:
     """The inner join of rows with others (few rows a key); a hot key's rows are dealt by a hash of column by, and its others repeated.
 
     No task gets more than about 1 / HOT_PARTS of the rows for one key, and only hot (see hot_keys) is broadcast.
     """
+    if hot is None:
+        return rows.join(others, key)
     part, parts = "_part", F.coalesce("parts", F.lit(1))
     dealt = rows.join(F.broadcast(hot), key, "left").withColumn(part, F.pmod(F.xxhash64(by), parts).cast("int")).drop("parts")
     repeated = others.join(F.broadcast(hot), key, "left").withColumn(part, F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")

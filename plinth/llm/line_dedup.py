@@ -66,7 +66,9 @@ def drop_boilerplate(docs: DataFrame, site: str = "source", text: str = "text",
     if size <= BROADCAST_BYTES:
         joined = rows.join(F.broadcast(lists.select(own, drop)), own, "left")
     else:
-        hot = hot_keys(lists, own, "total", rows.count()).withColumnRenamed("parts", parts)
+        hot = hot_keys(lists, own, "total", rows.count())
+        hot = docs.sparkSession.createDataFrame([], f"`{own}` string, parts int") if hot is None else hot
+        hot = hot.withColumnRenamed("parts", parts)
         by = F.xxhash64(*[F.col(f.name) for f in docs.select(*rest).schema if "map<" not in f.dataType.simpleString()])
         dealt = rows.join(F.broadcast(hot), own, "left").withColumn(part, F.pmod(by, F.coalesce(parts, F.lit(1))).cast("int")).drop(parts)
         repeated = lists.select(own, drop).join(F.broadcast(hot), own, "left")

@@ -13,8 +13,8 @@ pipeline, unless the caller names another; the op10_ query links at PERCENT.
    once the posterior probability of a similarity at the threshold is below MISS.
 4. The rest is confirmed on the full sets, from the texts.
 
-Not all pairs of a bucket are formed. First each class is held against one hub, the member of its
-buckets with the most candidates. Then only buckets that still hold several components go on; of buckets with the same
+Not all pairs of a bucket are formed. First each class is held against one hub, the first member of its
+largest bucket. Then only buckets that still hold several components go on; of buckets with the same
 members one does, and a pair is compared in the first of its buckets. Their members are dealt into blocks (at most BLOCK classes and BLOCK_SHINGLES shingles on average), and two
 blocks of a bucket meet in one task. It compares signatures in memory and names the members that have a pair to confirm;
 no pair is a row. Texts go only to those members, and the same blocks confirm them and give only links that unite
@@ -159,25 +159,18 @@ def _outlive(left: np.ndarray, right: np.ndarray, steps: Steps) -> np.ndarray:
     return out
 
 
-def likely(a: str, b: str, percent: int) -> Column:
-    steps = pruning_steps(percent)
-
-    def outlive(a: pd.Series, b: pd.Series) -> pd.Series:
-        left = np.frombuffer(b"".join(a), np.uint16).reshape(-1, HASHES)
-        return pd.Series(_outlive(left, np.frombuffer(b"".join(b), np.uint16).reshape(-1, HASHES), steps))
-
-    return F.pandas_udf(outlive, "boolean")(a, b)
-
-
 def _confirmed(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
-    hub, of_hub = None, set()
+    """The pairs a, b whose signatures outlive every batch and whose full sets are linked."""
+    hub, of_hub, steps = None, set(), pruning_steps(percent)
     for batch in batches:
+        left, right = (np.frombuffer(b"".join(batch[c]), np.uint16).reshape(-1, HASHES) for c in ("sa", "sb"))
+        alive = batch[_outlive(left, right, steps)]
         good = []
-        for a, b, x, y in zip(batch["a"], batch["b"], batch["ta"], batch["tb"]):
+        for b, x, y in zip(alive["b"], alive["ta"], alive["tb"]):
             if (b, y) != hub:  # rows that repeat an id may have other texts
                 hub, of_hub = (b, y), shingles(y)
             good.append(linked(shingles(x), of_hub, percent))
-        yield batch.loc[good, ["a", "b"]]
+        yield alive.loc[good, ["a", "b"]]
     give_back()
 
 
@@ -190,63 +183,57 @@ def _band(key: str) -> Column:
     return F.col(key).bitwiseAND(F.lit(63))
 
 
-class _Classes:
-    """The classes that have candidates, and what pairs of them are held against."""
+class _Candidates:
+    """The buckets of the classes, and what their members are held against."""
 
     def __init__(self, classes: DataFrame, docs: DataFrame, percent: int):
         self.percent = percent
         hashed = lambda i: F.xxhash64(i, F.substring("sig", i * (2 * ROWS) + 1, F.lit(2 * ROWS)))
         bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: hashed(i).bitwiseAND(F.lit(-64)).bitwiseOR(i.cast("long")))
-        keys = classes.where("n > 0").select("rep", "n", F.explode(bands).alias("key"))
-        self.counts = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "counts")
-        self.size = self.counts.agg(F.sum("c")).first()[0] or 0
-        self.hot = hot_keys(self.counts, "key", "c", self.size)
-        keys = written(join_spread(keys, self.counts, "key", self.hot, "rep"), "buckets")
-        degree = keys.groupBy("rep").agg(F.sum("c").alias("deg"))
-        self.rows = written(classes.join(degree, "rep").select("rep", "n", "sig", "deg"), "candidates")
-        self.keys = written(keys.select("key", "rep").join(self.rows.select("rep", "n", "deg"), "rep"), "buckets")
-        discard(keys)
-        ids = self.rows.select(F.col("rep").alias("doc_id"))
-        few = self.rows.count() <= BROADCAST_IDS
+        keys = classes.select("rep", "n", F.explode(bands).alias("key"))
+        counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("hub"), F.min_by("n", "rep").alias("hub_n")).where("c > 1")
+        counts = written(counts, "counts")
+        self.hot = hot_keys(counts, "key", "c", counts.agg(F.sum("c")).first()[0] or 0)
+        self.keys = written(join_spread(keys, counts, "key", self.hot, "rep"), "buckets")
+        ids = written(self.keys.select(F.col("rep").alias("doc_id")).distinct(), "ids")
+        few = ids.count() <= BROADCAST_IDS
         texts = docs.where(F.col("doc_id").isNotNull()).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-        self.texts = written(texts.select(F.col("doc_id").alias("rep"), "text"), "texts")
+        self.texts = written(texts.withColumnRenamed("doc_id", "rep").join(classes.select("rep", "sig"), "rep"), "texts")
+        discard(counts, ids)
 
-    def hubs(self) -> DataFrame:
-        top = self.keys.groupBy("key").agg(F.max(F.struct("deg", -F.col("rep"), "n")).alias("m"))
-        return top.select("key", (-F.col("m.col2")).alias("hub"), F.col("m.deg").alias("hub_deg"), F.col("m.n").alias("hub_n"))
-
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs a, b (b the commoner side) that are linked; written. A hub's pairs are dealt over tasks."""
-        pairs = written(pairs, "pairs")
+    def stars(self) -> DataFrame:
+        """Links between classes and hubs, one pair at most for each class; written. A hub's pairs are dealt over tasks."""
+        near = self.keys.where((F.col("rep") != F.col("hub")) & _similar_size(F.col("n"), F.col("hub_n"), self.percent))
+        pairs = written(near.groupBy(F.col("rep").alias("a")).agg(F.max(F.struct("c", "hub")).alias("m")).select("a", F.col("m.hub").alias("b")), "pairs")
         hot = hot_keys(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("c")), "b", "c", pairs.count())
-        sig = self.rows.select("rep", "sig")
-        with_sig = join_spread(pairs.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a"), sig.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b", hot, "a")
-        passed = written(with_sig.where(likely("sa", "sb", self.percent)).select("a", "b"), "likely")
-        text = self.texts.select("rep", "text")
-        hot = hot_keys(passed.groupBy("b").agg(F.count(F.lit(1)).alias("c")), "b", "c", passed.count())
-        with_text = join_spread(passed.join(text.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a"), text.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b", hot, "a")
-        out = written(with_text.mapInPandas(partial(_confirmed, percent=self.percent), "a long, b long"), "links")
-        discard(pairs, passed)
+        own = self.texts.select(F.col("rep").alias("a"), F.col("sig").alias("sa"), F.col("text").alias("ta"))
+        of_hub = self.texts.select(F.col("rep").alias("b"), F.col("sig").alias("sb"), F.col("text").alias("tb"))
+        both = join_spread(pairs.join(own, "a"), of_hub, "b", hot, "a")
+        out = written(both.mapInPandas(partial(_confirmed, percent=self.percent), "a long, b long"), "links")
+        discard(pairs)
         return out
 
-    def rest(self, found: DataFrame) -> DataFrame:
-        """Links across components within buckets that hold several; written."""
+    def rest(self, found: DataFrame) -> DataFrame | None:
+        """Links across components within buckets that hold several; written. None without such a bucket."""
         labelled = written(_with_component(self.keys.select("key", "rep", "n"), "rep", "comp", found), "labelled")
         per = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c"), F.sum("n").alias("shingles"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("members"))
         blocks = F.ceil(F.greatest(F.col("c") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
         # buckets with the same members: that of the first band is compared
         mixed = per.where("lo <> hi").groupBy("c", "lo", "hi", "members", "shingles").agg(F.min_by("key", _band("key")).alias("key")).select("key", blocks.alias("blocks"))
+        mixed = written(mixed, "mixed")
+        if mixed.isEmpty():
+            return None
         member = join_spread(labelled, mixed, "key", self.hot, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
         group = ("key", "g1", "g2")
-        pairs = member.withColumn("other", other).select("key", F.least("block", "other").alias("g1"), F.greatest("block", "other").alias("g2"), "block", "rep", "n", "comp")
-        pairs = pairs.join(self.rows.select("rep", "sig"), "rep").select(*group, "block", "rep", "n", "comp", "sig")
+        member = member.join(self.texts.groupBy("rep").agg(F.first("sig").alias("sig")), "rep")
+        pairs = member.withColumn("other", other).select("key", F.least("block", "other").alias("g1"), F.greatest("block", "other").alias("g2"), "block", "rep", "n", "comp", "sig")
         schema = "key long, g1 int, g2 int, block int, rep long, n long, comp long, sig binary"
         near = written(pairs.repartition(*group).sortWithinPartitions(*group, "rep").mapInPandas(partial(_of_groups, work=partial(_near, percent=self.percent)), schema), "near")
         full = near.join(self.texts.select("rep", "text"), "rep").select(*group, "block", "rep", "n", "comp", "sig", "text")
         groups = full.repartition(*group).sortWithinPartitions(*group, "rep")
         out = written(groups.mapInPandas(partial(_of_groups, work=partial(_links_across, percent=self.percent)), "a long, b long"), "links")
-        discard(labelled, near)
+        discard(labelled, mixed, near)
         return out
 
 
@@ -326,16 +313,13 @@ def near_duplicates(docs: DataFrame, percent: int = STAGE_PERCENT) -> DataFrame:
     reps = written(join_spread(named.select("doc_id", "n", "h"), classes.select("h", "rep"), "h", hot, "doc_id").select("doc_id", "n", "rep"), "reps")
     several = reps.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("c")).where("b <> c")
     edges = reps.join(several, "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b")
-    c = _Classes(classes.select("rep", "n", "sig"), docs, percent)
-
-    near = join_spread(c.keys, c.hubs(), "key", c.hot, "rep").where((F.col("rep") != F.col("hub")) & _similar_size(F.col("n"), F.col("hub_n"), percent))
-    stars = near.groupBy("rep").agg(F.max(F.struct("hub_deg", "hub")).alias("m")).select(F.col("rep").alias("a"), F.col("m.hub").alias("b"))
-    edges = written(edges.union(c.links(stars)), "links")
-    found = written(components(edges), "components")
-
-    edges = edges.union(c.rest(found))
-    found = written(components(edges), "components")
-    discard(c.counts, c.rows, c.keys, c.texts, classes)
+    c = _Candidates(classes.select("rep", "n", "sig"), docs, percent)
+    stars = c.stars()
+    found = written(components(edges.union(stars)), "components")
+    rest = c.rest(found)
+    if rest is not None and not rest.isEmpty():
+        found = written(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(rest)), "components")
+    discard(c.keys, c.texts, classes, stars)
 
     out = _with_component(reps, "rep", "component_id", found)
     none = signed.where("doc_id is null or n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
