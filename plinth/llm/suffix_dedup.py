@@ -3,30 +3,33 @@
 Every byte that a MIN_BYTES-byte string covers which also starts earlier (in a document of a smaller doc_id,
 or earlier in the same document) is removed; the first occurrence stays. Matches never cross documents.
 
-A suffix array of the whole corpus isn't needed, as only strings of MIN_BYTES bytes decide:
+A suffix array of the whole corpus isn't needed, as only strings of MIN_BYTES bytes decide. Hashes route strings to
+where they meet; what is removed has been compared byte by byte or by suffix order.
 
 1. Each window of MIN_BYTES bytes has an anchor, the least of the hashed GRAM-byte strings in it. Equal
-   windows have equal anchors at equal places. Neighbouring windows with one anchor form a snippet; a row
-   holds its anchor's and its own hash and where it stands. Of snippets that a batch of documents holds
-   more than once all but the first are copies at once, so a snippet of very many documents gives a row a batch.
-2. Rows meet by anchor. All but the first of equal snippets are copies. What remains are the first
-   snippets whose anchor has another snippet too: the rims of shared passages, with bytes around that
-   differ. They are a small part of the text, and only their bytes are read again.
-3. Rims of one anchor form a bucket. The bytes of buckets get a suffix array (ranks doubled up to MIN_BYTES),
-   the previous and next smaller position of each suffix in suffix order, and from the two common prefixes
-   the longest previous factor; windows with a factor of MIN_BYTES or more are copies. Windows whose hash
-   the bucket holds once stay out of the arrays, and of equal runs of windows only the first is in them.
-4. An anchor that a batch holds in HOT_SHARE of its documents, each time with other bytes around (the ends of a
-   line that very many pages share), would be one task's work. A pass before finds such anchors; their
-   windows go as rows of their own, by the window's hash. Up to HOT_BROADCAST of them are broadcast; if there are more, a join
-   gives each document those that it holds. A bucket of more than BUCKET_RIMS rims, too, has
-   its windows hashed one by one and the first of equal ones found by an aggregation. Both hold for any number.
+   windows have equal anchors at equal places. Neighbouring windows with one anchor form a snippet, and a row
+   says where it stands. Documents are worked on in units of UNIT_BYTES; snippets that are equal, byte by byte, to an
+   earlier one of their unit are copies at once, so a snippet of very many documents gives a row a unit.
+2. Rows meet by anchor. Anchors with one row have no copy; for the others the snippets' bytes are cut out of the texts
+   (one join) and meet by anchor again: a bucket.
+3. In a bucket, in the order of appearance, equal strings take one place (the later ones are copies). The different
+   strings get a suffix array (ranks doubled up to MIN_BYTES), the previous and next smaller position of each suffix in
+   suffix order, and from the two common prefixes the longest previous factor; windows with a factor of MIN_BYTES or more
+   are copies. Windows whose hash the bucket holds once can't be and stay out of the arrays.
+4. A bucket of very many different snippets (the ends of a line that very many pages share, with other bytes around)
+   would be one task's work. So the windows of hot anchors are snippets of their own, which meet by the window's
+   hash. Hot are anchors that some unit's rows hold with a share of HOT_SHARE and that have half of that share of all
+   rows: every anchor with 1.5 times HOT_SHARE of all rows is found, and they number 2 / HOT_SHARE at most, whatever
+   the corpus, so the list is broadcast. Other buckets of more than BUCKET_ROWS rows are cut into windows after step 2,
+   and their windows meet the same way, in the same arrays.
 
 Each document's copied runs are then put together and cut out.
 
 Defined results: a null text is an empty one. A null doc_id comes before all others. Rows that repeat a
 doc_id are ordered by a hash of their text; equal rows are one document and give equal results. An empty table
-gives an empty one. `deduplicate` keeps further columns.
+gives an empty one. `deduplicate` keeps further columns, whatever their names (kept_bytes is replaced).
+
+The operator runs its jobs while the plan is built and deletes the tables that nothing reads afterwards.
 """
 
 from __future__ import annotations
@@ -36,16 +39,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, written
+from .common import discard, fresh, give_back, small_batches, table, written
 
 MIN_BYTES = 100
 GRAM = 32
-BUCKET_RIMS = 50_000
-HOT_ROWS, HOT_SHARE = 8, 0.02
-HOT_BROADCAST = 1_000_000
+UNIT_BYTES = 8 << 20
+BUCKET_ROWS = 50_000
+HOT_ROWS, HOT_SHARE = 2000, 1e-4
 FLUSH_BYTES = 1 << 18
 CHUNK = 1 << 20
 
@@ -96,9 +100,9 @@ Rows = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 def snippets(raw: bytes, hot: np.ndarray | None = None) -> Rows:
-    """Of each run of windows with one anchor: anchor hash, snippet hash, first window, number of windows.
+    """Of each run of windows with one anchor, in order: anchor hash, snippet hash, first window, number of windows.
 
-    Windows with a hot anchor are runs of their own, with two hashes of the window.
+    Windows with a hot anchor are runs of their own, with the window's hash for an anchor.
     """
     out = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
     for start in range(0, max(0, len(raw) - MIN_BYTES + 1), CHUNK):
@@ -110,64 +114,67 @@ def snippets(raw: bytes, hot: np.ndarray | None = None) -> Rows:
         # a snippet is shorter than two windows: its first and last window, its length and its anchor's place tell it
         shape = (count * 128 + at[first] - first).astype(np.uint64)
         own = _mixed(windows[first] * _P3 ^ _mixed(windows[first + count - 1] + shape * _P1))
-        if hot is not None and len(hot) and (burnt := np.isin(hashes[first], hot)).any():
+        rows = hashes[first], own, first + start, count
+        if hot is not None and len(hot) and (burnt := np.isin(rows[0], hot)).any():
             alone = np.flatnonzero(np.repeat(burnt, count))
-            out.append((windows[alone], _second_hash(part, alone), alone + start, np.ones(len(alone), np.int64)))
-            first, count, own = first[~burnt], count[~burnt], own[~burnt]
-        out.append((hashes[first], own, first + start, count))
+            cut = windows[alone], windows[alone], alone + start, np.ones(len(alone), np.int64)
+            rows = tuple(np.concatenate((x[~burnt], y)) for x, y in zip(rows, cut))
+            order = np.argsort(rows[2], kind="stable")
+            rows = tuple(x[order] for x in rows)
+        out.append(rows)
     return tuple(map(np.concatenate, zip(*out)))
 
 
-def _second_hash(part: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Another hash of the windows at some places."""
-    return _mixed(rolling(part ^ np.uint8(0x5A), MIN_BYTES)[at] ^ _P3)
-
+Unit = list[tuple[int, int, bytes]]
 
-def _batch_rows(batch: pd.DataFrame, hot: np.ndarray | None) -> tuple[np.ndarray, ...] | None:
-    """doc, th, anchor, own, p, n of a batch's snippets, and whether each is a copy within it.
 
-    A column hot of the batch, if there is one, has each document's own hot anchors.
-    """
-    out = []
-    lists = batch["hot"] if "hot" in batch else [hot] * len(batch)
-    for doc, th, text, known in zip(batch["doc"].to_numpy(), batch["th"].to_numpy(), batch["text"], lists):
-        known = None if known is None else np.asarray(known).view(np.uint64)
-        a, s, p, n = snippets(text.encode(), known)
-        out.append((np.full(len(a), doc, np.int64), np.full(len(a), th, np.int64), a.view(np.int64), s.view(np.int64), p.astype(np.int32), n.astype(np.int16)))
-    if not out:
-        return None
-    doc, th, a, s, p, n = rows = tuple(map(np.concatenate, zip(*out)))
-    order = np.lexsort((p, th, doc, a, s))
-    equal = lambda x: x[order][1:] == x[order][:-1]
-    again = np.zeros(len(s), bool)
-    again[order[1:]] = equal(s) & equal(a) & ~(equal(doc) & equal(th) & equal(p))
-    return *rows, again
-
-
-def _hot_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[Unit]:
+    """Different documents (doc, th, bytes) in their order, in units of about UNIT_BYTES."""
+    rows, size = {}, 0
     for batch in batches:
-        if (rows := _batch_rows(batch, None)) is not None:
-            doc, th, a, *_, again = rows
-            least = max(HOT_ROWS, HOT_SHARE * len(batch))
-            kinds, counts = np.unique(a[~again], return_counts=True)
-            often = ~again & np.isin(a, kinds[counts >= least])
-            documents = pd.DataFrame({"anchor": a[often], "doc": doc[often], "th": th[often]}).drop_duplicates()["anchor"]
-            kinds, counts = np.unique(documents.to_numpy(), return_counts=True)
-            yield pd.DataFrame({"anchor": kinds[counts >= least]})
-
-
-def _anchors_held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """doc, th and the anchors of its windows."""
-    for batch in batches:
-        if (rows := _batch_rows(batch, None)) is not None:
-            yield pd.DataFrame({"doc": rows[0], "th": rows[1], "anchor": rows[2]}).drop_duplicates()
-
-
-def _with_hot(docs: DataFrame, hot: DataFrame) -> DataFrame:
-    """docs with hot, those of the hot anchors that each document holds (null: none)."""
-    held = docs.mapInPandas(_anchors_held, "doc long, th long, anchor long").join(hot, "anchor")
-    lists = held.groupBy("doc", "th").agg(F.collect_set("anchor").alias("hot"))
-    return docs.join(lists, ["doc", "th"], "left")
+        for doc, th, text in zip(*(c.to_pylist() for c in batch.columns)):
+            rows[doc, th] = raw = text.encode()
+            size += len(raw)
+            if size >= UNIT_BYTES:
+                yield [(*k, raw) for k, raw in sorted(rows.items())]
+                rows, size = {}, 0
+    if rows:
+        yield [(*k, raw) for k, raw in sorted(rows.items())]
+
+
+def _unit_rows(unit: Unit, hot: np.ndarray | None) -> tuple[np.ndarray, ...]:
+    """Of a unit's snippets, in order: document (place in the unit), anchor, first window, number of windows, and the place of
+    an earlier snippet of the same hashes (or its own)."""
+    parts = [snippets(raw, hot) for *_, raw in unit]
+    of = np.repeat(np.arange(len(unit)), [len(p[0]) for p in parts])
+    a, s, p, n = map(np.concatenate, zip(*parts))
+    key = _mixed(a * _P1 ^ s)
+    order = np.argsort(key, kind="stable")
+    new = np.r_[True, key[order][1:] != key[order][:-1]] if len(order) else np.zeros(0, bool)
+    like = np.empty(len(order), np.int64)
+    like[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(order) else 0
+    return of, a, p, n, like
+
+
+def _hot_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchors with HOT_SHARE of a unit's rows and their number there; with a null anchor, the number of all rows."""
+    for unit in _units(batches):
+        _, a, *_, like = _unit_rows(unit, None)
+        a = a[like == np.arange(len(a))]
+        kinds, counts = np.unique(a, return_counts=True)
+        often = counts >= max(2, HOT_SHARE * len(a))
+        yield pa.RecordBatch.from_arrays([pa.array([None, *kinds[often].view(np.int64).tolist()], pa.int64()), pa.array([len(a), *counts[often].tolist()], pa.int64())], ["anchor", "n"])
+    give_back()
+
+
+def _hot(docs: DataFrame) -> np.ndarray:
+    """The hot anchors, 2 / HOT_SHARE at most."""
+    found = docs.mapInArrow(_hot_anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    found = written(found, "anchors")
+    total = found.where("anchor is null").agg(F.sum("n")).first()[0] or 0
+    rows = found.where(F.col("anchor").isNotNull() & (F.col("n") >= max(HOT_ROWS, HOT_SHARE / 2 * total))).collect()
+    discard(found)
+    return np.array(sorted(r["anchor"] for r in rows), np.int64).view(np.uint64)
 
 
 def suffix_order(raw: np.ndarray, limit: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -273,89 +280,137 @@ def _runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[np.r_[0, cut + 1]], starts[np.r_[cut, len(starts) - 1]]
 
 
-def _bucket_copies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rims sorted by anchor, doc, th, p: the copied ranges of each anchor's bucket.
+COPIES = "doc long, th long, a int, b int"
 
-    Whole buckets share one suffix array; equal windows have one anchor, so none is found across buckets.
+
+def _batch(rows: list[tuple], names: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [f.split() for f in names.split(", ")]
+    columns = zip(*rows) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), kinds[t]) for c, (_, t) in zip(columns, fields)], [n for n, _ in fields])
+
+
+def _bucket_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Strings (anchor, doc, th, p, raw) sorted by anchor, doc, th, p: the copied ranges of each anchor's bucket.
+
+    A string that equals an earlier one of its bucket is a copy and kept no longer. The different ones of whole buckets share one
+    suffix array; equal windows have one anchor, so none is found across buckets.
     """
+    waiting: list[tuple] = []  # the different strings of buckets before, with their places
+    bucket: dict[bytes, tuple] = {}
+    size, anchor, last = 0, None, None
 
-    def flush(rows: list[tuple]) -> list[tuple]:
-        found = copied_ranges_of([r[-1] for r in rows]) if rows else ()
-        return [(rows[k][1], rows[k][2], rows[k][3] + a, rows[k][3] + b + MIN_BYTES) for k, a, b in found]
+    def flush() -> list[tuple]:
+        found = copied_ranges_of([raw for raw, _ in waiting]) if waiting else ()
+        return [(doc, th, p + a, p + b + MIN_BYTES) for k, a, b in found for doc, th, p in (waiting[k][1],)]
 
-    rows, size = [], 0
     for batch in batches:
         out = []
-        for row in zip(batch["anchor"], batch["doc"], batch["th"], batch["p"], map(bytes, batch["raw"])):
-            if size >= FLUSH_BYTES and row[0] != rows[-1][0]:
-                out += flush(rows)
-                rows, size = [], 0
-            rows.append(row)
-            size += len(row[-1])
-        yield pd.DataFrame(out, columns=["doc", "th", "a", "b"])
-    yield pd.DataFrame(flush(rows), columns=["doc", "th", "a", "b"])
-
-
-def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Two hashes of each window of rims."""
+        for key, doc, th, p, raw in zip(*(c.to_pylist() for c in batch.columns)):
+            if key != anchor:
+                if len(bucket) > 1:
+                    waiting += bucket.items()
+                    size += sum(map(len, bucket))
+                    if size >= FLUSH_BYTES:
+                        out += flush()
+                        waiting, size = [], 0
+                anchor, last, bucket = key, None, {}
+            place = doc, th, p
+            if place == last:  # a repeated row: the same document
+                continue
+            last = place
+            if raw in bucket:
+                out.append((doc, th, p, p + len(raw)))
+            else:
+                bucket[raw] = place
+        yield _batch(out, COPIES)
+    if len(bucket) > 1:
+        waiting += bucket.items()
+    yield _batch(flush(), COPIES)
+    give_back()
+
+
+STRINGS = "anchor long, doc long, th long, p int, raw binary"
+
+
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The strings of documents (doc, th, text, members)."""
     for batch in batches:
-        out = []
-        for doc, th, p, raw in zip(batch["doc"], batch["th"], batch["p"], batch["raw"]):
-            part = np.frombuffer(raw, np.uint8)
-            h = rolling(part, MIN_BYTES)
-            g = _second_hash(part, np.arange(len(h)))
-            out.append(np.c_[h.view(np.int64), g.view(np.int64), np.full(len(h), doc), np.full(len(h), th), np.arange(p, p + len(h))])
-        yield pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 5), np.int64), columns=["h", "g", "doc", "th", "p"])
+        rows = []
+        for doc, th, text, members in zip(*(c.to_pylist() for c in batch.columns)):
+            raw = text.encode()
+            rows += [(m["anchor"], doc, th, m["p"], raw[m["p"] : m["p"] + m["n"] + MIN_BYTES - 1]) for m in members]
+            if len(rows) > 100_000:
+                yield _batch(rows, STRINGS)
+                rows = []
+        yield _batch(rows, STRINGS)
+    give_back()
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of strings, routed by their hash; of equal ones of a batch the first, and the others as copies (raw null)."""
+    for batch in batches:
+        seen, rows = {}, []
+        for _, doc, th, p, raw in sorted(zip(*(c.to_pylist() for c in batch.columns)), key=lambda r: r[1:4]):
+            hashes = rolling(np.frombuffer(raw, np.uint8), MIN_BYTES).view(np.int64).tolist()
+            for i, h in enumerate(hashes):
+                window = raw[i : i + MIN_BYTES]
+                if (place := seen.setdefault(window, (doc, th, p + i))) == (doc, th, p + i):
+                    rows.append((h, doc, th, p + i, window))
+                else:
+                    rows.append((h, doc, th, p + i, None))
+        yield _batch(rows, STRINGS)
+    give_back()
 
 
-def _with_bytes(rims: DataFrame, docs: DataFrame) -> DataFrame:
-    """rims with raw, the bytes that their windows cover."""
-    text = docs.select("doc", "th", F.col("text").cast("binary").alias("bytes"))
-    joined = text.join(rims, ["doc", "th"])
-    rows = joined.select(*rims.columns, F.substring("bytes", F.col("p") + 1, F.col("n") + (MIN_BYTES - 1)).alias("raw"))
-    return rows.dropDuplicates(["anchor", "doc", "th", "p"])  # rows that are equal are one document
+def _copies_of(strings: DataFrame) -> DataFrame:
+    return strings.repartition("anchor").sortWithinPartitions("anchor", "doc", "th", "p").mapInArrow(_bucket_copies, COPIES)
 
 
 def copied_ranges(docs: DataFrame) -> DataFrame:
     """doc, th, a, b of every copied byte range (ranges may overlap). docs: doc long, th long, text string."""
     spark = docs.sparkSession
     small_batches(spark)
-    found = written(docs.mapInPandas(_hot_anchors, "anchor long").distinct(), "hot")
-    few = found.count() <= HOT_BROADCAST
-    hot = spark.sparkContext.broadcast(np.array(sorted(r["anchor"] for r in found.collect()) if few else [], np.int64))
-
-    def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """n is negative for copies within the batch; these go anywhere."""
-        for batch in batches:
-            if (rows := _batch_rows(batch, hot.value)) is not None:
-                doc, th, a, s, p, n, again = rows
-                spread = _mixed(doc.view(np.uint64) * _P1 + p.astype(np.uint64)).view(np.int64)
-                yield pd.DataFrame({"doc": doc, "th": th, "anchor": np.where(again, spread, a), "own": np.where(again, 0, s), "p": p, "n": np.where(again, -n, n)})
-
-    rows = (docs if few else _with_hot(docs, found)).mapInPandas(rows_of, "doc long, th long, anchor long, own long, p int, n short")
-    rows = rows.repartition("anchor").sortWithinPartitions("anchor", "own", "doc", "th", "p")
-    mates = Window.partitionBy("anchor")
-    equals = Window.partitionBy("anchor", "own").orderBy("doc", "th", "p")
-    rows = rows.withColumns({"lo": F.min("own").over(mates), "hi": F.max("own").over(mates), "k": F.count(F.lit(1)).over(mates)})
-    first = F.lit(True)
-    for c in ("doc", "th", "p"):
-        first = first & (F.col(c) == F.first(c).over(equals))
-    rows = rows.withColumn("first", first)
-    marked = rows.where("n < 0 or not first or lo <> hi")
-    marked = written(marked.select("doc", "th", "p", F.abs("n").alias("n"), "anchor", "k", (F.col("first") & (F.col("n") > 0)).alias("first")), "marked")
-    copies = marked.where("not first").select("doc", "th", F.col("p").alias("a"), (F.col("p") + F.col("n") + (MIN_BYTES - 1)).alias("b"))
-    rims = written(_with_bytes(marked.where("first").select("anchor", "k", "doc", "th", "p", "n"), docs), "rims")
-
-    few = rims.where(F.col("k") <= BUCKET_RIMS).select("anchor", "doc", "th", "p", "raw")
-    few = few.repartition("anchor").sortWithinPartitions("anchor", "doc", "th", "p")
-    copies = copies.unionByName(few.mapInPandas(_bucket_copies, "doc long, th long, a int, b int"))
-
-    windows = rims.where(F.col("k") > BUCKET_RIMS).select("doc", "th", "p", "raw").mapInPandas(_windows, "h long, g long, doc long, th long, p int")
-    windows = written(windows, "windows")
-    place = F.struct("doc", "th", "p")
-    least = windows.groupBy("h", "g").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    seen = windows.join(least, ["h", "g"]).where(place != F.col("at"))
-    return copies.unionByName(seen.select("doc", "th", F.col("p").alias("a"), (F.col("p") + MIN_BYTES).alias("b")))
+    hot = spark.sparkContext.broadcast(_hot(docs))
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """n is the number of windows; copies within the unit, as whole ranges, have its length with a minus and go anywhere."""
+        for unit in _units(batches):
+            of, a, p, n, like = _unit_rows(unit, hot.value)
+            copy = np.zeros(len(of), bool)
+            later = np.flatnonzero(like != np.arange(len(of)))
+            for i, j, d, e, x, y, m in zip(later.tolist(), *(c.tolist() for c in (like[later], of[later], of[like[later]], p[later], p[like[later]], n[later] + MIN_BYTES - 1))):
+                copy[i] = n[j] == n[i] and unit[d][2][x : x + m] == unit[e][2][y : y + m]
+            of1, a1 = of[copy], p[copy]
+            b1 = a1 + n[copy] + MIN_BYTES - 1
+            new = np.flatnonzero(np.r_[True, (of1[1:] != of1[:-1]) | (a1[1:] > b1[:-1])]) if len(of1) else np.zeros(0, np.int64)
+            end = np.r_[new[1:], len(of1)] - 1 if len(of1) else new
+            keys = np.array([(doc, th) for doc, th, _ in unit], np.int64).reshape(-1, 2)
+            who = np.concatenate((of[~copy], of1[new]))
+            start = np.concatenate((p[~copy], a1[new]))
+            spread = _mixed(keys[of1[new], 0].view(np.uint64) * _P1 + a1[new].astype(np.uint64))
+            anchor = np.concatenate((a[~copy], spread)).view(np.int64)
+            size = np.concatenate((n[~copy], a1[new] - b1[end]))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[who, 0]), pa.array(keys[who, 1]), pa.array(anchor), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))], ["doc", "th", "anchor", "p", "n"])
+        give_back()
+
+    rows = docs.mapInArrow(rows_of, "doc long, th long, anchor long, p int, n int")
+    marked = rows.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("anchor"))).where("n < 0 or k > 1")
+    marked = written(marked, "marked")
+    copies = marked.where("n < 0").select("doc", "th", F.col("p").alias("a"), (F.col("p") - F.col("n")).alias("b"))
+
+    def strings(members: DataFrame) -> DataFrame:
+        lists = members.groupBy("doc", "th").agg(F.collect_list(F.struct("anchor", "p", "n")).alias("members"))
+        return docs.join(lists, ["doc", "th"]).select("doc", "th", "text", "members").mapInArrow(_sliced, STRINGS)
+
+    members = marked.where("n > 0")
+    copies = copies.unionByName(_copies_of(strings(members.where(F.col("k") <= BUCKET_ROWS))))
+    large = members.where(F.col("k") > BUCKET_ROWS)
+    if not large.isEmpty():
+        windows = written(strings(large).mapInArrow(_windows, STRINGS), "windows")
+        copies = copies.unionByName(windows.where("raw is null").select("doc", "th", F.col("p").alias("a"), (F.col("p") + MIN_BYTES).alias("b")))
+        copies = copies.unionByName(_copies_of(windows.where("raw is not null")))
+    return copies
 
 
 def _merged(ranges: list) -> tuple[list[int], list[int]]:
@@ -379,20 +434,19 @@ def _cut(raw: bytes, ranges) -> tuple[bytes, int, int]:
     return kept, len(raw) - len(kept), len(starts)
 
 
-def with_ranges(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with _text and _ranges, the copied byte ranges of each row (null: none)."""
-    keyed = docs.withColumns({
-        "_doc": F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))), "_text": F.coalesce(F.col(text).cast("string"), F.lit("")),
-    })
-    repeated = keyed.groupBy("_doc").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("_doc", F.lit(True).alias("_many"))
+def with_ranges(docs: DataFrame, doc_id: str, text: str, body: str, ranges: str) -> DataFrame:
+    """docs with two columns more: body, the text (null: empty), and ranges, the copied byte ranges of each row (null: none)."""
+    doc, th, many = fresh(docs, "_doc", "_th", "_many")
+    keyed = docs.withColumns({doc: F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))), body: F.coalesce(F.col(text).cast("string"), F.lit(""))})
+    repeated = keyed.groupBy(doc).agg(F.count(F.lit(1)).alias(many)).where(F.col(many) > 1).select(doc, F.lit(True).alias(many))
     if repeated.isEmpty():
-        keyed = keyed.withColumn("_th", F.lit(0).cast("long"))
+        keyed = keyed.withColumn(th, F.lit(0).cast("long"))
     else:
-        keyed = keyed.join(written(repeated, "repeated"), "_doc", "left").withColumn("_th", F.when(F.col("_many"), F.xxhash64("_text")).otherwise(0)).drop("_many")
-    plain = keyed.select(F.col("_doc").alias("doc"), F.col("_th").alias("th"), F.col("_text").alias("text")).where(F.octet_length("text") >= MIN_BYTES)
-    ranges = copied_ranges(plain)
-    lists = ranges.groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("a", "b")).alias("_ranges"))
-    return keyed.join(lists, ["_doc", "_th"], "left").drop("_doc", "_th")
+        keyed = keyed.join(written(repeated, "repeated"), doc, "left").withColumn(th, F.when(F.col(many), F.xxhash64(body)).otherwise(0)).drop(many)
+    plain = keyed.select(F.col(doc).alias("doc"), F.col(th).alias("th"), F.col(body).alias("text")).where(F.octet_length("text") >= MIN_BYTES)
+    found = copied_ranges(plain)
+    lists = found.groupBy(F.col("doc").alias(doc), F.col("th").alias(th)).agg(F.collect_list(F.struct("a", "b")).alias(ranges))
+    return keyed.join(lists, [doc, th], "left").drop(doc, th)
 
 
 def _digest(texts: pd.Series, ranges: pd.Series) -> pd.DataFrame:
@@ -410,11 +464,12 @@ def _kept(texts: pd.Series, ranges: pd.Series) -> pd.Series:
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with kept_bytes, what is left of each text (a cut may fall within a character)."""
-    kept = F.pandas_udf(_kept, "binary")("_text", "_ranges")
-    return with_ranges(docs, doc_id, text).withColumn("kept_bytes", kept).drop("_text", "_ranges")
+    body, ranges = fresh(docs, "_body", "_ranges")
+    out = with_ranges(docs.select(*[c for c in docs.columns if c.lower() != "kept_bytes"]), doc_id, text, body, ranges)
+    return out.withColumn("kept_bytes", F.pandas_udf(_kept, "binary")(body, ranges)).drop(body, ranges)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = with_ranges(table(spark, sf_dir, "documents", "doc_id", "text"))
-    digest = F.pandas_udf(_digest, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")("_text", "_ranges")
+    out = with_ranges(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", "body", "ranges")
+    digest = F.pandas_udf(_digest, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")("body", "ranges")
     return out.select("doc_id", digest.alias("d")).select("doc_id", "d.*")

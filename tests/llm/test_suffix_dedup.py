@@ -2,7 +2,6 @@ import hashlib
 import random
 
 import numpy as np
-import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -71,7 +70,8 @@ def results(df):
 
 @pytest.mark.parametrize("seed, cap, hot", [(1, 500, 8), (2, 1, 8), (3, 500, 1), (4, 2, 2)])
 def test_against_brute_force(spark, docs, folder, monkeypatch, seed, cap, hot):
-    monkeypatch.setattr(s, "BUCKET_RIMS", cap)
+    monkeypatch.setattr(s, "BUCKET_ROWS", cap)
+    monkeypatch.setattr(s, "UNIT_BYTES", 5000)
     rows = corpus(seed) + [(900, "ab" * 400), (901, "z" * 500), (902, "q" * 99), (903, None), (904, ""), (905, "z" * 100)]
     if hot < 8:
         monkeypatch.setattr(s, "HOT_ROWS", hot)
@@ -87,32 +87,45 @@ def test_a_line_of_every_document(spark, docs, folder):
     assert results(s.op9_suffix_dedup(spark, folder(documents=docs(*rows)))) == brute(rows)
 
 
-def test_hot_anchors_are_counted_by_document():
-    line = " ".join(f"line{i}" for i in range(25))
-    rnd = random.Random(8)
-    texts = [f"{rnd.random()} {rnd.random()}\n{line}\n{rnd.random()} {rnd.random()}\n" for _ in range(40)]
-    batch = lambda texts: pd.DataFrame({"doc": range(len(texts)), "th": 0, "text": texts})
-    found = lambda texts: sum(map(len, s._hot_anchors(iter([batch(texts)]))))
-    assert found(texts) > 0 and found(["".join(texts)]) == 0 and found([*["".join(texts)] * 2, *texts[:5]]) == 0
-
-
-def test_more_hot_anchors_than_are_broadcast(spark, docs, folder, monkeypatch):
+def test_hot_anchors_are_bounded_and_found(spark, docs, monkeypatch):
+    """Those of a line on very many pages, whose ends have other bytes around; with them the result is the same."""
+    monkeypatch.setattr(s, "HOT_ROWS", 100)
+    monkeypatch.setattr(s, "UNIT_BYTES", 20_000)
     line = " ".join(f"line{i}" for i in range(25))
     rnd = random.Random(9)
-    rows = [(i, f"{rnd.random()} {rnd.random()}\n{line}\n{rnd.random()} {rnd.random()} {rnd.random()}") for i in range(150)]
-    rows += [(200, rows[3][1]), (201, "no line that others have " * 9), (202, None)]
-    monkeypatch.setattr(s, "HOT_BROADCAST", 0)
-    held, joined = s._with_hot, []
-
-    def spied(docs, hot):
-        out = held(docs, hot)
-        joined.append(out.where("size(hot) > 0").count())
-        return out
-
-    monkeypatch.setattr(s, "_with_hot", spied)
+    rows = [(i, f"{rnd.random()} {rnd.random()}\n{line}\n{rnd.random()} {rnd.random()} {rnd.random()}") for i in range(600)]
+    rows += [(700, rows[3][1]), (701, "no line that others have " * 9), (702, None)]
     df = docs(*rows, rows[5])
-    got = s.op9_suffix_dedup(spark, folder(documents=df))
-    assert results(got) == brute(rows) and joined and joined[0] >= 150
+    plain = df.selectExpr("doc_id as doc", "0L as th", "text").where("octet_length(text) >= 100")
+    hot = s._hot(plain)
+    assert 0 < len(hot) <= 2 / s.HOT_SHARE
+    held = s.snippets(rows[0][1].encode(), hot)[3]
+    assert (held == 1).sum() > 50 and len(s.snippets(rows[601][1].encode(), hot)[0]) < 20
+    out = s.with_ranges(df, "doc_id", "text", "body", "ranges")
+    digest = s.F.pandas_udf(s._digest, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")("body", "ranges")
+    assert results(out.select("doc_id", digest.alias("d")).select("doc_id", "d.*")) == brute(rows)
+    monkeypatch.setattr(s, "HOT_ROWS", 10**9)
+    monkeypatch.setattr(s, "BUCKET_ROWS", 40)
+    assert not len(s._hot(plain))
+    out = s.with_ranges(df, "doc_id", "text", "body", "ranges")
+    assert results(out.select("doc_id", digest.alias("d")).select("doc_id", "d.*")) == brute(rows)
+
+
+def test_equal_hashes_remove_nothing(spark, docs, folder, monkeypatch):
+    """With hashes that hardly tell strings apart the bytes still decide."""
+    weak = s.rolling
+    monkeypatch.setattr(s, "rolling", lambda raw, width: weak(raw, width) & s.np.uint64(0x3C00000) if width == s.MIN_BYTES else weak(raw, width))
+    rows = corpus(5, 25)
+    unit = [(d, 0, t.encode()) for d, t in rows]
+    of, a, p, n, like = s._unit_rows(unit, None)
+    assert (like != np.arange(len(like))).sum() > 0
+    strings = [(1, d, 0, 0, t.encode()) for d, t in rows if t]
+    batch = s._batch(strings, s.STRINGS)
+    found = {}
+    for out in s._bucket_copies(iter([batch])):
+        for r in out.to_pylist():
+            found.setdefault(r["doc"], set()).update(range(r["a"], r["b"]))
+    assert {d: len(found.get(d, ())) for d, t in rows} == {d: v[1] for d, v in brute(rows).items()}
 
 
 def test_chunks(monkeypatch):
@@ -125,7 +138,8 @@ def test_chunks(monkeypatch):
 
 def test_null_and_repeated_ids(spark, docs):
     a, b = "a1 " * 10 + "".join(chr(97 + i % 23) + str(i) for i in range(120)), "".join(chr(98 + i % 19) + str(i * 7) for i in range(120))
-    df = docs((5, a), (5, a), (6, a), (None, b), (7, b), (8, a + b), (8, b)).withColumnRenamed("lang", "kept_bytes_")
+    df = docs((5, a), (5, a), (6, a), (None, b), (7, b), (8, a + b), (8, b)).withColumnsRenamed({"lang": "_Doc", "source": "_text", "n_chars": "_ranges"})
     got = sorted(((r["doc_id"], r["text"][:2], len(r["kept_bytes"])) for r in s.deduplicate(df).collect()), key=str)
     assert got.count((5, a[:2], len(a))) == 2 and (6, a[:2], 0) in got and (None, b[:2], len(b)) in got and (7, b[:2], 0) in got and (8, b[:2], 0) in got
+    assert s.deduplicate(df).columns == ["doc_id", "text", "_Doc", "_text", "_ranges", "kept_bytes"] and {r["_Doc"] for r in s.deduplicate(df).collect()} == {"en"}
     assert s.deduplicate(docs()).count() == 0
