@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ARROW_ROWS = 1000
 ARROW_BYTES = 8 << 20
 HOT_PARTS, HOT_LEAST = 1000, 200
@@ -39,10 +40,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table written in the shared folder and read again: its lineage ends there."""
+    """df as a table written in the shared folder and read again: its lineage ends there.
+
+    The shuffle files of the query are deleted when it ends, as nothing else can use them.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    kept = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, kept)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out

@@ -367,8 +367,11 @@ def _copies_of(strings: DataFrame) -> DataFrame:
     return strings.repartition("anchor").sortWithinPartitions("anchor", "doc", "th", "p").mapInArrow(_bucket_copies, COPIES)
 
 
-def copied_ranges(docs: DataFrame) -> DataFrame:
-    """doc, th, a, b of every copied byte range (ranges may overlap). docs: doc long, th long, text string."""
+def copied_ranges(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """doc, th, a, b of every copied byte range (ranges may overlap), and the written tables that it reads.
+
+    docs: doc long, th long, text string.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     hot = spark.sparkContext.broadcast(_hot(docs))
@@ -394,9 +397,9 @@ def copied_ranges(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys[who, 0]), pa.array(keys[who, 1]), pa.array(anchor), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))], ["doc", "th", "anchor", "p", "n"])
         give_back()
 
-    rows = docs.mapInArrow(rows_of, "doc long, th long, anchor long, p int, n int")
-    marked = rows.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("anchor"))).where("n < 0 or k > 1")
-    marked = written(marked, "marked")
+    mates = F.count(F.lit(1)).over(Window.partitionBy("anchor"))
+    rows = docs.mapInArrow(rows_of, "doc long, th long, anchor long, p int, n int").withColumn("k", mates)
+    marked = written(rows.where("n < 0 or k > 1"), "marked")
     copies = marked.where("n < 0").select("doc", "th", F.col("p").alias("a"), (F.col("p") - F.col("n")).alias("b"))
 
     def strings(members: DataFrame) -> DataFrame:
@@ -405,12 +408,13 @@ def copied_ranges(docs: DataFrame) -> DataFrame:
 
     members = marked.where("n > 0")
     copies = copies.unionByName(_copies_of(strings(members.where(F.col("k") <= BUCKET_ROWS))))
-    large = members.where(F.col("k") > BUCKET_ROWS)
+    large, used = members.where(F.col("k") > BUCKET_ROWS), [marked]
     if not large.isEmpty():
         windows = written(strings(large).mapInArrow(_windows, STRINGS), "windows")
         copies = copies.unionByName(windows.where("raw is null").select("doc", "th", F.col("p").alias("a"), (F.col("p") + MIN_BYTES).alias("b")))
         copies = copies.unionByName(_copies_of(windows.where("raw is not null")))
-    return copies
+        used.append(windows)
+    return copies, used
 
 
 def _merged(ranges: list) -> tuple[list[int], list[int]]:
@@ -444,8 +448,10 @@ def with_ranges(docs: DataFrame, doc_id: str, text: str, body: str, ranges: str)
     else:
         keyed = keyed.join(written(repeated, "repeated"), doc, "left").withColumn(th, F.when(F.col(many), F.xxhash64(body)).otherwise(0)).drop(many)
     plain = keyed.select(F.col(doc).alias("doc"), F.col(th).alias("th"), F.col(body).alias("text")).where(F.octet_length("text") >= MIN_BYTES)
-    found = copied_ranges(plain)
+    found, used = copied_ranges(plain)
     lists = found.groupBy(F.col("doc").alias(doc), F.col("th").alias(th)).agg(F.collect_list(F.struct("a", "b")).alias(ranges))
+    lists = written(lists, "ranges")
+    discard(*used)
     return keyed.join(lists, [doc, th], "left").drop(doc, th)
 
 
