@@ -1,15 +1,17 @@
 """PII: format-preserving pseudonyms by keyed Feistel permutations.
 
 Found and validated: payment cards (Luhn, 13 to 19 digits, plain or in groups), US social security
-numbers, IBANs (mod 97), IPv4 addresses, North American phone numbers, dates of 1900 to 2099
-(y-m-d, d.m.y, m/d/y or d/m/y) and e-mail addresses (their local part). What fails its validation stays.
+numbers, IBANs (mod 97), IPv4 addresses, North American phone numbers (area and exchange of 200 to 999, none of N11, no
+area N9X), dates of 1900 to 2099 (y-m-d, d.m.y, m/d/y or d/m/y) and e-mail addresses (their local part). What fails its
+validation stays. A phone number that says `+1` is told by its format: if no area has it, it is replaced by another such
+number, so that valid ones give valid ones and others give others.
 
 Each value is ranked within the set of valid values of its kind and length, the rank is permuted
 by a Feistel network on two mixed-radix halves (HMAC-SHA256 rounds; ranks that leave the set are
 permuted again until they are back), and the new rank is written in the old value's layout:
 separators, prefixes, digit counts stay, check digits are made anew. The permutation is of the
 value, not of its spelling, so equal values get equal pseudonyms in every document, and different
-values different ones. The key is a parameter; on a cluster take it from a secret store.
+values different ones. The key is a parameter without a default; on a cluster take it from a secret store. The query uses DEMO_KEY.
 
 One narrow pass, no shuffle. Defined results: a null text stays null, an empty one empty, both
 with no values. Repeated rows give repeated results; an empty table an empty one. Further columns pass
@@ -23,16 +25,16 @@ import hashlib
 import hmac
 import math
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import fresh, small_batches, table
 
-KEY = b"plinth demo key: replace it"
+DEMO_KEY = b"plinth demo key: replace it"
 ROUNDS = 10
 DAY0, DAYS = datetime.date(1900, 1, 1), 73049
 
@@ -40,7 +42,7 @@ PATTERN = re.compile(
     r"(?P<email>(?<![\w.+-])(?P<local>[A-Za-z0-9][A-Za-z0-9._+-]{0,63})@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
     r"|(?P<ymd>(?<![0-9.-])[0-9]{4}(?P<s1>[-/.])[0-9]{2}(?P=s1)[0-9]{2}(?![0-9]|[-.][0-9]))"
-    r"|(?P<ip>(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9]))"
+    r"|(?P<ip>(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9]))"
     r"|(?P<dmy>(?<![0-9.-])[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}(?![0-9]|\.[0-9]))"
     r"|(?P<mdy>(?<![0-9/-])[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?![0-9]|/[0-9]))"
     r"|(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9]))"
@@ -137,10 +139,22 @@ def _ip(key: bytes, text: str) -> str | None:
     return ".".join(map(str, new.to_bytes(4, "big")))
 
 
+def _has_area(number: int) -> bool:
+    """Whether ten digits are a North American number that can be dialled."""
+    area, exchange = divmod(number // 10_000, 1000)
+    return 200 <= area and 200 <= exchange and area % 100 != 11 and exchange % 100 != 11 and area // 10 % 10 != 9
+
+
 def _phone(key: bytes, text: str) -> str | None:
     head = "+1" if text.startswith("+1") else ""
-    digits = "".join(_DIGIT.findall(text[len(head) :]))
-    return head + laid_out(str(permutation(key, "phone", 10**10)(int(digits))).zfill(10), text[len(head) :])
+    number = int("".join(_DIGIT.findall(text[len(head) :])))
+    good, permuted = _has_area(number), permutation(key, "phone", 10**10)
+    if not good and not head:
+        return None
+    number = permuted(number)
+    while _has_area(number) != good:  # a permutation of the numbers of one sort
+        number = permuted(number)
+    return head + laid_out(str(number).zfill(10), text[len(head) :])
 
 
 def _iban(key: bytes, text: str) -> str | None:
@@ -220,21 +234,23 @@ def replaced(text: str | None, key: bytes) -> tuple[str | None, list[tuple[str,
 SPANS = "array<struct<kind:string,start:int,end:int,pseudonym:string>>"
 
 
-def pseudonymize(docs: DataFrame, text: str = "text", key: bytes = KEY) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     """docs with text replaced and the column pii: the kinds, places and pseudonyms."""
     small_batches(docs.sparkSession)
+    kind = pa.struct({"new": pa.string(), "pii": pa.list_(pa.struct({"kind": pa.string(), "start": pa.int32(), "end": pa.int32(), "pseudonym": pa.string()}))})
 
-    @F.pandas_udf(f"new string, pii {SPANS}")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            done = [replaced(t, key) for t in texts]
-            yield pd.DataFrame({"new": [d[0] for d in done], "pii": [[dict(zip(("kind", "start", "end", "pseudonym"), f)) for f in d[1]] for d in done]})
+    @F.arrow_udf(f"struct<new:string,pii:{SPANS}>")
+    def run(texts: pa.Array) -> pa.Array:
+        done = [replaced(t, key) for t in texts.to_pylist()]
+        names = ("kind", "start", "end", "pseudonym")
+        return pa.array([{"new": new, "pii": [dict(zip(names, f)) for f in found]} for new, found in done], kind)
 
-    rest = [c for c in docs.columns if c != "pii"]
-    with_it = docs.select(*rest, run(F.col(text).cast("string")).alias("_pii"))
-    return with_it.select(*[F.col("_pii.new").alias(c) if c == text else F.col(c) for c in rest], F.col("_pii.pii").alias("pii"))
+    name = fresh(docs, "_pii")[0]
+    rest = [c for c in docs.columns if c.lower() != "pii"]
+    with_it = docs.select(*rest, run(F.col(text).cast("string")).alias(name))
+    return with_it.select(*[F.col(name)["new"].alias(c) if c == text else F.col(c) for c in rest], F.col(name)["pii"].alias("pii"))
 
 
 def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pseudonymize(table(spark, sf_dir, "documents", "doc_id", "text"))
+    out = pseudonymize(table(spark, sf_dir, "documents", "doc_id", "text"), DEMO_KEY)
     return out.select("doc_id", F.size("pii").cast("long").alias("n_values"), F.transform("pii", lambda x: x["pseudonym"]).alias("pseudonyms"), F.transform("pii", lambda x: x["kind"]).alias("kinds"), "text")

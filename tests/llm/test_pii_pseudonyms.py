@@ -53,6 +53,53 @@ def test_two_values_side_by_side():
     assert len(found) == 2 and len(new) == 33
 
 
+def test_phones():
+    assert kinds("(000) 000-0000 123-456-7890 (411) 555-0100 (292) 555-0100 (602) 911-0100 602-555") == []
+    assert kinds("(602) 555-0100 602.555.0101 +1 602-555-0102 +1 (017) 555-0103") == ["phone"] * 4
+    numbers = [f"({area}) {exchange}-{n:04d}" for area in ("602", "907", "312") for exchange in ("200", "999", "555") for n in range(60)]
+    images = [p.replaced(n, KEY)[0] for n in numbers]
+    assert len(set(images)) == len(numbers) and all(kinds(i) == ["phone"] for i in images)
+    others = [p.replaced(f"+1 (017) 555-{n:04d}", KEY)[0] for n in range(100)]
+    assert len(set(others)) == 100 and all(kinds(o) == ["phone"] and kinds(o[3:]) == [] for o in others)
+    assert p.replaced("602.555.0101", KEY)[0].replace(".", "") == re.sub(r"\D", "", p.replaced("(602) 555-0101", KEY)[0])
+
+
+def test_versions_are_no_addresses():
+    assert kinds("v1.2.3.4 and release-v10.0.0.1") == [] and kinds("at 1.2.3.4, and (10.0.0.1)") == ["ip", "ip"]
+
+
+def plain_luhn(digits):
+    table = (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)
+    return sum(int(c) if i % 2 else table[int(c)] for i, c in enumerate(digits, len(digits) % 2)) % 10 == 0
+
+
+def plain_values(text):
+    """What the tables' documents hold of personal data, word by word and without the finder's pattern."""
+    out, words = [], text.split()
+    for i, word in enumerate(words):
+        core = re.sub(r"^[^\w]+|[^\w]+$", "", word, flags=re.ASCII)
+        if core.isascii() and core.isdigit() and 13 <= len(core) <= 19 and plain_luhn(core):
+            out.append(core)
+        elif core.count(".") == 3 and all(x.isdigit() and str(int(x)) == x and int(x) < 256 for x in core.split(".")):
+            out.append(core)
+        elif "@" in core and "." in core.split("@")[1]:
+            out.append(core)
+        elif word.endswith("+1") and i + 2 < len(words) and re.match(r"\(\d{3}\)$", words[i + 1]):
+            out.append(f"+1 {words[i + 1]} {words[i + 2][:8]}")
+    return sorted(out)
+
+
+def test_found_values_against_a_plain_reader(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").where("text is not null").collect()
+    n = 0
+    for r in rows:
+        new, found = p.replaced(r["text"], KEY)
+        assert sorted(r["text"][a:b] for _, a, b, _ in found) == plain_values(r["text"]), r["doc_id"]
+        assert plain_values(new) == sorted(f[3] for f in found)
+        n += len(found)
+    assert n > 40
+
+
 def test_table(spark, docs):
     df = docs((1, "call +1 (602) 555-0100"), (2, "again +1 (602) 555-0100"), (3, None), (4, ""), (5, "word " * 50000 + "10.1.2.3"), (1, "call +1 (602) 555-0100"))
     got = [r.asDict() for r in p.pseudonymize(df, key=KEY).orderBy("doc_id").collect()]
@@ -60,4 +107,5 @@ def test_table(spark, docs):
     assert one == same and one["pii"][0]["pseudonym"] == two["pii"][0]["pseudonym"]
     assert (three["text"], three["pii"]) == (None, []) and (four["text"], four["pii"]) == ("", [])
     assert len(five["pii"]) == 1 and "10.1.2.3" not in five["text"]
-    assert p.pseudonymize(docs()).count() == 0 and p.pseudonymize(df.withColumnRenamed("lang", "pii")).columns.count("pii") == 1
+    assert p.pseudonymize(docs(), KEY).count() == 0 and p.pseudonymize(df.withColumnRenamed("lang", "pii"), KEY).columns.count("pii") == 1
+    assert p.pseudonymize(df.withColumnRenamed("lang", "_pii"), KEY).where("_pii = 'en'").count() == 6
