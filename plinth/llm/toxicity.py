@@ -1,11 +1,12 @@
 """Toxicity by compression distance between two zstandard dictionaries.
 
-Training (driver, on a bounded sample of labelled rows: at most MAX_ROWS of each class, in the
-order of a hash of doc_id, texts of at most MAX_TRAIN_CHARS characters):
+Training (driver, on a bounded sample of labelled rows: of the texts of at most MAX_TRAIN_CHARS characters the first
+MAX_ROWS of each class in the order of a hash of doc_id):
 
 1. An ordinary dictionary is trained on the windows of ordinary texts (at most MAX_WINDOWS of the sample's, drawn at
    random with a fixed seed).
-2. Byte grams that toxic texts hold RATIO times as often as ordinary ones, in MIN_CONTEXTS
+2. A dictionary of all windows of toxic texts is mostly one of ordinary words and finds little (figures in the README), so
+   the toxic one is trained on what only toxic texts have. Byte grams that toxic texts hold RATIO times as often as ordinary ones, in MIN_CONTEXTS
    different contexts or more (so that copies of one text count once), mark the toxic snippets;
    the toxic dictionary is trained on those. It is used together with the ordinary one, so both
    sides know ordinary words equally well and only toxic material makes a difference.
@@ -35,7 +36,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import give_back, small_batches, table
 
 MAX_ROWS = 2000
 MAX_TRAIN_CHARS = 20_000
@@ -225,11 +226,12 @@ def held_out(doc_id: Column) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[list[tuple[str, int]], float | None]:
     """The bounded sample, (text, toxic) of rows that aren't held out, and the toxic share of all such labels."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    texts = docs.select("doc_id", "text").where(F.length("text") <= MAX_TRAIN_CHARS)
+    there = texts.select("doc_id").distinct().join(known, "doc_id")
     picked = None
     for label in (1, 0):
-        some = known.where((F.col("toxic") != 0) == bool(label)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+        some = there.where((F.col("toxic") != 0) == bool(label)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
         picked = some if picked is None else picked.unionByName(some)
-    texts = docs.select("doc_id", "text").where(F.length("text") <= MAX_TRAIN_CHARS)
     rows = texts.join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * max_rows)
     share = known.agg(F.avg((F.col("toxic") != 0).cast("double"))).first()[0]
     return [(r["text"], int(r["toxic"] != 0)) for r in rows.select("text", "toxic").collect()], share
@@ -244,6 +246,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
         of = model.scorer()
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": [of(t) for t in batch["text"]]})
+        give_back()
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInPandas(scored, f"doc_id {kind}, score double")

@@ -56,3 +56,33 @@ def test_labels_of_held_out_rows_do_not_count(spark, docs):
     labels = spark.createDataFrame([(i, 1) for i in range(200)], "doc_id long, toxic int")
     rows, share = t.training_rows(df, labels)
     assert len(rows) == 200 - len(out) and share == 1.0 and not {x for x, _ in rows} & {f"text {i}" for i in out}
+
+
+def test_long_texts_take_no_places_of_the_sample(spark, docs, monkeypatch):
+    monkeypatch.setattr(t, "MAX_TRAIN_CHARS", 50)
+    df = docs(*[(i, "long " * 40 if i % 3 else f"text {i}") for i in range(300)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int")
+    rows, _ = t.training_rows(df, labels, max_rows=20)
+    assert len(rows) == 40 and all(len(x) <= 50 for x, _ in rows)
+
+
+def test_scores_against_a_plain_recomputation(spark, docs):
+    """The features once more, window by window, with compressors made here."""
+    import math
+
+    import zstandard
+
+    rows = texts(300, 5)
+    model = t.fit(rows)
+    new = texts(40, 6) + [("", 0), ("one", 0)]
+    got = {r["doc_id"]: r["score"] for r in t.score(docs(*((i, x) for i, (x, _) in enumerate(new))), model).collect()}
+
+    def size(window, raw):
+        d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(level=t.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(window))
+
+    for i, (text, _) in enumerate(new):
+        won = sorted((size(w, model.ordinary) - size(w, model.ordinary + model.toxic) for w in t.windows(t.prepared(text))), reverse=True)
+        hits = len([x for x in won if x >= t.HIT])
+        x = [min(won[0], 12) / 5, min(sum(won[:3]) / 3, 12) / 5, math.log(1 + hits), min(20 * hits / len(won), 3), sum(won) / len(won)] if won else [0] * 5
+        assert abs(got[i] - 1 / (1 + math.exp(-(model.weights[0] + sum(a * b for a, b in zip(model.weights[1:], x)))))) < 1e-9
