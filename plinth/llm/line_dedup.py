@@ -14,8 +14,8 @@ tasks as its size asks for, its list repeated for each.
 
 Defined results: a null text stays null and is a page of its site without lines; an empty one
 stays empty. Null is a site of its own. Repeated rows are pages each. Documents that lose every
-line stay, with an empty text. An empty table gives an empty one. Further columns pass through (one named n_lines or
-n_dropped is replaced), whatever their names.
+line stay, with an empty text. An empty table gives an empty one. Further columns pass through, whatever their names (one
+with the name of a made column, n_lines and n_dropped if no others are told, is replaced).
 """
 
 from __future__ import annotations
@@ -54,14 +54,14 @@ def boilerplate(docs: DataFrame, site: str = "source", text: str = "text", max_r
     return exact.join(totals, "site").where(passed).select("site", "line", F.col("n").alias("n_pages"), "total")
 
 
-def drop_boilerplate(docs: DataFrame, site: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """docs with the boilerplate lines gone from text; n_lines and n_dropped come with it."""
+def drop_boilerplate(docs: DataFrame, site: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, names: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """docs with the boilerplate lines gone from text, and two columns more, names: the lines of the page and those dropped."""
     found = boilerplate(docs, site, text, max_ratio, min_pages)
     own, drop, part, parts, every, kept = fresh(docs, "_site", "_drop", "_part", "_parts", "_all", "_kept")
     lists = found.groupBy("site").agg(F.collect_list("line").alias(drop), F.sum(F.octet_length("line") + 16).alias("bytes"), F.first("total").alias("total"))
     lists = written(lists.withColumnRenamed("site", own), "boilerplate")
     size = lists.agg(F.sum("bytes")).first()[0] or 0
-    rest = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    rest = [c for c in docs.columns if c.lower() not in (n.lower() for n in names)]
     rows = docs.select(*rest).withColumn(own, _site(site))
     if size <= BROADCAST_BYTES:
         joined = rows.join(F.broadcast(lists.select(own, drop)), own, "left")
@@ -79,7 +79,7 @@ def drop_boilerplate(docs: DataFrame, site: str = "source", text: str = "text",
     joined = joined.withColumn(kept, F.when(F.size(drop) > 0, F.filter(every, lambda x: ~F.array_contains(F.col(drop), x))).otherwise(F.col(every)))
     left = F.when(F.size(drop) > 0, F.array_join(kept, "\n")).otherwise(F.col(text))
     count = lambda x: F.when(F.col(text).isNull(), F.lit(0)).otherwise(x).cast("long")
-    return joined.select(*[left.alias(c) if c == text else F.col(c) for c in rest], count(F.size(every)).alias("n_lines"), count(F.size(every) - F.size(kept)).alias("n_dropped"))
+    return joined.select(*[left.alias(c) if c == text else F.col(c) for c in rest], count(F.size(every)).alias(names[0]), count(F.size(every) - F.size(kept)).alias(names[1]))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,3 +105,30 @@ def test_components(spark):
         x, y = sorted((root(a), root(b)))
         parent[y] = x
     assert got == {x: root(x) for x in parent}
+
+
+def test_recall_against_exact_links_of_a_whole_table(spark):
+    """Every pair of sf0.01's documents that share a shingle, by an index of shingles: all links are found and no other."""
+    folder = "/root/testdata/sf0.01"
+    rows = [(r["doc_id"], m.shingles(r["text"])) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
+    of, parent, links = {}, {d: d for d, _ in rows}, 0
+    sets = dict(rows)
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for d, s in rows:
+        shared = {}
+        for g in s:
+            for e in of.get(g, ()):
+                shared[e] = shared.get(e, 0) + 1
+            of.setdefault(g, []).append(d)
+        for e, n in shared.items():
+            if 100 * n >= m.PERCENT * (len(s) + len(sets[e]) - n):
+                links += 1
+                a, b = sorted((root(d), root(e)))
+                parent[b] = a
+    got = {r["doc_id"]: r["component_id"] for r in m.op10_minhash_near_dedup(spark, folder).collect()}
+    assert links > 50 and got == {d: root(d) for d in parent}

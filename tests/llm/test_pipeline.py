@@ -73,3 +73,22 @@ def test_the_query_keeps_its_own_threshold(spark, docs, folder):
     assert {r["doc_id"]: r["component_id"] for r in minhash_near_dedup.op10_minhash_near_dedup(spark, path).collect()} == {1: 1, 2: 2, 4: 2}
     path = folder(documents=docs(*rows))
     assert {r["component_id"] for r in minhash_near_dedup.op10_minhash_near_dedup(spark, path).collect()} == {1}
+
+
+def test_stages_with_clashing_columns_and_repeated_rows(spark, docs, folder):
+    """Extra columns named like the operators' own helpers, nulls, repeated rows and a long text pass every stage."""
+    say = lambda k: " ".join(f"w{(k * 37 + i * i) % 900}" for i in range(60)) + "."
+    long = "\n".join(say(1000 + i) for i in range(400))
+    table = docs(*((i, say(i), f"s{i % 2}") for i in range(12)), (3, say(3), "s1"), (3, say(3), "s1"), (50, long), (60, None, None), (61, ""), (None, say(70)))
+    names = ("_site", "_drop", "_Part", "_parts", "_all", "_kept", "_gone", "_doc", "_th", "clean_text", "Kept", "n_lines", "n_dropped", "_text", "_key")
+    table = table.withColumns({n: c.F.concat(c.F.lit(n), c.F.coalesce(c.F.col("doc_id").cast("string"), c.F.lit("-"))) for n in names})
+    path = folder(documents=table, benchmark=spark.createDataFrame([(1, say(5))], "item_id long, text string"))
+    for name, stage in c.STAGES[:-1]:
+        out = stage(spark, table, path)
+        assert out.dtypes == table.dtypes, name
+        rows = out.collect()
+        assert all(r[n] == n + str("-" if r["doc_id"] is None else r["doc_id"]) for r in rows for n in names), name
+        ids = [r["doc_id"] for r in rows]
+        assert ids.count(3) == 3 and ids.count(50) == 1 and ids.count(None) == 1, name
+        assert (5 in ids) == (name != "benchmark decontamination")
+    assert c.run(spark, path).where("doc_id = 3").count() == 3
