@@ -34,7 +34,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the boilerplate lines of their source; a document that was all boilerplate stays, empty."""
-    return _measured(drop_boilerplate(docs).select(*docs.columns))
+    return _measured(drop_boilerplate(docs, names=tuple(fresh(docs, "n_lines", "n_dropped"))).select(*docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
