@@ -11,3 +11,7 @@ class PlatformNotSupportedError(SourceError):
 
 class PortalError(SourceError):
     """A portal's answer can't be used."""
+
+
+class ModelError(Exception):
+    """A provider of embeddings or text that can't be asked or gives no answer."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import parse_qs, urljoin, urlsplit
@@ -30,6 +31,18 @@ TERM_FIELDS = {
 DETAIL_FIELDS = ("description", "requirements", "location", "department", "salary", "posted_date", "closing_date", "job_number", "job_type")
 REQUIREMENT_HEADING = re.compile("qualification|requirement|education|experience", re.I)
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+#: Fixed values of HTML: which start tags end an open paragraph or an open sibling, and what holds a paragraph or list together.
+ENDS_PARAGRAPH = frozenset("address article aside blockquote center details dialog dir div dl dt dd fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section summary table ul".split())
+HOLDS_PARAGRAPH = frozenset("button caption object table td template th".split())
+ENDS_SIBLING = {
+    "li": (("li",), frozenset(("ul", "ol", "menu"))),
+    "dt": (("dt", "dd"), frozenset(("dl",))),
+    "dd": (("dt", "dd"), frozenset(("dl",))),
+    "option": (("option",), frozenset(("select", "datalist"))),
+    "tr": (("tr",), frozenset(("table",))),
+    "td": (("td", "th"), frozenset(("tr", "table"))),
+    "th": (("td", "th"), frozenset(("tr", "table"))),
+}
 _SPACE = re.compile(r"\s+")
 
 
@@ -44,18 +57,20 @@ class Node:
         self.tag, self.attrs, self.children = tag, attrs, []
         self.classes = frozenset(attrs.get("class", "").split())
 
+    def _nodes(self) -> Iterator[Node | str]:
+        """Elements and strings below, in order; pages may nest as deeply as they like."""
+        stack = self.children[::-1]
+        while stack:
+            at = stack.pop()
+            yield at
+            if isinstance(at, Node):
+                stack += at.children[::-1]
+
     def walk(self) -> Iterator[Node]:
-        for child in self.children:
-            if isinstance(child, Node):
-                yield child
-                yield from child.walk()
+        return (n for n in self._nodes() if isinstance(n, Node))
 
     def strings(self) -> Iterator[str]:
-        for child in self.children:
-            if isinstance(child, Node):
-                yield from child.strings()
-            elif child.strip():
-                yield child.strip()
+        return (n.strip() for n in self._nodes() if isinstance(n, str) and n.strip())
 
     def text(self) -> str:
         return clean(" ".join(self.strings()))
@@ -74,22 +89,36 @@ class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("", {})
-        self.open = [self.root]
+        self.open, self.times = [self.root], Counter()
+
+    def _close(self, tags: tuple[str, ...], within: frozenset[str] = frozenset()) -> None:
+        """Close the innermost open element of some tags, with all in it, unless an element of within is further in."""
+        if not any(self.times[t] for t in tags):
+            return
+        for depth in range(len(self.open) - 1, 0, -1):
+            if self.open[depth].tag in tags:
+                self.times.subtract(n.tag for n in self.open[depth:])
+                del self.open[depth:]
+                return
+            if self.open[depth].tag in within:
+                return
 
     def handle_starttag(self, tag, attrs):
+        if tag in ENDS_PARAGRAPH:
+            self._close(("p",), HOLDS_PARAGRAPH)
+        if tag in ENDS_SIBLING:
+            self._close(*ENDS_SIBLING[tag])
         node = Node(tag, {k: v or "" for k, v in attrs})
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
+            self.times[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.open[-1].children.append(Node(tag, {k: v or "" for k, v in attrs}))
 
     def handle_endtag(self, tag):
-        for depth in range(len(self.open) - 1, 0, -1):
-            if self.open[depth].tag == tag:
-                del self.open[depth:]
-                break
+        self._close((tag,))
 
     def handle_data(self, data):
         self.open[-1].children.append(data)
@@ -206,11 +235,15 @@ def details(page: str | None) -> dict[str, str]:
     sections: dict[str, list[str]] = {"description": [], "requirements": []}
     info = root.first(lambda n: n.attrs.get("id") == "details-info")
     for dl in info.all(lambda n: n.tag == "dl") if info else ():
-        nodes = [c for c in dl.children if isinstance(c, Node)]
-        for dt, dd in zip(nodes, nodes[1:]):
-            if dt.tag == "dt" and dd.tag == "dd" and dd.text():
-                heading = dt.text()
-                sections["requirements" if REQUIREMENT_HEADING.search(heading) else "description"].append(f"{heading}\n{dd.text()}".strip())
+        content = ""  # of the nearest dd after, so from the end
+        found = []
+        for node in reversed([c for c in dl.children if isinstance(c, Node)]):
+            if node.tag == "dd":
+                content = node.text()
+            elif node.tag == "dt" and content and (heading := node.text()):
+                found.append((heading, content))
+        for heading, content in reversed(found):
+            sections["requirements" if REQUIREMENT_HEADING.search(heading) else "description"].append(f"{heading}\n{content}")
     out |= {k: "\n\n".join(v) for k, v in sections.items() if v}
     posting = job_posting(root)
     fallback = {

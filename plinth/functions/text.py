@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words that say nothing about a place.
@@ -80,6 +80,28 @@ def score_shown(score: Column) -> Column:
     return F.concat(F.bround(s, 0).cast("int").cast("string"), F.lit("/100"))
 
 
+def flat(df: DataFrame, *keep: str) -> DataFrame:
+    """df with scalars only: nested columns but those of keep become JSON, others that aren't plain become text."""
+    plain = {"string", "boolean", "tinyint", "smallint", "int", "bigint", "float", "double"}
+
+    def one(name: str, kind: str) -> Column:
+        if kind in plain or name in keep:
+            return F.col(name)
+        return (F.to_json(name) if kind.startswith(("struct", "array", "map")) else F.col(name).cast("string")).alias(name)
+
+    return df.select(*[one(n, k) for n, k in df.dtypes])
+
+
+def card(title: Column, place: Column, location: Column, score: Column, tailored: Column) -> Column:
+    """A job as a piece of HTML; texts are escaped and a missing score is 0."""
+    own = lambda x, other: html_escaped(F.coalesce(present(or_empty(x)), F.lit(other)))
+    mark = F.when(F.coalesce(tailored, F.lit(False)), F.lit('<p class="tailored">Resume tailored</p>')).otherwise("")
+    return F.concat(
+        F.lit('<article class="job"><h3>'), own(title, "Untitled"), F.lit('</h3><span class="score score-'), score_badge(score), F.lit('">'), score_shown(score),
+        F.lit('</span><p class="place">'), own(place, ""), F.lit('</p><p class="location">'), own(location, ""), F.lit("</p>"), mark, F.lit("</article>"),
+    )
+
+
 def stripped(x: Column) -> Column:
     """Dates and salaries stay as they are written, without white space at the ends."""
     return F.regexp_replace(or_empty(x), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")

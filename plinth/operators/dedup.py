@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import with_identity
@@ -21,7 +21,8 @@ def quality_key(df: DataFrame) -> Column:
 def best_by_key(df: DataFrame, key: str, quality: Column, order: str) -> DataFrame:
     """The best row of each key (ties: the first), each with the key's first place in order.
 
-    One hash aggregation with partial sums: a key with very many rows costs each task one.
+    An aggregation with partial results: a key with very many rows costs each task one. As its rows are of variable size Spark
+    sorts by the key for it.
     """
     row = F.struct(*df.columns)
     picked = df.groupBy(key).agg(F.max_by(row, F.struct(quality.alias("q"), -F.col(order))).alias("_row"), F.min(order).alias("_first"))
@@ -58,8 +59,8 @@ def union_in_order(*parts: DataFrame, order: str = "pos") -> DataFrame:
 
 
 def narrow_cities(cities: DataFrame, wanted: Column, name: str = "city") -> DataFrame:
-    """Cities that hold every wanted term; all of them if none does. The city list is small by nature."""
+    """Cities that hold every wanted term; all of them if none does (which is asked while the plan is built)."""
     from ..functions.text import has_all, terms
 
-    hit = has_all(wanted, terms(F.col(name)))
-    return cities.withColumn("_hit", hit).withColumn("_any", F.max("_hit").over(Window.partitionBy())).where("_hit or not _any").drop("_hit", "_any")
+    hits = cities.where(has_all(wanted, terms(F.col(name))))
+    return cities if hits.isEmpty() else hits

@@ -9,13 +9,17 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 from collections.abc import Callable
+from urllib.error import HTTPError, URLError
+from urllib.request import Request, urlopen
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import ModelError
 from ..functions.text import fenced
 from ..schemas import ADVICE, RESUME
 
@@ -40,6 +44,49 @@ def hashed_words(dimensions: int = DIMENSIONS) -> Embed:
     return embed
 
 
+class HttpProvider:
+    """A provider over HTTP: POST of JSON with a bearer key. Server and connection errors are tried again, others raise at once."""
+
+    def __init__(self, base_url: str, api_key: str, model: str, dimensions: int = DIMENSIONS, sleep: Callable[[float], None] = time.sleep):
+        if not api_key:
+            raise ModelError("an API key is needed")
+        self.base_url, self.api_key, self.model, self.dimensions, self.sleep = base_url.rstrip("/"), api_key, model, dimensions, sleep
+
+    def _post(self, path: str, body: dict, attempts: int, timeout: float) -> dict:
+        request = Request(f"{self.base_url}/{path}", json.dumps(body).encode(), {"Authorization": f"Bearer {self.api_key}", "Content-Type": "application/json"})
+        for k in range(attempts):
+            try:
+                with urlopen(request, timeout=timeout) as reply:
+                    return json.loads(reply.read())
+            except (HTTPError, URLError) as error:
+                if k + 1 == attempts or (isinstance(error, HTTPError) and error.code < 500):
+                    raise ModelError(f"{path}: {error}") from error
+                self.sleep(2**k + 0.5)
+        raise ModelError(f"{path}: no attempt")
+
+    def generate(self, prompts: list[str]) -> list[str]:
+        replies = [self._post("query", {"prompt": p, "model": self.model}, 1, 60) for p in prompts]
+        if bad := [r for r in replies if "response" not in r]:
+            raise ModelError(str(bad[0].get("message", bad[0]))[:500])
+        return [r["response"] for r in replies]
+
+    def embed(self, texts: list[str]) -> list[list[float] | None]:
+        return [_vector(self._post("embeddings", {"query": t, "embeddings_model": self.model, "dimensions": self.dimensions}, ATTEMPTS, 30)) for t in texts]
+
+    def describe(self) -> dict[str, str | int]:
+        """What is asked for, without the key."""
+        return {"base_url": self.base_url, "model": self.model, "dimensions": self.dimensions}
+
+
+def _vector(reply: dict) -> list[float]:
+    for name in ("response", "embeddings", "embedding"):
+        if name in reply:
+            return reply[name]
+    if isinstance(reply.get("data"), list) and reply["data"] and "embedding" in reply["data"][0]:
+        return reply["data"][0]["embedding"]
+    raise ModelError("no embedding in the reply")
+
+
 def embedded(text: Column, embed: Embed, dimensions: int = DIMENSIONS) -> Column:
     """The embedding of each text; a text that fails gets zeros. A batch that fails is tried text by text."""
 

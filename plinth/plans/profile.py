@@ -12,7 +12,8 @@ from ..functions.text import present
 from ..operators.dedup import deduplicate_jobs
 from ..operators.joins import memo_hits, memo_misses
 from ..operators.models import Generate, generated, parsed_advice, parsed_resume
-from ..schemas import DEGREES, INTERESTS, PROFILE
+from ..schemas import DEGREES, INTERESTS, PROFILE, RESUME
+from ..sources.resumes import extracted
 
 KEEP = object()
 
@@ -56,6 +57,31 @@ def parsed_resumes(resumes: DataFrame, memo: DataFrame, generate: Generate) -> D
     return keyed.join(memo.select("text_hash", "resume_parsed").unionByName(made), "text_hash").drop("text_hash")
 
 
+def processed_resumes(files: DataFrame, memo: DataFrame, generate: Generate, max_mb: int = 5) -> DataFrame:
+    """path, text, resume_parsed, candidate_name and warning of resume files (path, length, content): extracted, then parsed or known.
+
+    A file without text has its error for a warning; a parse that failed is null, with a warning, and the text stays.
+    """
+    texts = extracted(files, max_mb)
+    good = parsed_resumes(texts.where("error is null").select("path", "text"), memo, generate)
+    failed = F.col("resume_parsed")["error"]
+    told = F.when(failed.isNotNull(), F.concat(F.lit("not parsed: "), failed))
+    good = good.withColumn("warning", told).withColumn("resume_parsed", F.when(F.col("warning").isNull(), F.col("resume_parsed")))
+    bad = texts.where("error is not null").select("path", "text", F.lit(None).cast(RESUME).alias("resume_parsed"), F.col("error").alias("warning"))
+    every = good.unionByName(bad)
+    return every.withColumn("candidate_name", F.coalesce(F.col("resume_parsed")["name"], F.lit(""))).select("path", "text", "resume_parsed", "candidate_name", "warning")
+
+
+def gaps(advice: DataFrame) -> DataFrame:
+    """One row for each skill gap of each job."""
+    return advice.select("job_id", F.explode(F.col("advice")["skill_gaps"]).alias("gap"))
+
+
+def keywords(advice: DataFrame) -> DataFrame:
+    """One row for each keyword that a job's advice suggests."""
+    return advice.select("job_id", F.explode(F.col("advice")["keywords"]).alias("keyword"))
+
+
 def advised(jobs: DataFrame, memo: DataFrame, profile_text: str, generate: Generate) -> DataFrame:
     """job_id and advice of jobs; advice in memo (job_id, advice) isn't asked for again."""
     known = memo_hits(memo, jobs, "job_id").select("job_id", "advice")

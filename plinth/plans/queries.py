@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 import datetime
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.documents import chat_prompt, job_text, resume_text
-from ..functions.html import parse_article
-from ..functions.identity import job_id_of
-from ..functions.text import LOCATION_STOP_WORDS, clean_text, html_escaped, posting_id, present, score_badge, score_shown, terms
+from ..functions.html import parse_article, parse_details
+from ..functions.identity import job_id_of, with_identity
+from ..functions.text import LOCATION_STOP_WORDS, card, clean_text, flat, html_escaped, posting_id, present, score_badge, score_shown, terms
 from ..functions.urls import TRACKING_KEYS, canonical_url, detected_platform, host, is_tracking, query_pairs
-from ..operators.dedup import best_by_key, fingerprint, first_by_key, narrow_cities
+from ..operators.dedup import best_by_key, fingerprint, first_by_key, narrow_cities, quality_key
 from ..operators.filters import age_hours, dismiss, filter_jobs, is_fresh, min_score, valid_vector
 from ..operators.joins import lookup, memo_hits, memo_misses, overlay, split_by
 from ..operators.models import embedded, hashed_words, missing_embeddings
 from ..operators.search import cosine, hybrid_score, keyword_ratio, nearest, ranked, with_distance
-from ..sources.cache import city_key, file_name, summary, total_fresh
+from ..sources.cache import city_key, file_name, load, save, summary, total_fresh
 from ..sources.catalog import CITIES, catalog
 from ..sources.portal import jobs_of_pages
 from .search_jobs import Request
@@ -59,8 +61,10 @@ with near as (
 select vec_id, round(distance, 6) as distance, round((0.7::double * (1 - distance) + 0.3::double * ({_RATIO.replace('d.text', 'text')})) * 100, 6) as score
 from near where (0.7::double * (1 - distance) + 0.3::double * ({_RATIO.replace('d.text', 'text')})) * 100 >= 0""")
 def q_hybrid_topk(spark, sf_dir):
-    vectors = _t(spark, sf_dir, "embeddings").join(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id")
-    near = nearest(vectors, _query_vector(spark, sf_dir), 100, "vec_id")
+    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    vectors = _t(spark, sf_dir, "embeddings").join(docs.select("vec_id"), "vec_id", "left_semi")
+    near = F.broadcast(nearest(vectors, _query_vector(spark, sf_dir), 100, "vec_id").select("vec_id", "distance"))  # 100 rows
+    near = docs.join(near, "vec_id")
     score = hybrid_score(F.col("distance"), keyword_ratio(KEYWORDS, F.col("text")))
     return near.withColumn("score", score).where("score >= 0").select("vec_id", F.round("distance", 6).alias("distance"), F.round("score", 6).alias("score"))
 
@@ -71,7 +75,7 @@ def q_vector_topk(spark, sf_dir):
 
 
 @query(f"select label, count(*) as n, round(avg({_COS}), 6) as mean_cosine from embeddings e group by label")
-def q_vector_all_pairs_label(spark, sf_dir):
+def q_vector_by_label(spark, sf_dir):
     near = with_distance(_t(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir))
     return near.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(1 - F.col("distance")), 6).alias("mean_cosine"))
 
@@ -321,9 +325,9 @@ def q_score_badge(spark, sf_dir):
 
 
 @query("""
-select page_id, replace(replace(replace(replace(replace(left(html, 400), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') as escaped from pages""")
+select page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') as escaped from pages""")
 def q_html_escape(spark, sf_dir):
-    return _t(spark, sf_dir, "pages").select("page_id", html_escaped(F.left("html", F.lit(400))).alias("escaped"))
+    return _t(spark, sf_dir, "pages").select("page_id", html_escaped(F.col("html")).alias("escaped"))
 
 
 @query("select event_type, sum(json_extract_string(props, '$.k')::bigint)::bigint as total, count(*) as n from events group by event_type")
@@ -351,7 +355,13 @@ def q_html_title(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", F.coalesce(present(F.regexp_extract("html", "<title>([^<]*)</title>", 1)), F.lit("")).alias("title"))
 
 
-@query()
+_ARTICLE = r"regexp_replace(regexp_extract(html, '(?s)<article\b[^>]*>(.*?)</article>', 1), '(?s)<!--.*?-->|<[^>]*>', ' ', 'g')"
+_ENTITIES = (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&amp;", "&"))
+for _old, _new in _ENTITIES:
+    _ARTICLE = f"replace({_ARTICLE}, '{_old}', '{_new}')"
+
+
+@query(rf"select page_id, trim(regexp_replace({_ARTICLE}, '[\s\x{{00A0}}]+', ' ', 'g')) as article from pages")
 def q_html_article_udf(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", parse_article(F.col("html")).alias("article"))
 
@@ -387,6 +397,132 @@ def q_listing_udtf(spark, sf_dir):
 ORACLES["q_listing_udtf"] = "select p_partkey, p_name as title, p_brand as department, 'Tempe, AZ' as location, (p_partkey // 10)::int as page from part"
 
 
+_TERM = '<div class="term-block"><div class="term-description">%s</div><div class="span8"> %s </div></div>'
+
+
+def _detail_pages(spark, sf_dir):
+    """Detail pages made of parts. Every third has labelled blocks, every third sections, every third JSON-LD only."""
+    part = _t(spark, sf_dir, "part").where("p_partkey is not null")
+    name, brand, kind = html_escaped(F.col("p_name")), html_escaped(F.col("p_brand")), html_escaped(F.col("p_type"))
+    number, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    term = lambda label, value: F.format_string(_TERM, F.lit(label), value)
+    terms = F.concat(
+        term("Division", kind), F.when(F.col("p_size") % 2 == 0, term("Department", brand)).otherwise(""), term("Salary", F.concat(F.lit("$"), size)), term("Location", name),
+        term("Job Type", kind), term("Job Number", F.concat(F.lit("N-"), number)), term("Opening Date", size), term("Closing Date", F.lit("")), term("Else", name),
+    )
+    sections = F.concat(
+        F.lit('<div id="details-info"><dl><dt><h2>About'), F.lit("</h2></dt><p>between</p><dd>"), name, F.lit("<p>open<p>paragraphs</dd><dt></dt><dd>no heading</dd><dt>Education</dt><dd><b>"),
+        brand, F.lit("</b></dd><dt>Empty</dt><dd> </dd><dt>More</dt><dd>"), kind, F.lit("</dd></dl></div>"),
+    )
+    fragment = html_escaped(F.concat(F.lit("<p>"), name, F.lit("</p><p>"), kind, F.lit("</p>")))
+    posting = F.struct(
+        F.lit("JobPosting").alias("@type"), fragment.alias("description"), size.alias("datePosted"), F.lit(" 2024-02-01 ").alias("validThrough"), F.col("p_type").alias("employmentType"),
+        F.array(F.struct(F.struct(F.col("p_brand").alias("addressLocality"), F.lit("AZ").alias("addressRegion"), F.lit("").alias("postalCode")).alias("address"))).alias("jobLocation"),
+        F.struct(F.struct(F.col("p_size").alias("minValue"), F.when(F.col("p_size") > 9, F.col("p_size") * 1000).alias("maxValue"), F.lit("HOUR").alias("unitText")).alias("value")).alias("baseSalary"),
+    )
+    script = F.concat(F.lit('<script type="application/ld+json">{bad</script><script type="application/ld+json">['), F.to_json(posting), F.lit("]</script>"))
+    way = F.col("p_partkey") % 3
+    return part.select("p_partkey", F.when(way == 0, terms).when(way == 1, sections).otherwise(script).alias("html"))
+
+
+_WAY = "case p_partkey % 3 when 0 then {} when 1 then {} else {} end"
+_DOLLARS = "'$' || format('{{:,.2f}}', {}::double)"
+_CLEAN = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
+
+
+@query(f"""
+with p as (select *, {_CLEAN.format("p_name")} as n, {_CLEAN.format("p_brand")} as b, {_CLEAN.format("p_type")} as t from part where p_partkey is not null)
+select p_partkey, {_WAY.format("''", "'About' || chr(10) || n || ' open paragraphs' || chr(10) || chr(10) || 'More' || chr(10) || t", "n || ' ' || t")} as description,
+  {_WAY.format("''", "'Education' || chr(10) || b", "''")} as requirements, {_WAY.format("n", "''", "b || ', AZ'")} as location,
+  {_WAY.format("case when p_size % 2 = 0 then b else t end", "''", "''")} as department,
+  {_WAY.format("'$' || p_size", "''", f"{_DOLLARS.format('p_size')} || case when p_size > 9 then ' - ' || {_DOLLARS.format('p_size * 1000')} else '' end || ' Hour'")} as salary,
+  {_WAY.format("p_size::varchar", "''", "p_size::varchar")} as posted_date, {_WAY.format("''", "''", "'2024-02-01'")} as closing_date,
+  {_WAY.format("'N-' || p_partkey", "''", "''")} as job_number, {_WAY.format("t", "''", "t")} as job_type from p""")
+def q_detail_fields(spark, sf_dir):
+    return _detail_pages(spark, sf_dir).select("p_partkey", parse_details(F.col("html")).alias("d")).select("p_partkey", "d.*")
+
+
+@query("""
+select doc_id, case when quality = 1 then 90.5 when quality = 0 then 0 else 0 end::double as score, (length(text) + length(lang) + length(source))::int as size
+from documents left join labels using (doc_id)""")
+def q_quality_key(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").join(_t(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    score = F.when(F.col("quality") == 1, "90.5").when(F.col("quality") == 0, "NaN").when(F.col("doc_id") % 2 == 0, "no number")
+    jobs = docs.select("doc_id", score.alias("match_score"), F.col("text").alias("description"), F.col("lang").alias("requirements"), F.col("source").alias("department"), F.lit(None).cast("string").alias("salary"))
+    return jobs.select("doc_id", quality_key(jobs).alias("q")).select("doc_id", "q.score", "q.size")
+
+
+_SEED = "chr(31) || lower(trim(c_mktsegment)) || chr(31)"
+
+
+@query(f"""
+select c_custkey, 'job_' || substr(sha256(case c_custkey % 4
+  when 0 then 'neogov' || {_SEED} || 'source:' || lower(c_name)
+  when 1 then 'neogov' || {_SEED} || 'source:x-' || c_custkey
+  when 2 then 'unknown' || {_SEED} || 'source:old ' || c_custkey
+  else 'unknown' || {_SEED} || 'fallback:' || lower(c_name) || '|' || lower(c_mktsegment) || '|' || c_nationkey end), 1, 24) as job_id from customer""")
+def q_identity_fallback(spark, sf_dir):
+    """Jobs without a url: identities from a posting id, a source id, an old id or the names."""
+    way, key, none = F.col("c_custkey") % 4, F.col("c_custkey").cast("string"), F.lit(None).cast("string")
+    jobs = _t(spark, sf_dir, "customer").select(
+        "c_custkey", F.col("c_name").alias("title"), F.col("c_mktsegment").alias("department"), F.col("c_mktsegment").alias("city"), F.col("c_nationkey").cast("string").alias("location"), F.lit(" ").alias("url"),
+        F.when(way == 2, F.concat(F.lit(" Old  "), key)).when(way == 3, F.lit("job_0123456789abcdef01234567")).alias("job_id"),
+        F.struct(
+            F.when(way < 2, "NeoGov").alias("platform"), F.when(way == 0, F.concat(F.lit("  "), F.col("c_name"))).when(way == 1, "").alias("posting_id"),
+            F.when(way == 1, F.concat(F.lit("X-"), key)).otherwise(none).alias("source_job_id"),
+        ).alias("raw_data"),
+    )
+    return with_identity(jobs).select("c_custkey", "job_id")
+
+
+def _scratch(spark) -> str:
+    """A new folder where driver and executors can write: below spark.checkpoint.dir, or a temporary one on one machine."""
+    told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not told and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{told or tempfile.mkdtemp(prefix='plinth-')}/cache-{uuid.uuid4().hex}"
+
+
+@query("""
+with j as (
+  select c_name as title, n_name as city, 'https://jobs.example.gov/jobs/' || (c_custkey // 2) as url, c_custkey as pos from customer join nation on c_nationkey = n_nationkey where n_nationkey % 5 <> 0),
+b as (select *, row_number() over (partition by city, url order by pos) as r from j)
+select n.n_name as city, regexp_replace(lower(n.n_name), '[ /]', '_', 'g') as city_key, count(b.url) as jobs, count(b.url) as job_count, min(b.title) as first_title
+from nation n left join b on b.city = n.n_name and b.r = 1 where n.n_nationkey % 2 = 0 or n.n_nationkey = 3 group by n.n_name""")
+def q_cache_round_trip(spark, sf_dir):
+    """Cities are written in two lots at different times, one city twice, and only the fresh ones are read back."""
+    nation = _t(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("city"))
+    rows = _t(spark, sf_dir, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    url = F.concat(F.lit("https://jobs.example.gov/jobs/"), F.floor(F.col("c_custkey") / 2).cast("string"))
+    jobs = rows.select("n_nationkey", F.col("c_name").alias("title"), "city", F.concat(url, F.lit("?utm_source=a")).alias("url"), F.col("c_custkey").cast("long").alias("pos"))
+    path, old = _scratch(spark), ASOF - datetime.timedelta(hours=HOURS + 1)
+    filled = jobs.where("n_nationkey % 5 <> 0").drop("n_nationkey")
+    for cities, at in ((nation.where("n_nationkey % 2 = 1"), old), (nation.where("n_nationkey % 2 = 0 or n_nationkey = 3"), ASOF)):
+        save(filled.join(F.broadcast(cities.select("city")), "city", "left_semi"), cities.select("city"), path, at)
+    found, manifest = load(spark, path, ASOF, HOURS)
+    per = found.groupBy("city_key").agg(F.count(F.lit(1)).alias("jobs"), F.min("title").alias("first_title"))
+    return manifest.join(per, "city_key", "left").select("city", "city_key", F.coalesce("jobs", F.lit(0)).alias("jobs"), "job_count", "first_title")
+
+
+_CARD = "'<article class=\"job\"><h3>' || {title} || '</h3><span class=\"score score-' || {badge} || '\">' || {shown} || '/100</span><p class=\"place\">' || {place} || '</p><p class=\"location\"></p>' || {mark} || '</article>'"
+
+
+@query("select event_id, " + _CARD.format(
+    title="case when event_type = 'click' then 'Untitled' else event_type || ' &lt;b&gt; &amp; &quot;' end", badge="case when coalesce(value, 0) >= 60 then 'high' when coalesce(value, 0) >= 40 then 'med' else 'low' end",
+    shown="round_even(coalesce(value, 0), 0)::int", place="user_id", mark="case when event_id % 2 = 0 then '<p class=\"tailored\">Resume tailored</p>' else '' end") + " as card from events")
+def q_job_card(spark, sf_dir):
+    title = F.when(F.col("event_type") == "click", "").otherwise(F.concat("event_type", F.lit(' <b> & "')))
+    made = card(title, F.col("user_id"), F.lit(None).cast("string"), F.col("value"), F.col("event_id") % 2 == 0)
+    return _t(spark, sf_dir, "events").select("event_id", made.alias("card"))
+
+
+@query("select doc_id, lang, '{\"quality\":' || quality || ',\"toxic\":' || toxic || '}' as label, '[' || n_chars || ',' || doc_id || ']' as numbers from documents join labels using (doc_id)")
+def q_flat_metadata(spark, sf_dir):
+    rows = _t(spark, sf_dir, "documents").join(_t(spark, sf_dir, "labels"), "doc_id")
+    nested = rows.select("doc_id", "lang", F.struct("quality", "toxic").alias("label"), F.array(F.col("n_chars").cast("long"), F.col("doc_id").cast("long")).alias("numbers"))
+    return flat(nested)
+
+
 @query()
 def q_search_pipeline(spark, sf_dir):
     """Documents as jobs: half cached, half scraped, one search over both."""

@@ -1,6 +1,6 @@
 """Portals as a Python data source: one input partition a city, pages read in turn.
 
-Pages come from a fetch function, so that tests and stored pages need no network. Options: cities (JSON of
+Pages come from a fetch function (http_fetch over the network), so that tests and stored pages need none. Options: cities (JSON of
 [city, url] pairs), max_pages, attempts. Stored pages, a table of (city, page, html), are parsed in parallel
 by `jobs_of_pages` instead.
 """
@@ -11,7 +11,8 @@ import json
 import re
 import time
 from collections.abc import Callable, Iterator
-from urllib.parse import urlsplit
+from urllib.parse import urlencode, urlsplit
+from urllib.request import Request, urlopen
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,10 +24,19 @@ from ..operators.dedup import first_by_key
 from ..operators.joins import OVERLAY_FIELDS, overlay
 
 Fetch = Callable[[str, dict], str]
+TIMEOUT_SECONDS = 30
 DEFAULT_ORIGIN = "https://www.governmentjobs.com"
 FIELDS = ("title", "city", "url", "location", "job_type", "salary", "department", "description")
 
 
+def http_fetch(url: str, params: dict | None = None, timeout: float = TIMEOUT_SECONDS) -> str:
+    """A page over HTTP. Listing pages (with params) are asked for as a browser's script does; an error status raises."""
+    headers = {"User-Agent": "plinth"} | ({"X-Requested-With": "XMLHttpRequest"} if params is not None else {})
+    target = f"{url}?{urlencode(params)}" if params else url
+    with urlopen(Request(target, headers=headers), timeout=timeout) as reply:
+        return reply.read().decode(reply.headers.get_content_charset() or "utf-8", "replace")
+
+
 def agency_of(url: str) -> str:
     found = re.search(r"/careers/([^/?#]+)", url, re.I)
     if not found:

@@ -34,10 +34,34 @@ def docx_text(content: bytes) -> str:
     return "\n".join("".join(t.text or "" for t in p.iter(f"{_W}t")) for p in body.findall(f"{_W}p")).strip()
 
 
-def pdf_text(content: bytes) -> str:
+def _plumbed(content: bytes) -> str:
+    import pdfplumber
+
+    with pdfplumber.open(io.BytesIO(content)) as pdf:
+        return "\n".join(filter(None, (page.extract_text() for page in pdf.pages)))
+
+
+def _read(content: bytes) -> str:
     from pypdf import PdfReader
 
-    return "\n".join(page.extract_text() or "" for page in PdfReader(io.BytesIO(content)).pages).strip()
+    return "\n".join(filter(None, (page.extract_text() for page in PdfReader(io.BytesIO(content)).pages)))
+
+
+PDF_READERS = [_plumbed, _read]
+
+
+def pdf_text(content: bytes) -> str:
+    """The text that the first reader gives which is there, doesn't fail and finds any."""
+    failed = None
+    for reader in PDF_READERS:
+        try:
+            if text := reader(content).strip():
+                return text
+        except Exception as error:  # the next reader may do better
+            failed = error
+    if failed:
+        raise failed
+    return ""
 
 
 def _extracted(kinds: pd.Series, contents: pd.Series) -> pd.DataFrame:

@@ -42,9 +42,9 @@ def test_identity_is_idempotent(spark):
 
 
 def test_best_copy_stays_and_ties_keep_the_first(spark):
-    url = "https://example.gov/jobs/100"
-    best = deduplicate_jobs(jobs(spark, ("A", "Tempe", url, "45", "NeoGov", None), ("B", "Tempe", url + "?utm_x=1", "91", "NeoGov", None), ("C", "Tempe", url, "91", "NeoGov", None), ("D", "Tempe", url, "bad", "NeoGov", None)))
-    assert [(r["title"], r["pos"]) for r in best.collect()] == [("B", 0)]
+    url = "https://ferries.example.gov/jobs/7"
+    best = deduplicate_jobs(jobs(spark, ("Pilot", "Yuma", url, "12", "NeoGov", None), ("Mate", "Yuma", url + "?utm_x=1", "63", "NeoGov", None), ("Cook", "Yuma", url, "63", "NeoGov", None), ("Clerk", "Yuma", url, "bad", "NeoGov", None)))
+    assert [(r["title"], r["pos"]) for r in best.collect()] == [("Mate", 0)]
 
 
 def test_fingerprint(spark):
@@ -73,7 +73,7 @@ def plain_canonical(url):
 def test_canonical_urls_agree_with_the_standard_library(spark):
     rnd = random.Random(5)
     urls = [
-        "https://hcm.example.gov/job?job=123&utm_source=email&lang=en#top", "HTTPS://WWW.GOVERNMENTJOBS.COM/careers/tempe/jobs/12345/test/?x=1#top", "", None, "  ",
+        "https://boats.example.gov/post?post=7&utm_medium=card&tide=low#bow", "HTTPS://WWW.GOVERNMENTJOBS.COM/careers/yuma/jobs/77/pilot/?deck=2#bow", "", None, "  ",
         "https://xgovernmentjobs.com/a/jobs/1?q=1", "https://www.governmentjobs.com:8443/jobs/1?q=1", "http://u:p@h_1.gov:80/a//b/?b=2&a=%20x&a=~*&c",
     ]
     for _ in range(400):
