@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 import time
+from collections import Counter
 from collections.abc import Callable
 from urllib.error import HTTPError, URLError
 from urllib.request import Request, urlopen
@@ -33,11 +34,14 @@ def hashed_words(dimensions: int = DIMENSIONS) -> Embed:
     """A provider: counts of hashed words with signs, of length one (no words: zeros)."""
 
     def embed(texts: list[str]) -> list[list[float]]:
-        out = np.zeros((len(texts), dimensions))
+        out, known = np.zeros((len(texts), dimensions)), {}
         for row, text in zip(out, texts):
-            for word in text.lower().split():
-                h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
-                row[h % dimensions] += 1 if h >> 63 else -1
+            for word, n in Counter(text.lower().split()).items():
+                if word not in known:
+                    h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
+                    known[word] = h % dimensions, 1 if h >> 63 else -1
+                at, sign = known[word]
+                row[at] += sign * n
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.where(norms == 0, 1, norms)).tolist()
 
