@@ -40,7 +40,7 @@ MIN_SCORE = 0.5
 SLACK = 8
 COMMON_DOCS, COMMON_SHARE, FEW_GRAMS = 50, 0.001, 4
 BLOCK_BYTES = 4 << 20
-BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 16 << 20
 WORD = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -228,8 +228,8 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     doc, th = fresh(docs, "_doc", "_th")
     gone = contaminated(docs.select("doc_id", "text"), benchmark).select(F.col("doc_id").alias(doc), F.col("th").alias(th)).distinct()
     gone = written(gone, "contaminated")
-    few = gone.count() <= BROADCAST_ROWS  # of two numbers each
-    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(th)), "left_anti")
+    size = gone.agg(F.sum(F.coalesce(F.octet_length(F.col(doc).cast("string")), F.lit(0)) + 24)).first()[0] or 0
+    return docs.join(F.broadcast(gone) if size <= BROADCAST_BYTES else gone, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(th)), "left_anti")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ Documents are linked if 100 * intersection >= percent * union of their sets; per
 pipeline, unless the caller names another; the op10_ query links at PERCENT.
 
 1. One pass makes a 128-bit hash of each set and a signature of HASHES minima. Documents with
-   equal sets are one class from here on, named by its smallest doc_id.
+   equal hashes are taken for equal sets: one class from here on, named by its smallest doc_id.
 2. Classes are candidates if one of BANDS bands of ROWS minima is equal. A pair at the threshold is
    missed with a probability of (1 - 0.85 ** ROWS) ** BANDS, 6e-9 (5e-6 at 80 percent).
 3. Candidate pairs of a similar size are compared batch by batch of BATCH minima and pruned
@@ -54,7 +54,7 @@ BATCH = 40
 MISS = 1e-6
 BLOCK, BLOCK_SHINGLES = 512, 200_000
 CACHED_WORDS = 200_000
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 2_000_000  # of 8 bytes each
 EMPTY_SET = b"\0" * 16
 
 _RANDOM = np.random.default_rng(20240501)
