@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plinth.llm.bpe_codec import digests
-from plinth.llm.common import fresh, table, written
+from plinth.llm.common import discard, fresh, table, written
 from plinth.llm.decontaminate import remove_contaminated
 from plinth.llm.line_dedup import drop_boilerplate
 from plinth.llm.minhash_near_dedup import STAGE_PERCENT, keep_first
@@ -67,7 +67,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        made = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = written(docs, f"stage-{k}")
+            made = written(made, f"stage-{k}")
+            if k:
+                discard(docs)  # the stage before it
+        docs = made
     return docs
