@@ -1,3 +1,6 @@
+import hashlib
+import math
+
 import duckdb
 import pytest
 
@@ -36,3 +39,38 @@ def test_query_against_sql(spark, duck, name):
     rel = duck.sql(ORACLES[name])
     at = [list(rel.columns).index(c) for c in columns]
     assert got == sorted(tuple(plain(r[i]) for i in at) for r in rel.fetchall())
+
+
+def hashed(text, size):
+    """The hashing embedding once more: signed counts of words, of length one."""
+    out = [0.0] * size
+    for word in text.lower().split():
+        h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
+        out[h % size] += 1 if h >= 1 << 63 else -1
+    norm = math.sqrt(sum(x * x for x in out))
+    return [x / norm for x in out] if norm else out
+
+
+def test_batch_embedding_against_a_plain_version(spark, duck):
+    names = duck.sql("select p_partkey, p_name from part").fetchall()
+    got = {r["p_partkey"]: (r["dimensions"], r["norm"]) for r in QUERIES["q_batch_embedding"](spark, SF).collect()}
+    assert got == {k: (64, round(math.sqrt(sum(x * x for x in hashed(n, 64))), 4)) for k, n in names}
+
+
+def test_search_against_a_plain_version(spark, duck):
+    """Identities, texts, distances, keywords, order and rounding of the whole search, document by document."""
+    words, asked = ["the", "tion", "und", "data", "est"], hashed("the erth tion", 256)
+    found = []
+    for doc, text, lang, source in duck.sql("select doc_id, coalesce(text, ''), lang, source from documents").fetchall():
+        url = f"https://jobs.example.gov/jobs/{doc}"
+        key = "job_" + hashlib.sha256(f"jobs.example.gov\x1f{' '.join(source.split()).lower()}\x1f{url}".encode()).hexdigest()[:24]
+        title = f"Opening {doc}"
+        parts = [f"Title: {title}", f"Department: {lang}", f"Location: {source}", *([f"Description: {text}"] if text else [])]
+        own = hashed("\n\n".join(parts), 256)
+        near = sum(a * b for a, b in zip(own, asked))
+        ratio = sum(w in f"{title} {text} ".lower() for w in words) / len(words)
+        found.append((1 - near, key, title, (doc % 2 << 40) + doc, (0.7 * near + 0.3 * ratio) * 100))
+    best = sorted(sorted(found)[:100], key=lambda f: (-f[4], f[3]))[:20]
+    got = [tuple(r) for r in QUERIES["q_search_pipeline"](spark, SF).collect()]
+    assert [g[:2] for g in got] == [(f[1], f[2]) for f in best]
+    assert all(abs(g[2] - f[4]) <= 0.0501 for g, f in zip(got, best))
