@@ -6,9 +6,10 @@ MAX_ROWS of each class in the order of a hash of doc_id):
 1. An ordinary dictionary is trained on the windows of ordinary texts (at most MAX_WINDOWS of the sample's, drawn at
    random with a fixed seed).
 2. A dictionary of all windows of toxic texts is mostly one of ordinary words and finds little (figures in the README), so
-   the toxic one is trained on what only toxic texts have. Byte grams that toxic texts hold RATIO times as often as ordinary ones, in MIN_CONTEXTS
-   different contexts or more (so that copies of one text count once), mark the toxic snippets;
-   the toxic dictionary is trained on those. It is used together with the ordinary one, so both
+   the toxic one is trained on what only toxic texts have. A byte gram counts by the texts that hold it or by the contexts it
+   stands in, whichever are fewer (so that neither copies of one text nor repeats within one count twice). Grams of MIN_CONTEXTS or more
+   that toxic texts hold RATIO times as often as ordinary ones mark the toxic snippets; the toxic dictionary is trained
+   on those, each once a text. It is used together with the ordinary one, so both
    sides know ordinary words equally well and only toxic material makes a difference.
 3. A window's advantage is its compressed length with the ordinary dictionary less that with both.
    A text's five advantages (largest, mean of the three largest, windows won by HIT bytes or
@@ -71,51 +72,61 @@ def windows(raw: bytes) -> list[bytes]:
     return out
 
 
-def _codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of every gram with its context in the texts: the gram's bytes and the context's as numbers, the gram's place."""
+def _codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every gram with its context in the texts: the gram's bytes and the context's as numbers, the gram's place, its text's number."""
     raw = np.frombuffer(b"".join(texts), np.uint8)
     ends = np.cumsum([len(t) for t in texts], dtype=np.int32)
     n = len(raw) - GRAM - CONTEXT + 1
     if n <= 0:
-        return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int32),)
+        return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int32),) * 2
     context, gram = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
     for width, code, start in ((CONTEXT, context, 0), (GRAM, gram, CONTEXT)):
         for k in range(start, start + width):
             code <<= np.uint64(8)
             code |= raw[k : k + n]
     at = np.arange(n, dtype=np.int32)
-    inside = at + (CONTEXT + GRAM) <= ends[np.searchsorted(ends, at, side="right")]
-    return gram[inside], context[inside], at[inside] + np.int32(CONTEXT)
+    text = np.searchsorted(ends, at, side="right").astype(np.int32)
+    inside = at + (CONTEXT + GRAM) <= ends[text]
+    return gram[inside], context[inside], at[inside] + np.int32(CONTEXT), text[inside]
 
 
-def _contexts(gram: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The different grams, and in how many different contexts each stands."""
-    pair = (context ^ context >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15) ^ gram * np.uint64(0xC2B2AE3D27D4EB4F)
+def _different(gram: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different grams, and with how many different values each stands."""
+    pair = (value ^ value >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15) ^ gram * np.uint64(0xC2B2AE3D27D4EB4F)
     _, first = np.unique(pair, return_index=True)
     return np.unique(gram[first], return_counts=True)
 
 
+def _spread(gram: np.ndarray, context: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different grams, and the number of each one's texts or of its contexts, whichever is smaller."""
+    kinds, contexts = _different(gram, context)
+    _, texts = _different(gram, text.astype(np.uint64))
+    return kinds, np.minimum(contexts, texts)
+
+
 def toxic_snippets(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
-    """The runs of marking grams in toxic texts, each with PAD bytes around."""
-    gram, context, place = _codes(toxic)
-    kinds, counts = _contexts(gram, context)
+    """The runs of marking grams in toxic texts, each with PAD bytes around and once a text."""
+    gram, context, place, text = _codes(toxic)
+    kinds, counts = _spread(gram, context, text)
     kinds, counts = kinds[counts >= MIN_CONTEXTS], counts[counts >= MIN_CONTEXTS]
     seen = []
     for i in range(0, len(ordinary), CHUNK):
-        gram0, context0, _ = _codes(ordinary[i : i + CHUNK])
+        gram0, context0, _, text0 = _codes(ordinary[i : i + CHUNK])
         likely = np.isin(gram0, kinds)
-        seen.append((gram0[likely], context0[likely]))
-    kinds0, counts0 = _contexts(np.concatenate([g for g, _ in seen]), np.concatenate([c for _, c in seen]))
+        seen.append((gram0[likely], context0[likely], text0[likely] + np.int32(i)))
+    kinds0, counts0 = _spread(*map(np.concatenate, zip(*seen)))
     other = np.zeros(len(kinds))
     other[np.searchsorted(kinds, kinds0)] = counts0
-    share = sum(map(len, toxic)) / max(1, sum(map(len, ordinary)))
-    marks = place[np.isin(gram, kinds[counts + 0.5 >= RATIO * share * (other + 0.5)])]
+    share = len(toxic) / len(ordinary)
+    marked = np.isin(gram, kinds[counts + 0.5 >= RATIO * share * (other + 0.5)])
+    marks, text = place[marked], text[marked]
     if not len(marks):
         return []
     cuts = np.flatnonzero(np.diff(marks) > 1)
+    first, last = np.r_[0, cuts + 1], np.r_[cuts, len(marks) - 1]
     raw = b"".join(toxic)
-    starts, stops = marks[np.r_[0, cuts + 1]], marks[np.r_[cuts, len(marks) - 1]] + GRAM
-    return [raw[max(0, a - PAD) : b + PAD] for a, b in zip(starts.tolist(), stops.tolist())]
+    runs = zip(text[first].tolist(), marks[first].tolist(), marks[last].tolist())
+    return [run for _, run in dict.fromkeys((k, raw[max(0, a - PAD) : b + GRAM + PAD]) for k, a, b in runs)]
 
 
 def _trained(samples: list[bytes], size: int) -> bytes:
