@@ -24,18 +24,6 @@ def test_windows_are_the_text():
     assert b" ".join(x.strip() for x in w) == raw.strip() and t.windows(b"") == []
 
 
-def test_repeats_and_copies_mark_no_snippet():
-    """What one text repeats, or copies of one text hold, counts once; what different texts hold is marked."""
-    rnd = random.Random(4)
-    plain = lambda n: [rnd.choice(OK) for _ in range(n)]
-    ordinary = [t.prepared(" ".join(plain(80))) for _ in range(40)]
-    repeats = " ".join(x for w in plain(60) for x in (w, "onetextonly"))
-    copied = [" ".join(["c" + str(k), *plain(3), *copy]) for k, copy in enumerate([plain(20) + ["copiedpassage"] + plain(20)] * 20)]
-    spread = [" ".join([*plain(30), "spreadword", *plain(9), "spreadword", *plain(30)]) for _ in range(20)]
-    found = b"\n".join(t.toxic_snippets([t.prepared(x) for x in (repeats, *copied, *spread)], ordinary))
-    assert b"spreadword" in found and b"onetextonly" not in found and b"copiedpassage" not in found
-
-
 def test_held_out_accuracy():
     of = t.fit(texts(400, 1)).scorer()
     new = texts(200, 2)
