@@ -64,11 +64,11 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Python functions over whole texts get batches of ARROW_ROWS rows or ARROW_BYTES bytes at most (settings of the session)."""
+def small_batches(spark: SparkSession, most: int = ARROW_ROWS) -> None:
+    """Python functions over whole texts get batches of so many rows or ARROW_BYTES bytes at most (settings of the session)."""
     rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(spark.conf.get(rows)) <= ARROW_ROWS:
-        spark.conf.set(rows, str(ARROW_ROWS))
+    if not 0 < int(spark.conf.get(rows)) <= most:
+        spark.conf.set(rows, str(most))
     if not 0 < int(spark.conf.get(size).rstrip("b")) <= ARROW_BYTES:
         spark.conf.set(size, f"{ARROW_BYTES}b")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe_codec import op6_bpe_codec
+from .collocations import OP13_SQL, op13_phrase_collocations
 from .decontaminate import op2_decontaminate
 from .line_dedup import OP5_SQL, op5_line_dedup
 from .minhash_near_dedup import op10_minhash_near_dedup
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 
 ORACLES = {
@@ -31,4 +33,5 @@ ORACLES = {
     "op5_line_dedup": OP5_SQL,
     "op7_quality_rules": OP7_SQL,
     "op8_url_filters": OP8_SQL,
+    "op13_phrase_collocations": OP13_SQL,
 }
