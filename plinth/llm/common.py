@@ -22,6 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def col(name: str) -> Column:
+    """The column of exactly this name, dots and back ticks in it too."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
