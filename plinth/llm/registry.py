@@ -5,10 +5,12 @@ from __future__ import annotations
 from .bpe_codec import op6_bpe_codec
 from .collocations import OP13_SQL, op13_phrase_collocations
 from .decontaminate import op2_decontaminate
+from .html_extract import op12_html_extract
 from .line_dedup import OP5_SQL, op5_line_dedup
 from .minhash_near_dedup import op10_minhash_near_dedup
 from .pii_pseudonyms import op4_pii_pseudonyms
 from .quality_rules import OP7_SQL, op7_quality_rules
+from .ranked_search import OP11_SQL, op11_ranked_search
 from .suffix_dedup import op9_suffix_dedup
 from .toxicity import op3_toxicity
 from .url_filters import OP8_SQL, op8_url_filters
@@ -25,6 +27,8 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_html_extract": op12_html_extract,
     "op13_phrase_collocations": op13_phrase_collocations,
 }
 
@@ -33,5 +37,6 @@ ORACLES = {
     "op5_line_dedup": OP5_SQL,
     "op7_quality_rules": OP7_SQL,
     "op8_url_filters": OP8_SQL,
+    "op11_ranked_search": OP11_SQL,
     "op13_phrase_collocations": OP13_SQL,
 }
