@@ -2,13 +2,14 @@
 
 A text is cut at PIECE_ENDS into pieces and those at space and tab into words (A-Z in lower case). Every word
 begins one suffix: it and the words after it in its piece, max_n at most. Suffixes are counted in each task as
-far as HELD different ones, shuffled by language and first word, sorted in reverse order within their partition, so
-that a longer suffix comes before its prefixes, and swept with one stack of max_n words: when a prefix leaves the stack, its
-count is whole and goes on to the prefix below it. So f of words, pairs and triples come from one pass.
+far as HELD different ones, shuffled by language and first word, sorted in reverse order within their partition (the
+language before the words, in one key), so that a longer suffix comes before its prefixes, and swept with one stack: when
+a prefix leaves the stack, its count is whole and goes on to the prefix below it. So f of words, pairs and
+triples and the number of words of a language come from one pass.
 
 A first word with more than 1 / HOT_PARTS of a sample's suffixes is dealt by its first two words, a pair with as
-many by all its words; what the partitions counted of such a hot prefix is summed. The sample (SAMPLE_ROWS texts about, by a
-hash of the text) says only where suffixes go, never what is counted, and hot prefixes number less than
+many by all its words; what the partitions counted of such a hot prefix is summed. The sample (SAMPLE_ROWS texts about)
+says only where suffixes go, never what is counted, and hot prefixes number less than
 HOT_PARTS for each length, whatever the table.
 
 Parts are joined afterwards: each candidate (a phrase of two words or more with f of min_count or more) meets the
@@ -29,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import give_back, hot_keys, join_spread, small_batches, table, written
+from .common import col, give_back, hot_keys, join_spread, small_batches, table, written
 
 UNKNOWN = "und"
 MAX_WORDS, MIN_COUNT, HELD_PERCENT, TOP = 3, 10, 50, 2000
-HELD, RUN_WORDS, ROWS = 400_000, 100_000, 20_000
-SAMPLE_ROWS, HOT_PARTS, HOT_LEAST = 10_000, 1000, 200
+HELD, RUN_WORDS, ROWS = 600_000, 100_000, 20_000
+SAMPLE_ROWS, HOT_PARTS, HOT_LEAST = 2000, 1000, 200
 RANK_PARTS = 64
 
 #: Bytes to bytes: A-Z in lower case, tabs as spaces, PIECE_ENDS as line feeds.
@@ -44,13 +45,16 @@ _PLAIN = bytes(10 if b in PIECE_ENDS else 32 if b == 9 else b + 32 if 65 <= b <=
 SEP = b"\0"
 _ODD = re.compile(rb"[\x00\x01]")
 
-SUFFIXES = "lang string, suffix binary, bucket int, n long"
-COUNTS = "lang string, k int, phrase binary, f long"
-Hot = dict[str, set[bytes]]
+SUFFIXES = "key binary, bucket int, n long"
+COUNTS = "key binary, f long"
 
 
-def words_of(piece: bytes, max_n: int) -> Iterator[tuple[list[bytes], int]]:
-    """Runs of a piece's words, and in each how many of them begin a suffix; the others were or will be in another run."""
+def _escaped(word: bytes) -> bytes:
+    return _ODD.sub(lambda m: b"\x01\x02" if m[0] == b"\0" else b"\x01\x03", word)
+
+
+def runs_of(piece: bytes, max_n: int) -> Iterator[tuple[list[bytes], int]]:
+    """Runs of a long piece's words, and in each how many of them begin a suffix; the others begin one in the next run."""
     held: list[bytes] = []
     while piece:
         words = piece.split(None, RUN_WORDS)
@@ -62,40 +66,63 @@ def words_of(piece: bytes, max_n: int) -> Iterator[tuple[list[bytes], int]]:
         held = run[max(begin, 0) :]
 
 
-def _escaped(word: bytes) -> bytes:
-    return _ODD.sub(lambda m: b"\x01\x02" if m[0] == b"\0" else b"\x01\x03", word)
-
-
 def suffixes(text: bytes, max_n: int) -> Iterator[list[bytes]]:
     """The truncated suffixes of a text, in lists."""
+    odd, out = b"\0" in text or b"\x01" in text, []
     for piece in text.translate(_PLAIN).split(b"\n"):
-        odd = _ODD.search(piece)
-        for run, begin in words_of(piece, max_n):
+        for run, begin in runs_of(piece, max_n) if len(piece) > RUN_WORDS else ((words := piece.split(), len(words)),):
             if odd:
                 run = [_escaped(w) for w in run]
-            whole = max(0, min(begin, len(run) - max_n + 1))
-            yield [*map(SEP.join, zip(*(run[i : whole + i] for i in range(max_n)))), *(SEP.join(run[i : i + max_n]) for i in range(whole, begin))]
-
-
-def bucket_of(lang: str, suffix: bytes, hot: set[bytes]) -> int:
-    """The shuffle key: a hash of the language and the suffix's shortest prefix that isn't hot, or of all of it."""
-    end = suffix.find(SEP)
-    while end >= 0 and suffix[:end] in hot:
-        end = suffix.find(SEP, end + 1)
-    return crc32(suffix if end < 0 else suffix[:end], crc32(lang.encode())) & 0x7FFFFFFF
+            whole = min(begin, len(run) - max_n + 1)
+            if whole > 0:
+                out += map(SEP.join, zip(*(run[i : whole + i] for i in range(max_n))))
+            out += [SEP.join(run[i : i + max_n]) for i in range(max(whole, 0), begin)]
+            if len(out) >= RUN_WORDS:
+                yield out
+                out = []
+    yield out
+
+
+class Buckets:
+    """The shuffle key of suffixes: a hash of the language and the shortest prefix that isn't hot, or of the whole suffix."""
+
+    def __init__(self, lang: bytes, hot: set[bytes]):
+        self.lang, self.hot, self.seed, self.known = lang, hot, crc32(lang), {}
+
+    def of(self, suffix: bytes) -> int:
+        word = suffix.partition(SEP)[0]
+        found = self.known.get(word)
+        if found is None:
+            found = -1 if self.lang + SEP + word in self.hot else self._hash(word)
+            if len(self.known) < HELD:
+                self.known[word] = found
+        if found >= 0:
+            return found
+        end = suffix.find(SEP, len(word) + 1)
+        while end >= 0 and self.lang + SEP + suffix[:end] in self.hot:
+            end = suffix.find(SEP, end + 1)
+        return self._hash(suffix if end < 0 else suffix[:end])
+
+    def _hash(self, prefix: bytes) -> int:
+        return crc32(prefix, self.seed) & 0x7FFFFFFF
+
+
+def _emit(max_n: int, hot: set[bytes]):
+    """SUFFIXES rows: language and words in key, counted as far as HELD different ones."""
 
-
-def _emit(max_n: int, hot: Hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted: dict[str, Counter] = defaultdict(Counter)
+        buckets: dict[str, Buckets] = {}
         new = 0
 
         def rows() -> Iterator[pa.RecordBatch]:
             for lang, found in counted.items():
-                told, keys = hot.get(lang, set()), list(found)
+                name = _escaped(lang.encode())
+                of, head = buckets.setdefault(lang, Buckets(name, hot)).of, name + SEP
+                keys, times = list(found), list(found.values())
                 for at in range(0, len(keys), ROWS):
                     some = keys[at : at + ROWS]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some, pa.binary()), pa.array([bucket_of(lang, s, told) for s in some], pa.int32()), pa.array([found[s] for s in some], pa.int64())], ["lang", "suffix", "bucket", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([head + s for s in some], pa.binary()), pa.array(list(map(of, some)), pa.int32()), pa.array(times[at : at + ROWS], pa.int64())], ["key", "bucket", "n"])
             counted.clear()
 
         for batch in batches:
@@ -114,85 +141,107 @@ def _emit(max_n: int, hot: Hot):
     return run
 
 
-def _sweep(max_n: int, min_count: int, hot: Hot):
-    """Counts of all prefixes of suffixes in reverse order; of hot prefixes what this partition has of them. k = 0: all words of a language."""
+class Sweep:
+    """The stack: counts of all prefixes of keys in reverse order. What is hot goes out with what this partition has of it."""
+
+    def __init__(self, max_n: int, least: int, hot: set[bytes]):
+        self.deepest, self.least, self.hot = max_n + 1, least, hot
+        self.words: list[bytes] = []
+        self.counts: list[int] = []
+        self.keys: list[bytes] = []
+        self.found: list[int] = []
+
+    def close(self, depth: int) -> None:
+        """Take the words from depth on from the stack."""
+        words, counts = self.words, self.counts
+        while len(words) > depth:
+            n, k = counts.pop(), len(words)
+            if n >= self.least or k == 1 or k < self.deepest and self.hot and SEP.join(words) in self.hot:
+                self.keys.append(SEP.join(words))
+                self.found.append(n)
+            words.pop()
+            if counts:
+                counts[-1] += n
 
+    def add(self, keys: list[bytes], times: list[int]) -> None:
+        words, counts, deepest = self.words, self.counts, self.deepest
+        base = last = None
+        for key, n in zip(keys, times):
+            if key == last:
+                counts[-1] += n
+                continue
+            last = key
+            if base is not None and key.startswith(base):  # another last word
+                if (c := counts[-1]) >= self.least:
+                    self.close(deepest - 1)
+                    words.append(key[len(base) :])
+                    counts.append(n)
+                else:
+                    counts[-2] += c
+                    words[-1], counts[-1] = key[len(base) :], n
+                continue
+            new, same = key.split(SEP), 0
+            for a, b in zip(new, words):
+                if a != b:
+                    break
+                same += 1
+            self.close(same)
+            words += new[same:]
+            counts += [0] * (len(new) - same)
+            counts[-1] += n
+            base = SEP.join(new[:-1]) + SEP if len(new) == deepest else None
+
+    def take(self) -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(self.keys, pa.binary()), pa.array(self.found, pa.int64())], ["key", "f"])
+        self.keys, self.found = [], []
+        return out
+
+
+def _swept(max_n: int, least: int, hot: set[bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        stack, counts, lang, told, total, last = [], [], None, set(), 0, None
-
-        def close(depth: int) -> None:
-            while len(stack) > depth:
-                n = counts.pop()
-                if n >= min_count or told and SEP.join(stack) in told:
-                    out.append((lang, len(stack), SEP.join(stack), n))
-                stack.pop()
-                if counts:
-                    counts[-1] += n
-
-        def made() -> pa.RecordBatch:
-            columns = list(zip(*out)) or [()] * 4
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.binary(), pa.int64()))], ["lang", "k", "phrase", "f"])
-
+        sweep = Sweep(max_n, least, hot)
         for batch in batches:
-            for tongue, suffix, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if tongue != lang:
-                    close(0)
-                    if lang is not None:
-                        out.append((lang, 0, b"", total))
-                    lang, told, total, last = tongue, hot.get(tongue, set()), 0, None
-                total += n
-                if suffix != last:
-                    words, same = suffix.split(SEP), 0
-                    for a, b in zip(words, stack):
-                        if a != b:
-                            break
-                        same += 1
-                    if len(stack) > same:
-                        close(same)
-                    for w in words[same:]:
-                        stack.append(w)
-                        counts.append(0)
-                    last = suffix
-                counts[-1] += n
-            if len(out) >= ROWS:
-                yield made()
-        close(0)
-        if lang is not None:
-            out.append((lang, 0, b"", total))
-        yield made()
+            sweep.add(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            if len(sweep.keys) >= ROWS:
+                yield sweep.take()
+        sweep.close(0)
+        yield sweep.take()
         give_back()
 
     return run
 
 
 def _texts(docs: DataFrame, lang: str, text: str) -> DataFrame:
-    return docs.select(F.coalesce(docs[f"`{lang}`"].cast("string"), F.lit(UNKNOWN)).alias("lang"), docs[f"`{text}`"].cast("binary").alias("text")).where("text is not null")
+    return docs.select(F.coalesce(col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), col(text).cast("binary").alias("text")).where("text is not null")
 
 
-def hot_prefixes(texts: DataFrame, max_n: int) -> Hot:
-    """By language, the prefixes of which a sample has more than 1 / HOT_PARTS of its suffixes."""
-    every = max(1, texts.count() // SAMPLE_ROWS)
-    found = texts.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).mapInArrow(_emit(max_n, {}), SUFFIXES)
-    # a suffix of n words has n - 1 shorter prefixes
-    parts = found.select("lang", "n", F.explode(F.expr("transform(sequence(1, size(split(cast(suffix as string), '\\0'))), i -> substring_index(cast(suffix as string), '\\0', i))")).alias("p"))
-    counts = parts.groupBy("lang", "p").agg(F.sum("n").alias("n"))
-    total = counts.where("instr(p, '\\0') = 0").agg(F.sum("n")).first()[0] or 0
-    hot: Hot = defaultdict(set)
-    for row in counts.where(F.col("n") > max(total // HOT_PARTS, HOT_LEAST)).select("lang", "p").collect():
-        hot[row["lang"]].add(row["p"].encode())
-    return dict(hot)
+def hot_prefixes(texts: DataFrame, rows: int, max_n: int) -> set[bytes]:
+    """Language and first words of which a sample of about SAMPLE_ROWS of the rows has more than 1 / HOT_PARTS of its suffixes."""
+    some = texts.sample(min(1.0, SAMPLE_ROWS / max(rows, 1)), seed=1)
+    key = "cast(key as string)"
+    prefixes = f"transform(sequence(1, size(split({key}, '\\0', -1))), i -> substring_index({key}, '\\0', i))"
+    found = some.mapInArrow(_emit(max_n, set()), SUFFIXES).select("n", F.explode(F.expr(prefixes)).alias("p"))
+    counts = found.groupBy("p").agg(F.sum("n").alias("n")).where(F.col("n") > HOT_LEAST).collect()  # less than (max_n + 1) / HOT_LEAST of the sample's suffixes
+    total = sum(r["n"] for r in counts if "\0" not in r["p"])
+    return {r["p"].encode() for r in counts if r["n"] > total // HOT_PARTS and "\0" in r["p"]}
 
 
 def phrase_counts(docs: DataFrame, max_n: int = MAX_WORDS, min_count: int = MIN_COUNT, lang: str = "lang", text: str = "text") -> DataFrame:
     """lang, k (its words), phrase and f of every phrase of 1 to max_n words with f of min_count or more, and for each lang a row with k = 0, an empty phrase and the number of its words."""
     small_batches(docs.sparkSession, ROWS)
     texts = _texts(docs, lang, text)
-    hot = hot_prefixes(texts, max_n)
-    rows = texts.mapInArrow(_emit(max_n, hot), SUFFIXES).repartition("bucket").drop("bucket").sortWithinPartitions(F.desc("lang"), F.desc("suffix"))
-    counts = rows.mapInArrow(_sweep(max_n, min_count, hot), COUNTS).groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f"))
-    return counts.where((F.col("f") >= min_count) | (F.col("k") == 0))
+    hot = hot_prefixes(texts, docs.count(), max_n)
+    rows = texts.mapInArrow(_emit(max_n, hot), SUFFIXES).repartition("bucket").select("key", "n").sortWithinPartitions(F.desc("key"))
+    counts = rows.mapInArrow(_swept(max_n, min_count, hot), COUNTS).groupBy("key").agg(F.sum("f").alias("f"))
+    words = counts.select(F.split(F.col("key").cast("string"), "\\x00", -1).alias("w"), "f")
+    plain = words.select(_unescaped(F.col("w")[0]).alias("lang"), (F.size("w") - 1).alias("k"), _unescaped(F.array_join(F.slice("w", 2, max_n), " ")).alias("phrase"), "f")
+    return plain.where((F.col("f") >= min_count) | (F.col("k") == 0))
+
+
+def _unescaped(text: Column) -> Column:
+    for a, b in (("\x01\x02", "\0"), ("\x01\x03", "\x01")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
 
 
 def _joined(words: str, start: str, length: str) -> str:
@@ -232,7 +281,7 @@ def _first(rows: DataFrame, keys: list[Column], top: int) -> DataFrame:
 
 def collocations(docs: DataFrame, max_n: int = MAX_WORDS, min_count: int = MIN_COUNT, held_percent: int = HELD_PERCENT, top: int = TOP, lang: str = "lang", text: str = "text") -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of each language's first phrases, without those that a longer candidate holds held_percent of the time or more."""
-    counts = written(phrase_counts(docs, max_n, min_count, lang, text).withColumn("phrase", _plain_phrase("phrase")), "phrases")
+    counts = written(phrase_counts(docs, max_n, min_count, lang, text), "phrases")
     kept = scored(counts).join(held_inside(counts), ["lang", "phrase"], "left").where(F.col("most").isNull() | (100 * F.col("most") < held_percent * F.col("a")))
     part = F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS))
     ranked = _first(_first(kept, [F.col("lang"), part], top), [F.col("lang")], top)
@@ -240,14 +289,6 @@ def collocations(docs: DataFrame, max_n: int = MAX_WORDS, min_count: int = MIN_C
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
-def _plain_phrase(name: str) -> Column:
-    """Spaces between the words, and the two bytes that suffixes escape."""
-    plain = F.col(name).cast("string")
-    for a, b in (("\0", " "), ("\x01\x02", "\0"), ("\x01\x03", "\x01")):
-        plain = F.replace(plain, F.lit(a), F.lit(b))
-    return plain
-
-
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents", "lang", "text"))
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, give_back, small_batches, table, written
+from .common import col, discard, give_back, small_batches, table, written
 
 TOP = 50
 BLOCK_TERMS = 300_000
@@ -191,7 +191,8 @@ def _item_terms(items: DataFrame, item_id: str, text: str) -> DataFrame:
 
 
 def _texts(rows: DataFrame, key: str, text: str) -> DataFrame:
-    return rows.select(rows[f"`{key}`"].cast("long"), rows[f"`{text}`"].cast("binary").alias("text")).where("text is not null")
+    """The ids and texts that aren't null, as id and text."""
+    return rows.select(col(key).cast("long").alias("id"), col(text).cast("binary").alias("text")).where("text is not null")
 
 
 def _best(texts: DataFrame, block: Block, top: int) -> DataFrame:

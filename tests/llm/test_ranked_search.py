@@ -1,0 +1,108 @@
+import heapq
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from plinth.llm import ranked_search as r
+
+from .conftest import rows_of
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def plain_terms(text):
+    return TERM.findall((text or "").translate(UPPER))
+
+
+def plain(docs, items, top):
+    """item_id, rank, doc_id, score by the definition."""
+    found = [(d, Counter(plain_terms(t))) for d, t in docs]
+    found = [(d, tf) for d, tf in found if tf]
+    n, words, df = len(found), sum(sum(tf.values()) for _, tf in found), Counter(t for _, tf in found for t in tf)
+    wanted: dict = {}
+    for item, text in items:
+        wanted.setdefault(item, set()).update(plain_terms(text))
+    out = []
+    for item, want in wanted.items():
+        scores = []
+        for doc, tf in found:
+            m = 100 - 50 + (50 * sum(tf.values()) * n) // words
+            score = sum(math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * (1000000000 * tf[t] // (1000 * tf[t] + 20 * m)) for t in want if t in tf)
+            if score > 0:
+                scores.append((-score, doc is None, doc or 0, doc))
+        out += [(item, k + 1, doc, -score) for k, (score, _, _, doc) in enumerate(sorted(scores)[:top])]
+    return sorted(out, key=str)
+
+
+def tables(spark, docs, items):
+    return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+
+
+def test_terms():
+    for text in ["A-b c1_2\x7fd", "Éa\x80Éa ÉA", "", "..", "x y z\xa0w", "한국어, 日本語!"]:
+        assert [w.decode() for words in r.terms(text.encode()) for w in words] == plain_terms(text)
+
+
+def test_terms_in_runs(monkeypatch):
+    monkeypatch.setattr(r, "RUN_WORDS", 3)
+    assert [w for words in r.terms(b"a b c d e f g ") for w in words] == list(map(str.encode, "abcdefg"))
+
+
+@pytest.mark.parametrize("span", [1, 1 << 16, (1 << 16) + 1, 1 << 40])
+def test_radix_order_is_stable(span):
+    keys = np.random.default_rng(1).integers(0, span, 5000, dtype=np.uint64)
+    keys[::3] = keys[0]
+    assert (r.radix_order(keys, span) == np.argsort(keys, kind="stable")).all()
+
+
+def test_against_sql(spark, docs, folder, sql):
+    rnd = random.Random(5)
+    texts = [" ".join(rnd.choice("ab cd ef gh É9 the of".split()) for _ in range(rnd.randint(0, 30))) for _ in range(80)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100, None), (101, ""), (102, "THE the, The.")]
+    items = spark.createDataFrame([(1, "ab the"), (2, "É9 nothing ef"), (3, None), (4, "zzz"), (5, "the The"), (1, "cd")], "item_id long, text string")
+    path = folder(documents=docs(*rows), benchmark=items)
+    out = r.op11_ranked_search(spark, path)
+    assert rows_of(out) == sql(r.OP11_SQL, out.columns, "documents", "benchmark")
+
+
+def test_blocks_chunks_and_parts_change_nothing(spark, monkeypatch):
+    """Ties and repeated ids; small blocks of items, chunks of documents and parts."""
+    rnd = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(30)] + ["the"] * 10
+    docs = [(rnd.choice([i, i, 7, None]), " ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(1, 12)))) for i in range(300)]
+    docs += docs[:40]
+    items = [(i, " ".join(rnd.choice(vocabulary) for _ in range(8))) for i in range(25)]
+    want = plain(docs, items, 5)
+    d, q = tables(spark, docs, items)
+    assert rows_of(r.search(d.repartition(3), q, 5)) == want
+    monkeypatch.setattr(r, "PART_IMPACTS", 500)
+    monkeypatch.setattr(r, "CHUNK_IMPACTS", 40)
+    assert rows_of(r.search(d.repartition(5), q, 5, block_terms=20)) == want
+
+
+def test_defined_results(spark):
+    d, q = tables(spark, [(1, "a b"), (2, None)], [(1, "a"), (None, "b"), (3, "")])
+    assert rows_of(r.search(d, q)) == plain([(1, "a b")], [(1, "a"), (None, "b")], 50)
+    empty = d.limit(0)
+    assert r.search(empty, q).count() == 0 and r.search(d, q.limit(0)).count() == 0
+    clash = d.selectExpr("doc_id as `d.id`", "text", "1 as n", "2 as ids", "3 as part")
+    assert r.search(clash, q, doc_id="d.id").count() == 2
+    long = spark.createDataFrame([(1, "the end " * 200_000), (2, "the")], "doc_id long, text string")
+    assert rows_of(r.search(long, q.selectExpr("item_id", "'the' as text"))) == plain([(1, "the end " * 200_000), (2, "the")], [(1, "the"), (None, "the"), (3, "the")], 50)
+
+
+def test_heaps_keep_the_best():
+    block = r.Block([(1, b"a")])
+    best = r.Accumulator(block, np.array([1000]), 100, 1000, 3)
+    for at in range(0, 100, 10):
+        ids = list(range(at, at + 10))
+        best.add(ids, [10] * 10, np.zeros(10, np.int32), np.array([1 + i % 7 for i in ids]), np.arange(11))
+    got = best.rows().to_pylist()
+    m = 50 + 50 * 10 * 100 // 1000
+    want = heapq.nsmallest(3, ((-(1000 * (1000000000 * t // (1000 * t + 20 * m))), i) for i, t in ((i, 1 + i % 7) for i in range(100))))
+    assert sorted((-x["score"], x["doc_id"]) for x in got) == want
