@@ -1,8 +1,8 @@
 """Collocations by suffix-sigma: one shuffle of truncated suffixes counts the phrases of all lengths.
 
 A text is cut at PIECE_ENDS into pieces and those at space and tab into words (A-Z in lower case). Every word
-begins one suffix: it and the words after it in its piece, max_n at most. Suffixes are counted in each task as
-far as HELD different ones, shuffled by language and first word, sorted in reverse order within their partition (the
+begins one suffix: it and the words after it in its piece, max_n at most. Suffixes are counted in each slice of SLICE
+bytes of text, shuffled by language and first word, sorted in reverse order within their partition (the
 language before the words, in one key), so that a longer suffix comes before its prefixes, and swept with one stack: when
 a prefix leaves the stack, its count is whole and goes on to the prefix below it. So f of words, pairs and
 triples and the number of words of a language come from one pass.
@@ -16,17 +16,17 @@ Parts are joined afterwards: each candidate (a phrase of two words or more with
 counts of the parts of all its cuts, and hot parts are dealt over tasks. Scores are exact (decimals of 38 digits; f up to 10^16).
 
 Defined results: a null text has no words; a null lang is UNKNOWN; every row counts, repeated ones too; an empty
-table gives an empty result. Further columns aren't read. Very long texts and pieces go through in runs of RUN_WORDS words.
+table gives an empty result. Further columns aren't read. Very long texts and pieces go through in slices.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
-from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +34,7 @@ from .common import col, give_back, hot_keys, join_spread, small_batches, table,
 
 UNKNOWN = "und"
 MAX_WORDS, MIN_COUNT, HELD_PERCENT, TOP = 3, 10, 50, 2000
-HELD, RUN_WORDS, ROWS = 600_000, 100_000, 20_000
+SLICE, ROWS = 4 << 20, 50_000
 SAMPLE_ROWS, HOT_PARTS, HOT_LEAST = 2000, 1000, 200
 RANK_PARTS = 64
 
@@ -45,154 +45,153 @@ _PLAIN = bytes(10 if b in PIECE_ENDS else 32 if b == 9 else b + 32 if 65 <= b <=
 SEP = b"\0"
 _ODD = re.compile(rb"[\x00\x01]")
 
-SUFFIXES = "key binary, bucket int, n long"
-COUNTS = "key binary, f long"
-
-
-def _escaped(word: bytes) -> bytes:
-    return _ODD.sub(lambda m: b"\x01\x02" if m[0] == b"\0" else b"\x01\x03", word)
-
-
-def runs_of(piece: bytes, max_n: int) -> Iterator[tuple[list[bytes], int]]:
-    """Runs of a long piece's words, and in each how many of them begin a suffix; the others begin one in the next run."""
-    held: list[bytes] = []
-    while piece:
-        words = piece.split(None, RUN_WORDS)
-        piece = words.pop() if len(words) > RUN_WORDS else b""
-        run = held + words
-        begin = len(run) - (max_n - 1) if piece else len(run)
-        if begin > 0:
-            yield run, begin
-        held = run[max(begin, 0) :]
-
-
-def suffixes(text: bytes, max_n: int) -> Iterator[list[bytes]]:
-    """The truncated suffixes of a text, in lists."""
-    odd, out = b"\0" in text or b"\x01" in text, []
-    for piece in text.translate(_PLAIN).split(b"\n"):
-        for run, begin in runs_of(piece, max_n) if len(piece) > RUN_WORDS else ((words := piece.split(), len(words)),):
-            if odd:
-                run = [_escaped(w) for w in run]
-            whole = min(begin, len(run) - max_n + 1)
-            if whole > 0:
-                out += map(SEP.join, zip(*(run[i : whole + i] for i in range(max_n))))
-            out += [SEP.join(run[i : i + max_n]) for i in range(max(whole, 0), begin)]
-            if len(out) >= RUN_WORDS:
-                yield out
-                out = []
-    yield out
-
-
-class Buckets:
-    """The shuffle key of suffixes: a hash of the language and the shortest prefix that isn't hot, or of the whole suffix."""
-
-    def __init__(self, lang: bytes, hot: set[bytes]):
-        self.lang, self.hot, self.seed, self.known = lang, hot, crc32(lang), {}
-
-    def of(self, suffix: bytes) -> int:
-        word = suffix.partition(SEP)[0]
-        found = self.known.get(word)
-        if found is None:
-            found = -1 if self.lang + SEP + word in self.hot else self._hash(word)
-            if len(self.known) < HELD:
-                self.known[word] = found
-        if found >= 0:
-            return found
-        end = suffix.find(SEP, len(word) + 1)
-        while end >= 0 and self.lang + SEP + suffix[:end] in self.hot:
-            end = suffix.find(SEP, end + 1)
-        return self._hash(suffix if end < 0 else suffix[:end])
-
-    def _hash(self, prefix: bytes) -> int:
-        return crc32(prefix, self.seed) & 0x7FFFFFFF
-
-
-def _emit(max_n: int, hot: set[bytes]):
-    """SUFFIXES rows: language and words in key, counted as far as HELD different ones."""
+SUFFIXES = "key string, n long"
+COUNTS = "key string, f long"
+
+
+def _escaped(text: bytes) -> bytes:
+    return _ODD.sub(lambda m: b"\x01\x02" if m[0] == b"\0" else b"\x01\x03", text) if b"\0" in text or b"\x01" in text else text
+
+
+def _cut(text: bytes, at: int) -> int:
+    """Where the slice that begins at `at` ends: behind the last piece, else word, of SLICE bytes, else behind the first word that ends later."""
+    for gap in (b"\n", b" "):
+        if (found := text.rfind(gap, at, at + SLICE)) >= 0:
+            return found + 1
+    return min((found + 1 for gap in (b"\n", b" ") if (found := text.find(gap, at + SLICE)) >= 0), default=len(text))
+
+
+def slices(text: bytes, max_n: int) -> Iterator[tuple[bytes, int]]:
+    """A text in slices, and before which byte of each its suffixes begin; behind it are the words that they still need."""
+    following = re.compile(rb" *(?:[^ \n]+ *){0,%d}" % (max_n - 1))
+    at = 0
+    while at < len(text):
+        cut = _cut(text, at) if len(text) - at > SLICE else len(text)
+        end = cut if text[cut - 1] == 10 else following.match(text, cut).end()
+        yield text[at:end], cut - at
+        at = cut
+
+
+def gathered(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """The pieces of data with these starts and lengths, which may overlap, as one array."""
+    offsets = np.zeros(len(starts) + 1, dtype=np.int32)
+    np.cumsum(lengths, out=offsets[1:])
+    where = np.arange(offsets[-1], dtype=np.int32) + np.repeat((starts - offsets[:-1]).astype(np.int32), lengths)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[where])])
+
+
+def suffixes(text: bytes, begin: int, max_n: int) -> pa.Array:
+    """The truncated suffixes of a slice that begin before this byte; SEP between their words."""
+    data = np.frombuffer(text, dtype=np.uint8)
+    word = (data != 32) & (data != 10)
+    edges = np.flatnonzero(np.diff(word, prepend=False, append=False))
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
+    if not len(starts):
+        return pa.array([], pa.binary())
+    piece = np.cumsum(data == 10, dtype=np.int32)[starts]
+    plain = np.append(data, np.uint8(32))
+    plain[edges[1::2]] = 0  # each word and one separator
+    word = np.append(word, False)
+    word[edges[1::2]] = True
+    plain, at = plain[word], np.cumsum(lengths + 1) - (lengths + 1)
+    ends, more = at + lengths, np.ones(len(starts), dtype=bool)
+    for k in range(1, max_n):
+        more[-k:] = False
+        more[:-k] &= piece[k:] == piece[:-k]
+        ends[:-k] = np.where(more[:-k], at[k:] + lengths[k:], ends[:-k])
+    own = int(np.searchsorted(starts, begin))
+    return gathered(plain, at[:own], (ends - at)[:own])
+
+
+def _emit(max_n: int):
+    """SUFFIXES rows: language and words in key, counted in each slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counted: dict[str, Counter] = defaultdict(Counter)
-        buckets: dict[str, Buckets] = {}
-        new = 0
-
-        def rows() -> Iterator[pa.RecordBatch]:
-            for lang, found in counted.items():
-                name = _escaped(lang.encode())
-                of, head = buckets.setdefault(lang, Buckets(name, hot)).of, name + SEP
-                keys, times = list(found), list(found.values())
-                for at in range(0, len(keys), ROWS):
-                    some = keys[at : at + ROWS]
-                    yield pa.RecordBatch.from_arrays([pa.array([head + s for s in some], pa.binary()), pa.array(list(map(of, some)), pa.int32()), pa.array(times[at : at + ROWS], pa.int64())], ["key", "bucket", "n"])
-            counted.clear()
-
         for batch in batches:
+            by_lang: dict[str, list[bytes]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for some in suffixes(text.as_py(), max_n):
-                    counted[lang].update(some)
-                    new += len(some)
-                    if new >= HELD:
-                        new = sum(map(len, counted.values()))
-                        if new >= HELD * 3 // 4:
-                            yield from rows()
-                            new = 0
-        yield from rows()
+                by_lang.setdefault(lang, []).append(text.as_py())
+            for lang, texts in by_lang.items():
+                head = pa.scalar(_escaped(lang.encode()), pa.binary())
+                for some, begin in slices(_escaped(b"\n".join(texts)).translate(_PLAIN), max_n):
+                    counted = pa.table({"s": suffixes(some, begin, max_n)}).group_by("s", use_threads=False).aggregate([([], "count_all")])
+                    keys = pc.binary_join_element_wise(head, counted["s"], pa.scalar(SEP, pa.binary()))
+                    for out in pa.table({"key": keys.cast(pa.string()), "n": counted["count_all"]}).to_batches(ROWS):
+                        yield out
         give_back()
 
     return run
 
 
 class Sweep:
-    """The stack: counts of all prefixes of keys in reverse order. What is hot goes out with what this partition has of it."""
+    """The stack: for each depth the open prefix and its count so far. Keys come in reverse order, a batch at a time.
+
+    Of a batch's prefixes of one depth, equal ones are neighbours; all but the last are whole and leave the stack. What is
+    hot goes out with what this partition has of it.
+    """
 
     def __init__(self, max_n: int, least: int, hot: set[bytes]):
-        self.deepest, self.least, self.hot = max_n + 1, least, hot
-        self.words: list[bytes] = []
-        self.counts: list[int] = []
+        self.deepest, self.least = max_n + 1, least
+        self.hot = pa.array(sorted(hot), pa.binary())
+        self.open: list[tuple[bytes, int] | None] = [None] * (self.deepest + 1)
         self.keys: list[bytes] = []
         self.found: list[int] = []
 
-    def close(self, depth: int) -> None:
-        """Take the words from depth on from the stack."""
-        words, counts = self.words, self.counts
-        while len(words) > depth:
-            n, k = counts.pop(), len(words)
-            if n >= self.least or k == 1 or k < self.deepest and self.hot and SEP.join(words) in self.hot:
-                self.keys.append(SEP.join(words))
-                self.found.append(n)
-            words.pop()
-            if counts:
-                counts[-1] += n
-
-    def add(self, keys: list[bytes], times: list[int]) -> None:
-        words, counts, deepest = self.words, self.counts, self.deepest
-        base = last = None
-        for key, n in zip(keys, times):
-            if key == last:
-                counts[-1] += n
+    def add(self, keys: pa.Array, times: np.ndarray) -> None:
+        keys = keys.cast(pa.binary())
+        offsets = np.frombuffer(keys.buffers()[1], dtype=np.int32)[keys.offset : keys.offset + len(keys) + 1]
+        data = np.frombuffer(keys.buffers()[2], dtype=np.uint8) if keys.buffers()[2] else np.zeros(0, np.uint8)
+        at = np.flatnonzero(data == 0)
+        first = np.searchsorted(at, offsets[:-1])
+        words = np.searchsorted(at, offsets[1:]) - first + 1
+        rows, counts = np.arange(len(keys)), times
+        for depth in range(self.deepest, 0, -1):
+            deep = words[rows] >= depth
+            own = rows[deep]
+            if not len(own):
                 continue
-            last = key
-            if base is not None and key.startswith(base):  # another last word
-                if (c := counts[-1]) >= self.least:
-                    self.close(deepest - 1)
-                    words.append(key[len(base) :])
-                    counts.append(n)
-                else:
-                    counts[-2] += c
-                    words[-1], counts[-1] = key[len(base) :], n
-                continue
-            new, same = key.split(SEP), 0
-            for a, b in zip(new, words):
-                if a != b:
-                    break
-                same += 1
-            self.close(same)
-            words += new[same:]
-            counts += [0] * (len(new) - same)
-            counts[-1] += n
-            base = SEP.join(new[:-1]) + SEP if len(new) == deepest else None
+            more = words[own] > depth
+            ends = offsets[own + 1].copy()
+            ends[more] = at[first[own[more]] + depth - 1]
+            prefixes = gathered(data, offsets[own], ends - offsets[own])
+            changed = np.concatenate([[True], pc.not_equal(prefixes[1:], prefixes[:-1]).to_numpy(zero_copy_only=False)])
+            begin = np.flatnonzero(changed)
+            sums = np.add.reduceat(counts[deep], begin)
+            self._close(depth, prefixes, begin, sums)
+            kept = ~deep  # shorter keys, and one row for each prefix, in order
+            kept[np.flatnonzero(deep)[begin]] = True
+            merged = counts.copy()
+            merged[np.flatnonzero(deep)[begin]] = sums
+            rows, counts = rows[kept], merged[kept]
+
+    def _close(self, depth: int, prefixes: pa.Array, begin: np.ndarray, sums: np.ndarray) -> None:
+        held, sums = self.open[depth], sums.copy()
+        if held is not None:
+            if prefixes[int(begin[0])].as_py() == held[0]:
+                sums[0] += held[1]
+            else:
+                self._out(depth, *held)
+        whole = sums[:-1] >= self.least if depth > 1 else np.ones(len(sums) - 1, dtype=bool)
+        if 1 < depth < self.deepest and len(self.hot) and len(whole):
+            whole = whole | pc.is_in(prefixes.take(pa.array(begin[:-1])), value_set=self.hot).to_numpy(zero_copy_only=False)
+        told = np.flatnonzero(whole)
+        self.keys += prefixes.take(pa.array(begin[told])).to_pylist()
+        self.found += sums[told].tolist()
+        self.open[depth] = prefixes[int(begin[-1])].as_py(), int(sums[-1])
+
+    def _out(self, depth: int, prefix: bytes, n: int) -> None:
+        if n >= self.least or depth == 1 or depth < self.deepest and pc.is_in(pa.array([prefix]), value_set=self.hot)[0].as_py():
+            self.keys.append(prefix)
+            self.found.append(n)
+
+    def close(self) -> None:
+        for depth in range(self.deepest, 0, -1):
+            if held := self.open[depth]:
+                self._out(depth, *held)
+            self.open[depth] = None
 
     def take(self) -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(self.keys, pa.binary()), pa.array(self.found, pa.int64())], ["key", "f"])
+        out = pa.RecordBatch.from_arrays([pa.array(self.keys, pa.binary()).cast(pa.string()), pa.array(self.found, pa.int64())], ["key", "f"])
         self.keys, self.found = [], []
         return out
 
@@ -201,10 +200,11 @@ def _swept(max_n: int, least: int, hot: set[bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sweep = Sweep(max_n, least, hot)
         for batch in batches:
-            sweep.add(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            if batch.num_rows:
+                sweep.add(batch.column(0), batch.column(1).to_numpy())
             if len(sweep.keys) >= ROWS:
                 yield sweep.take()
-        sweep.close(0)
+        sweep.close()
         yield sweep.take()
         give_back()
 
@@ -215,25 +215,37 @@ def _texts(docs: DataFrame, lang: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), col(text).cast("binary").alias("text")).where("text is not null")
 
 
+def _prefix(words: int) -> Column:
+    """The language and the first words of a key; all of it if it has no more."""
+    return F.substring_index("key", "\0", words + 1)
+
+
 def hot_prefixes(texts: DataFrame, rows: int, max_n: int) -> set[bytes]:
     """Language and first words of which a sample of about SAMPLE_ROWS of the rows has more than 1 / HOT_PARTS of its suffixes."""
-    some = texts.sample(min(1.0, SAMPLE_ROWS / max(rows, 1)), seed=1)
-    key = "cast(key as string)"
-    prefixes = f"transform(sequence(1, size(split({key}, '\\0', -1))), i -> substring_index({key}, '\\0', i))"
-    found = some.mapInArrow(_emit(max_n, set()), SUFFIXES).select("n", F.explode(F.expr(prefixes)).alias("p"))
-    counts = found.groupBy("p").agg(F.sum("n").alias("n")).where(F.col("n") > HOT_LEAST).collect()  # less than (max_n + 1) / HOT_LEAST of the sample's suffixes
+    some = texts.sample(min(1.0, SAMPLE_ROWS / max(rows, 1)), seed=1).mapInArrow(_emit(max_n), SUFFIXES)
+    prefixes = some.select("n", F.explode(F.array_distinct(F.array(*(_prefix(k) for k in range(max_n))))).alias("p"))
+    counts = prefixes.groupBy("p").agg(F.sum("n").alias("n")).where(F.col("n") > HOT_LEAST).collect()  # less than max_n / HOT_LEAST of the sample's suffixes
     total = sum(r["n"] for r in counts if "\0" not in r["p"])
     return {r["p"].encode() for r in counts if r["n"] > total // HOT_PARTS and "\0" in r["p"]}
 
 
+def bucket(hot: set[bytes], max_n: int) -> Column:
+    """What a key is dealt by: the shortest of its prefixes (from the first word on) that isn't hot, or all of it."""
+    out = F.col("key")
+    for words in range(max_n - 1, 0, -1):
+        own = [p.decode() for p in hot if p.count(SEP) == words]
+        out = F.when(_prefix(words).isin(own), out).otherwise(_prefix(words)) if own else _prefix(words)
+    return out
+
+
 def phrase_counts(docs: DataFrame, max_n: int = MAX_WORDS, min_count: int = MIN_COUNT, lang: str = "lang", text: str = "text") -> DataFrame:
     """lang, k (its words), phrase and f of every phrase of 1 to max_n words with f of min_count or more, and for each lang a row with k = 0, an empty phrase and the number of its words."""
     small_batches(docs.sparkSession, ROWS)
     texts = _texts(docs, lang, text)
     hot = hot_prefixes(texts, docs.count(), max_n)
-    rows = texts.mapInArrow(_emit(max_n, hot), SUFFIXES).repartition("bucket").select("key", "n").sortWithinPartitions(F.desc("key"))
+    rows = texts.mapInArrow(_emit(max_n), SUFFIXES).repartition(bucket(hot, max_n)).sortWithinPartitions(F.desc("key"))
     counts = rows.mapInArrow(_swept(max_n, min_count, hot), COUNTS).groupBy("key").agg(F.sum("f").alias("f"))
-    words = counts.select(F.split(F.col("key").cast("string"), "\\x00", -1).alias("w"), "f")
+    words = counts.select(F.split("key", "\\x00", -1).alias("w"), "f")
     plain = words.select(_unescaped(F.col("w")[0]).alias("lang"), (F.size("w") - 1).alias("k"), _unescaped(F.array_join(F.slice("w", 2, max_n), " ")).alias("phrase"), "f")
     return plain.where((F.col("f") >= min_count) | (F.col("k") == 0))
 

@@ -1,6 +1,8 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -50,20 +52,38 @@ def some_rows(seed, texts=60):
     return [(rnd.choice(["en", "en", "de", None, ""]), text()) for _ in range(texts)]
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text(alphabet="aB .\t\n\x00\x01é", max_size=60), st.integers(1, 4))
-def test_suffixes_of_a_text(text, max_n):
-    got = Counter(s for some in c.suffixes(text.encode(), max_n) for s in some)
-    want = Counter(tuple(w[i : i + max_n]) for w in plain_pieces(text) for i in range(len(w)))
-    assert Counter({tuple(w.replace(b"\x01\x02", b"\0").replace(b"\x01\x03", b"\x01").decode() for w in s.split(c.SEP)): n for s, n in got.items()}) == want
+def words_of(suffix):
+    return tuple(w.replace(b"\x01\x02", b"\0").replace(b"\x01\x03", b"\x01").decode() for w in suffix.split(c.SEP))
 
 
-@pytest.mark.parametrize("size", [1, 2, 3, 5])
-def test_runs_of_long_pieces(monkeypatch, size):
-    text = " ".join("abcdefghijk") + " l" * 20
-    want = Counter(s for some in c.suffixes(text.encode(), 3) for s in some)
-    monkeypatch.setattr(c, "RUN_WORDS", size)
-    assert Counter(s for some in c.suffixes(text.encode(), 3) for s in some) == want
+def found(text, max_n):
+    return Counter(words_of(s) for some, begin in c.slices(c._escaped(text.encode()).translate(c._PLAIN), max_n) for s in c.suffixes(some, begin, max_n).to_pylist())
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="aB .\t\n\x00\x01é", max_size=60), st.integers(1, 5), st.sampled_from([1, 2, 3, 5, 8, 1000]))
+def test_suffixes_of_a_text(text, max_n, size):
+    kept, c.SLICE = c.SLICE, size
+    try:
+        assert found(text, max_n) == Counter(tuple(w[i : i + max_n]) for w in plain_pieces(text) for i in range(len(w)))
+    finally:
+        c.SLICE = kept
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "b", "aa", "é"]), min_size=1, max_size=3), max_size=40), st.integers(1, 7))
+def test_sweep_in_batches(suffixes, size):
+    """The stack over batches of any size: all prefixes' counts."""
+    keys = sorted(("\0".join(["en" if len(s) % 2 else "de", *s]).encode() for s in suffixes), reverse=True)
+    sweep, want = c.Sweep(3, 2, {b"en\0a"}), Counter()
+    for k in keys:
+        w = k.split(c.SEP)
+        want.update(c.SEP.join(w[:i]) for i in range(1, len(w) + 1))
+    for at in range(0, len(keys), size):
+        sweep.add(pa.array([k.decode() for k in keys[at : at + size]], pa.string()), np.full(len(keys[at : at + size]), 1))
+    sweep.close()
+    assert len(set(sweep.keys)) == len(sweep.keys)
+    assert dict(zip(sweep.keys, sweep.found)) == {k: n for k, n in want.items() if n >= 2 or c.SEP not in k or k == b"en\0a"}
 
 
 def test_against_sql_and_plain(spark, folder, sql):
@@ -85,13 +105,12 @@ def test_hot_prefixes_change_nothing(spark, monkeypatch):
     df = spark.createDataFrame(rows, SCHEMA).repartition(6)
     want = plain(rows, least=5)
     monkeypatch.setattr(c, "HOT_LEAST", 1)
-    monkeypatch.setattr(c, "HELD", 50)
+    monkeypatch.setattr(c, "SLICE", 50)
     hot = c.hot_prefixes(c._texts(df, "lang", "text"), df.count(), 3)
     assert {b"en\0the", b"en\0the\0of", b"en\0x\x01\x02"} < hot
     assert rows_of(c.collocations(df, min_count=5)) == want
-    of = c.Buckets(b"en", hot).of
-    assert len({of(b"the\0" + w) for w in (b"of\0a", b"of\0b", b"sea")}) == 3
-    assert of(b"rare\0a") == of(b"rare\0b\0c") and of(b"rare") != c.Buckets(b"de", hot).of(b"rare")
+    keys = [("en\0the\0of\0sea",), ("en\0the\0city\0é",), ("en\0rare\0of",), ("en\0the",)]
+    assert [r[0] for r in spark.createDataFrame(keys, "key string").select(c.bucket({b"en\0the", b"en\0the\0of"}, 3)).collect()] == [keys[0][0], "en\0the\0city", "en\0rare", "en\0the"]
 
 
 def test_hot_sample_doesnt_decide_counts(spark, monkeypatch):
