@@ -10,8 +10,8 @@ path, the one with the longest host and path together wins; of equally long ones
 Rules go to the tasks in blocks of BLOCK_RULES rules and BLOCK_BYTES bytes at most, in the order of a hash. One block
 is swept over the pages where they are: nothing is shuffled, so a site with a third of all pages is no harder
 than others. More blocks are swept one after another over the table's different (host, path) pairs, which carry
-the best rule so far from block to block (written in between), and the pages take their pair's rule by a join.
-The result doesn't depend on the number of blocks.
+the best rule so far, with the length of its host, from block to block (written in between), and the pages take their pair's rule
+by a join that deals a pair with very many pages over several tasks. The result doesn't depend on the number of blocks.
 
 Defined results: a null url, or one without `://`, has an empty host and path and no rule. No
 host is below an empty rule host. A rule with a null host, path or verdict fits nothing. Repeated rules
@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, fresh, give_back, table, written
+from .common import col, discard, fresh, give_back, hot_keys, join_spread, table, written
 
 DEFAULT = "allow"
 BLOCK_RULES, BLOCK_BYTES = 100_000, 8 << 20
@@ -63,14 +63,19 @@ def host_key(name: str) -> str:
     return "".join(f"{label}." for label in reversed(name.split("."))) if name else ""
 
 
+#: A rule, its verdict and the length of its host.
+Best = tuple[str | None, str, int]
+NONE: Best = (None, DEFAULT, 0)
+
+
 class Sweep:
     """The rules of one block, sorted by key; `rule_of` takes sorted keys."""
 
     def __init__(self, rules: list[tuple[str, str, str]]):
-        by_key: dict[str, dict[str, tuple[str, str]]] = {}
+        by_key: dict[str, dict[str, Best]] = {}
         for verdict, name, prefix in sorted(rules, key=lambda r: (r[0] == "block", r[0] or "")):
             if name and prefix is not None and verdict:
-                by_key.setdefault(host_key(name), {})[prefix] = (name + prefix, verdict)
+                by_key.setdefault(host_key(name), {})[prefix] = (name + prefix, verdict, len(name))
         self.keys = sorted(by_key)
         self.paths = [by_key[k] for k in self.keys]
         self.lengths = [sorted({len(p) for p in paths}, reverse=True) for paths in self.paths]
@@ -83,7 +88,7 @@ class Sweep:
             if c == "." and (i := bisect_left(self.keys, key[: end + 1])) < self.at and self.keys[i] == key[: end + 1]:
                 self.stack.append(i)
 
-    def rule_of(self, key: str, page_path: str) -> tuple[str | None, str]:
+    def rule_of(self, key: str, page_path: str) -> Best:
         while self.at < len(self.keys) and self.keys[self.at] <= key:
             self._close(self.keys[self.at])
             self.stack.append(self.at)
@@ -96,37 +101,33 @@ class Sweep:
                     if best is None or len(found[0]) > len(best[0]):
                         best = found
                     break
-        return best or (None, DEFAULT)
+        return best or NONE
 
     def _close(self, key: str) -> None:
         while self.stack and not key.startswith(self.keys[self.stack[-1]]):
             self.stack.pop()
 
 
-Best = tuple[str | None, str]
-
-
 def _better(a: Best, b: Best) -> Best:
-    """Of two fitting rules the longer one; of equally long ones that of the longer host, then in the order of text."""
-    rank = lambda r: (-1, 0, "", "") if r[0] is None else (len(r[0]), r[0].find("/"), *r)
-    return max(a, b, key=rank)
+    """Of two fitting rules the longer one; of equally long ones that of the longer host. Rules that agree in both are one."""
+    return max(a, b, key=lambda r: (-1, 0) if r[0] is None else (len(r[0]), r[2]))
 
 
-def _swept(rules: list[tuple[str, str, str]], key: str, path: str, rule: str, verdict: str):
-    """Sweeps rows sorted by key; rule and verdict are those of the blocks before, if the rows have them."""
+def _swept(rules: list[tuple[str, str, str]]):
+    """Sweeps rows sorted by key; rule, verdict and length are those of the blocks before, if the rows have them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sweep, last = Sweep(rules), None
         for batch in batches:
             out = []
-            for k, page_path in zip(batch[key], batch[path]):
+            for k, page_path in zip(batch["key"], batch["path"]):
                 if last is None:
                     sweep.start(k)
                 last = k
                 out.append(sweep.rule_of(k, page_path))
-            if rule in batch:
-                out = [_better(a, (r if isinstance(r, str) else None, v)) for a, r, v in zip(out, batch[rule], batch[verdict])]
-            batch[rule], batch[verdict] = [r for r, _ in out], [v for _, v in out]
+            if "rule" in batch:
+                out = [_better(a, (r if isinstance(r, str) else None, v, n)) for a, r, v, n in zip(out, batch["rule"], batch["verdict"], batch["length"])]
+            batch["rule"], batch["verdict"], batch["length"] = [r[0] for r in out], [r[1] for r in out], [r[2] for r in out]
             yield batch
         give_back()
 
@@ -152,24 +153,29 @@ def _blocks(rules: DataFrame, block_rules: int) -> Iterator[list[tuple[str, str,
 
 def match_rules(pages: DataFrame, rules: DataFrame, host: str, path: str, rule: str, verdict: str, block_rules: int = BLOCK_RULES) -> DataFrame:
     """pages (host and path name their columns, without nulls) with the columns rule and verdict. rules: verdict, host, path."""
-    key = fresh(pages, "_key")[0]
-    in_order = F.when(F.col(host) == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.", -1)), "."), F.lit(".")))
+    row = [f"c{i}" for i in range(len(pages.columns))]  # whatever the names of pages' columns
+    plain = pages.toDF(*row).withColumns({"host": F.col(row[pages.columns.index(host)]), "path": F.col(row[pages.columns.index(path)])})
+    in_order = F.when(F.col("host") == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split("host", r"\.", -1)), "."), F.lit(".")))
 
     def sweep(rows: DataFrame, block: list[tuple[str, str, str]]) -> DataFrame:
-        rows = rows.withColumn(key, in_order).sortWithinPartitions(key)
-        schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n not in (rule, verdict)) + f", `{rule}` string, `{verdict}` string"
-        return rows.mapInPandas(_swept(block, key, path, rule, verdict), schema).drop(key)
+        rows = rows.withColumn("key", in_order).sortWithinPartitions("key")
+        schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes if n not in ("rule", "verdict", "length")) + ", rule string, verdict string, length int"
+        return rows.mapInPandas(_swept(block), schema).drop("key")
 
     blocks = _blocks(rules, block_rules)
     block, more = next(blocks), next(blocks, None)
     if more is None:
-        return sweep(pages, block)
-    pairs = written(sweep(pages.select(host, path).distinct(), block), "rules")
+        return sweep(plain, block).select(*row, "rule", "verdict").toDF(*pages.columns, rule, verdict)
+    pairs = written(sweep(plain.select("host", "path").distinct(), block), "rules")
     while more is not None:
         pairs, before = written(sweep(pairs, more), "rules"), pairs
         discard(before)
         more = next(blocks, None)
-    return pages.join(pairs, [host, path])
+    whole = F.concat("host", "path").alias("pair")  # no host holds a slash, no path begins otherwise
+    rows = plain.select(whole, F.monotonically_increasing_id().alias("id"), F.struct(*row).alias("row"))
+    often = rows.groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
+    found = join_spread(rows, pairs.select(whole, "rule", "verdict"), "pair", hot_keys(often, "pair", "n", pages.count()), "id")
+    return found.select("row.*", "rule", "verdict").toDF(*pages.columns, rule, verdict)
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", block_rules: int = BLOCK_RULES) -> DataFrame:
@@ -177,9 +183,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", block_rule
     made = ("host", "path", "rule", "verdict")
     rest = [c for c in pages.columns if c.lower() not in made]
     names = fresh(pages, *(f"_{m}" for m in made))
-    rows = pages.select(*rest, host(F.col(url)).alias(names[0]), path(F.col(url)).alias(names[1]))
-    out = match_rules(rows, rules, *names, block_rules)
-    return out.select(*rest, *[F.col(n).alias(m) for n, m in zip(names, made)])
+    rows = pages.select(*map(col, rest), host(col(url)).alias(names[0]), path(col(url)).alias(names[1]))
+    return match_rules(rows, rules, *names, block_rules).toDF(*rest, *made)
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

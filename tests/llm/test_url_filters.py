@@ -1,5 +1,6 @@
 import random
 
+from plinth.llm import common
 from plinth.llm import url_filters as u
 
 from .conftest import rows_of
@@ -46,23 +47,44 @@ def best(rules, host, path):
 def test_random_rules_and_blocks(spark):
     rnd = random.Random(3)
     name = lambda: ".".join(rnd.choice("ab") for _ in range(rnd.randint(1, 4)))
-    way = lambda: "/" + "".join(rnd.choice("xy/") for _ in range(rnd.randint(0, 4)))
+    way = lambda: rnd.choice(["", "/", "/"]) and "/" + "".join(rnd.choice("xy/") for _ in range(rnd.randint(0, 4)))
     rules = list({(h, p): (rnd.choice(["block", "allow"]), h, p) for h, p in ((name(), way()) for _ in range(60))}.values())
     urls = [(i, name(), way()) for i in range(400)]
     df = spark.createDataFrame(urls, "id long, h string, p string").repartition(3)
     table = spark.createDataFrame([*rules, ("block", None, "/"), ("block", "", "/")], "verdict string, host string, path string")
     want = {i: best(rules, h, p) for i, h, p in urls}
-    for block in (1000, 7):
+    assert sum(not p for _, _, p in rules) > 3
+    for block in (1000, 7, 1):
         got = {r["id"]: (r["rule"], r["verdict"]) for r in u.match_rules(df, table, "h", "p", "rule", "verdict", block).collect()}
-        assert {i: len(r[0] or "") for i, r in got.items()} == {i: len(r[0] or "") for i, r in want.items()}
-        assert got == (first := got if block == 1000 else first)  # ties too
-        assert all(got[i] == want[i] for i in want if sum(len(h + p) == len(want[i][0] or "") for _, h, p in rules) <= 1)
+        assert got == want
+
+
+def test_ties_go_to_the_longer_host(spark):
+    """Rules of one length, the path of one empty; every block size gives the same."""
+    rules = spark.createDataFrame([("block", "b.net", ""), ("allow", "net", "/x"), ("allow", "b.net", "/"), ("block", "net", "")], "verdict string, host string, path string")
+    urls = pages(spark, ["http://b.net/x", "http://b.net", "http://c.net/xy", "http://a.b.net/"])
+    for block in (100, 3, 1):
+        got = {r["url"]: (r["rule"], r["verdict"]) for r in u.filter_urls(urls, rules, block_rules=block).collect()}
+        assert got == {"http://b.net/x": ("b.net/", "allow"), "http://b.net": ("b.net", "block"), "http://c.net/xy": ("net/x", "allow"), "http://a.b.net/": ("b.net/", "allow")}
+    two = spark.createDataFrame([("block", "b.net", ""), ("allow", "net", "/x")], "verdict string, host string, path string")
+    assert [u.filter_urls(urls.limit(1), two, block_rules=n).collect()[0]["rule"] for n in (2, 1)] == ["b.net", "b.net"]
+
+
+def test_a_pair_with_most_pages(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_LEAST", 5)
+    rows = pages(spark, ["http://a.net/x"] * 60 + URLS).repartition(4)
+    rules = spark.createDataFrame(u.RULES, "verdict string, host string, path string")
+    assert rows_of(u.filter_urls(rows, rules, block_rules=1)) == rows_of(u.filter_urls(rows, rules))
 
 
 def test_empty(spark):
     none = spark.createDataFrame([], "verdict string, host string, path string")
     assert u.filter_urls(pages(spark, []), none).count() == 0
     clash = pages(spark, ["http://a.b/c"]).withColumnsRenamed({"page_id": "_Host", "html": "_key"})
+    dotted = pages(spark, ["http://a.b/c"]).withColumnsRenamed({"page_id": "page.id", "html": "row"})
+    for block in (1, 100):
+        out = u.filter_urls(dotted, spark.createDataFrame(u.RULES, "verdict string, host string, path string"), block_rules=block)
+        assert out.columns == ["page.id", "url", "row", "host", "path", "rule", "verdict"] and out.count() == 1
     assert u.filter_urls(clash, none).columns == ["_Host", "url", "_key", "host", "path", "rule", "verdict"]
     assert u.filter_urls(clash, spark.createDataFrame(u.RULES, "verdict string, host string, path string"), block_rules=1).collect()[0]["_key"] == "<p>"
     assert [r["verdict"] for r in u.filter_urls(pages(spark, ["http://a.b/c"]).withColumnRenamed("html", "rule"), none).collect()] == ["allow"]
