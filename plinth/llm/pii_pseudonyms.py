@@ -1,7 +1,7 @@
 """PII: format-preserving pseudonyms by keyed Feistel permutations.
 
 Found and validated: payment cards (Luhn, 13 to 19 digits, plain or in groups), US social security
-numbers, IBANs (mod 97), IPv4 addresses, North American phone numbers (area and exchange of 200 to 999, none of N11, no
+numbers, IBANs (mod 97; the length of the country, where it is a known one), IPv4 addresses, North American phone numbers (area and exchange of 200 to 999, none of N11, no
 area N9X), dates of 1900 to 2099 (y-m-d, d.m.y, m/d/y or d/m/y) and e-mail addresses (their local part). What fails its
 validation stays. A phone number that says `+1` is told by its format: if no area has it, it is replaced by another such
 number, so that valid ones give valid ones and others give others.
@@ -11,7 +11,8 @@ by a Feistel network on two mixed-radix halves (HMAC-SHA256 rounds; ranks that l
 permuted again until they are back), and the new rank is written in the old value's layout:
 separators, prefixes, digit counts stay, check digits are made anew. The permutation is of the
 value, not of its spelling, so equal values get equal pseudonyms in every document, and different
-values different ones. The key is a parameter without a default; on a cluster take it from a secret store. The query uses DEMO_KEY.
+values different ones. A date becomes one that all of its spellings can write with as many digits and
+that is read by the same rule (days beyond the twelfth, which d/m/y can say, stay among themselves). The key is a parameter without a default; on a cluster take it from a secret store. The query uses DEMO_KEY.
 
 One narrow pass, no shuffle. Defined results: a null text stays null, an empty one empty, both
 with no values. Repeated rows give repeated results; an empty table an empty one. Further columns pass
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, small_batches, table
+from .common import col, fresh, small_batches, table
 
 DEMO_KEY = b"plinth demo key: replace it"
 ROUNDS = 10
@@ -49,6 +50,13 @@ PATTERN = re.compile(
     r"|(?P<card>(?<![0-9-])(?:[0-9]{13,19}|[0-9]{4}(?P<s2>[ -])[0-9]{4}(?P=s2)[0-9]{4}(?P=s2)[0-9]{4}|[0-9]{4}(?P<s3>[ -])[0-9]{6}(?P=s3)[0-9]{5})(?![0-9]|-[0-9]))"
     r"|(?P<phone>(?<![0-9])(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?![0-9]))"
 )
+#: The length of an IBAN by its country, of the public registry.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29,
+    "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20,
+    "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25,
+    "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
 _LIKELY = re.compile(r"[0-9@]")
 _DIGIT = re.compile(r"[0-9]")
 
@@ -159,7 +167,7 @@ def _phone(key: bytes, text: str) -> str | None:
 
 def _iban(key: bytes, text: str) -> str | None:
     plain = text.replace(" ", "")
-    if not 15 <= len(plain) <= 34 or _mod97(plain[4:] + plain[:4]) != 1:
+    if not 15 <= len(plain) <= 34 or IBAN_LENGTHS.get(plain[:2], len(plain)) != len(plain) or _mod97(plain[4:] + plain[:4]) != 1:
         return None
     digits = "".join(_DIGIT.findall(plain[4:]))
     shape = _DIGIT.sub("9", plain[4:])
@@ -168,31 +176,50 @@ def _iban(key: bytes, text: str) -> str | None:
     return "".join(c if c == " " else next(new) for c in text)
 
 
+@lru_cache(maxsize=1)
+def _sorts() -> tuple[dict[datetime.date, tuple[str, int]], dict[str, list[datetime.date]]]:
+    """The days of 1900 to 2099 by what their spellings can be: whether the month needs two digits, the day two, and whether the day is no month."""
+    place: dict[datetime.date, tuple[str, int]] = {}
+    days: dict[str, list[datetime.date]] = {}
+    for at in range(DAYS):
+        day = DAY0 + datetime.timedelta(at)
+        own = days.setdefault(f"{day.month > 9:d}{day.day > 9:d}{day.day > 12:d}", [])
+        place[day] = f"{day.month > 9:d}{day.day > 9:d}{day.day > 12:d}", len(own)
+        own.append(day)
+    return place, days
+
+
 def _day(key: bytes, year: str, month: str, day: str) -> datetime.date | None:
+    """Another day of the same sort, so that every spelling of the one is a spelling of the other, read in the same way."""
+    place, days = _sorts()
     try:
-        at = (datetime.date(int(year), int(month), int(day)) - DAY0).days
-    except ValueError:
+        sort, rank = place[datetime.date(int(year), int(month), int(day))]
+    except (ValueError, KeyError):
         return None
-    return DAY0 + datetime.timedelta(permutation(key, "date", DAYS)(at)) if 0 <= at < DAYS else None
+    return days[sort][permutation(key, f"date/{sort}", len(days[sort]))(rank)]
+
+
+def _as(number: int, old: str) -> str:
+    return str(number).zfill(len(old))
 
 
 def _ymd(key: bytes, text: str) -> str | None:
     new = _day(key, text[:4], text[5:7], text[8:])
-    return new and f"{new.year:04d}{text[4]}{new.month:02d}{text[7]}{new.day:02d}"
+    return new and f"{new.year}{text[4]}{new.month:02d}{text[7]}{new.day:02d}"
 
 
 def _dmy(key: bytes, text: str) -> str | None:
     day, month, year = text.split(".")
     new = _day(key, year, month, day)
-    return new and f"{new.day:02d}.{new.month:02d}.{new.year}"
+    return new and f"{_as(new.day, day)}.{_as(new.month, month)}.{new.year}"
 
 
 def _mdy(key: bytes, text: str) -> str | None:
     first, second, year = text.split("/")
     if new := _day(key, year, first, second):
-        return f"{new.month:02d}/{new.day:02d}/{new.year}"
+        return f"{_as(new.month, first)}/{_as(new.day, second)}/{new.year}"
     new = _day(key, year, second, first)
-    return new and f"{new.day:02d}/{new.month:02d}/{new.year}"
+    return new and f"{_as(new.day, first)}/{_as(new.month, second)}/{new.year}"
 
 
 def _email(key: bytes, text: str) -> str | None:
@@ -247,8 +274,8 @@ def pseudonymize(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
 
     name = fresh(docs, "_pii")[0]
     rest = [c for c in docs.columns if c.lower() != "pii"]
-    with_it = docs.select(*rest, run(F.col(text).cast("string")).alias(name))
-    return with_it.select(*[F.col(name)["new"].alias(c) if c == text else F.col(c) for c in rest], F.col(name)["pii"].alias("pii"))
+    with_it = docs.select(*map(col, rest), run(col(text).cast("string")).alias(name))
+    return with_it.select(*[F.col(name)["new"].alias(c) if c == text else col(c) for c in rest], F.col(name)["pii"].alias("pii"))
 
 
 def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import datetime
 import re
 
 import pytest
@@ -48,6 +49,29 @@ def test_equal_values_stay_linked_and_formats_stay():
     assert re.fullmatch(r"[a-z]\.[a-z]\d@mail7\.example\.com", p.replaced("a.b9@mail7.example.com", KEY)[0])
 
 
+def test_dates_in_every_spelling_are_permuted():
+    """Every day of 1900 to 2099 in every spelling: the images of all spellings of one layout are as many, read in the same way and of the same lengths."""
+    days = [p.DAY0 + datetime.timedelta(n) for n in range(p.DAYS)]
+    slash = [f"{d.month:02d}/{d.day:02d}/{d.year}" for d in days] + [f"{d.day:02d}/{d.month:02d}/{d.year}" for d in days if d.day > 12]
+    short = [f"{d.month}/{d.day}/{d.year}" for d in days if d.month < 10 or d.day < 10] + [f"{d.day}/{d.month}/{d.year}" for d in days if d.day > 12 and d.month < 10]
+    dots = [f"{d.day:02d}.{d.month:02d}.{d.year}" for d in days]
+    bare = [f"{d.day}.{d.month}.{d.year}" for d in days if d.month < 10 or d.day < 10]
+    for texts, f in ((slash, p._mdy), (short, p._mdy), (dots, p._dmy), (bare, p._dmy), ([str(d) for d in days], p._ymd)):
+        images = [f(KEY, t) for t in texts]
+        assert sorted(images) == sorted(texts)  # onto themselves: none shared, none that another rule would read
+        assert all([len(a) for a in re.split(r"[-./]", t)] == [len(b) for b in re.split(r"[-./]", i)] for t, i in zip(texts, images))
+    assert [p._mdy(KEY, "05/24/1992").split("/")[n] for n in (1, 0, 2)] == p._mdy(KEY, "24/05/1992").split("/") == p._dmy(KEY, "24.05.1992").split(".")
+
+
+def test_iban_lengths():
+    assert kinds("GB82 WEST 1234 5698 7654 32") == ["iban"]
+    for country, size in (("GB", 21), ("DE", 23), ("NO", 16), ("XX", 20)):
+        body = "1" * (size - 4)
+        made = f"{country}{98 - p._mod97(body + country + '00'):02d}{body}"
+        assert kinds(made) == (["iban"] if country == "XX" else [])
+    assert len(p.IBAN_LENGTHS) == 79 and all(15 <= n <= 32 for n in p.IBAN_LENGTHS.values())
+
+
 def test_two_values_side_by_side():
     new, found = p.replaced("4111111111111111 5500005555555559", KEY)
     assert len(found) == 2 and len(new) == 33
@@ -109,3 +133,5 @@ def test_table(spark, docs):
     assert len(five["pii"]) == 1 and "10.1.2.3" not in five["text"]
     assert p.pseudonymize(docs(), KEY).count() == 0 and p.pseudonymize(df.withColumnRenamed("lang", "pii"), KEY).columns.count("pii") == 1
     assert p.pseudonymize(df.withColumnRenamed("lang", "_pii"), KEY).where("_pii = 'en'").count() == 6
+    dotted = p.pseudonymize(df.withColumnRenamed("lang", "a.b"), KEY)
+    assert "a.b" in dotted.columns and dotted.count() == 6
