@@ -33,12 +33,17 @@ DATE = "2024-01-01T00:00:00Z"
 BLOCKS = "address|article|aside|blockquote|br|dd|div|dl|dt|figcaption|figure|footer|form|h1|h2|h3|h4|h5|h6|header|hr|li|main|nav|ol|option|p|pre|section|table|tbody|td|th|thead|tr|ul"
 #: The named references of HTML 4 (Python's table of them) and XML's apos.
 ENTITIES = {name: chr(point) for name, point in name2codepoint.items()} | {"apos": "'"}
-#: Pattern and replacement, in order; both engines read them alike.
+QUOTED = r"""(</?[A-Za-z][^<>]*=[ \t\r\n]*)(?:"[^">]*>[^"]*"|'[^'>]*>[^']*')"""
+#: Pattern and replacement, in order; both engines read them alike. Elements of raw text and comments end with the page at last,
+#: and an attribute's value goes before tags do if a `>` stands in it (two of a tag's attributes; the rest of a tag with more would stay).
 STEPS = (
-    (r"(?s)<!--.*?-->", ""),
+    (r"(?s)<!--.*?(?:-->|\z)", ""),
+    (r"(?is)<script\b.*?(?:</script\s*>|\z)", ""),
+    (r"(?is)<style\b.*?(?:</style\s*>|\z)", ""),
     (r"(?is)<head\b.*?</head\s*>", ""),
-    (r"(?is)<script\b.*?</script\s*>", ""),
-    (r"(?is)<style\b.*?</style\s*>", ""),
+    (r"(?is)<title\b.*?(?:</title\s*>|\z)", ""),
+    (QUOTED, "$1"),
+    (QUOTED, "$1"),
     (rf"(?i)</?(?:{BLOCKS})(?:\s[^>]*)?/?>", "\n"),
     (r"</?[A-Za-z!][^>]*>", ""),
 )
@@ -142,8 +147,8 @@ def as_warc(records: DataFrame) -> DataFrame:
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    """The records as gzipped WARC files in a folder, one a partition."""
-    as_warc(records).write.option("lineSep", CRLF * 2).option("compression", "gzip").text(path)
+    """The records as WARC files in a folder, one a partition; not compressed, as readers of gzipped ones want a member a record, which no writer of Spark makes."""
+    as_warc(records).write.option("lineSep", CRLF * 2).text(path)
 
 
 def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,7 +158,7 @@ def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql_text(expr: str) -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     for pattern, by in STEPS:
-        expr = f"regexp_replace({expr}, {quote(pattern)}, {quote(by)}, 'g')"
+        expr = f"regexp_replace({expr}, {quote(pattern)}, {quote(by.replace('$', chr(92)))}, 'g')"
     expr = _sql_references(expr)
     for pattern, by in SPACES:
         expr = f"regexp_replace({expr}, {quote(pattern)}, {quote(by)}, 'g')"

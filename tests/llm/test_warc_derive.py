@@ -1,4 +1,3 @@
-import gzip
 import hashlib
 import random
 from html import unescape
@@ -71,6 +70,26 @@ def test_text_against_a_parser(spark):
         assert got[i] == read(t), t
 
 
+ODD = {
+    '<p title="a>b">x</p>': "x",
+    "<p title = 'a>b>c' class=\"d>e\">x <a href=\"?q='>'\">y</a></p>": "x y",
+    "<p>x<script>var a=1;": "x",
+    "<style>p{}<p>t": "",
+    "<p>x</p><!-- <p>y": "x",
+    "<head><title>No</title><meta charset=x><body><p>x": "x",
+    "<head><title>No": "",
+    "<header>x</header><p>it's 5 > 3, a=\"b\" and 'c'</p>": "x\nit's 5 > 3, a=\"b\" and 'c'",
+    "<p data-a=b>x</p><p data-b='c'>y</p>": "x\ny",
+}
+
+
+def test_quotes_and_open_elements(spark, folder, sql):
+    df = pages(spark, *((i, "u", t) for i, t in enumerate(ODD)))
+    out = w.op1_warc_derivatives(spark, folder(pages=df))
+    assert {list(ODD)[r["page_id"]]: r["block"] for r in out.collect() if r["record_type"] == "conversion"} == ODD
+    assert rows_of(out) == sql(w.OP1_SQL, out.columns, "pages")
+
+
 def test_kept_names(spark):
     df = w.responses(pages(spark, (1, "http://a/b", HTML))).withColumnRenamed("page_id", "_Text")
     out = w.derive(df, keep=("_Text", "target_uri", "Block"))
@@ -89,7 +108,7 @@ def test_defined_results(spark, folder, sql):
 def test_warc_files(spark, tmp_path):
     records = w.derive(w.responses(pages(spark, (1, "http://a/b", HTML))).coalesce(1))
     w.write_warc(records, str(tmp_path / "out"))
-    raw = b"".join(gzip.open(f).read() for f in (tmp_path / "out").glob("*.gz"))
+    raw = b"".join(f.read_bytes() for f in (tmp_path / "out").glob("part-*"))
     heads = []
     while raw:
         head, _, rest = raw.partition(b"\r\n\r\n")
