@@ -37,11 +37,7 @@ QUOTED = r"""(</?[A-Za-z][^<>]*=[ \t\r\n]*)(?:"[^">]*>[^"]*"|'[^'>]*>[^']*')"""
 #: Pattern and replacement, in order; both engines read them alike. Elements of raw text and comments end with the page at last,
 #: and an attribute's value goes before tags do if a `>` stands in it (two of a tag's attributes; the rest of a tag with more would stay).
 STEPS = (
-    (r"(?s)<!--.*?(?:-->|\z)", ""),
-    (r"(?is)<script\b.*?(?:</script\s*>|\z)", ""),
-    (r"(?is)<style\b.*?(?:</style\s*>|\z)", ""),
-    (r"(?is)<head\b.*?</head\s*>", ""),
-    (r"(?is)<title\b.*?(?:</title\s*>|\z)", ""),
+    (r"(?is)<(?:!--.*?(?:-->|\z)|script\b.*?(?:</script\s*>|\z)|style\b.*?(?:</style\s*>|\z)|title\b.*?(?:</title\s*>|\z)|head\b.*?</head\s*>)", ""),
     (QUOTED, "$1"),
     (QUOTED, "$1"),
     (rf"(?i)</?(?:{BLOCKS})(?:\s[^>]*)?/?>", "\n"),
