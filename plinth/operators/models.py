@@ -1,7 +1,9 @@
 """Expensive functions of a provider: embeddings and generated text, and the operators around them.
 
 A provider is a Python function over a list of texts, called once an Arrow batch; the defaults are
-deterministic and need no network. How many calls run at once is the number of partitions. Filters on
+deterministic and need no network. Calls over the network wait for most of their time, so a task makes several at once:
+at most `workers` (of a provider, or of `embedded` and `generated`), in the order of the rows, and one that fails
+spoils no other. How many calls the whole job makes at once is that times the number of tasks that run. Filters on
 other columns pass below these functions, as they are scalar pandas functions.
 """
 
@@ -11,7 +13,10 @@ import hashlib
 import json
 import time
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from itertools import islice
+from typing import TypeVar
 from urllib.error import HTTPError, URLError
 from urllib.request import Request, urlopen
 
@@ -28,6 +33,28 @@ Embed = Callable[[list[str]], list[list[float] | None]]
 Generate = Callable[[list[str]], list[str]]
 DIMENSIONS = 1024
 ATTEMPTS = 3
+WORKERS = 2
+A, B = TypeVar("A"), TypeVar("B")
+
+
+def in_flight(call: Callable[[A], B], items: Iterable[A], workers: int = WORKERS) -> Iterator[B | Exception]:
+    """call's result for each item in order, or the exception that it raised; at most workers calls are under way and at most as many results wait."""
+    if workers < 1:
+        raise ValueError("one worker at least")
+
+    def one(item: A) -> B | Exception:
+        try:
+            return call(item)
+        except Exception as error:
+            return error
+
+    todo = iter(items)
+    with ThreadPoolExecutor(workers) as pool:
+        under_way = [pool.submit(one, item) for item in islice(todo, workers)]
+        while under_way:
+            made = under_way.pop(0).result()
+            under_way += [pool.submit(one, item) for item in islice(todo, 1)]
+            yield made
 
 
 def hashed_words(dimensions: int = DIMENSIONS) -> Embed:
@@ -49,12 +76,15 @@ def hashed_words(dimensions: int = DIMENSIONS) -> Embed:
 
 
 class HttpProvider:
-    """A provider over HTTP: POST of JSON with a bearer key. Server and connection errors are tried again, others raise at once."""
+    """A provider over HTTP: POST of JSON with a bearer key. Server and connection errors are tried again, others raise at once.
+
+    Of several texts at most `workers` are asked for at once; a text whose embedding fails is None among the others.
+    """
 
-    def __init__(self, base_url: str, api_key: str, model: str, dimensions: int = DIMENSIONS, sleep: Callable[[float], None] = time.sleep):
+    def __init__(self, base_url: str, api_key: str, model: str, dimensions: int = DIMENSIONS, sleep: Callable[[float], None] = time.sleep, workers: int = WORKERS):
         if not api_key:
             raise ModelError("an API key is needed")
-        self.base_url, self.api_key, self.model, self.dimensions, self.sleep = base_url.rstrip("/"), api_key, model, dimensions, sleep
+        self.base_url, self.api_key, self.model, self.dimensions, self.sleep, self.workers = base_url.rstrip("/"), api_key, model, dimensions, sleep, workers
 
     def _post(self, path: str, body: dict, attempts: int, timeout: float) -> dict:
         request = Request(f"{self.base_url}/{path}", json.dumps(body).encode(), {"Authorization": f"Bearer {self.api_key}", "Content-Type": "application/json"})
@@ -74,8 +104,11 @@ class HttpProvider:
             raise ModelError(str(bad[0].get("message", bad[0]))[:500])
         return [r["response"] for r in replies]
 
+    def embed_one(self, text: str) -> list[float]:
+        return _vector(self._post("embeddings", {"query": text, "embeddings_model": self.model, "dimensions": self.dimensions}, ATTEMPTS, 30))
+
     def embed(self, texts: list[str]) -> list[list[float] | None]:
-        return [_vector(self._post("embeddings", {"query": t, "embeddings_model": self.model, "dimensions": self.dimensions}, ATTEMPTS, 30)) for t in texts]
+        return [None if isinstance(v, Exception) else v for v in in_flight(self.embed_one, texts, self.workers)]
 
     def describe(self) -> dict[str, str | int]:
         """What is asked for, without the key."""
@@ -91,16 +124,16 @@ def _vector(reply: dict) -> list[float]:
     raise ModelError("no embedding in the reply")
 
 
-def embedded(text: Column, embed: Embed, dimensions: int = DIMENSIONS) -> Column:
-    """The embedding of each text; a text that fails gets zeros. A batch that fails is tried text by text."""
+def embedded(text: Column, embed: Embed, dimensions: int = DIMENSIONS, workers: int = WORKERS) -> Column:
+    """The embedding of each text; a text that fails gets zeros. A batch that fails is tried text by text, workers at once."""
 
-    def one(value: str) -> list[float]:
+    def one(value: str) -> list[float] | None:
         for _ in range(ATTEMPTS):
             try:
-                return embed([value])[0] or [0.0] * dimensions
+                return embed([value])[0]
             except Exception:
                 continue
-        return [0.0] * dimensions
+        return None
 
     @F.pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:
@@ -108,24 +141,19 @@ def embedded(text: Column, embed: Embed, dimensions: int = DIMENSIONS) -> Column
         try:
             made = embed(values)
         except Exception:
-            made = [one(v) for v in values]
+            made = list(in_flight(one, values, workers))
         return pd.Series([m or [0.0] * dimensions for m in made])
 
     return run(text)
 
 
-def generated(prompt: Column, generate: Generate) -> Column:
-    """A struct of reply and error for each prompt; errors become rows."""
+def generated(prompt: Column, generate: Generate, workers: int = WORKERS) -> Column:
+    """A struct of reply and error for each prompt, workers of them asked at once; errors become rows."""
 
     @F.pandas_udf("reply string, error string")
     def run(prompts: pd.Series) -> pd.DataFrame:
-        out = []
-        for p in prompts:
-            try:
-                out.append((generate([p])[0], None))
-            except Exception as error:
-                out.append((None, str(error)[:500]))
-        return pd.DataFrame(out, columns=["reply", "error"])
+        replies = in_flight(lambda p: generate([p])[0], prompts, workers)
+        return pd.DataFrame([(None, str(r)[:500]) if isinstance(r, Exception) else (r, None) for r in replies], columns=["reply", "error"])
 
     return run(prompt)
 
