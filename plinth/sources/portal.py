@@ -3,20 +3,30 @@
 Pages come from a fetch function (http_fetch over the network), so that tests and stored pages need none. Options: cities (JSON of
 [city, url] pairs), max_pages, attempts. Stored pages, a table of (city, page, html), are parsed in parallel
 by `jobs_of_pages` instead.
+
+Read as a stream the source polls each city once in `interval` seconds. Its offset tells for every city the number of
+the interval that its last poll was for, counted by the clock alone, so a restarted stream goes on from its checkpoint: a batch
+that had not been committed is read again under the same offsets, and however many intervals a stop took, one poll
+brings what the portal lists now. Cities begin their intervals at different times (by a hash of the name), each is an input
+partition, and rows tell when their interval began (polled_at). A city new to the list is polled at once, one that left it no more. With
+on_error=skip a city that fails has no rows in this poll; else the batch fails and is tried again after a restart.
+A portal lists a posting in every poll; `streaming.ingest.new_postings` passes each one once.
 """
 
 from __future__ import annotations
 
+import datetime
 import json
 import re
 import time
 from collections.abc import Callable, Iterator
 from urllib.parse import urlencode, urlsplit
 from urllib.request import Request, urlopen
+from zlib import crc32
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..errors import PortalError
 from ..functions.html import listing, parse_details, parse_listings
@@ -25,6 +35,7 @@ from ..operators.joins import OVERLAY_FIELDS, overlay
 
 Fetch = Callable[[str, dict], str]
 TIMEOUT_SECONDS = 30
+POLL_SECONDS = 3600
 DEFAULT_ORIGIN = "https://www.governmentjobs.com"
 FIELDS = ("title", "city", "url", "location", "job_type", "salary", "department", "description")
 
@@ -80,28 +91,73 @@ def read_portal(city: str, url: str, fetch: Fetch, max_pages: int = 100) -> Iter
 
 
 class _City(InputPartition):
-    def __init__(self, city: str, url: str):
-        self.city, self.url = city, url
+    def __init__(self, city: str, url: str, polled_at: datetime.datetime | None = None):
+        self.city, self.url, self.polled_at = city, url, polled_at
+
 
+class _Portals:
+    """What reading a table and reading a stream share."""
 
-class _Reader(DataSourceReader):
     def __init__(self, fetch: Fetch, options: dict):
         self.fetch, self.options = fetch, options
 
+    def cities(self) -> dict[str, str]:
+        return dict(json.loads(self.options.get("cities", "[]")))
+
+    def jobs(self, partition: _City) -> Iterator[tuple]:
+        def found():
+            return list(read_portal(partition.city, partition.url, self.fetch, int(self.options.get("max_pages", 100))))
+
+        for job in with_retry(found, int(self.options.get("attempts", 2))) or ():
+            raw = job["raw_data"]
+            yield (*(job[f] for f in FIELDS), raw["platform"], raw["posting_id"], raw["agency_code"], raw["categories"], raw["source_page"], partition.polled_at)
+
+
+class _Reader(_Portals, DataSourceReader):
     def partitions(self):
         return [_City(c, u) for c, u in json.loads(self.options.get("cities", "[]"))]
 
     def read(self, partition: _City):
-        def jobs():
-            return list(read_portal(partition.city, partition.url, self.fetch, int(self.options.get("max_pages", 100))))
+        yield from self.jobs(partition)
 
-        for job in with_retry(jobs, int(self.options.get("attempts", 2))) or ():
-            raw = job["raw_data"]
-            yield (*(job[f] for f in FIELDS), raw["platform"], raw["posting_id"], raw["agency_code"], raw["categories"], raw["source_page"])
 
+class _StreamReader(_Portals, DataSourceStreamReader):
+    """Offsets are {city: number of the interval}."""
+
+    def __init__(self, fetch: Fetch, options: dict, clock: Callable[[], float]):
+        super().__init__(fetch, options)
+        self.clock, self.interval = clock, float(options.get("interval", POLL_SECONDS))
 
-def portal_source(fetch: Fetch) -> type[DataSource]:
-    """A data source named `portal` that reads with fetch; register it with spark.dataSource.register."""
+    def initialOffset(self) -> dict:
+        return dict.fromkeys(self.cities(), 0)
+
+    def latestOffset(self) -> dict:
+        now = self.clock() / self.interval
+        return {city: int(now - self._turn(city)) for city in self.cities()}
+
+    def _turn(self, city: str) -> float:
+        return crc32(city.encode()) / 2**32
+
+    def _began(self, city: str, poll: int) -> datetime.datetime:
+        return datetime.datetime.fromtimestamp((poll + self._turn(city)) * self.interval, datetime.timezone.utc)
+
+    def partitions(self, start: dict, end: dict):
+        urls = self.cities()
+        return [_City(city, urls[city], self._began(city, poll)) for city, poll in end.items() if city in urls and poll > start.get(city, 0)]
+
+    def read(self, partition: _City):
+        try:
+            yield from list(self.jobs(partition))
+        except PortalError:
+            if self.options.get("on_error") != "skip":
+                raise
+
+    def commit(self, end: dict) -> None:
+        """Nothing is held for a replay: a portal can be asked again."""
+
+
+def portal_source(fetch: Fetch, clock: Callable[[], float] = time.time) -> type[DataSource]:
+    """A data source named `portal` that reads with fetch, as a table or a stream; register it with spark.dataSource.register."""
 
     class Portal(DataSource):
         @classmethod
@@ -109,11 +165,14 @@ def portal_source(fetch: Fetch) -> type[DataSource]:
             return "portal"
 
         def schema(self):
-            return ", ".join(f"{f} string" for f in FIELDS) + ", platform string, posting_id string, agency_code string, categories string, source_page int"
+            return ", ".join(f"{f} string" for f in FIELDS) + ", platform string, posting_id string, agency_code string, categories string, source_page int, polled_at timestamp"
 
         def reader(self, schema):
             return _Reader(fetch, dict(self.options))
 
+        def streamReader(self, schema):
+            return _StreamReader(fetch, dict(self.options), clock)
+
     return Portal
 
 
