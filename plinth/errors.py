@@ -15,3 +15,7 @@ class PortalError(SourceError):
 
 class ModelError(Exception):
     """A provider of embeddings or text that can't be asked or gives no answer."""
+
+
+class CacheConflictError(RuntimeError):
+    """Two saves to one cache at once."""
