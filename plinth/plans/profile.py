@@ -32,6 +32,28 @@ def updated(profile: DataFrame, asof: datetime.datetime, resume_parsed: object =
     return merged.select(*columns, F.coalesce("created_at", F.lit(asof.isoformat(sep=" ")).cast("timestamp_ntz")).alias("created_at"))
 
 
+def upserted(profiles: DataFrame, updates: DataFrame) -> DataFrame:
+    """The profiles of many sessions (session_id, then PROFILE) after updates, of known sessions and new ones.
+
+    updates: session_id, at, seq, the fields of PROFILE but created_at, and sets_resume_parsed. Of each field the last update (by at, then
+    seq) that tells it counts; null tells nothing, but resume_parsed is set, to null too, where sets_resume_parsed says so.
+    created_at is that of the profile, else the time of the session's first update. Updates without a session or a time don't
+    count. The updates of a session meet as partial results, one a task, so many of one session are no hot key.
+    """
+    place = F.struct("at", "seq")
+    fields = [c for c in PROFILE.names if c not in ("created_at", "resume_parsed")]
+    told = updates.where("session_id is not null and at is not null").groupBy("session_id").agg(
+        *(F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(f"_{c}") for c in fields),
+        F.max_by(F.struct("resume_parsed"), F.when(F.coalesce("sets_resume_parsed", F.lit(False)), place)).alias("_resume_parsed"),
+        F.min("at").alias("_created_at"),
+    )
+    both = profiles.join(told, "session_id", "full_outer")
+    merged = {c: F.coalesce(f"_{c}", c) for c in (*fields,)}
+    merged["resume_parsed"] = F.when(F.col("_resume_parsed").isNotNull(), F.col("_resume_parsed")["resume_parsed"]).otherwise(F.col("resume_parsed"))
+    merged["created_at"] = F.coalesce("created_at", F.col("_created_at").cast("timestamp_ntz"))
+    return both.select("session_id", *(merged[c].alias(c) for c in PROFILE.names))
+
+
 def with_defaults(profile: DataFrame) -> DataFrame:
     """What a search takes where the user told nothing; without a resume text there is no row."""
     return profile.where(F.length("resume_text") > 0).withColumns({

@@ -535,3 +535,5 @@ def q_search_pipeline(spark, sf_dir):
     cached, scraped = jobs.where("pos % 2 = 0"), jobs.where("pos % 2 = 1")
     return _search(cached, scraped, request).select("job_id", "title", "match_score")
 
+
+from . import feature_queries  # noqa: E402, F401  (its queries register themselves)

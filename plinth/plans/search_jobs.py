@@ -11,6 +11,7 @@ from ..functions.documents import job_text
 from ..operators.dedup import deduplicate_jobs, union_in_order
 from ..operators.filters import filter_jobs
 from ..operators.models import DIMENSIONS, Embed, embedded, hashed_words
+from ..operators.observed import Progress
 from ..operators.search import hybrid_search
 
 
@@ -26,14 +27,16 @@ class Request:
     dimensions: int = DIMENSIONS
 
 
-def search_jobs(cached: DataFrame, scraped: DataFrame, request: Request, embed: Embed | None = None) -> DataFrame:
+def search_jobs(cached: DataFrame, scraped: DataFrame, request: Request, embed: Embed | None = None, progress: Progress | None = None) -> DataFrame:
     """The best jobs for a request. cached and scraped: job tables with pos; cached rows win ties.
 
-    Duplicates go and filters hold before anything is embedded, and only the nearest top_k are scored.
+    Duplicates go and filters hold before anything is embedded, and only the nearest top_k are scored. progress
+    gets the counts of the run: cached, scraped, unfiltered (different jobs) and retained (after the filters).
     """
     embed = embed or hashed_words(request.dimensions)
-    jobs = deduplicate_jobs(union_in_order(cached, scraped))
-    wanted = filter_jobs(jobs, request.title, request.location)
+    seen = progress.at if progress else lambda rows, place: rows
+    jobs = seen(deduplicate_jobs(union_in_order(seen(cached, "cached"), seen(scraped, "scraped"))), "unfiltered")
+    wanted = seen(filter_jobs(jobs, request.title, request.location), "retained")
     for name in ("location", "city", "title", "department", "description", "requirements", "job_type"):
         if name not in wanted.columns:
             wanted = wanted.withColumn(name, F.lit(None).cast("string"))
