@@ -5,8 +5,8 @@ A document's set is its distinct WORDS-word shingles, over words of anything but
 Documents are linked if 100 * intersection >= percent * union of their sets; percent is STAGE_PERCENT, as in the
 pipeline, unless the caller names another; the op10_ query links at PERCENT.
 
-1. One pass makes a 128-bit hash of each set and a signature of HASHES minima. Documents with
-   equal hashes are taken for equal sets: one class from here on, named by its smallest doc_id.
+1. One pass makes the SHA-256 of each full set (its shingles as text, sorted), their number, and a signature of HASHES minima.
+   Documents with equal digests have equal sets: one class from here on, named by its smallest doc_id.
 2. Classes are candidates if one of BANDS bands of ROWS minima is equal. A pair at the threshold is
    missed with a probability of (1 - 0.85 ** ROWS) ** BANDS, 6e-9 (5e-6 at 80 percent).
 3. Candidate pairs of a similar size are compared batch by batch of BATCH minima and pruned
@@ -55,7 +55,6 @@ MISS = 1e-6
 BLOCK, BLOCK_SHINGLES = 512, 200_000
 CACHED_WORDS = 200_000
 BROADCAST_IDS = 2_000_000  # of 8 bytes each
-EMPTY_SET = b"\0" * 16
 
 _RANDOM = np.random.default_rng(20240501)
 _XOR = _RANDOM.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
@@ -106,6 +105,13 @@ def hashed_set(text: str | None) -> np.ndarray:
     return np.unique(h * np.uint64(0xBF58476D1CE4E5B9))
 
 
+def _digest_of(text: str | None) -> tuple[int, bytes]:
+    """The number of a text's distinct shingles, and the SHA-256 of them all."""
+    w = words(text)
+    found = set(map(b" ".join, zip(*(w[k:] for k in range(WORDS))))) if len(w) >= WORDS else {b" ".join(w)} if w else set()
+    return len(found), hashlib.sha256(b"\n".join(sorted(found))).digest()
+
+
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
     """HASHES minima (their upper 16 bits) of each set; sets aren't empty."""
     flat = np.concatenate(sets)
@@ -122,9 +128,9 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = [hashed_set(t) for t in batch.column(1).to_pylist()]
         full = [s for s in sets if len(s)]
         made = iter(signatures(full)) if full else iter(())
-        h = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else EMPTY_SET for s in sets]
+        exact = [_digest_of(t) for t in batch.column(1).to_pylist()]
         sig = [next(made).tobytes() if len(s) else b"" for s in sets]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(h, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n", "h", "sig"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in exact], pa.int64()), pa.array([h for _, h in exact], pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n", "h", "sig"])
     _KNOWN.clear()
     give_back()
 

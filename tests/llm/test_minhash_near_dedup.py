@@ -132,3 +132,12 @@ def test_recall_against_exact_links_of_a_whole_table(spark):
                 parent[b] = a
     got = {r["doc_id"]: r["component_id"] for r in m.op10_minhash_near_dedup(spark, folder).collect()}
     assert links > 50 and got == {d: root(d) for d in parent}
+
+
+def test_equal_sets_of_different_texts_are_one_class(spark, docs):
+    """A cycle of words said twice or three times has one set of shingles; numbers of shingles are those of the full sets."""
+    cycle = " ".join(f"c{i}" for i in range(9))
+    df = docs((4, f"{cycle} {cycle}"), (2, f"{cycle} {cycle} {cycle}"), (3, cycle), (9, "A b"), (8, "a  B\n"))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in m.near_duplicates(df).collect()}
+    assert got == {4: (9, 2), 2: (9, 2), 3: (5, 3), 9: (1, 8), 8: (1, 8)}
+    assert all(got[r["doc_id"]][0] == len(m.shingles(r["text"])) for r in df.collect())
