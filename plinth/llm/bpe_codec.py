@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import fresh, give_back, small_batches, table
+from .common import col, give_back, small_batches, table
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
@@ -180,10 +180,11 @@ def token_rows(docs: DataFrame, finish: Finish, schema: str, keep: tuple[str, ..
     source = _shipped(spark, file)
     names, types = zip(*(c.strip().rsplit(" ", 1) for c in schema.split(",")))
     keep = [c for c in keep if c.lower() not in (n.lower() for n in names)]
-    kept = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    out, arrow, k = [*keep, *names], [_ARROW[t] for t in types], len(keep)
-    body, key, no, at, ids, parts = fresh(docs, "_text", "_key", "_no", "_at", "_ids", "_parts")
-    rows = docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias(body))
+    own, k = [f"k{i}" for i in range(len(keep))], len(keep)  # whatever the names of the kept columns
+    kept = "".join(f"{o} {docs.schema[c].dataType.simpleString()}, " for o, c in zip(own, keep))
+    out, arrow = [*own, *names], [_ARROW[t] for t in types]
+    body, key, no, at, ids, parts, times = "_text", "_key", "_no", "_at", "_ids", "_parts", "_times"
+    rows = docs.select(*(col(c).alias(o) for o, c in zip(own, keep)), F.coalesce(col(text).cast("string"), F.lit("")).alias(body))
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(source.value)
@@ -194,31 +195,30 @@ def token_rows(docs: DataFrame, finish: Finish, schema: str, keep: tuple[str, ..
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(source.value)
         for batch in batches:
-            yield _made(batch.columns[:-1], [(c.encode(t),) for t in batch.column(k + 2).to_pylist()], [key, *keep, no, ids], [pa.list_(pa.int32())])
+            yield _made(batch.columns[:-1], [(c.encode(t),) for t in batch.column(k + 3).to_pylist()], [key, *own, no, times, ids], [pa.list_(pa.int32())])
         c.forget()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Equal rows are one group: the number of its first pieces is that of the rows."""
+        """Equal rows are one group, which tells how many they are."""
         c = codec(source.value)
         for batch in batches:
             which, made = [], []
-            for row, found in enumerate(batch.column(k).to_pylist()):
-                one = finish(c, c.joined(list({p[no]: p[ids] for p in found}.values())))
-                times = sum(p[no] == 0 for p in found)
-                which += [row] * times
-                made += [one] * times
+            for row, (found, many) in enumerate(zip(batch.column(k).to_pylist(), batch.column(k + 1).to_pylist())):
+                which += [row] * many
+                made += [finish(c, c.joined([p[ids] for p in found]))] * many
             yield _made([column.take(pa.array(which, pa.int64())) for column in batch.columns[:k]], made, out, arrow)
         c.forget()
 
     one = rows.where(F.length(body) <= PARALLEL_CHARS).mapInArrow(short, f"{kept}{schema}")
-    named = F.sha2(F.concat(F.to_json(F.struct(F.lit(0), *keep)), F.col(body)), 256)
+    named = F.sha2(F.concat(F.to_json(F.struct(F.lit(0), *own)), F.col(body)), 256)
     starts = F.sequence(F.lit(1), F.length(body), F.lit(PARALLEL_CHARS))
-    cut = rows.where(F.length(body) > PARALLEL_CHARS).select(named.alias(key), *keep, F.posexplode(starts).alias(no, at), body)
-    cut = cut.select(key, *keep, no, F.substr(body, F.col(at), F.lit(PARALLEL_CHARS)).alias(body))
-    done = cut.repartition(key, no).mapInArrow(pieces, f"`{key}` string, {kept}`{no}` int, `{ids}` array<int>")
-    first = [F.first(c).alias(c) for c in keep]
-    whole = done.groupBy(key).agg(*first, F.array_sort(F.collect_list(F.struct(no, ids))).alias(parts))
-    return one.unionByName(whole.select(*keep, parts).mapInArrow(meet, f"{kept}{schema}"))
+    cut = rows.where(F.length(body) > PARALLEL_CHARS).select(named.alias(key), *own, F.posexplode(starts).alias(no, at), body)
+    cut = cut.select(key, *own, no, F.substr(body, F.col(at), F.lit(PARALLEL_CHARS)).alias(body))
+    first = [F.first(c).alias(c) for c in own]
+    each = cut.groupBy(key, no).agg(*first, F.count(F.lit(1)).alias(times), F.first(body).alias(body))  # a piece of equal rows once, however many they are
+    done = each.select(key, *own, no, times, body).mapInArrow(pieces, f"{key} string, {kept}{no} int, {times} long, {ids} array<int>")
+    whole = done.groupBy(key).agg(*first, F.array_sort(F.collect_list(F.struct(no, ids))).alias(parts), F.first(times).alias(times))
+    return one.unionByName(whole.select(*own, parts, times).mapInArrow(meet, f"{kept}{schema}")).toDF(*keep, *names)
 
 
 def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", file: str | None = None) -> DataFrame:

@@ -59,3 +59,16 @@ def test_tables(spark, docs, monkeypatch):
     assert sorted(r["text"] for r in b.decode(b.encode(df)).collect()) == sorted(texts)
     assert b.digests(docs()).count() == 0
     assert b.encode(df.withColumnRenamed("lang", "ids"), keep=("doc_id", "source")).columns == ["doc_id", "source", "ids"]
+    dotted = b.encode(df.withColumnsRenamed({"lang": "a.b", "source": "_key"}), keep=("doc_id", "a.b", "_key"))
+    assert dotted.columns == ["doc_id", "a.b", "_key", "ids"] and {r["a.b"] for r in dotted.collect()} == {"en"}
+
+
+def test_repeated_long_rows_are_encoded_once(spark, docs, monkeypatch):
+    """Pieces of equal rows meet before they are encoded; each row has its result."""
+    monkeypatch.setattr(b, "PARALLEL_CHARS", 40)
+    text = "many words go on and on, " * 9
+    df = docs(*[(1, text)] * 30, (2, text), (1, text + "x"), (3, "short")).repartition(5)
+    got = sorted((r["doc_id"], r["ids"]) for r in b.encode(df).collect())
+    monkeypatch.undo()
+    want = sorted((r["doc_id"], r["ids"]) for r in b.encode(df).collect())
+    assert got == want and len(got) == 33
