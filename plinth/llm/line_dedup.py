@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, hot_keys, sha256_text, table, written
+from .common import col, fresh, hot_keys, sha256_text, table, written
 
 MAX_RATIO = 0.10
 MIN_PAGES = 5
@@ -32,7 +32,7 @@ HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
 def _site(site: str) -> Column:
-    return F.coalesce(F.concat(F.lit("s"), F.col(site).cast("string")), F.lit("n"))
+    return F.coalesce(F.concat(F.lit("s"), col(site).cast("string")), F.lit("n"))
 
 
 def _lines(text: Column) -> Column:
@@ -41,7 +41,7 @@ def _lines(text: Column) -> Column:
 
 def boilerplate(docs: DataFrame, site: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """The boilerplate lines of every site: site, line, n_pages, and total, the site's pages."""
-    rows = docs.select(_site(site).alias("site"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(_site(site).alias("site"), col(text).cast("string").alias("text"))
     totals = rows.groupBy("site").agg(F.count(F.lit(1)).alias("total"))
     lines = rows.select("site", F.explode(F.array_distinct(_lines("text"))).alias("line"))
     lines = lines.where(F.col("line").rlike(HAS_WORD)).withColumn("h", F.xxhash64("line"))
@@ -62,24 +62,24 @@ def drop_boilerplate(docs: DataFrame, site: str = "source", text: str = "text",
     lists = written(lists.withColumnRenamed("site", own), "boilerplate")
     size = lists.agg(F.sum("bytes")).first()[0] or 0
     rest = [c for c in docs.columns if c.lower() not in (n.lower() for n in names)]
-    rows = docs.select(*rest).withColumn(own, _site(site))
+    rows = docs.select(*map(col, rest)).withColumn(own, _site(site))
     if size <= BROADCAST_BYTES:
         joined = rows.join(F.broadcast(lists.select(own, drop)), own, "left")
     else:
         hot = hot_keys(lists, own, "total", rows.count())
         hot = docs.sparkSession.createDataFrame([], f"`{own}` string, parts int") if hot is None else hot
         hot = hot.withColumnRenamed("parts", parts)
-        by = F.xxhash64(*[F.col(f.name) for f in docs.select(*rest).schema if "map<" not in f.dataType.simpleString()])
+        by = F.xxhash64(*[col(f.name) for f in docs.select(*map(col, rest)).schema if "map<" not in f.dataType.simpleString()])
         dealt = rows.join(F.broadcast(hot), own, "left").withColumn(part, F.pmod(by, F.coalesce(parts, F.lit(1))).cast("int")).drop(parts)
         repeated = lists.select(own, drop).join(F.broadcast(hot), own, "left")
         repeated = repeated.withColumn(part, F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1))).drop(parts)
         joined = dealt.join(repeated, [own, part], "left")
     # the page's own boilerplate lines first (a hash set of the list), then a filter by those few
-    joined = joined.withColumn(every, _lines(F.col(text).cast("string"))).withColumn(drop, F.array_intersect(F.coalesce(drop, F.array().cast("array<string>")), every))
+    joined = joined.withColumn(every, _lines(col(text).cast("string"))).withColumn(drop, F.array_intersect(F.coalesce(drop, F.array().cast("array<string>")), every))
     joined = joined.withColumn(kept, F.when(F.size(drop) > 0, F.filter(every, lambda x: ~F.array_contains(F.col(drop), x))).otherwise(F.col(every)))
-    left = F.when(F.size(drop) > 0, F.array_join(kept, "\n")).otherwise(F.col(text))
-    count = lambda x: F.when(F.col(text).isNull(), F.lit(0)).otherwise(x).cast("long")
-    return joined.select(*[left.alias(c) if c == text else F.col(c) for c in rest], count(F.size(every)).alias(names[0]), count(F.size(every) - F.size(kept)).alias(names[1]))
+    left = F.when(F.size(drop) > 0, F.array_join(kept, "\n")).otherwise(col(text))
+    count = lambda x: F.when(col(text).isNull(), F.lit(0)).otherwise(x).cast("long")
+    return joined.select(*[left.alias(c) if c == text else col(c) for c in rest], count(F.size(every)).alias(names[0]), count(F.size(every) - F.size(kept)).alias(names[1]))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

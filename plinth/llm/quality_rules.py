@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from .common import give_back, small_batches, table
+from .common import col, give_back, small_batches, table
 
 NAV_BARS = 3
 SYMBOLS_PER_WORD = 0.3
@@ -122,7 +122,7 @@ def judge(text: str | None) -> tuple:
 def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and MEASURES of every row."""
     small_batches(docs.sparkSession)
-    plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    plain = docs.select(col(doc_id).alias("doc_id"), col(text).cast("string").alias("text"))
     names, types = zip(*(m.split() for m in MEASURES.split(", ")))
     arrow = [{"long": pa.int64(), "boolean": pa.bool_()}[t] for t in types]
 
@@ -139,15 +139,16 @@ def clean(docs: DataFrame, text: str = "text", names: tuple[str, str] = ("clean_
     """docs with two columns more, names: clean_text (the text without its failing lines) and kept."""
     small_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c.lower() not in (n.lower() for n in names)]
-    rows = docs.select(*rest, F.col(text).cast("string").alias(names[0]))
+    rows = docs.select(*(col(c).alias(f"c{i}") for i, c in enumerate(rest)), col(text).cast("string").alias("text"))
+    fields = [*rows.schema.fields[:-1], StructField("clean_text", StringType()), StructField("kept", BooleanType())]
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [judge(t)[-2:] for t in batch.column(len(rest)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([c for _, c in made], pa.string()), pa.array([k for k, _ in made], pa.bool_())], [*rest, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([c for _, c in made], pa.string()), pa.array([k for k, _ in made], pa.bool_())], [f.name for f in fields])
         give_back()
 
-    return rows.mapInArrow(cleaned, StructType([*rows.schema.fields[:-1], StructField(names[0], StringType()), StructField(names[1], BooleanType())]))
+    return rows.mapInArrow(cleaned, StructType(fields)).toDF(*rest, *names)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, fresh, give_back, small_batches, table, written
+from .common import col, discard, fresh, give_back, small_batches, table, written
 
 MIN_BYTES = 100
 GRAM = 32
@@ -441,7 +441,7 @@ def _cut(raw: bytes, ranges) -> tuple[bytes, int, int]:
 def with_ranges(docs: DataFrame, doc_id: str, text: str, body: str, ranges: str) -> DataFrame:
     """docs with two columns more: body, the text (null: empty), and ranges, the copied byte ranges of each row (null: none)."""
     doc, th, many = fresh(docs, "_doc", "_th", "_many")
-    keyed = docs.withColumns({doc: F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))), body: F.coalesce(F.col(text).cast("string"), F.lit(""))})
+    keyed = docs.withColumns({doc: F.coalesce(col(doc_id).cast("long"), F.lit(-(1 << 63))), body: F.coalesce(col(text).cast("string"), F.lit(""))})
     repeated = keyed.groupBy(doc).agg(F.count(F.lit(1)).alias(many)).where(F.col(many) > 1).select(doc, F.lit(True).alias(many))
     if repeated.isEmpty():
         keyed = keyed.withColumn(th, F.lit(0).cast("long"))
@@ -471,7 +471,7 @@ def _kept(texts: pd.Series, ranges: pd.Series) -> pd.Series:
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with kept_bytes, what is left of each text (a cut may fall within a character)."""
     body, ranges = fresh(docs, "_body", "_ranges")
-    out = with_ranges(docs.select(*[c for c in docs.columns if c.lower() != "kept_bytes"]), doc_id, text, body, ranges)
+    out = with_ranges(docs.select(*[col(c) for c in docs.columns if c.lower() != "kept_bytes"]), doc_id, text, body, ranges)
     return out.withColumn("kept_bytes", F.pandas_udf(_kept, "binary")(body, ranges)).drop(body, ranges)
 
 

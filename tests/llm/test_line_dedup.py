@@ -34,8 +34,8 @@ def test_empty_and_clashing(spark, docs, monkeypatch):
     clash = docs((1, "a")).withColumnRenamed("lang", "n_lines").withColumnRenamed("n_chars", "line")
     for size in (d.BROADCAST_BYTES, -1):
         monkeypatch.setattr(d, "BROADCAST_BYTES", size)
-        names = table(docs).withColumnsRenamed({"lang": "_Kept", "n_chars": "_drop", "doc_id": "_site"})
+        names = table(docs).withColumnsRenamed({"lang": "_Kept", "n_chars": "a.b", "doc_id": "_site"})
         out = d.drop_boilerplate(names)
-        assert out.columns == ["_site", "text", "_Kept", "source", "_drop", "n_lines", "n_dropped"]
+        assert out.columns == ["_site", "text", "_Kept", "source", "a.b", "n_lines", "n_dropped"]
         assert {(r["_Kept"], r["_site"]) for r in out.collect()} == {("en", r[0]) for r in table(docs).collect()}
     assert set(d.drop_boilerplate(clash).columns) == {"doc_id", "text", "source", "n_lines", "n_dropped", "line"}

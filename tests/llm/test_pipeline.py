@@ -80,7 +80,7 @@ def test_stages_with_clashing_columns_and_repeated_rows(spark, docs, folder):
     say = lambda k: " ".join(f"w{(k * 37 + i * i) % 900}" for i in range(60)) + "."
     long = "\n".join(say(1000 + i) for i in range(400))
     table = docs(*((i, say(i), f"s{i % 2}") for i in range(12)), (3, say(3), "s1"), (3, say(3), "s1"), (50, long), (60, None, None), (61, ""), (None, say(70)))
-    names = ("_site", "_drop", "_Part", "_parts", "_all", "_kept", "_gone", "_doc", "_th", "clean_text", "Kept", "n_lines", "n_dropped", "_text", "_key")
+    names = ("_site", "_drop", "_Part", "_parts", "_all", "_kept", "_gone", "_doc", "_th", "clean_text", "Kept", "n_lines", "n_dropped", "_text", "_key", "a.b", "c`d")
     table = table.withColumns({n: c.F.concat(c.F.lit(n), c.F.coalesce(c.F.col("doc_id").cast("string"), c.F.lit("-"))) for n in names})
     path = folder(documents=table, benchmark=spark.createDataFrame([(1, say(5))], "item_id long, text string"))
     for name, stage in c.STAGES[:-1]:

@@ -52,4 +52,6 @@ def test_defined_results(spark, docs, folder, sql):
     assert q.measure(docs()).count() == 0
     clash = df.withColumnRenamed("lang", "kept").withColumnRenamed("source", "clean_text")
     assert q.clean(clash).columns.count("kept") == 1
+    dotted = q.clean(df.withColumnRenamed("lang", "a.b"))
+    assert dotted.columns == ["doc_id", "text", "a.b", "source", "n_chars", "clean_text", "kept"] and dotted.count() == df.count()
     assert "ArrowEval" not in (plan := q.clean(df).where("kept")._jdf.queryExecution().executedPlan().toString()) and plan.count("MapInArrow") == 1

@@ -138,8 +138,8 @@ def test_chunks(monkeypatch):
 
 def test_null_and_repeated_ids(spark, docs):
     a, b = "a1 " * 10 + "".join(chr(97 + i % 23) + str(i) for i in range(120)), "".join(chr(98 + i % 19) + str(i * 7) for i in range(120))
-    df = docs((5, a), (5, a), (6, a), (None, b), (7, b), (8, a + b), (8, b)).withColumnsRenamed({"lang": "_Doc", "source": "_text", "n_chars": "_ranges"})
+    df = docs((5, a), (5, a), (6, a), (None, b), (7, b), (8, a + b), (8, b)).withColumnsRenamed({"lang": "_Doc", "source": "a.b", "n_chars": "_ranges"})
     got = sorted(((r["doc_id"], r["text"][:2], len(r["kept_bytes"])) for r in s.deduplicate(df).collect()), key=str)
     assert got.count((5, a[:2], len(a))) == 2 and (6, a[:2], 0) in got and (None, b[:2], len(b)) in got and (7, b[:2], 0) in got and (8, b[:2], 0) in got
-    assert s.deduplicate(df).columns == ["doc_id", "text", "_Doc", "_text", "_ranges", "kept_bytes"] and {r["_Doc"] for r in s.deduplicate(df).collect()} == {"en"}
+    assert s.deduplicate(df).columns == ["doc_id", "text", "_Doc", "a.b", "_ranges", "kept_bytes"] and {r["_Doc"] for r in s.deduplicate(df).collect()} == {"en"}
     assert s.deduplicate(docs()).count() == 0
