@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plinth.llm.bpe_codec import digests
-from plinth.llm.common import discard, fresh, table, written
+from plinth.llm.common import col, discard, fresh, table, written
 from plinth.llm.decontaminate import remove_contaminated
 from plinth.llm.line_dedup import drop_boilerplate
 from plinth.llm.minhash_near_dedup import STAGE_PERCENT, keep_first
@@ -28,13 +28,13 @@ def _measured(docs: DataFrame) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, without their failing lines."""
     text, kept = fresh(docs, "clean_text", "kept")
-    judged = clean(docs, names=(text, kept)).where(F.col(kept))
-    return _measured(judged.select(*[F.col(text if c == "text" else c).alias(c) for c in docs.columns]))
+    judged = clean(docs, names=(text, kept)).where(col(kept))
+    return _measured(judged.select(*[col(text if c == "text" else c).alias(c) for c in docs.columns]))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the boilerplate lines of their source; a document that was all boilerplate stays, empty."""
-    return _measured(drop_boilerplate(docs, names=tuple(fresh(docs, "n_lines", "n_dropped"))).select(*docs.columns))
+    return _measured(drop_boilerplate(docs, names=tuple(fresh(docs, "n_lines", "n_dropped"))).select(*map(col, docs.columns)))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
