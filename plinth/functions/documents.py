@@ -61,7 +61,7 @@ def keyword_overlap(keywords: Column, *parts: Column) -> Column:
 
 
 def chat_prompt(turn: Column, role: Column, text: Column) -> Column:
-    """An aggregate: `role: text` lines of a conversation in the order of turn."""
+    """An aggregate: `role: text` lines of a conversation in the order of turn. The prompt is one value, so a conversation has to fit one anyway."""
     lines = F.array_sort(F.collect_list(F.struct(turn.alias("turn"), F.concat(role, F.lit(": "), text).alias("line"))))
     return F.array_join(F.transform(lines, lambda x: x["line"]), "\n")
 

@@ -105,3 +105,17 @@ def card(title: Column, place: Column, location: Column, score: Column, tailored
 def stripped(x: Column) -> Column:
     """Dates and salaries stay as they are written, without white space at the ends."""
     return F.regexp_replace(or_empty(x), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
+def advice_card(advice: Column) -> Column:
+    """A job's advice (ADVICE) as a piece of HTML: four lists, each with a sentence where it is empty; texts are escaped."""
+
+    def part(name: str, heading: str, none: str) -> Column:
+        items = F.transform(F.coalesce(advice[name], F.array().cast("array<string>")), lambda x: F.concat(F.lit("<li>"), html_escaped(or_empty(x)), F.lit("</li>")))
+        told = F.when(F.size(items) > 0, F.concat(F.lit("<ul>"), F.array_join(items, ""), F.lit("</ul>"))).otherwise(F.lit(f"<p>{none}</p>"))
+        return F.concat(F.lit(f'<section class="{name.replace("_", "-")}"><h4>{heading}</h4>'), told, F.lit("</section>"))
+
+    return F.concat(
+        F.lit('<article class="advice">'), part("strengths", "Your strengths", "No specific strengths identified"), part("keywords", "Keywords to add", "No keywords suggested"),
+        part("skill_gaps", "Skill gaps to address", "No major skill gaps"), part("improvements", "Resume improvements", "No specific improvements suggested"), F.lit("</article>"),
+    )

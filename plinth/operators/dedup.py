@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.identity import with_identity
 from ..functions.text import or_empty
@@ -44,10 +50,37 @@ def deduplicate_jobs(jobs: DataFrame, order: str = "pos") -> DataFrame:
 
 
 def fingerprint(ids: Column) -> Column:
-    """An aggregate: md5 of the distinct ids, sorted and joined by |. Ids only: contents don't count."""
+    """An aggregate: md5 of the distinct ids, sorted and joined by |. Ids only: contents don't count. For groups that fit a task (a city's jobs); else `fingerprints`."""
     return F.md5(F.array_join(F.array_sort(F.collect_set(ids)), "|"))
 
 
+def fingerprints(rows: DataFrame, key: str, ids: str) -> DataFrame:
+    """key and fingerprint of every key, as `fingerprint` gives it, without an array of a key's ids: they are sorted and fed to the hash one by one.
+
+    A key's distinct ids pass through one task, as an md5 is a sequence, but none holds more than a batch of them. Null ids don't count.
+    """
+    kind = rows.schema[key].dataType
+    plain = rows.select(F.col(key).alias("key"), F.col(ids).cast("string").alias("id")).distinct()
+    ordered = plain.repartition("key").sortWithinPartitions("key", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, began, seen, digest = None, False, False, hashlib.md5(usedforsecurity=False)
+        for batch in batches:
+            done: list[tuple] = []
+            for own, one in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if not began or own != now:
+                    done += [(now, digest.hexdigest())] if began else []
+                    now, began, seen, digest = own, True, False, hashlib.md5(usedforsecurity=False)
+                if one is not None:
+                    digest.update(b"|" * seen + one.encode())
+                    seen = True
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in done], batch.schema.field(0).type), pa.array([d for _, d in done], pa.string())], ["key", "fingerprint"])
+        if began:
+            yield pa.RecordBatch.from_arrays([pa.array([now], to_arrow_type(kind)), pa.array([digest.hexdigest()])], ["key", "fingerprint"])
+
+    return ordered.mapInArrow(run, StructType([StructField("key", kind), StructField("fingerprint", StringType())])).withColumnRenamed("key", key)
+
+
 def union_in_order(*parts: DataFrame, order: str = "pos") -> DataFrame:
     """All rows; those of an earlier table come first, and by order within a table."""
     out = None

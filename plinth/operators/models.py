@@ -57,15 +57,16 @@ def in_flight(call: Callable[[A], B], items: Iterable[A], workers: int = WORKERS
             yield made
 
 
-def hashed_words(dimensions: int = DIMENSIONS) -> Embed:
-    """A provider: counts of hashed words with signs, of length one (no words: zeros)."""
+def hashed_words(dimensions: int = DIMENSIONS, digest: str = "blake2b") -> Embed:
+    """A provider: counts of hashed words with signs, of length one (no words: zeros). The first 8 bytes of the digest (blake2b, or md5, which SQL has) are a word's hash."""
+    first = {"blake2b": lambda w: hashlib.blake2b(w, digest_size=8).digest(), "md5": lambda w: hashlib.md5(w, usedforsecurity=False).digest()[:8]}[digest]
 
     def embed(texts: list[str]) -> list[list[float]]:
         out, known = np.zeros((len(texts), dimensions)), {}
         for row, text in zip(out, texts):
             for word, n in Counter(text.lower().split()).items():
                 if word not in known:
-                    h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
+                    h = int.from_bytes(first(word.encode()), "big")
                     known[word] = h % dimensions, 1 if h >> 63 else -1
                 at, sign = known[word]
                 row[at] += sign * n

@@ -6,17 +6,22 @@ import datetime
 
 from pyspark.sql import functions as F
 
+from ..functions.documents import profile_keywords
+from ..functions.html import parse_listings
 from ..functions.table_functions import register
+from ..functions.text import advice_card, fenced, rounded_score
 from ..operators.asof import asof
 from ..operators.cells import search_cells, write_cells
+from ..operators.dedup import fingerprints
 from ..operators.filters import filter_jobs
+from ..operators.models import embedded, hashed_words
 from ..operators.observed import Progress
 from ..schemas import PROFILE
 from ..sources.cache_store import commit_jobs, read_committed
 from ..sources.sketches import replaced, sketched, total
 from ..streaming.ingest import lifetimes
 from .profile import upserted
-from .queries import ASOF, HOURS, _scratch, _t, query
+from .queries import ASOF, DIMENSIONS, HOURS, _scratch, _t, query
 
 NEAR = 10
 
@@ -169,3 +174,75 @@ def q_lifetimes(spark, sf_dir):
     done = out.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out")
     done.awaitTermination()
     return spark.read.schema("user_id long, at timestamp, event string, event_at timestamp").parquet(f"{path}/out").groupBy("user_id", "event").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+select p_partkey, case when p_partkey % 3 > 0 then (p_partkey % 50 + 2)::integer end as next_page, (p_partkey * 1000 + 7)::integer as reported_count, p_type as categories, p_brand as department
+from part""")
+def q_listing_meta(spark, sf_dir):
+    """A listing page a part: its next page, the count it reports, and the prefixed entries of its posting."""
+    follow = F.when(F.col("p_partkey") % 3 > 0, F.format_string('<ul class="pagination"><li><a rel="next" aria-disabled="false" href="/careers/Home?page=%d">Next</a></li></ul>', F.col("p_partkey") % 50 + 2)).otherwise(F.lit('<ul class="pagination"><li><a rel="next" aria-disabled="true" href="?page=9">Next</a></li></ul>'))
+    html = F.concat(
+        F.lit('<span id="job-postings-number">'), F.format_number(F.col("p_partkey") * 1000 + 7, 0), F.lit("</span><ul>"),
+        F.format_string('<li class="list-item" data-job-id="%d"><a class="item-details-link" href="/careers/x/jobs/%d/y">Post</a><ul class="list-meta"><li>Tempe, AZ</li><li>Full Time</li><li>Category: %s</li><li>Department: %s</li></ul></li>', "p_partkey", "p_partkey", "p_type", "p_brand"),
+        F.lit("</ul>"), follow,
+    )
+    pages = _t(spark, sf_dir, "part").where("p_partkey is not null").select("p_partkey", F.lit("Tempe").alias("city"), F.lit("https://www.governmentjobs.com").alias("origin"), F.lit("tempe").alias("agency"), F.lit(1).alias("page"), html.alias("html"))
+    found = parse_listings(pages)
+    return found.select("p_partkey", "next_page", "reported_count", F.col("jobs")[0]["raw_data"]["categories"].alias("categories"), F.col("jobs")[0]["department"].alias("department"))
+
+
+@query("select event_id, format('{:.1f}', value * 7 / 3)::double as score from events where value is not null")
+def q_score_rounding(spark, sf_dir):
+    return _t(spark, sf_dir, "events").where("value is not null").select("event_id", rounded_score(F.col("value") * 7 / 3).alias("score"))
+
+
+@query(r"""
+select conv_id, turn, md5(case when turn % 3 = 2 or inner_ = '' then trim(reply) else inner_ end) as digest from (
+  select conv_id, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') as inner_,
+    case turn % 3 when 0 then 'Here: ```json' || chr(10) || text || chr(10) || '``` ok' when 1 then '```' || chr(10) || text else text end as reply from conversations)""")
+def q_code_fence(spark, sf_dir):
+    """Turns of conversations as replies of a model: fenced, fenced without an end, and bare."""
+    reply = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("Here: ```json\n"), "text", F.lit("\n``` ok"))).when(F.col("turn") % 3 == 1, F.concat(F.lit("```\n"), "text")).otherwise(F.col("text"))
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(fenced(reply)).alias("digest"))
+
+
+@query("""
+select p_partkey, array_to_string(list_sort(list_distinct(list_transform(string_split(p_name, ' ') || [p_brand, p_type, upper(p_name)], lambda x: lower(x)))), '|') as keywords from part""")
+def q_keyword_sets(spark, sf_dir):
+    parsed = F.struct(F.split("p_name", " ").alias("skills"))
+    keywords = profile_keywords({"resume_parsed": parsed, "interests": F.array("p_brand", "p_type", F.upper("p_name"))}.__getitem__)
+    return _t(spark, sf_dir, "part").select("p_partkey", F.array_join(F.array_sort(keywords), "|").alias("keywords"))
+
+
+_WORD = "select p_partkey, w, count(*) as n from (select p_partkey, unnest(string_split_regex(lower(p_name), '\\s+')) as w from part) where w <> '' group by all"
+
+
+@query(f"""
+with b as (select p_partkey, ('0x' || substr(md5(w), 15, 2))::integer % {DIMENSIONS} as i, sum(case when substr(md5(w), 1, 1) >= '8' then n else -n end) as v from ({_WORD}) group by all)
+select p.p_partkey, coalesce(string_agg(i || ':' || round(v / s, 4), ' ' order by i), '') as vector
+from part p left join (select *, sqrt(sum(v * v) over (partition by p_partkey)) as s from b) b on b.p_partkey = p.p_partkey and v <> 0 group by p.p_partkey""")
+def q_embedding_vectors(spark, sf_dir):
+    """Part names by the hashing provider with a hash that SQL has: the places of each vector that aren't 0."""
+    made = _t(spark, sf_dir, "part").select("p_partkey", embedded(F.col("p_name"), hashed_words(DIMENSIONS, "md5"), DIMENSIONS).alias("e"))
+    places = F.filter(F.transform("e", lambda x, i: F.struct(i.alias("i"), F.round(x.cast("double"), 4).alias("x"))), lambda p: p["x"] != 0)
+    return made.select("p_partkey", F.array_join(F.transform(places, lambda p: F.concat(p["i"].cast("string"), F.lit(":"), p["x"].cast("string"))), " ").alias("vector"))
+
+
+@query("select o_custkey, md5(string_agg(distinct o_orderkey::varchar, '|' order by o_orderkey::varchar)) as fingerprint from orders group by o_custkey")
+def q_fingerprints(spark, sf_dir):
+    """The orders of each customer as the jobs of an index, hashed without an array of them."""
+    return fingerprints(_t(spark, sf_dir, "orders"), "o_custkey", "o_orderkey")
+
+
+_NONE = {"strengths": "No specific strengths identified", "keywords": "No keywords suggested", "skill-gaps": "No major skill gaps", "improvements": "No specific improvements suggested"}
+_HEAD = {"strengths": "Your strengths", "keywords": "Keywords to add", "skill-gaps": "Skill gaps to address", "improvements": "Resume improvements"}
+_ITEMS = {"strengths": "case when event_id % 2 = 0 then '<li>' || event_type || '</li><li>a &amp; b</li>' end", "keywords": "'<li>' || replace(props, '\"', '&quot;') || '</li>'", "skill-gaps": "null", "improvements": "null"}
+
+
+@query("select event_id, '<article class=\"advice\">' || " + " || ".join(f"""'<section class="{n}"><h4>{_HEAD[n]}</h4>' || coalesce('<ul>' || {x} || '</ul>', '<p>{_NONE[n]}</p>') || '</section>'""" for n, x in _ITEMS.items()) + " || '</article>' as card from events")
+def q_advice_card(spark, sf_dir):
+    strengths = F.when(F.col("event_id") % 2 == 0, F.array("event_type", F.lit("a & b"))).otherwise(F.array().cast("array<string>"))
+    advice = F.struct(strengths.alias("strengths"), F.array("props").alias("keywords"), F.array().cast("array<string>").alias("skill_gaps"), F.lit(None).cast("array<string>").alias("improvements"))
+    return _t(spark, sf_dir, "events").select("event_id", advice_card(advice).alias("card"))
+

@@ -287,12 +287,15 @@ def q_catalog_lookup(spark, sf_dir):
     return lookup(rows, known, "key").select("c_custkey", "n_name")
 
 
-_CITIES = ", ".join(f"('{c}', '{p}', '{u}')" for c, p, u in CITIES)
+_CITIES = ", ".join(f"({i}, '{c}', '{p}', '{u}')" for i, (c, p, u) in enumerate(CITIES))
 
 
-@query(f"select * from (values {_CITIES}) t(city, platform, url)")
+@query(f"select c_custkey, city, platform, url from customer join (values {_CITIES}) t(i, city, platform, url) on c_custkey % {len(CITIES) + 1} = i")
 def q_city_catalog(spark, sf_dir):
-    return catalog(spark)
+    """Customers with a city each, one in sixteen with one that the catalog lacks (which has no row)."""
+    names = F.array(*(F.lit(c) for c, _, _ in CITIES), F.lit("Nowhere"))
+    rows = _t(spark, sf_dir, "customer").where("c_custkey is not null").select("c_custkey", F.element_at(names, (F.col("c_custkey") % (len(CITIES) + 1) + 1).cast("int")).alias("city"))
+    return lookup(rows, F.broadcast(catalog(spark)), "city", strict=False).select("c_custkey", "city", "platform", "url")  # the catalog is a constant
 
 
 @query("select doc_id from documents where exists (select 1 from labels where labels.doc_id = documents.doc_id)")

@@ -24,6 +24,7 @@ from urllib.parse import urlencode, urlsplit
 from urllib.request import Request, urlopen
 from zlib import crc32
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
@@ -32,10 +33,12 @@ from ..errors import PortalError
 from ..functions.html import listing, parse_details, parse_listings
 from ..operators.dedup import first_by_key
 from ..operators.joins import OVERLAY_FIELDS, overlay
+from ..operators.models import in_flight
 
 Fetch = Callable[[str, dict], str]
 TIMEOUT_SECONDS = 30
 POLL_SECONDS = 3600
+DETAIL_WORKERS = 5
 DEFAULT_ORIGIN = "https://www.governmentjobs.com"
 FIELDS = ("title", "city", "url", "location", "job_type", "salary", "department", "description")
 
@@ -184,6 +187,22 @@ def jobs_of_pages(pages: DataFrame) -> DataFrame:
     return first_by_key(keyed, ["_agency", "_posting"], ["_page", "_pos"]).drop("_agency", "_posting", "_page", "_pos")
 
 
+def fetched_details(jobs: DataFrame, fetch: Fetch, workers: int = DETAIL_WORKERS) -> DataFrame:
+    """url and html of the jobs' detail pages, each url once; what can't be fetched has no row.
+
+    A city's pages are asked for by one task, at most `workers` at once, so that is the bound for a portal too.
+    """
+    urls = jobs.where(F.col("url").isNotNull()).select("city", "url").dropDuplicates(["url"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked = batch.column(0).to_pylist()
+            found = [(u, p) for u, p in zip(asked, in_flight(lambda u: fetch(u, None), asked, workers)) if not isinstance(p, Exception)]
+            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.string()), pa.array([p for _, p in found], pa.string())], ["url", "html"])
+
+    return urls.repartition("city").select("url").mapInArrow(run, "url string, html string")
+
+
 def enriched(jobs: DataFrame, pages: DataFrame) -> DataFrame:
     """jobs with what their stored detail pages (url, html) tell; jobs without a page stay as they are."""
     found = pages.select("url", parse_details(F.col("html")).alias("d")).select("url", "d.*")
