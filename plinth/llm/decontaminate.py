@@ -11,7 +11,8 @@ score with itself; a document with a score of MIN_SCORE or more is contaminated.
 if it keeps no SEED_WORDS words in a row of its item, or only one such run and that a common gram.
 
 Test items go to the tasks in blocks of BLOCK_BYTES bytes of different texts at most (an item that is longer is a block of its
-own); each block reads the documents twice, for the counts and for the passages. Nothing is shuffled but counts of item
+own); each block reads the documents twice, for the counts and for the passages, and its finds are a written table, so that the
+driver and the tasks hold one block at a time, however many there are. Nothing is shuffled but counts of item
 grams and one row for each passage and item that reach MIN_SCORE.
 
 Defined results: null and empty texts are not contaminated; null items and items of fewer than SEED_WORDS words have
@@ -165,7 +166,7 @@ def _counted(docs: DataFrame, block: Block) -> None:
     counts = {r["gram"]: r["n"] for r in found.collect()}
     least = max(COMMON_DOCS, COMMON_SHARE * counts.get(-1, 0))
     block.common[[g for g, n in counts.items() if g >= 0 and n > least]] = True
-    shared.unpersist()
+    shared.destroy()
 
 
 def _one_block(docs: DataFrame, items: list[tuple[str, list]], id_type: str, min_score: float) -> DataFrame:
@@ -185,7 +186,9 @@ def _one_block(docs: DataFrame, items: list[tuple[str, list]], id_type: str, min
             yield pd.DataFrame(rows, columns=["doc_id", "th", "item_id", "score"])
         give_back()
 
-    return docs.mapInPandas(found, f"doc_id {kind}, th long, item_id {id_type}, score double")
+    out = written(docs.mapInPandas(found, f"doc_id {kind}, th long, item_id {id_type}, score double"), "leaks")
+    shared.destroy()
+    return out
 
 
 def _blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, list]]]:
