@@ -539,4 +539,4 @@ def q_search_pipeline(spark, sf_dir):
     return _search(cached, scraped, request).select("job_id", "title", "match_score")
 
 
-from . import feature_queries  # noqa: E402, F401  (its queries register themselves)
+from . import feature_queries, session_queries  # noqa: E402, F401  (their queries register themselves)
