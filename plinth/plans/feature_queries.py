@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import datetime
+import json
 
+import pyarrow.parquet as pq
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.documents import profile_keywords
@@ -17,7 +20,8 @@ from ..operators.filters import filter_jobs
 from ..operators.models import embedded, hashed_words
 from ..operators.observed import Progress
 from ..schemas import PROFILE
-from ..sources.cache_store import commit_jobs, read_committed
+from ..sources.cache_store import commit_jobs, opened, read_committed
+from ..sources.portal import portal_source
 from ..sources.sketches import replaced, sketched, total
 from ..streaming.ingest import lifetimes
 from .profile import upserted
@@ -246,3 +250,32 @@ def q_advice_card(spark, sf_dir):
     advice = F.struct(strengths.alias("strengths"), F.array("props").alias("keywords"), F.array().cast("array<string>").alias("skill_gaps"), F.lit(None).cast("array<string>").alias("improvements"))
     return _t(spark, sf_dir, "events").select("event_id", advice_card(advice).alias("card"))
 
+
+def _stored_fetch(path: str):
+    """A fetch function over listing pages in a folder: agency=<agency>/*.parquet with page and html."""
+
+    def fetch(url: str, params: dict) -> str:
+        store, root = opened(path)
+        pages = pq.read_table(f"{root}/agency={params['agency']}", columns=["page", "html"], filters=[("page", "=", params["page"])], filesystem=store, partitioning=None)
+        return pages["html"][0].as_py()
+
+    return fetch
+
+
+@query("""
+select p_partkey as posting, p_name as title, p_brand as city, ((row_number() over (partition by p_brand order by p_partkey) - 1) // 10 + 1)::integer as source_page from part""")
+def q_portal_table(spark, sf_dir):
+    """Brands as cities of the portal source: part names as postings, ten a page, pages read in turn until the reported count is reached."""
+    per = Window.partitionBy("p_brand")
+    part = _t(spark, sf_dir, "part").where("p_partkey is not null").select("p_partkey", "p_brand", "p_name", ((F.row_number().over(per.orderBy("p_partkey")) - 1) / 10).cast("int").alias("at"), F.count(F.lit(1)).over(per).alias("total"))
+    item = F.format_string('<li class="list-item" data-job-id="%d"><a class="item-details-link" href="/careers/x/jobs/%d/y">%s</a></li>', "p_partkey", "p_partkey", "p_name")
+    listed = part.groupBy("p_brand", "at").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", item.alias("item")))), lambda x: x["item"]), "").alias("items"), F.max("total").alias("total"))  # ten a group
+    follow = F.when(F.col("total") > (F.col("at") + 1) * 10, F.format_string('<ul class="pagination"><li><a rel="next" aria-disabled="false" href="?page=%d">Next</a></li></ul>', F.col("at") + 2)).otherwise("")
+    html = F.concat(F.lit('<span id="job-postings-number">'), F.col("total").cast("string"), F.lit("</span><ul>"), F.col("items"), F.lit("</ul>"), follow)
+    path = f"{_scratch(spark)}/pages"
+    agency = F.regexp_replace(F.lower("p_brand"), "[^a-z0-9]", "")
+    listed.select((F.col("at") + 1).alias("page"), html.alias("html"), agency.alias("agency")).write.partitionBy("agency").parquet(path)
+    cities = [(r["p_brand"], f"https://www.governmentjobs.com/careers/{r['agency']}") for r in part.select("p_brand", agency.alias("agency")).distinct().collect()]  # a catalog of cities
+    spark.dataSource.register(portal_source(_stored_fetch(path)))
+    found = spark.read.format("portal").option("cities", json.dumps(cities)).option("max_pages", "100000").load()
+    return found.select(F.col("posting_id").cast("long").alias("posting"), "title", "city", "source_page")

@@ -46,13 +46,14 @@ class Written(WriterCommitMessage):
     files: dict[str, list[tuple[str, int]]] = field(default_factory=dict)
 
 
-def _store(path: str) -> tuple[fs.FileSystem, str]:
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
     return fs.FileSystem.from_uri(path if "://" in path or not path.startswith("file:") else f"file://{path.removeprefix('file:')}")
 
 
 def snapshot(path: str) -> tuple[int, dict[str, dict]]:
     """The number of the last commit (0: none) and its cities by key: city, cached_at, job_count, files."""
-    store, root = _store(path)
+    store, root = opened(path)
     found = store.get_file_info(fs.FileSelector(f"{root}/commits", allow_not_found=True))
     names = sorted(f.base_name for f in found if f.base_name.endswith(".json"))
     if not names:
@@ -66,7 +67,7 @@ class _Writer(DataSourceArrowWriter):
         self.path, self.cached_at, self.after, self.run = path, cached_at, after, uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        store, root = _store(self.path)
+        store, root = opened(self.path)
         context = TaskContext.get()
         task = f"{self.run}-{context.partitionId()}-{context.taskAttemptId()}"
         out, key, writer, n = Written(), None, None, 0
@@ -100,7 +101,7 @@ class _Writer(DataSourceArrowWriter):
         return out
 
     def commit(self, messages: list[Written | None]) -> None:
-        store, root = _store(self.path)
+        store, root = opened(self.path)
         number, cities = snapshot(self.path)
         if number != self.after:
             self.abort(messages)
@@ -120,7 +121,7 @@ class _Writer(DataSourceArrowWriter):
         store.move(part, f"{root}/commits/{number + 1:020d}.json")
 
     def abort(self, messages: list[Written | None]) -> None:
-        store, root = _store(self.path)
+        store, root = opened(self.path)
         for m in messages:
             if m is not None:
                 _delete(store, root, m)
@@ -171,7 +172,7 @@ def read_committed(spark: SparkSession, path: str, schema: StructType | str, aso
 
 def vacuum(path: str, keep: int = 1) -> int:
     """Delete the files that none of the last `keep` commits lists, and older commits. Only while no save or read is under way."""
-    store, root = _store(path)
+    store, root = opened(path)
     number, _ = snapshot(path)
     kept, gone = set(), 0
     for info in store.get_file_info(fs.FileSelector(f"{root}/commits", allow_not_found=True)):
