@@ -1,7 +1,7 @@
 """Main text of HTML pages from streamed parser events and smoothed text-to-tag ratios.
 
 A page goes through the standard library's parser in chunks; its events make lines, one for each block of text (a
-paragraph, heading, list item, cell row...), whatever the line feeds of the source. A line's text-to-tag ratio is its characters over its
+paragraph, heading, list item, cell...), whatever the line feeds of the source. A line's text-to-tag ratio is its characters over its
 tags. The ratios in page order are smoothed by a Gaussian (RADIUS lines to each side, deviation SIGMA); a
 line is content if its smoothed ratio reaches the threshold, the standard deviation of the page's smoothed ratios.
 
@@ -12,7 +12,8 @@ title (h1) before the region belongs to it. All lines of the region are its text
 
 Lines of these elements never count, wherever they are: DROPPED (scripts, forms' controls and the like), BOILERPLATE
 elements and roles (a header only outside of an article), hidden elements, and elements whose class or id has a word of CUES. A form,
-or an element marked by a cue other than those of COMMENTS, that holds most of the page's text or its article is a wrapper and counts.
+or an element marked by a cue other than those of COMMENTS, that holds the page's article, or most of its text and no article or h1 is
+outside of it, is a wrapper and counts.
 
 Texts: character references decoded, runs of white space (of Unicode, no-break spaces too) are one space, blocks joined by line
 feeds. Defined results: a null or empty page, or one without content, has an empty text and n_chars 0. Rows are judged
@@ -45,7 +46,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements that begin and end a line of text.
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre "
-    "script search section select style summary table tbody template textarea tfoot thead title tr ul".split()
+    "script search section select style summary table tbody td template textarea tfoot th thead title tr ul".split()
 )
 #: Block elements that hold text and not other parts of a page.
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figcaption caption summary address legend".split())
@@ -135,7 +136,7 @@ class Lines(HTMLParser):
             return "boilerplate"
         if tag == "form":
             return "form"
-        if tag in BLOCKS or tag in ("td", "th", "span", "a"):
+        if tag in BLOCKS or tag in ("span", "a"):
             found = cues(told.get("class", "")) | cues(told.get("id", ""))
             if "header" in found and inside:
                 found.discard("header")
@@ -149,7 +150,7 @@ class Lines(HTMLParser):
         self._implied(tag)
         if tag in BLOCKS:
             self.flush()
-        elif tag in ("br", "td", "th", "img"):
+        elif tag in ("br", "img"):
             self.parts.append(" ")
         self.tags += 1
         if tag in VOID or len(self.open) > MAX_DEPTH:
@@ -214,16 +215,24 @@ def _sums(page: Lines, amount: list[int]) -> list[int]:
 
 
 def _out(page: Lines) -> list[bool]:
-    """By node, whether it is in an element that never counts."""
-    chars = _sums(page, [len(text) for _, text, _, _ in page.lines])
-    bodies = _sums(page, [0] * len(page.lines))
-    for n in range(len(page.tag) - 1, 0, -1):
-        bodies[page.parent[n]] += bodies[n] + (page.tag[n] in ("article", "main"))
-    bad = []
+    """By node, whether it is in an element that never counts.
+
+    A form or a cue is no sign against an element that holds most of the page's text, or its article, unless there is a heading of the
+    first rank or an article's text outside of it; nor if nothing else would be left.
+    """
+    never = [flag in ("dropped", "boilerplate", "comments") for flag in page.flag]
+    main = [tag in ("article", "main") for tag in page.tag]
+    for n in range(1, len(page.tag)):
+        never[n] |= never[page.parent[n]]
+        main[n] |= main[page.parent[n]]
+    chars = _sums(page, [0 if never[node] else len(text) for node, text, _, _ in page.lines])
+    bodies = _sums(page, [int(not never[node] and (main[node] or page.tag[node] == "h1")) for node, *_ in page.lines])
+    bad = list(never)
     for n, flag in enumerate(page.flag):
-        wrapper = flag in ("form", "cue") and (bodies[n] > 0 or 2 * chars[n] > chars[0])
-        bad.append(bool(flag) and not wrapper or n > 0 and bad[page.parent[n]])
-    return bad
+        if flag in ("form", "cue"):
+            bad[n] |= not (bodies[n] == bodies[0] and (bodies[n] or 2 * chars[n] > chars[0]))
+        bad[n] |= n > 0 and bad[page.parent[n]]
+    return bad if any(not bad[node] for node, *_ in page.lines) else never
 
 
 def main_text(html: str | None) -> str:

@@ -37,6 +37,9 @@ PAGES = {
     "divs only": f"<div class=x1><a href=/>Home</a> <a href=/n>News</a></div><div class=x2><h1>The harbour</h1><div class=x3><p>{LONG}</p><p>Yes.</p><p>{MORE}</p></div></div><div class=x4>Imprint</div>",
     "bare paragraphs": f"<ul><li><a href=/>Home</a><li><a href=/n>News</a><li><a href=/m>More</a></ul>{ARTICLE}<div>Imprint</div>",
     "hidden": f"<article>{ARTICLE}<p hidden>{LONG}</p><p style='display: none'>{MORE}</p></article>",
+    "long advert, short article": f"{NAV}<div class='ad'>{LONG} {MORE} {LONG} {MORE} {LONG} {MORE}</div><article>{ARTICLE}</article>",
+    "teasers with articles": f"<div class='page-with-sidebar'><article>{ARTICLE}</article><div class='related-posts'><article><h2>Other</h2><p>{LONG}</p></article></div></div>",
+    "cells": f"<table><tr><td><a href=/>Home</a><br><a href=/n>News</a></td><td>{ARTICLE}</td><td class='ad'>Buy now. {LONG}</td></tr></table>",
     "unclosed": f"<nav><ul><li><a href=/>Home<article><h1>The harbour<p>{LONG}<p>Yes.<p><b>{MORE}<footer>{LONG}",
     "upper case and comments of the markup": f"<!-- <p>{LONG}</p> --><ARTICLE>{ARTICLE}</ARTICLE><![CDATA[ {MORE} ]]>",
 }
@@ -47,9 +50,17 @@ def test_pages(name):
     assert h.main_text(page(PAGES[name])) == TEXT
 
 
+def test_tiny_articles():
+    """Shorter than everything around them."""
+    html = page(f"{NAV}<div class='ad'>{LONG}</div><article><h1>Hi</h1><p>Yes.</p></article><footer>{LONG}</footer>")
+    assert h.main_text(html) == "Hi\nYes."
+    assert h.main_text(page(f"<div class='ad'>{LONG}</div><h1>Hi</h1><p>Yes.</p>")) == "Hi\nYes."
+    assert h.main_text(page(f"<div class='promo'><p>{LONG}</p></div><div class='sidebar'><p>{MORE}</p></div>")) != ""
+
+
 def test_text_of_blocks():
     body = f"<article><h1>A &lt;b&gt; &amp;\n c&nbsp;d</h1><p>{LONG}<br>Second\tline &#233;&#x20AC;</p><ul><li>one <a href=/>two</a></li><li>three</li></ul><table><tr><td>1</td><td>2</td></tr></table></article>"
-    assert h.main_text(page(body)) == f"A <b> & c d\n{LONG} Second line é€\none two\nthree\n1 2"
+    assert h.main_text(page(body)) == f"A <b> & c d\n{LONG} Second line é€\none two\nthree\n1\n2"
 
 
 def test_head_without_end_and_odd_quotes():
