@@ -33,10 +33,11 @@ def _field(df: DataFrame, *path: str) -> Column:
 def with_identity(jobs: DataFrame) -> DataFrame:
     """jobs with a canonical url (where there is one) and the job_id that url, source id or names give."""
     get = lambda *path: _field(jobs, *path)
-    url = canonical_url(get("url"))
+    known = jobs.withColumn("_canonical", canonical_url(get("url")))  # a projection of its own, as the id needs it several times
+    url = F.col("_canonical")
     old = F.when(~F.coalesce(get("job_id"), F.lit("")).rlike(STABLE_ID), get("job_id"))
     source = F.coalesce(*(present(normalized(x)) for x in (get("raw_data", "posting_id"), get("raw_data", "source_job_id"), get("source_job_id"), old)))
     names = F.concat_ws("|", *(normalized(get(c)) for c in ("title", "department", "location")))
     identity = F.coalesce(present(F.lower(url)), F.concat(F.lit("source:"), source), F.concat(F.lit("fallback:"), names))
     told = F.coalesce(present(get("raw_data", "platform")), present(get("platform")))
-    return jobs.withColumns({"url": F.coalesce(present(url), or_empty(get("url"))), "job_id": job_id_of(platform_name(told, url), get("city"), identity)})
+    return known.withColumns({"url": F.coalesce(present(url), or_empty(get("url"))), "job_id": job_id_of(platform_name(told, url), get("city"), identity)}).drop("_canonical")

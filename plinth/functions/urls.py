@@ -6,6 +6,8 @@ stray percent signs). One pattern splits the URL instead.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,24 +57,40 @@ def is_tracking(key: Column) -> Column:
     return F.startswith(F.lower(key), F.lit("utm_")) | F.lower(key).isin(*TRACKING_KEYS)
 
 
-def canonical_url(url: Column) -> Column:
-    """Scheme and host in lower case, no default port, user, fragment or tracking keys, the query sorted.
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is evaluated once for a row however often body names it."""
+    return F.transform(F.array(value), body)[0]
 
-    On governmentjobs.com job pages the whole query goes. A port that isn't a number stays as text.
-    """
-    url = F.trim(or_empty(url))
-    scheme = F.lower(_part(url, 1))
-    port = F.regexp_extract(_authority(url), r":(\d+)$", 1)
-    default = ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443")) | (port == "")
-    place = F.concat(host(url), F.when(default, "").otherwise(F.concat(F.lit(":"), port)))
+
+def _url_parts(url: Column) -> Column:
+    """What canonical_url puts together, each part once."""
     path = F.regexp_replace(F.regexp_replace(_part(url, 3), "/{2,}", "/"), "/+$", "")
-    path = F.coalesce(present(path), F.lit("/"))
     kept = F.array_sort(F.filter(query_pairs(url), lambda p: ~is_tracking(p["key"])))
     query = F.array_join(F.transform(kept, lambda p: F.concat(_encoded(p["key"]), F.lit("="), _encoded(p["value"]))), "&")
-    plain = F.endswith(place, F.lit("governmentjobs.com")) & F.contains(F.lower(path), F.lit("/jobs/"))
-    query = F.when(plain | (query == ""), "").otherwise(F.concat(F.lit("?"), query))
-    head = F.concat(F.when(scheme == "", "").otherwise(F.concat(scheme, F.lit(":"))), F.when(place == "", "").otherwise(F.concat(F.lit("//"), place)))
-    return F.when(url == "", "").otherwise(F.concat(head, path, query))
+    return F.struct(url.alias("url"), F.lower(_part(url, 1)).alias("scheme"), host(url).alias("host"), F.regexp_extract(_authority(url), r":(\d+)$", 1).alias("port"), path.alias("path"), query.alias("query"))
+
+
+def _joined(parts: Column) -> Column:
+    scheme, port = parts["scheme"], parts["port"]
+    default = ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443")) | (port == "")
+    head = F.when(scheme == "", "").otherwise(F.concat(scheme, F.lit(":")))
+    path = F.when(parts["path"] == "", "/").otherwise(parts["path"])
+
+    def with_place(place: Column) -> Column:
+        plain = F.endswith(place, F.lit("governmentjobs.com")) & F.contains(F.lower(path), F.lit("/jobs/"))
+        query = F.when(plain | (parts["query"] == ""), "").otherwise(F.concat(F.lit("?"), parts["query"]))
+        return F.concat(head, F.when(place == "", "").otherwise(F.concat(F.lit("//"), place)), path, query)
+
+    return F.when(parts["url"] == "", "").otherwise(_let(F.concat(parts["host"], F.when(default, "").otherwise(F.concat(F.lit(":"), port))), with_place))
+
+
+def canonical_url(url: Column) -> Column:
+    """Scheme and host in lower case, no default port, user, fragment or tracking keys, the query sorted.
+
+    On governmentjobs.com job pages the whole query goes. A port that isn't a number stays as text. Every part is computed once: written
+    into each other the parts would be computed dozens of times a row.
+    """
+    return _let(F.trim(or_empty(url)), lambda whole: _let(_url_parts(whole), _joined))
 
 
 def detected_platform(url: Column) -> Column:
@@ -85,6 +103,9 @@ def detected_platform(url: Column) -> Column:
 
 def platform_name(told: Column, url: Column) -> Column:
     """The platform told, else by the host, else the host, else unknown; url is canonical."""
-    h = host(url)
-    by_host = F.when(F.endswith(h, F.lit("governmentjobs.com")) | F.endswith(h, F.lit("neogov.com")), "neogov").when(F.contains(h, F.lit("peoplesoft")) | F.contains(h, F.lit("hcmprod")), "peoplesoft")
-    return F.coalesce(present(normalized(told)), by_host, present(h), F.lit("unknown"))
+
+    def by_host(h: Column) -> Column:
+        known = F.when(F.endswith(h, F.lit("governmentjobs.com")) | F.endswith(h, F.lit("neogov.com")), "neogov").when(F.contains(h, F.lit("peoplesoft")) | F.contains(h, F.lit("hcmprod")), "peoplesoft")
+        return known.when(h != "", h)
+
+    return F.coalesce(present(normalized(told)), _let(host(url), by_host), F.lit("unknown"))

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plinth.functions.html import article_text
+from plinth.functions.identity import with_identity
 from plinth.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -27,3 +28,10 @@ def test_one_small_file_is_worked_on_by_all_cores(spark, name):
     """The driver's part table of a million rows is one row group, so its pages were parsed by one task."""
     tasks = QUERIES[name](spark, SF).select(F.spark_partition_id().alias("task")).distinct().count()
     assert tasks >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_an_identity_computes_each_part_of_its_url_once(spark):
+    """The parts written into each other were dozens of regular expressions a row."""
+    jobs = spark.range(1).select(F.lit("t").alias("title"), F.lit("Tempe").alias("city"), F.col("id").cast("string").alias("url"), F.col("id").alias("pos"))
+    plan = with_identity(jobs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") <= 12
