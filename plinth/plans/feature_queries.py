@@ -19,6 +19,7 @@ from ..operators.dedup import fingerprints
 from ..operators.filters import filter_jobs
 from ..operators.models import embedded, hashed_words
 from ..operators.observed import Progress
+from ..operators.spread import spread
 from ..schemas import PROFILE
 from ..sources.cache_store import commit_jobs, opened, read_committed
 from ..sources.portal import portal_source
@@ -191,7 +192,8 @@ def q_listing_meta(spark, sf_dir):
         F.format_string('<li class="list-item" data-job-id="%d"><a class="item-details-link" href="/careers/x/jobs/%d/y">Post</a><ul class="list-meta"><li>Tempe, AZ</li><li>Full Time</li><li>Category: %s</li><li>Department: %s</li></ul></li>', "p_partkey", "p_partkey", "p_type", "p_brand"),
         F.lit("</ul>"), follow,
     )
-    pages = _t(spark, sf_dir, "part").where("p_partkey is not null").select("p_partkey", F.lit("Tempe").alias("city"), F.lit("https://www.governmentjobs.com").alias("origin"), F.lit("tempe").alias("agency"), F.lit(1).alias("page"), html.alias("html"))
+    part = spread(_t(spark, sf_dir, "part").where("p_partkey is not null").select("p_partkey", "p_type", "p_brand"), "p_partkey")
+    pages = part.select("p_partkey", F.lit("Tempe").alias("city"), F.lit("https://www.governmentjobs.com").alias("origin"), F.lit("tempe").alias("agency"), F.lit(1).alias("page"), html.alias("html"))
     found = parse_listings(pages)
     return found.select("p_partkey", "next_page", "reported_count", F.col("jobs")[0]["raw_data"]["categories"].alias("categories"), F.col("jobs")[0]["department"].alias("department"))
 
