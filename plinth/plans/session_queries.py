@@ -15,6 +15,7 @@ from ..functions.html import parse_listings
 from ..functions.text import stripped
 from ..operators.filters import profile_complete
 from ..operators.models import hashed_words
+from ..operators.spread import spread
 from ..schemas import DEGREES, INTERESTS, PROFILE
 from ..sources import index
 from ..sources.cache import clear, load, save
@@ -76,7 +77,8 @@ def q_invalid_postings(spark, sf_dir):
     good, other = item('data-job-id="7"', "jobs/7", "Clerk"), item('data-job-id="8"', "jobs/8", "Pilot")
     kinds = F.array(*(F.lit(h) for h in (good, item('data-job-id="7"', "jobs/7", " "), item("", "none", "Clerk"), good + good, good + other)))
     html = F.element_at(kinds, (F.col("p_partkey") % 5 + 1).cast("int")).alias("html")
-    pages = _t(spark, sf_dir, "part").where("p_partkey is not null").select("p_partkey", F.lit("Tempe").alias("city"), F.lit("https://e.gov").alias("origin"), F.lit("tempe").alias("agency"), F.lit(1).alias("page"), html)
+    part = spread(_t(spark, sf_dir, "part").where("p_partkey is not null").select("p_partkey"), "p_partkey")
+    pages = part.select("p_partkey", F.lit("Tempe").alias("city"), F.lit("https://e.gov").alias("origin"), F.lit("tempe").alias("agency"), F.lit(1).alias("page"), html)
     return parse_listings(pages).select("p_partkey", F.size("jobs").alias("jobs"))
 
 
@@ -92,7 +94,7 @@ def q_grid_rows(spark, sf_dir):
         F.lit('<tr class="ps_grid-row">'), cell(key), cell(F.concat(F.lit("Dept "), nation)), cell(F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("Room "), nation)).otherwise("")), cell(F.lit("")), cell(F.lit("")),
         cell(F.concat(F.lit('<a href="/jobs/'), key, F.lit('">'), title, F.lit("</a>"))), F.lit("</tr>"),
     )
-    rows = _t(spark, sf_dir, "supplier").where("s_suppkey is not null")
+    rows = spread(_t(spark, sf_dir, "supplier").where("s_suppkey is not null").select("s_suppkey", "s_name", "s_nationkey"), "s_suppkey")
     pages = rows.select(F.lit("Tempe").alias("city"), F.lit("https://hr.example.gov/psc/x/y").alias("base_url"), F.concat(F.lit("<table>"), row, F.lit("</table>")).alias("html"))
     return jobs_of_grids(pages).select(F.col("source_job_id").cast("long").alias("s_suppkey"), "title", "url", "location", "department")
 

@@ -23,7 +23,7 @@ def test_cut_references_are_as_in_the_sql(spark, tmp_path):
     assert article_text("<article>a&amp<script>b&amp</script><!-- & --></article>", terminated=True) == "a&amp b&amp"
 
 
-@pytest.mark.parametrize("name", ["q_detail_fields", "q_listing_meta"])
+@pytest.mark.parametrize("name", ["q_detail_fields", "q_listing_meta", "q_invalid_postings"])
 def test_one_small_file_is_worked_on_by_all_cores(spark, name):
     """The driver's part table of a million rows is one row group, so its pages were parsed by one task."""
     tasks = QUERIES[name](spark, SF).select(F.spark_partition_id().alias("task")).distinct().count()
