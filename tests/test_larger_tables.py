@@ -1,10 +1,14 @@
 """What the tables of the tests don't show: cut references, one small file, many pages a city."""
 
+import tracemalloc
+
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from plinth.functions.html import article_text
+from plinth.functions.html import _job_type, _listings, article_text, listing
 from plinth.functions.identity import with_identity
 from plinth.plans.queries import ORACLES, QUERIES
 
@@ -35,3 +39,20 @@ def test_an_identity_computes_each_part_of_its_url_once(spark):
     jobs = spark.range(1).select(F.lit("t").alias("title"), F.lit("Tempe").alias("city"), F.col("id").cast("string").alias("url"), F.col("id").alias("pos"))
     plan = with_identity(jobs)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract(") <= 12
+
+
+def test_a_batch_of_listings_is_never_whole_as_python_objects():
+    item = '<li class="list-item" data-job-id="{0}"><a class="item-details-link" href="/jobs/{0}/y">Post {0}</a></li>'.format
+    pages = ["".join(item(20 * n + k) for k in range(20)) for n in range(320)]
+    kind = pa.struct([("jobs", pa.list_(to_arrow_type(_job_type()))), ("next_page", pa.int32()), ("reported_count", pa.int32())])
+    columns = (*(pa.array([v] * len(pages)) for v in ("Tempe", "https://e.gov", "tempe")), pa.array(range(len(pages))), pa.array(pages))
+    tracemalloc.start()
+    whole = [listing(h, "Tempe", "https://e.gov", "tempe", n) for n, h in enumerate(pages)]
+    all_at_once, expected = tracemalloc.get_traced_memory()[1], pa.array(whole, kind)
+    del whole
+    tracemalloc.stop()
+    tracemalloc.start()
+    got = _listings(columns, kind)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.equals(expected) and peak < all_at_once / 3
