@@ -253,13 +253,24 @@ def q_advice_card(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", advice_card(advice).alias("card"))
 
 
+PAGE_BLOCK = 500
+
+
 def _stored_fetch(path: str):
-    """A fetch function over listing pages in a folder: agency=<agency>/*.parquet with page and html."""
+    """A fetch function over listing pages in a folder: agency=<agency>/block=<page div PAGE_BLOCK>/*.parquet with page and html.
+
+    Pages are asked for in turn, so the block of the last one is kept: a page costs the same however many its agency has.
+    """
+    kept: dict[tuple, dict[int, str]] = {}
 
     def fetch(url: str, params: dict) -> str:
-        store, root = opened(path)
-        pages = pq.read_table(f"{root}/agency={params['agency']}", columns=["page", "html"], filters=[("page", "=", params["page"])], filesystem=store, partitioning=None)
-        return pages["html"][0].as_py()
+        block = params["agency"], params["page"] // PAGE_BLOCK
+        if block not in kept:
+            store, root = opened(path)
+            pages = pq.read_table(f"{root}/agency={block[0]}/block={block[1]}", columns=["page", "html"], filesystem=store, partitioning=None)
+            kept.clear()
+            kept[block] = dict(zip(pages["page"].to_pylist(), pages["html"].to_pylist()))
+        return kept[block][params["page"]]
 
     return fetch
 
@@ -276,7 +287,8 @@ def q_portal_table(spark, sf_dir):
     html = F.concat(F.lit('<span id="job-postings-number">'), F.col("total").cast("string"), F.lit("</span><ul>"), F.col("items"), F.lit("</ul>"), follow)
     path = f"{_scratch(spark)}/pages"
     agency = F.regexp_replace(F.lower("p_brand"), "[^a-z0-9]", "")
-    listed.select((F.col("at") + 1).alias("page"), html.alias("html"), agency.alias("agency")).write.partitionBy("agency").parquet(path)
+    stored = listed.select((F.col("at") + 1).alias("page"), html.alias("html"), agency.alias("agency")).withColumn("block", F.floor(F.col("page") / PAGE_BLOCK))
+    stored.repartition("agency", "block").write.partitionBy("agency", "block").parquet(path)
     cities = [(r["p_brand"], f"https://www.governmentjobs.com/careers/{r['agency']}") for r in part.select("p_brand", agency.alias("agency")).distinct().collect()]  # a catalog of cities
     spark.dataSource.register(portal_source(_stored_fetch(path)))
     found = spark.read.format("portal").option("cities", json.dumps(cities)).option("max_pages", "100000").load()

@@ -108,12 +108,14 @@ class _Portals:
         return dict(json.loads(self.options.get("cities", "[]")))
 
     def jobs(self, partition: _City) -> Iterator[tuple]:
+        def row(job: dict) -> tuple:
+            raw = job["raw_data"]
+            return (*(job[f] for f in FIELDS), raw["platform"], raw["posting_id"], raw["agency_code"], raw["categories"], raw["source_page"], partition.polled_at)
+
         def found():
-            return list(read_portal(partition.city, partition.url, self.fetch, int(self.options.get("max_pages", 100))))
+            return [row(job) for job in read_portal(partition.city, partition.url, self.fetch, int(self.options.get("max_pages", 100)))]
 
-        for job in with_retry(found, int(self.options.get("attempts", 2))) or ():
-            raw = job["raw_data"]
-            yield (*(job[f] for f in FIELDS), raw["platform"], raw["posting_id"], raw["agency_code"], raw["categories"], raw["source_page"], partition.polled_at)
+        yield from with_retry(found, int(self.options.get("attempts", 2))) or ()
 
 
 class _Reader(_Portals, DataSourceReader):

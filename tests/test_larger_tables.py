@@ -10,6 +10,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from plinth.functions.html import _job_type, _listings, article_text, listing
 from plinth.functions.identity import with_identity
+from plinth.plans import feature_queries
 from plinth.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -56,3 +57,14 @@ def test_a_batch_of_listings_is_never_whole_as_python_objects():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert got.equals(expected) and peak < all_at_once / 3
+
+
+def test_stored_pages_are_read_a_block_at_a_time(spark, tmp_path, monkeypatch):
+    """Each page read all pages of its city, so a city's reads grew with the square of its pages."""
+    block = feature_queries.PAGE_BLOCK
+    rows = spark.range(1, 2 * block + 3).select(F.lit("a").alias("agency"), F.floor(F.col("id") / block).alias("block"), F.col("id").alias("page"), F.concat(F.lit("p"), "id").alias("html"))
+    rows.repartition("block").write.partitionBy("agency", "block").parquet(f"{tmp_path}/pages")
+    read, read_table = [], feature_queries.pq.read_table
+    monkeypatch.setattr(feature_queries.pq, "read_table", lambda *a, **how: read.append(1) or read_table(*a, **how))
+    fetch = feature_queries._stored_fetch(f"{tmp_path}/pages")
+    assert all(fetch("u", {"agency": "a", "page": n}) == f"p{n}" for n in range(1, 2 * block + 3)) and len(read) == 3
